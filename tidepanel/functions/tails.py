@@ -7,6 +7,7 @@ import math
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 # --- fixed values: unit-root p-value (MacKinnon 1994, constant only) --------------------------
 TAU_MAX = 2.74
@@ -50,7 +51,7 @@ def chi_square_tail(q: Column, dof: Column) -> Column:
     return F.when(dof % 2 == 0, F.exp(-half) * terms).otherwise(_odd_tail(q, dof))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _odd_tail(q: pd.Series, dof: pd.Series) -> pd.Series:
     def tail(x: float, m: float) -> float | None:
         if x is None or math.isnan(x) or int(m) % 2 == 0:

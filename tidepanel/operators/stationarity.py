@@ -23,6 +23,9 @@ from tidepanel.operators.season import acf
 
 MIN_ROWS = 10
 ALPHA = 0.05
+RESULT_COLUMNS = [
+    "series_id", "variable", "n", "adf_statistic", "adf_pvalue", "n_lags_used", "n_obs", "critical",
+]
 
 
 def ljung_box(
@@ -72,7 +75,6 @@ def _unit_root(n: int, sums: np.ndarray, head: np.ndarray, limit: int) -> dict |
     """Choose the lag by AIC on the common rows, then refit on all rows that lag allows."""
     whole = from_triangle(sums)
     rows = n - 1 - limit
-    constant = limit + 2
 
     def part(matrix: np.ndarray, lags: int) -> np.ndarray:
         keep = [*range(lags + 2), matrix.shape[0] - 1]
@@ -92,7 +94,7 @@ def _unit_root(n: int, sums: np.ndarray, head: np.ndarray, limit: int) -> dict |
     freedom = used - (best + 2)
     variance = rss / freedom if freedom > 0 else float("nan")
     spread = math.sqrt(variance * inverse[0, 0])
-    if not spread > 0 or constant < 2:
+    if not spread > 0:
         return None
     tau = float(beta[0] / spread)
     return {
@@ -143,11 +145,6 @@ def adf(
         .select(*KEYS, F.transform("h", lambda r: r["value"]).alias("head"))
     )
     means = group_mean(usable).drop("n")
-    schema = (
-        "series_id string, variable string, n bigint, adf_statistic double, adf_pvalue double,"
-        " n_lags_used bigint, n_obs bigint, critical map<string,double>"
-    )
-
     def solve(batches):
         for batch in batches:
             found = []
@@ -160,8 +157,7 @@ def adf(
                     found.append(
                         {"series_id": row.series_id, "variable": row.variable, "n": n, **result}
                     )
-            names = [part.split()[0] for part in schema.split(", ")] if not found else None
-            yield pd.DataFrame(found, columns=names)
+            yield pd.DataFrame(found, columns=RESULT_COLUMNS)
 
     ready = sums.join(heads, KEYS).join(means, KEYS)
     return ready.mapInPandas(
