@@ -67,7 +67,7 @@ def _pass(rows: DataFrame, sizes: DataFrame, rounds: int, weighted: bool) -> Dat
     columns = ["ts", "pos", "n", "period", "chunk", "value"]
     columns += ["trend0", "weight"] if weighted else []
 
-    def run(key, block: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, block: pd.DataFrame) -> pd.DataFrame:
         block = block.sort_values("pos", kind="stable")
         values = block["value"].to_numpy()
         period = int(block["period"].iloc[0])

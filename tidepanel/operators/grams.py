@@ -43,7 +43,7 @@ def block_sums(
     """Run ``kernel`` on each block (rows ordered by position) and add its sums up per group."""
     schema = "series_id string, variable string, n bigint, sums array<double>"
 
-    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("pos", kind="stable")
         sums = kernel(rows)
         return pd.DataFrame(

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from tidepanel.plans import clean_queries, season_queries  # noqa: F401
+from tidepanel.plans import clean_queries, detect_queries, season_queries
 from tidepanel.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES"]
+flagship = detect_queries.flagship
+
+__all__ = ["ORACLES", "QUERIES", "clean_queries", "flagship", "season_queries"]
