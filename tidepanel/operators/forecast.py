@@ -97,10 +97,9 @@ def split_standardise(
 
 
 def linear_coefficients(
-    positioned: DataFrame, sizes: DataFrame, layout: Layout
+    positioned: DataFrame, sizes: DataFrame, layout: Layout, reach: int = MAX_LAGS
 ) -> DataFrame:
     """Least-squares coefficients [lag 1.., constant] of every group, in one job."""
-    reach = MAX_LAGS if not layout.blocked else max(MAX_LAGS, 1)
     blocks = attach(halo_blocks(positioned, layout, before=reach), sizes, layout)
     train = blocks.where(F.col("pos") < F.col("cut"))
 
@@ -129,11 +128,11 @@ def linear_coefficients(
     )
 
 
-def _lagged(positioned: DataFrame, values: DataFrame, layout: Layout) -> DataFrame:
+def _lagged(positioned: DataFrame, values: DataFrame, layout: Layout, reach: int) -> DataFrame:
     """Scaled rows with their lags, kept where all lags lie in the row's own split."""
-    blocks = attach(halo_blocks(positioned, layout, before=MAX_LAGS), values, layout)
+    blocks = attach(halo_blocks(positioned, layout, before=reach), values, layout)
     scaled = blocks.withColumn("scaled", (F.col("value") - F.col("mean")) / F.col("spread"))
-    lagged = scaled.withColumn("past", lag_columns(F.col("scaled"), MAX_LAGS))
+    lagged = scaled.withColumn("past", lag_columns(F.col("scaled"), reach))
     in_split = F.when(F.col("pos") < F.col("cut"), F.col("pos")).otherwise(
         F.col("pos") - F.col("cut")
     )
@@ -163,11 +162,12 @@ def residuals(
     """
     layout = Layout.of(positioned, layout)
     sizes = usable(sizing(positioned, test_ratio, lags))
+    reach = MAX_LAGS if lags is None else lags
     if forecaster == "linear":
         sizes = materialize(sizes)
-        beta = linear_coefficients(positioned, sizes, layout).drop("n")
+        beta = linear_coefficients(positioned, sizes, layout, reach).drop("n")
         values = sizes.join(beta, KEYS)
-        rows = _lagged(positioned, values, layout)
+        rows = _lagged(positioned, values, layout, reach)
         products = F.zip_with("past", F.slice("coefficients", F.lit(1), F.col("lags")),
                               lambda z, c: z * c)
         constant = F.element_at("coefficients", F.col("lags") + 1)
@@ -175,7 +175,7 @@ def residuals(
         return rows.withColumn("resid", F.col("scaled") - forecast).select(*_RESIDUAL)
     if forecaster != "gbt":
         raise ValueError(f"unknown forecaster: {forecaster!r}; choose linear or gbt")
-    return _boosted(materialize(_lagged(positioned, sizes, layout)), trees)
+    return _boosted(materialize(_lagged(positioned, sizes, layout, reach)), trees)
 
 
 def _boosted(rows: DataFrame, trees: int) -> DataFrame:

@@ -23,6 +23,7 @@ from tidepanel.operators.layout import Layout, attach, block_window, halo_blocks
 from tidepanel.session import materialize
 
 SCORE_COLUMNS = [*KEYS, "scorer", "ts", "pos", "n", "score"]
+ROUNDS_PER_JOB = 4
 
 
 def _full_window() -> Column:
@@ -137,159 +138,189 @@ def wasserstein_scores(
 # ---------------------------------------------------------------------------------------------
 
 
-def _windows(pos: np.ndarray, x: np.ndarray, cut: int, w: int) -> tuple[np.ndarray, np.ndarray]:
-    """All windows of w consecutive rows inside one split, and the index of their last row."""
-    if len(x) < w:
-        return np.empty((0, w)), np.empty(0, dtype=int)
-    view = np.lib.stride_tricks.sliding_window_view(x, w)
-    last = np.arange(w - 1, len(x))
-    first = last - (w - 1)
-    whole = (pos[last] - pos[first] == w - 1) & ((pos[first] >= cut) | (pos[last] < cut))
-    return view[whole], last[whole]
-
-
 def _pack(residuals: DataFrame, layout: Layout, signed: bool) -> DataFrame:
-    """One row per block with its residuals as arrays, so that the iterations need no shuffle."""
+    """One row per block and split with its residuals as one array, oldest first.
+
+    The residuals of a split are consecutive, and a block carries just the rows before its own that
+    its first window needs: so the windows of the array are the windows that end in the block, and
+    the rounds below need neither positions nor a shuffle of rows.
+    """
     x = F.col("resid") if signed else F.abs("resid")
     blocks = halo_blocks(residuals, layout, before=MAX_WINDOW - 1)
-    ordered = F.array_sort(F.collect_list(F.struct("pos", x.alias("x"), "core")))
-    packed = blocks.groupBy(*KEYS, "block", "n", "cut", "window").agg(ordered.alias("rows"))
+    if layout.blocked:
+        own_start = F.col("block") * layout.block_rows
+        blocks = blocks.where(F.col("pos") >= own_start - (F.col("window") - 1))
+    ordered = F.array_sort(F.collect_list(F.struct("pos", x.alias("x"))))
+    packed = blocks.groupBy(*KEYS, "block", "n", "window", "is_train").agg(ordered.alias("rows"))
     return packed.select(
         *KEYS,
         "block",
         "n",
-        "cut",
         "window",
-        F.transform("rows", lambda r: r["pos"]).alias("pos"),
+        "is_train",
+        F.col("rows")[0]["pos"].alias("first_pos"),
         F.transform("rows", lambda r: r["x"]).alias("x"),
-        F.transform("rows", lambda r: r["core"]).alias("core"),
-    )
+    ).where(F.size("x") >= F.col("window"))
 
 
-def _train_windows(row) -> np.ndarray:
-    pos, x = np.asarray(row.pos), np.asarray(row.x, dtype=float)
-    found, last = _windows(pos, x, row.cut, row.window)
-    mine = np.asarray(row.core, dtype=bool)[last] & (pos[last] < row.cut)
-    return found[mine]
+def _frame(rows: list[dict], names: list[str]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=names)
 
 
-_PARTS = "series_id string, variable string, n bigint, cluster int, i int, v double"
+def _moments(batches):
+    """Count, sum and sum of squares of the windows of each block, place by place."""
+    names = [*KEYS, "n", "window", "total", "square"]
+    for batch in batches:
+        out = []
+        for row in batch.itertuples(index=False):
+            x, w = np.asarray(row.x, dtype=float), int(row.window)
+            m = len(x) - w + 1
+            sums = [x[i : i + m].sum() for i in range(w)]
+            squares = [x[i : i + m] @ x[i : i + m] for i in range(w)]
+            out.append({**_key(row), "total": [m, *sums], "square": squares})
+        yield _frame(out, names)
 
 
-def _add_clusters(parts: DataFrame) -> DataFrame:
-    """Sum the parts of all blocks: per group and cluster an array [count, sum 1.., ...]."""
-    sums = parts.groupBy(*KEYS, "n", "cluster", "i").agg(F.sum("v").alias("v"))
-    ordered = F.array_sort(F.collect_list(F.struct("i", "v")))
-    return sums.groupBy(*KEYS, "n", "cluster").agg(
-        F.transform(ordered, lambda c: c["v"]).alias("sums")
-    )
+def _assign(batches):
+    """Count and sum of the windows nearer to either centre, place by place.
 
+    Which centre is nearer depends on one inner product with the difference of the centres, so the
+    windows are never laid out as a table.
+    """
+    names = [*KEYS, "n", "window", "low", "high", "still", "s0", "s1"]
+    for batch in batches:
+        out = []
+        for row in batch.itertuples(index=False):
+            x, w = np.asarray(row.x, dtype=float), int(row.window)
+            low, high = np.asarray(row.low), np.asarray(row.high)
+            m = len(x) - w + 1
+            towards_high = 2 * np.correlate(x, high - low, "valid") > high @ high - low @ low
+            second = towards_high.astype(float)
+            whole = np.array([x[i : i + m].sum() for i in range(w)])
+            upper = np.array([second @ x[i : i + m] for i in range(w)])
+            count = float(second.sum())
+            out.append(
+                {
+                    **_key(row),
+                    "low": row.low,
+                    "high": row.high,
+                    "still": row.still,
+                    "s0": [m - count, *(whole - upper)],
+                    "s1": [count, *upper],
+                }
+            )
+        yield _frame(out, names)
 
-def _emit(row, cluster: int, numbers: np.ndarray) -> pd.DataFrame:
-    return pd.DataFrame(
-        {
-            "series_id": row.series_id,
-            "variable": row.variable,
-            "n": row.n,
-            "cluster": cluster,
-            "i": np.arange(len(numbers), dtype="int32"),
-            "v": numbers,
-        }
-    )
+
+def _key(row) -> dict:
+    return {
+        "series_id": row.series_id, "variable": row.variable, "n": row.n, "window": row.window
+    }
+
+
+_KEY = "series_id string, variable string, n bigint, window int"
+
+
+def _added(name: str, places: int) -> Column:
+    """Element-wise sum of an array column of bounded length, with map-side partial sums."""
+    return F.expr("array(" + ", ".join(f"sum(get({name}, {i}))" for i in range(places)) + ")")
+
+
+def _centre(sums: str, old: str) -> str:
+    """Mean of a cluster from its [count, sums..]; an empty cluster keeps its centre."""
+    mean = f"transform(slice({sums}, 2, window), s -> s / get({sums}, 0))"
+    return f"IF(get({sums}, 0) > 0, {mean}, {old}) AS {old}2"
+
+
+def _moved(new: str, old: str) -> str:
+    squares = f"zip_with({new}, {old}, (a, b) -> (a - b) * (a - b))"
+    return f"aggregate({squares}, 0D, (total, d) -> total + d)"
 
 
 def _two_means(packed: DataFrame, layout: Layout, max_iter: int, tolerance: float) -> DataFrame:
-    """Two centres per group, for all groups at once: one narrow pass and one small sum a round.
+    """Two centres per group, for all groups at once: a narrow pass and a small sum each round.
 
-    Starts from the mean window one spread below and above, so that the result is the same on
-    every run. A group stops moving when its centres do; the loop stops when all have.
+    Starts from the mean window one spread below and above, so that every run gives the same
+    result, and ends when no group's centres move any more. Several rounds make one job.
     """
-
-    def moments(batches):
-        for batch in batches:
-            out = []
-            for row in batch.itertuples(index=False):
-                found = _train_windows(row)
-                out.append(
-                    _emit(row, 0, np.r_[len(found), found.sum(axis=0), (found**2).sum(axis=0)])
-                )
-            yield pd.concat(out) if out else pd.DataFrame()
-
-    totals = _add_clusters(packed.mapInPandas(moments, _PARTS)).where(F.col("sums")[0] > 0)
-    w = ((F.size("sums") - 1) / 2).cast("int")
-    count = F.col("sums")[0]
-    mean = F.transform(F.slice("sums", F.lit(2), w), lambda s: s / count)
-    square = F.transform(F.slice("sums", 2 + w, w), lambda s: s / count)
-    spread = F.zip_with(square, mean, lambda q, m: F.sqrt(F.greatest(q - m * m, F.lit(0.0))))
+    w = F.col("window")
+    train = packed.where("is_train").select(*KEYS, "block", "n", "window", "x")
+    totals = (
+        train.mapInPandas(_moments, f"{_KEY}, total array<double>, square array<double>")
+        .groupBy(*KEYS, "n", "window")
+        .agg(
+            _added("total", MAX_WINDOW + 1).alias("total"), _added("square", MAX_WINDOW).alias("square")
+        )
+    )
+    count = F.col("total")[0]
+    mean = F.transform(F.slice("total", F.lit(2), w), lambda s: s / count)
+    square = F.transform(F.slice("square", F.lit(1), w), lambda s: s / count)
     variance = F.zip_with(square, mean, lambda q, m: F.greatest(q - m * m, F.lit(0.0)))
-    average = F.aggregate(variance, F.lit(0.0), lambda acc, v: acc + v) / w
+    average = F.aggregate("variance", F.lit(0.0), lambda acc, v: acc + v) / w
+    start = totals.select(
+        *KEYS, "n", "window", mean.alias("mean"), variance.alias("variance")
+    )
     centres = materialize(
-        totals.select(
+        start.select(
             *KEYS,
             "n",
-            F.zip_with(mean, spread, lambda m, s: m - s).alias("low"),
-            F.zip_with(mean, spread, lambda m, s: m + s).alias("high"),
+            F.zip_with("mean", "variance", lambda m, v: m - F.sqrt(v)).alias("low"),
+            F.zip_with("mean", "variance", lambda m, v: m + F.sqrt(v)).alias("high"),
             (average * tolerance).alias("still"),
-            F.lit(float("inf")).alias("shift"),
         )
     )
 
-    def assign(batches):
-        for batch in batches:
-            out = []
-            for row in batch.itertuples(index=False):
-                found = _train_windows(row)
-                if not len(found):
-                    continue
-                nearer_high = _squared(found, row.high) < _squared(found, row.low)
-                for cluster, mine in enumerate([found[~nearer_high], found[nearer_high]]):
-                    out.append(_emit(row, cluster, np.r_[len(mine), mine.sum(axis=0)]))
-            yield pd.concat(out) if out else pd.DataFrame(columns=_part_names())
-
-    for _ in range(max_iter):
-        moved = attach(packed, centres, layout)
-        sums = _add_clusters(moved.mapInPandas(assign, _PARTS))
-        by_cluster = sums.groupBy(*KEYS).agg(
-            F.max(F.when(F.col("cluster") == 0, F.col("sums"))).alias("s0"),
-            F.max(F.when(F.col("cluster") == 1, F.col("sums"))).alias("s1"),
+    def one_round(current: DataFrame) -> DataFrame:
+        moved = attach(train, current, layout).mapInPandas(
+            _assign,
+            f"{_KEY}, low array<double>, high array<double>, still double, "
+            "s0 array<double>, s1 array<double>",
         )
-
-        def centre(sums_column: str, old: str) -> Column:
-            size = F.col(sums_column)[0]
-            rest = F.slice(sums_column, F.lit(2), F.size(old))
-            return F.when(size > 0, F.transform(rest, lambda s: s / size)).otherwise(F.col(old))
-
-        def distance(new: str, old: str) -> Column:
-            steps = F.zip_with(new, old, lambda a, b: (a - b) * (a - b))
-            return F.aggregate(steps, F.lit(0.0), lambda acc, d: acc + d)
-
-        renewed = (
-            centres.join(by_cluster, KEYS)
-            .withColumn("low2", centre("s0", "low"))
-            .withColumn("high2", centre("s1", "high"))
-            .withColumn("shift", distance("low2", "low") + distance("high2", "high"))
+        sums = moved.groupBy(*KEYS, "n", "window").agg(
+            F.expr("first(low) AS low"),
+            F.expr("first(high) AS high"),
+            F.expr("first(still) AS still"),
+            _added("s0", MAX_WINDOW + 1).alias("s0"),
+            _added("s1", MAX_WINDOW + 1).alias("s1"),
         )
-        centres = materialize(
-            renewed.select(
-                *KEYS,
-                "n",
-                F.col("low2").alias("low"),
-                F.col("high2").alias("high"),
-                "still",
-                "shift",
-            )
+        return sums.selectExpr("*", _centre("s0", "low"), _centre("s1", "high")).selectExpr(
+            *KEYS, "n", "low2 AS low", "high2 AS high", "still",
+            f"{_moved('low2', 'low')} + {_moved('high2', 'high')} AS shift",
         )
+
+    for _ in range(0, max_iter, ROUNDS_PER_JOB):
+        for _ in range(ROUNDS_PER_JOB):
+            centres = one_round(centres)
+        centres = materialize(centres)
         if centres.where(F.col("shift") > F.col("still")).isEmpty():
             break
     return centres.select(*KEYS, "n", "low", "high")
 
 
-def _part_names() -> list[str]:
-    return ["series_id", "variable", "n", "cluster", "i", "v"]
-
-
-def _squared(found: np.ndarray, centre) -> np.ndarray:
-    return ((found - np.asarray(centre)) ** 2).sum(axis=1)
+def _nearest(batches):
+    """Distance of each window to the nearer centre, stamped at the window's last position."""
+    names = ["series_id", "variable", "pos", "score"]
+    for batch in batches:
+        out = [_frame([], names)]
+        for row in batch.itertuples(index=False):
+            view = np.lib.stride_tricks.sliding_window_view(
+                np.asarray(row.x, dtype=float), int(row.window)
+            )
+            near = np.full(len(view), np.inf)
+            for centre in (row.low, row.high):
+                near = np.minimum(near, ((view - np.asarray(centre)) ** 2).sum(axis=1))
+            last = row.first_pos + int(row.window) - 1 + np.arange(len(view))
+            out.append(
+                pd.DataFrame(
+                    {
+                        "series_id": row.series_id,
+                        "variable": row.variable,
+                        "pos": last,
+                        "score": np.sqrt(near),
+                    }
+                )
+            )
+        yield pd.concat(out[1:]) if len(out) > 1 else out[0]
 
 
 def kmeans_scores(
@@ -304,30 +335,9 @@ def kmeans_scores(
     packed = materialize(_pack(residuals, layout, signed))
     centres = _two_means(packed, layout, max_iter, tolerance)
 
-    def score(batches):
-        for batch in batches:
-            out = []
-            for row in batch.itertuples(index=False):
-                pos, x = np.asarray(row.pos), np.asarray(row.x, dtype=float)
-                found, last = _windows(pos, x, row.cut, row.window)
-                mine = np.asarray(row.core, dtype=bool)[last] & (pos[last] >= row.cut)
-                found, last = found[mine], last[mine]
-                near = np.minimum(_squared(found, row.low), _squared(found, row.high))
-                out.append(
-                    pd.DataFrame(
-                        {
-                            "series_id": row.series_id,
-                            "variable": row.variable,
-                            "pos": pos[last],
-                            "score": np.sqrt(near),
-                        }
-                    )
-                )
-            names = ["series_id", "variable", "pos", "score"]
-            yield pd.concat(out) if out else pd.DataFrame(columns=names)
-
-    scores = attach(packed, centres, layout).mapInPandas(
-        score, "series_id string, variable string, pos bigint, score double"
+    test = packed.where(~F.col("is_train"))
+    scores = attach(test, centres, layout).mapInPandas(
+        _nearest, "series_id string, variable string, pos bigint, score double"
     )
     rows = residuals.where(~F.col("is_train")).join(scores, KEYS + ["pos"], "left")
     return _finish(rows, "kmeans", layout, window_agg)
