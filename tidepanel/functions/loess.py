@@ -37,10 +37,19 @@ def _combine(s0, s1, s2, t0, t1, spread):
 
 
 def smooth_at(
-    values: np.ndarray, places: np.ndarray, span: int, weights: np.ndarray | None = None
+    values: np.ndarray,
+    places: np.ndarray,
+    span: int,
+    weights: np.ndarray | None = None,
+    spread: float | None = None,
 ) -> np.ndarray:
-    """Smoothed value at each integer place (which may lie just outside the series)."""
+    """Smoothed value at each integer place (which may lie just outside the series).
+
+    ``spread`` is the length of the axis of the whole series: a line is fitted only where a
+    window's rows are spread over more than a thousandth of it, else their mean is taken.
+    """
     n = len(values)
+    spread = max(n - 1, 1) if spread is None else spread
     width = min(span, n)
     left = np.clip(places - (span - 1) // 2, 0, n - width)
     index = left[:, None] + np.arange(width)[None, :]
@@ -51,17 +60,23 @@ def smooth_at(
     weight = tricube(distance, np.maximum(reach, 1e-300)[:, None])
     if weights is not None:
         weight = weight * weights[index]
-    fitted = _weighted_line(distance, weight, values[index], max(n - 1, 1))
+    fitted = _weighted_line(distance, weight, values[index], spread)
     inside = np.clip(places, 0, n - 1)
     return np.where(np.isnan(fitted), values[inside], fitted)
 
 
-def smooth(values: np.ndarray, span: int, weights: np.ndarray | None = None) -> np.ndarray:
+def smooth(
+    values: np.ndarray,
+    span: int,
+    weights: np.ndarray | None = None,
+    spread: float | None = None,
+) -> np.ndarray:
     """Smoothed series; ``span`` (odd) is the number of rows in a window."""
     n = len(values)
+    spread = max(n - 1, 1) if spread is None else spread
     half = (span - 1) // 2
     if n <= 2 * span:
-        return smooth_at(values, np.arange(n), span, weights)
+        return smooth_at(values, np.arange(n), span, weights, spread)
     offsets = np.arange(-half, half + 1, dtype=float)
     kernel = tricube(offsets, float(half))
     inner = slice(half, n - half)
@@ -79,11 +94,11 @@ def smooth(values: np.ndarray, span: int, weights: np.ndarray | None = None) ->
             over(weights, kernel * offsets**2),
             over(weighted, kernel),
             over(weighted, kernel * offsets),
-            max(n - 1, 1),
+            spread,
         )
         out[inner] = np.where(np.isnan(fitted), values[inner], fitted)
     ends = np.r_[np.arange(half), np.arange(n - half, n)]
-    out[ends] = smooth_at(values, ends, span, weights)
+    out[ends] = smooth_at(values, ends, span, weights, spread)
     return out
 
 
@@ -117,9 +132,16 @@ def seasonal_trend(
     rounds: int,
     trend: np.ndarray | None = None,
     weights: np.ndarray | None = None,
+    offset: int = 0,
+    total: int | None = None,
 ) -> tuple[np.ndarray, np.ndarray]:
-    """``rounds`` inner rounds of the decomposition, from the given trend on."""
+    """``rounds`` inner rounds of the decomposition, from the given trend on.
+
+    For a piece of a longer series give its first position and the length of the whole series.
+    """
     n = len(values)
+    total = n if total is None else total
+    spread = max(total - 1, 1)
     seasonal_span, trend_span, low_span = spans_for(period)
     trend = np.zeros(n) if trend is None else trend
     season = np.zeros(n)
@@ -128,13 +150,18 @@ def seasonal_trend(
         extended = np.empty(n + 2 * period)
         for phase in range(period):
             part = detrended[phase::period]
+            if not len(part):
+                continue
             part_weights = None if weights is None else weights[phase::period]
-            middle = smooth(part, seasonal_span, part_weights)
-            outer = smooth_at(part, np.array([-1, len(part)]), seasonal_span, part_weights)
+            cycles = -(-(total - (offset + phase) % period) // period)
+            wide = max(cycles - 1, 1)
+            middle = smooth(part, seasonal_span, part_weights, wide)
+            ends = np.array([-1, len(part)])
+            outer = smooth_at(part, ends, seasonal_span, part_weights, wide)
             extended[phase::period][: len(part) + 2] = np.r_[outer[0], middle, outer[1]]
         low = moving_mean(moving_mean(moving_mean(extended, period), period), 3)
-        season = extended[period : period + n] - smooth(low, low_span)
-        trend = smooth(values - season, trend_span, weights)
+        season = extended[period : period + n] - smooth(low, low_span, None, spread)
+        trend = smooth(values - season, trend_span, weights, spread)
     return season, trend
 
 

@@ -77,6 +77,8 @@ def _pass(rows: DataFrame, sizes: DataFrame, rounds: int, weighted: bool) -> Dat
             rounds,
             block["trend0"].to_numpy() if weighted else None,
             block["weight"].to_numpy() if weighted else None,
+            int(block["pos"].iloc[0]),
+            int(block["n"].iloc[0]),
         )
         out = block[["ts", "pos", "n", "period"]].assign(
             series_id=key[0], variable=key[1], observed=values, trend=trend, seasonal=season
