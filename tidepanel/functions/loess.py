@@ -163,12 +163,3 @@ def seasonal_trend(
         season = extended[period : period + n] - smooth(low, low_span, None, spread)
         trend = smooth(values - season, trend_span, weights, spread)
     return season, trend
-
-
-def bisquare(remainder: np.ndarray, six_medians: float) -> np.ndarray:
-    """Robustness weights from the size of the remainder."""
-    if six_medians <= 0:
-        return np.ones(len(remainder))
-    ratio = np.abs(remainder) / six_medians
-    weight = (1.0 - np.minimum(ratio, 1.0) ** 2) ** 2
-    return np.where(ratio <= 0.001, 1.0, np.where(ratio <= 0.999, weight, 0.0))

@@ -23,7 +23,8 @@ from tidepanel.operators.layout import Layout, attach, block_window, halo_blocks
 from tidepanel.session import materialize
 
 SCORE_COLUMNS = [*KEYS, "scorer", "ts", "pos", "n", "score"]
-ROUNDS_PER_JOB = 4
+ROUNDS_PER_JOB = 5
+MAX_BROADCAST_GROUPS = 10_000
 
 
 def _full_window() -> Column:
@@ -270,8 +271,16 @@ def _two_means(packed: DataFrame, layout: Layout, max_iter: int, tolerance: floa
         )
     )
 
+    few = centres.count() <= MAX_BROADCAST_GROUPS
+
     def one_round(current: DataFrame) -> DataFrame:
-        moved = attach(train, current, layout).mapInPandas(
+        # two arrays of at most MAX_WINDOW numbers per group: a counted number of groups bounds them
+        beside = (
+            train.join(F.broadcast(current.drop("n", "shift")), KEYS)
+            if few
+            else attach(train, current, layout)
+        )
+        moved = beside.mapInPandas(
             _assign,
             f"{_KEY}, low array<double>, high array<double>, still double, "
             "s0 array<double>, s1 array<double>",
@@ -328,7 +337,7 @@ def kmeans_scores(
     layout: Layout,
     window_agg: bool = False,
     signed: bool = False,
-    max_iter: int = 300,
+    max_iter: int = 20,
     tolerance: float = 1e-4,
 ) -> DataFrame:
     """Distance of each window of residuals to the nearer of two train centres."""

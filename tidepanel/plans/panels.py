@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidepanel.model import PANEL_COLUMNS, frame_to_panel
-from tidepanel.operators.clean import merge_repeated, regularise
+from tidepanel.operators.clean import regularise
 from tidepanel.operators.layout import Layout
 from tidepanel.plans.registry import table
 from tidepanel.session import materialize
@@ -51,10 +51,12 @@ hourly AS (
 
 def daily_raw(spark: SparkSession, folder: str) -> DataFrame:
     lines = table(spark, folder, "lineitem")
-    revenue = (F.col("l_extendedprice") * (1 - F.col("l_discount"))).cast("decimal(18,4)")
+    # money has four decimals here: summed as whole numbers it is exact in any order
+    revenue = F.col("l_extendedprice") * (1 - F.col("l_discount"))
+    units = F.round(revenue * 10000).cast("bigint")
     return (
         lines.groupBy(F.col("l_returnflag").alias("variable"), F.col("l_shipdate").alias("ts"))
-        .agg(F.sum(revenue).cast("double").alias("value"))
+        .agg((F.sum(units) / 10000).alias("value"))
         .withColumn("series_id", F.lit("lineitem"))
         .select(*PANEL_COLUMNS)
     )
@@ -110,11 +112,11 @@ def orders_panel(spark: SparkSession, folder: str) -> DataFrame:
         F.lit("orders").alias("series_id"),
         F.col("o_orderpriority").alias("variable"),
         F.col("o_orderdate").alias("ts"),
-        F.col("o_totalprice").cast("decimal(18,2)").alias("value"),
+        F.round(F.col("o_totalprice") * 100).cast("bigint").alias("cents"),
     )
     return (
         orders.groupBy("series_id", "variable", "ts")
-        .agg(F.sum("value").cast("double").alias("value"))
+        .agg((F.sum("cents") / 100).alias("value"))
         .select(*PANEL_COLUMNS)
     )
 
@@ -125,5 +127,3 @@ orders_panel AS (
          CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS value
   FROM orders GROUP BY 1, 2
 )"""
-
-__all__ = ["merge_repeated"]

@@ -23,11 +23,11 @@ PARSED_SHARE = 0.95
 
 # --- fixed values: date formats tried besides ISO ---------------------------------------------
 DATE_FORMATS = [
-    "yyyy/MM/dd HH:mm:ss", "yyyy/MM/dd HH:mm", "yyyy/MM/dd",
-    "MM/dd/yyyy HH:mm:ss", "MM/dd/yyyy HH:mm", "MM/dd/yyyy",
-    "dd.MM.yyyy HH:mm:ss", "dd.MM.yyyy HH:mm", "dd.MM.yyyy",
-    "yyyy.MM.dd HH:mm:ss", "yyyy.MM.dd HH:mm", "yyyy.MM.dd",
-    "dd-MMM-yyyy HH:mm:ss", "dd-MMM-yyyy",
+    "yyyy/M/d H:mm:ss", "yyyy/M/d H:mm", "yyyy/M/d",
+    "M/d/yyyy H:mm:ss", "M/d/yyyy H:mm", "M/d/yyyy",
+    "d.M.yyyy H:mm:ss", "d.M.yyyy H:mm", "d.M.yyyy",
+    "yyyy.M.d H:mm:ss", "yyyy.M.d H:mm", "yyyy.M.d",
+    "d-MMM-yyyy H:mm:ss", "d-MMM-yyyy",
 ]
 
 
@@ -85,8 +85,23 @@ def parse_text_time(column: Column | str) -> Column:
     name = column if isinstance(column, str) else None
     text = F.col(f"`{name}`") if name else column
     iso = text.try_cast("timestamp_ntz")
-    others = [F.try_to_timestamp(text, F.lit(f)).cast("timestamp_ntz") for f in DATE_FORMATS]
-    return F.coalesce(iso, *others)
+    other = F.lit(None).cast("timestamp_ntz")
+    for pattern in reversed(DATE_FORMATS):
+        parsed = F.try_to_timestamp(text, F.lit(pattern)).cast("timestamp_ntz")
+        other = F.when(text.rlike(_shape(pattern)), parsed).otherwise(other)
+    return F.when(iso.isNotNull(), iso).otherwise(F.when(text.rlike("^[0-9]"), other))
+
+
+def _shape(pattern: str) -> str:
+    """Regular expression of texts a date format can fit: a failed parse costs far more than this."""
+
+    def part(letters: re.Match) -> str:
+        run = letters.group()
+        if run == "MMM":
+            return "[A-Za-z]{3}"
+        return "[0-9]{1,2}" if len(run) == 1 else f"[0-9]{{{len(run)}}}"
+
+    return "^" + re.sub(r"(y+|M+|d+|H+|m+|s+)", part, pattern.replace(".", r"\.")) + "$"
 
 
 def parse_epoch(column: Column) -> Column:
