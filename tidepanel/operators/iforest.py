@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidepanel.model import KEYS
-from tidepanel.operators.layout import Layout, exact_quantiles, halo_blocks
+from tidepanel.operators.layout import Layout, exact_quantiles, halo_blocks, per_block
 from tidepanel.operators.windows import rolling_features
 from tidepanel.session import materialize
 
@@ -145,15 +145,7 @@ def forest_scores(
     blocks = halo_blocks(features.drop("block", "core"), layout).select(
         *KEYS, "block", "ts", "pos", "n", *FEATURES
     )
-    per_block = sizes.select(
-        *KEYS,
-        F.explode(
-            F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("n") - 1) / layout.block_rows))
-            if layout.blocked
-            else F.array(F.lit(0).cast("bigint"))
-        ).alias("block"),
-    )
-    trees = forest.join(per_block, KEYS)
+    trees = forest.join(per_block(sizes.select(*KEYS, "n"), layout).drop("n"), KEYS)
 
     def score(key: tuple, rows: pd.DataFrame, mine: pd.DataFrame) -> pd.DataFrame:
         out = rows[["series_id", "variable", "ts", "pos", "n"]]

@@ -25,9 +25,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidepanel.model import KEYS, micros
+from tidepanel.session import materialize
 
 BLOCK_ROWS = 1 << 17
-SPLIT_LEVELS = 2
+MAX_LEVELS = 8
 FINE_SPLIT = 4
 
 
@@ -53,43 +54,45 @@ class Layout:
         return layout if layout is not None else Layout.measure(df, keys)
 
 
-def _bucketed(df: DataFrame, keys: list[str], order: str, target: int) -> DataFrame:
-    """Add ``__b0..`` whose lexicographic order follows ``order``; about ``target`` rows in each.
+def _bucketed(
+    rows: DataFrame, keys: list[str], sums: list[str], target: int
+) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Add columns ``__b0..`` whose order follows ``__o``, and give the totals of each bucket.
 
-    Every level cuts the value range of each current bucket evenly, in proportion to its row
-    count; the next level cuts the crowded ones again. Where the cuts fall never changes results.
+    A level cuts the value range of each crowded bucket evenly, in proportion to its row count, and
+    the next level looks whether any bucket is still crowded. Totals are small tables, written once,
+    so that later joins know their size. Where the cuts fall never changes results.
     """
-    current = df
-    path: list[str] = []
-    for level in range(SPLIT_LEVELS):
-        here = keys + path
-        spans = current.groupBy(*here).agg(
-            F.count(F.lit(1)).alias("__c"),
-            F.min("__o").alias("__lo"),
-            F.max("__o").alias("__hi"),
+    current, path = rows, []
+    while True:
+        totals = materialize(
+            current.groupBy(*keys, *path).agg(
+                F.count(F.lit(1)).alias("__c"),
+                F.min("__o").alias("__lo"),
+                F.max("__o").alias("__hi"),
+                *[F.sum(name).alias(name) for name in sums],
+            )
         )
-        spans = spans.select(
-            *here,
-            "__lo",
-            "__hi",
-            F.when(F.col("__c") <= target, F.lit(1))
-            .otherwise(F.ceil(F.col("__c") / F.lit(target)) * FINE_SPLIT)
-            .cast("long")
-            .alias("__k"),
+        level = len(path)
+        if level == MAX_LEVELS or (
+            level and (totals.agg(F.max("__c")).first()[0] or 0) <= FINE_SPLIT * target
+        ):
+            return current, totals.drop("__c", "__lo", "__hi"), path
+        parts = F.when(F.col("__c") <= target, F.lit(1)).otherwise(
+            F.ceil(F.col("__c") / F.lit(target)) * FINE_SPLIT
         )
-        name = f"__b{level}"
+        spans = totals.select(*keys, *path, "__lo", "__hi", parts.cast("long").alias("__k"))
         share = (F.col("__o") - F.col("__lo")) / (F.col("__hi") - F.col("__lo"))
         cut = F.when(
             (F.col("__k") > 1) & (F.col("__hi") > F.col("__lo")),
             F.least(F.floor(share * F.col("__k")), F.col("__k") - 1),
         ).otherwise(F.lit(0))
         current = (
-            current.join(spans, here)
-            .withColumn(name, cut.cast("long"))
+            current.join(spans, keys + path)
+            .withColumn(f"__b{level}", cut.cast("long"))
             .drop("__lo", "__hi", "__k")
         )
-        path.append(name)
-    return current
+        path = [*path, f"__b{level}"]
 
 
 def running(
@@ -125,9 +128,8 @@ def running(
     number = micros(F.col(order)) if is_time else F.col(order)
     if descending:
         number = -number
-    cut = _bucketed(base.withColumn("__o", number), keys, order, layout.block_rows)
-    path = [f"__b{level}" for level in range(SPLIT_LEVELS)]
-    totals = cut.groupBy(*keys, *path).agg(*[F.sum(name).alias(name) for name in raw])
+    base = materialize(base.withColumn("__o", number))
+    cut, totals, path = _bucketed(base, keys, list(raw), layout.block_rows)
     by_bucket = Window.partitionBy(*keys).orderBy(*path)
     before = by_bucket.rowsBetween(Window.unboundedPreceding, -1)
     whole = by_bucket.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -187,11 +189,16 @@ def attach(
     """
     if not layout.blocked:
         return df.join(values.drop("n"), keys, how)
-    per_block = values.withColumn(
-        "block",
-        F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / layout.block_rows))),
-    )
-    return df.join(per_block.drop("n"), keys + ["block"], how)
+    return df.join(per_block(values, layout).drop("n"), keys + ["block"], how)
+
+
+def per_block(values: DataFrame, layout: Layout) -> DataFrame:
+    """Per-group rows (with ``n``) repeated for each block of their group."""
+    first = F.lit(0).cast("long")
+    if not layout.blocked:
+        return values.withColumn("block", first)
+    last = F.floor((F.col("n") - 1) / layout.block_rows)
+    return values.withColumn("block", F.explode(F.sequence(first, last)))
 
 
 def nearest_known(

@@ -19,17 +19,20 @@ from pyspark.sql import functions as F
 from tidepanel.functions import texts
 from tidepanel.model import KEYS
 from tidepanel.operators.forecast import MAX_WINDOW
-from tidepanel.operators.layout import Layout, attach, block_window, halo_blocks, running
+from tidepanel.operators.layout import (
+    Layout,
+    attach,
+    block_window,
+    halo_blocks,
+    per_block,
+    running,
+)
 from tidepanel.session import materialize
 
 SCORE_COLUMNS = [*KEYS, "scorer", "ts", "pos", "n", "score"]
 ROUNDS_PER_JOB = 5
 MAX_BROADCAST_GROUPS = 10_000
-
-
-def _full_window() -> Column:
-    """Rows whose last ``window`` residuals all lie in the row's own split."""
-    return F.col("spos") >= F.col("lags") + F.col("window") - 1
+SLICE_WINDOWS = 16_384
 
 
 def norm_scores(residuals: DataFrame, layout: Layout, window_agg: bool = False) -> DataFrame:
@@ -56,7 +59,8 @@ def _spread_over_rows(rows: DataFrame, layout: Layout) -> DataFrame:
 
 def _finish(rows: DataFrame, scorer: str, layout: Layout, window_agg: bool) -> DataFrame:
     scored = _spread_over_rows(rows, layout) if window_agg else rows
-    return scored.where(F.col("score").isNotNull()).select(
+    known = F.col("score").isNotNull() & ~F.isnan("score")
+    return scored.where(known).select(
         *KEYS, F.lit(scorer).alias("scorer"), "ts", "pos", "n", "score"
     )
 
@@ -85,6 +89,8 @@ def wasserstein_scores(
     ranked = running(
         values, KEYS, "x", {"cnt": F.col("c"), "mass": F.col("c") * F.col("x")}, layout
     )
+    if layout.blocked:
+        ranked = materialize(ranked)  # read twice below
     total, w = F.col("cnt_total"), F.col("window").cast("bigint")
     before = F.col("cnt") - F.col("c")
     first = F.floor(before * w / total) + 1
@@ -107,31 +113,45 @@ def wasserstein_scores(
         *KEYS, "x", (F.col("cnt") / total).alias("share"), (F.col("mass") / total).alias("part")
     )
     test = rows.where(~F.col("is_train")).join(shares, KEYS + ["x"])
-    blocks = attach(
-        halo_blocks(test, layout, before=MAX_WINDOW - 1), integrals.join(sizes, KEYS), layout
+    blocks = halo_blocks(test, layout, before=MAX_WINDOW - 1).select(
+        *KEYS, "block", "core", "ts", "pos", "n", "window", "x", "share", "part"
     )
-    point = F.struct("x", "share", "part")
-    recent = F.collect_list(point).over(block_window().rowsBetween(-(MAX_WINDOW - 1), 0))
-    windowed = blocks.withColumn("recent", recent).where("core")
-    ready = windowed.withColumn(
-        "recent",
-        F.when(
-            _full_window(), F.array_sort(F.slice("recent", -F.col("window"), F.col("window")))
-        ),
+    left = blocks.groupBy(*KEYS, "block")
+    grids = materialize(integrals.join(sizes, KEYS))
+    right = per_block(grids, layout).groupBy(*KEYS, "block")
+    scored = left.cogroup(right).applyInPandas(
+        _transport,
+        "series_id string, variable string, ts timestamp_ntz, pos bigint, n bigint, window int, "
+        "score double",
     )
-    width = F.col("window").cast("double")
-
-    def term(p: Column, i: Column) -> Column:
-        a, b = i / width, (i + 1) / width
-        low, high = F.col("grid")[i], F.col("grid")[i + 1]
-        turn = F.least(F.greatest(p["share"], a), b)
-        at_turn = (
-            F.when(p["share"] <= a, low).when(p["share"] >= b, high).otherwise(p["part"])
-        )
-        return (turn - a) * p["x"] - (at_turn - low) + (high - at_turn) - (b - turn) * p["x"]
-
-    score = F.aggregate(F.transform("recent", term), F.lit(0.0), lambda acc, t: acc + t)
-    return _finish(ready.withColumn("score", score), "wasserstein", layout, window_agg)
+    return _finish(scored, "wasserstein", layout, window_agg)
+
+
+def _transport(key: tuple, rows: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
+    """Scores of the windows that end in one block; the arithmetic of the text above."""
+    rows = rows.sort_values("pos", kind="stable")
+    out = rows[["series_id", "variable", "ts", "pos", "n", "window"]].assign(score=np.nan)
+    if not len(rows) or not len(edges):
+        return out[:0]
+    w = int(rows["window"].iloc[0])
+    grid = np.asarray(edges["grid"].iloc[0])
+    score = np.full(len(rows), np.nan)
+    if len(rows) >= w:
+        views = [
+            np.lib.stride_tricks.sliding_window_view(rows[c].to_numpy(), w)
+            for c in ("x", "share", "part")
+        ]
+        low, high = np.arange(w) / w, np.arange(1, w + 1) / w
+        for start in range(0, len(views[0]), SLICE_WINDOWS):
+            some = slice(start, start + SLICE_WINDOWS)
+            order = np.argsort(views[0][some], axis=1, kind="stable")
+            x, share, part = (np.take_along_axis(v[some], order, axis=1) for v in views)
+            turn = np.clip(share, low, high)
+            at_turn = np.where(share <= low, grid[:-1], np.where(share >= high, grid[1:], part))
+            below = (turn - low) * x - (at_turn - grid[:-1])
+            above = (grid[1:] - at_turn) - (high - turn) * x
+            score[w - 1 + start : w - 1 + start + len(x)] = (below + above).sum(axis=1)
+    return out.assign(score=score)[rows["core"].to_numpy()]
 
 
 # ---------------------------------------------------------------------------------------------
