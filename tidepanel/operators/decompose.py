@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tidepanel.functions import loess
 from tidepanel.model import KEYS
-from tidepanel.operators.layout import Layout, exact_quantiles
+from tidepanel.operators.layout import Layout, exact_quantiles, settle
 from tidepanel.operators.season import component_strength
 from tidepanel.session import materialize
 
@@ -111,6 +111,7 @@ def stl(
         *KEYS, F.lit("stl").alias("step"), F.col("reason").alias("note")
     )
     usable = judged.where(F.col("reason").isNull()).select(*KEYS, "n", "period", "reach", "chunk")
+    usable = settle(usable, layout)
     rows = positioned.select(*KEYS, "ts", "pos", "n", "value")
     resid = F.col("observed") - F.col("trend") - F.col("seasonal")
     done = _pass(rows, usable, rounds, weighted=False)
@@ -127,7 +128,7 @@ def stl(
             .when(ratio <= 0.999, F.pow(1 - ratio * ratio, 2))
             .otherwise(0.0)
         )
-        again = sized_resid.join(middle, KEYS).select(
+        again = sized_resid.join(settle(middle, layout), KEYS).select(
             *KEYS,
             "ts",
             "pos",

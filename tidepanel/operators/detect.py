@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidepanel.model import KEYS
 from tidepanel.operators.forecast import guard_notes, residuals, sizing
-from tidepanel.operators.layout import Layout, exact_quantiles
+from tidepanel.operators.layout import Layout, exact_quantiles, settle
 from tidepanel.operators.scorers import SCORERS
 from tidepanel.session import materialize
 
@@ -46,34 +46,38 @@ def flag(
     source = scores if fit_on is None else fit_on
     limits = exact_quantiles(source, "score", [threshold_quantile], layout, SCORED)
     limits = limits.select(*SCORED, F.col("quantiles")[0].alias("threshold"))
-    return scores.join(limits, SCORED).withColumn(
+    return scores.join(settle(limits, layout), SCORED).withColumn(
         "is_anomaly", (F.col("score") > F.col("threshold")).cast("int")
     )
 
 
-def on_common_range(scores: DataFrame, outer: list[str], inner: list[str]) -> DataFrame:
+def on_common_range(
+    scores: DataFrame, outer: list[str], inner: list[str], layout: Layout | None = None
+) -> DataFrame:
     """Rows in the time range that all members (``inner``) of a group (``outer``) cover.
 
     The ranges are a small aggregate: one row per member, then one per group.
     """
     spans = scores.groupBy(*outer, *inner).agg(F.min("ts").alias("__a"), F.max("ts").alias("__b"))
     common = spans.groupBy(*outer).agg(F.max("__a").alias("__from"), F.min("__b").alias("__to"))
-    joined = scores.join(common, outer)
+    joined = scores.join(settle(common, layout) if layout else common, outer)
     return joined.where(F.col("ts").between(F.col("__from"), F.col("__to"))).drop("__from", "__to")
 
 
-def combine_scorers(flagged: DataFrame) -> DataFrame:
+def combine_scorers(flagged: DataFrame, layout: Layout | None = None) -> DataFrame:
     """One flag per variable and instant: any scorer, on the range all scorers cover."""
-    aligned = on_common_range(flagged, KEYS, ["scorer"])
+    aligned = on_common_range(flagged, KEYS, ["scorer"], layout)
     return aligned.groupBy(*KEYS, "ts").agg(F.max("is_anomaly").alias("is_anomaly"))
 
 
-def combine_variables(components: DataFrame, test_axis: DataFrame | None = None) -> DataFrame:
+def combine_variables(
+    components: DataFrame, test_axis: DataFrame | None = None, layout: Layout | None = None
+) -> DataFrame:
     """One flag per series and instant: any variable, on the range all variables cover.
 
     A series without any result gets zeros on its test instants, if those are given.
     """
-    aligned = on_common_range(components, ["series_id"], ["variable"])
+    aligned = on_common_range(components, ["series_id"], ["variable"], layout)
     combined = aligned.groupBy("series_id", "ts").agg(F.max("is_anomaly").alias("any_anomaly"))
     if test_axis is None:
         return combined
@@ -109,14 +113,16 @@ def detect(
         part = SCORERS[key].score(rest, layout, window_agg)
         scores = part if scores is None else scores.unionByName(part)
     flagged = materialize(flag(materialize(scores), threshold_quantile, layout))
-    components = combine_scorers(flagged)
+    components = combine_scorers(flagged, layout)
+    if layout.blocked:
+        components = materialize(components)  # its ranges and its rows are both read
     axis = positioned.where(
         F.col("pos") >= F.floor((F.col("n") - 1) * F.lit(1 - test_ratio))
     ).select("series_id", "ts")
     return Detection(
         scores=flagged,
         components=components,
-        combined=combine_variables(components, axis),
+        combined=combine_variables(components, axis, layout),
         sizes=sizes,
         notes=guard_notes(sizes),
         scorers=tuple(chosen),

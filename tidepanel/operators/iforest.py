@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidepanel.model import KEYS
-from tidepanel.operators.layout import Layout, exact_quantiles, halo_blocks, per_block
+from tidepanel.operators.layout import Layout, exact_quantiles, halo_blocks, per_block, settle
 from tidepanel.operators.windows import rolling_features
 from tidepanel.session import materialize
 
@@ -187,7 +187,7 @@ def detect_isolation_forest(
     forest = materialize(grow_forest(features, sizes, trees, seed))
     raw = materialize(forest_scores(features, forest, sizes, layout))
     limits = exact_quantiles(raw, "raw_score", [1.0 - contamination], layout)
-    shifted = raw.join(limits, KEYS).withColumn(
+    shifted = raw.join(settle(limits, layout), KEYS).withColumn(
         "score", F.col("raw_score") - F.col("quantiles")[0]
     )
     return shifted.select(

@@ -201,6 +201,15 @@ def per_block(values: DataFrame, layout: Layout) -> DataFrame:
     return values.withColumn("block", F.explode(F.sequence(first, last)))
 
 
+def settle(values: DataFrame, layout: Layout) -> DataFrame:
+    """Write a small per-group table before it is joined to a large one.
+
+    Spark then knows its size when it plans: it broadcasts the table only if it is below the
+    session's threshold, and the large side, hot groups included, stays where it is.
+    """
+    return materialize(values) if layout.blocked else values
+
+
 def nearest_known(
     df: DataFrame, layout: Layout, value: str = "value", keys: list[str] = KEYS
 ) -> DataFrame:
