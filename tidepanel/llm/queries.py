@@ -6,7 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tidepanel.llm.exact_dedup import mark_copies
+from tidepanel.llm.fingerprints import fingerprint_edits
 from tidepanel.llm.piece_bpe import encode_digests
+from tidepanel.llm.substring_dedup import remove_repeats
 from tidepanel.llm.tables import documents
 from tidepanel.llm.token_files import read_ids, write_ids
 from tidepanel.llm.token_transducer import count_tokens
@@ -31,16 +33,43 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mark_copies(documents(spark, sf_dir))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(documents(spark, sf_dir)).drop("removed")
+
+
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_edits(documents(spark, sf_dir))
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op3_token_files": op3_token_files,
     "op5_piece_bpe": op5_piece_bpe,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_substring_dedup": op8_substring_dedup,
+    "op10_fingerprints": op10_fingerprints,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+_WORDS = "regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')"
+
 ORACLES = {
+    "op8_substring_dedup": f"""
+        WITH d AS MATERIALIZED (SELECT doc_id, {_WORDS} AS words FROM documents),
+        p AS (SELECT doc_id, words, unnest(range(1, len(words) - 11)) AS pos FROM d),
+        w AS MATERIALIZED (SELECT doc_id, pos, array_to_string(words[pos : pos + 12], ' ') AS w FROM p),
+        f AS (SELECT w, min(doc_id) AS least FROM w GROUP BY w),
+        gone AS (
+            SELECT DISTINCT doc_id, unnest(range(pos, pos + 13)) AS place
+            FROM w JOIN f USING (w) WHERE doc_id > least
+        ),
+        g AS (SELECT doc_id, list(place) AS gone FROM gone GROUP BY doc_id)
+        SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_removed,
+            sha256(coalesce(array_to_string(CASE WHEN gone IS NULL THEN words ELSE
+                list_filter(words, lambda x, i: NOT list_contains(gone, i)) END, ' '), '')) AS kept_sha256
+        FROM d LEFT JOIN g USING (doc_id)
+    """,
     "op7_exact_dedup": f"""
         WITH d AS (SELECT doc_id, {_LOWER} AS norm FROM documents),
         g AS (SELECT norm, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY norm)
