@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidepanel.llm.exact_dedup import mark_copies
 from tidepanel.llm.fingerprints import fingerprint_edits
+from tidepanel.llm.personal_data import find_personal_data, span_digests
 from tidepanel.llm.piece_bpe import encode_digests
 from tidepanel.llm.substring_dedup import remove_repeats
 from tidepanel.llm.tables import documents
@@ -29,6 +30,10 @@ def op5_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_digests(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return span_digests(find_personal_data(documents(spark, sf_dir)))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mark_copies(documents(spark, sf_dir))
 
@@ -45,6 +50,7 @@ QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op3_token_files": op3_token_files,
     "op5_piece_bpe": op5_piece_bpe,
+    "op6_personal_data": op6_personal_data,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_substring_dedup": op8_substring_dedup,
     "op10_fingerprints": op10_fingerprints,
