@@ -5,12 +5,15 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from tidepanel.llm import quality
 from tidepanel.llm.exact_dedup import mark_copies
 from tidepanel.llm.fingerprints import fingerprint_edits
+from tidepanel.llm.ngram_join import near_copies
 from tidepanel.llm.personal_data import find_personal_data, span_digests
 from tidepanel.llm.piece_bpe import encode_digests
+from tidepanel.llm.source_mix import mix
 from tidepanel.llm.substring_dedup import remove_repeats
-from tidepanel.llm.tables import documents
+from tidepanel.llm.tables import documents, table
 from tidepanel.llm.token_files import read_ids, write_ids
 from tidepanel.llm.token_transducer import count_tokens
 
@@ -21,11 +24,19 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(documents(spark, sf_dir))
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("word_bpe_49k.json")
     return read_ids(write_ids(documents(spark, sf_dir), path, END_ID))
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_copies(documents(spark, sf_dir)).drop("root", "th")
+
+
 def op5_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_digests(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -42,17 +53,25 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(documents(spark, sf_dir)).drop("removed")
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return quality.score_documents(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_edits(documents(spark, sf_dir))
 
 
 QUERIES = {
     "op1_token_counts": op1_token_counts,
+    "op2_source_mix": op2_source_mix,
     "op3_token_files": op3_token_files,
+    "op4_ngram_join": op4_ngram_join,
     "op5_piece_bpe": op5_piece_bpe,
     "op6_personal_data": op6_personal_data,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_substring_dedup": op8_substring_dedup,
+    "op9_quality": op9_quality,
     "op10_fingerprints": op10_fingerprints,
 }
 
@@ -61,6 +80,31 @@ _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghi
 _WORDS = "regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')"
 
 ORACLES = {
+    "op4_ngram_join": f"""
+        WITH RECURSIVE d AS MATERIALIZED (
+            SELECT doc_id, regexp_extract_all({_LOWER}, '[^\\x20\\x09-\\x0D]+') AS words FROM documents
+        ),
+        s AS MATERIALIZED (
+            SELECT DISTINCT doc_id, array_to_string(words[i : i + 4], ' ') AS s
+            FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 3, 2))) AS i FROM d WHERE len(words) > 0)
+        ),
+        n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        l AS MATERIALIZED (
+            SELECT p.x, p.y FROM (
+                SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS common
+                FROM s a JOIN s b ON a.s = b.s AND a.doc_id != b.doc_id GROUP BY ALL
+            ) p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y
+            WHERE 100 * common >= 75 * (nx.n + ny.n - common)
+        ),
+        r AS (
+            SELECT doc_id AS x, doc_id AS y FROM d
+            UNION
+            SELECT r.x, l.y FROM r JOIN l ON l.x = r.y
+        )
+        SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id
+        FROM d LEFT JOIN n USING (doc_id)
+        JOIN (SELECT x AS doc_id, min(y) AS component_id FROM r GROUP BY x) c USING (doc_id)
+    """,
     "op8_substring_dedup": f"""
         WITH d AS MATERIALIZED (SELECT doc_id, {_WORDS} AS words FROM documents),
         p AS (SELECT doc_id, words, unnest(range(1, len(words) - 11)) AS pos FROM d),
