@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidepanel.llm.components import components
-from tidepanel.llm.signature_trees import Tree, bitmap, candidate_pairs, could_link, required
+from tidepanel.llm.signature_trees import FANOUT, Tree, bitmap, candidate_pairs, could_link, required
 from tidepanel.llm.tables import text_of
 from tidepanel.llm.words import Words, mix, rolling, text_groups
 from tidepanel.session import materialize
@@ -205,32 +205,62 @@ def verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame, k: int, percent
     return materialize(pairs.mapInArrow(_overlaps(percent), "a bigint, b bigint").distinct())
 
 
-def _traverse(percent: int):
-    def run(group):
-        import pandas as pd
+def group_pairs(own: list[tuple], other: list[tuple] | None, percent: int) -> Iterator[tuple[int, int]]:
+    """Pairs of sets that could link, of one block of a group or of two.
 
-        def tree(part):
-            return Tree(
-                part["n"].to_numpy(np.int64), part["pos"].to_numpy(), part["bits"].tolist(), part["part"].to_numpy()
+    Members are (a, n, pos, leader, part, bits). Members that fit one node of the lowest level are
+    compared directly, others by their trees.
+    """
+    right = own if other is None else other
+    if len(own) <= FANOUT and len(right) <= FANOUT:
+        places = [(p, q) for p in range(len(own)) for q in range(p + 1 if other is None else 0, len(right))]
+    else:
+        trees = [
+            Tree(
+                np.array([m[1] for m in x], np.int64),
+                np.array([m[2] for m in x], np.int64),
+                [m[5] for m in x],
+                np.array([m[4] for m in x], np.int64),
             )
-
-        own = group[group["block"] == group["low"]]
-        across = bool((group["low"] != group["high"]).any())
-        if across:
-            other = group[group["block"] != group["low"]]
-            if not len(own) or not len(other):
-                return pd.DataFrame({"a": [], "b": []}, dtype="int64")
-            left, right = own, other
-            found = candidate_pairs(tree(left), tree(right), percent)
-        else:
-            left = right = own
-            found = candidate_pairs(tree(left), None, percent)
-        x, y = left["a"].to_numpy(), right["a"].to_numpy()
-        led_x, led_y = left["leader"].to_numpy(), right["leader"].to_numpy()
-        pairs = [
-            (min(x[p], y[q]), max(x[p], y[q])) for p, q in found if led_x[p] != y[q] and led_y[q] != x[p]
+            for x in ([own] if other is None else [own, other])
         ]
-        return pd.DataFrame(pairs, columns=["a", "b"]).astype("int64")
+        places = candidate_pairs(trees[0], trees[1] if other is not None else None, percent)
+    for p, q in places:
+        x, y = own[p], right[q]
+        # the leader's pairs are verified already
+        if x[4] == y[4] or x[3] == y[0] or y[3] == x[0]:
+            continue
+        if min(x[1] - x[2], y[1] - y[2]) >= required(x[1], y[1], percent) and could_link(x[1], x[5], y[1], y[5], percent):
+            yield (x[0], y[0]) if x[0] < y[0] else (y[0], x[0])
+
+
+def _traverse(percent: int):
+    """Groups arrive as runs of consecutive rows; only the open one is held."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    names = ("key", "low", "high", "block", "a", "n", "pos", "leader", "part", "bits")
+
+    def pairs_of(rows: list[tuple]) -> Iterator[tuple[int, int]]:
+        low, high = rows[0][1:3]
+        own = [r[4:] for r in rows if r[3] == low]
+        if low == high:
+            return group_pairs(own, None, percent)
+        return group_pairs(own, [r[4:] for r in rows if r[3] == high], percent)
+
+    def written(found: set) -> pa.RecordBatch:
+        return pa.record_batch([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        for batch in batches:
+            found = set()
+            for row in zip(*(batch.column(c).to_pylist() for c in names)):
+                if held and row[:3] != held[0][:3]:
+                    found.update(pairs_of(held))
+                    held = []
+                held.append(row)
+            yield written(found)
+        if held:
+            yield written(set(pairs_of(held)))
 
     return run
 
@@ -256,7 +286,8 @@ def _across_parts(members: DataFrame, sets: DataFrame, parts: DataFrame, percent
         "key", "a", "n", "pos", "leader", "part", "bits", "block",
         F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high"),
     )
-    return rows.groupBy("key", "low", "high").applyInPandas(_traverse(percent), "a bigint, b bigint").distinct()
+    grouped = rows.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
+    return grouped.mapInArrow(_traverse(percent), "a bigint, b bigint").distinct()
 
 
 def describe(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
