@@ -105,7 +105,7 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs: i
     spread = stats.std(axis=0) + 1e-3 if len(rows) else np.ones(k)
     share = float(labels.mean()) if len(rows) else 0.5
     machine = Machine(0.0, np.zeros(size), rng.normal(0, 0.01, (size, RANK)), mean, spread)
-    if not 0 < share < 1:
+    if not len(rows) or not 0 < share < 1:
         machine.factors[:] = 0
         machine.bias = float(np.log((share + 1e-3) / (1 - share + 1e-3)))
         return machine

@@ -63,7 +63,8 @@ class Tree:
         self.group = group[order]
         folded = np.stack([fold(np.frombuffer(b, np.uint8), WIDTH // 8) for b in self.bits]).view(np.uint64)
         # elements of a member beyond one per bit: they add to its overlap unseen
-        extra = np.maximum(self.n - np.bitwise_count(folded).sum(axis=1).astype(np.int64), 0)
+        own = np.array([int(np.bitwise_count(np.frombuffer(b, np.uint8)).sum()) for b in self.bits], np.int64)
+        extra = self.n - np.minimum(own, np.bitwise_count(folded).sum(axis=1).astype(np.int64))
         level = (folded, self.n, self.n, extra, self.group, np.ones(len(n), bool))
         self.levels = [level]
         while len(level[1]) > 1:

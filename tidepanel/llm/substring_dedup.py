@@ -77,10 +77,21 @@ def repeated_anchors(docs: DataFrame, k: int) -> DataFrame:
     return near.filter("repeats or before is not null or behind is not null").select("id", "anchor")
 
 
+def _runs(*columns: np.ndarray) -> np.ndarray:
+    """Where runs of equal rows begin."""
+    new = np.ones(len(columns[0]), bool)
+    if len(new):
+        new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    return np.flatnonzero(new)
+
+
+def _packed(pos: np.ndarray, starts: np.ndarray) -> list[bytes]:
+    return [x.astype("<i4").tobytes() for x in np.split(pos, starts[1:])] if len(starts) else []
+
+
 def _candidates(k: int):
     schema = pa.schema(
-        [("w1", pa.int64()), ("w2", pa.int64()), ("id", pa.int64()), ("th", pa.int64()), ("pos", pa.int32())]
-        + [("sure", pa.binary())]
+        [("w1", pa.int64()), ("w2", pa.int64()), ("id", pa.int64()), ("th", pa.int64()), ("places", pa.binary())]
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,27 +111,27 @@ def _candidates(k: int):
             rows = np.concatenate(parts)
             w1, w2, row, pos = rows.T
             doc = ids[row.astype(np.int64)]
-            order = np.lexsort((doc, w2, w1))
+            order = np.lexsort((row, doc, w2, w1))
             new = np.ones(len(order), bool)
             new[1:] = (w1[order][1:] != w1[order][:-1]) | (w2[order][1:] != w2[order][:-1])
             least = doc[order][new][np.cumsum(new) - 1] if len(order) else doc
             later = np.zeros(len(order), bool)
             later[order] = doc[order] > least
-            open_ = np.flatnonzero(~later)
+            open_ = order[~later[order]]
             sure = np.flatnonzero(later)
             sure = sure[np.argsort(row[sure], kind="stable")]
-            starts = np.flatnonzero(np.diff(row[sure], prepend=-1))
-            packed = [x.astype("<i4").tobytes() for x in np.split(pos[sure], starts[1:])] if len(sure) else []
-            owner = row[sure][starts]
-            none = [None] * len(owner)
+            # one row for all places of a window in a text, and one for all settled places of a text
+            o, s = _runs(w1[open_], w2[open_], row[open_]), _runs(row[sure])
+            places = [*_packed(pos[open_], o), *_packed(pos[sure], s)]
+            settled = [None] * len(s)
+            owner = row[np.concatenate([open_[o], sure[s]])].astype(np.int64)
             yield pa.record_batch(
                 [
-                    pa.concat_arrays([pa.array(w1[open_], pa.int64()), pa.array(none, pa.int64())]),
-                    pa.concat_arrays([pa.array(w2[open_], pa.int64()), pa.array(none, pa.int64())]),
-                    pa.array(np.concatenate([doc[open_], ids[owner]]), pa.int64()),
-                    pa.array(np.concatenate([th[row[open_]], th[owner]]), pa.int64()),
-                    pa.concat_arrays([pa.array(pos[open_].astype(np.int32)), pa.array(none, pa.int32())]),
-                    pa.array([None] * len(open_) + packed, pa.binary()),
+                    pa.concat_arrays([pa.array(w1[open_[o]], pa.int64()), pa.array(settled, pa.int64())]),
+                    pa.concat_arrays([pa.array(w2[open_[o]], pa.int64()), pa.array(settled, pa.int64())]),
+                    pa.array(ids[owner], pa.int64()),
+                    pa.array(th[owner], pa.int64()),
+                    pa.array(places, pa.binary()),
                 ],
                 schema=schema,
             )
@@ -137,10 +148,10 @@ def _kept(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            columns = (batch.column(c).to_pylist() for c in ("doc_id", "text", "starts", "sure"))
-            for doc, text, starts, sure in zip(*columns):
+            columns = (batch.column(c).to_pylist() for c in ("doc_id", "text", "places"))
+            for doc, text, places in zip(*columns):
                 words = _WORDS.findall(text.encode())
-                spans = removal_spans(starts or [], sure or [], k)
+                spans = removal_spans(places or [], k)
                 gone = 0
                 if spans:
                     parts, at = [], 0
@@ -156,9 +167,9 @@ def _kept(k: int):
     return run
 
 
-def removal_spans(starts: list[int], packed: list[bytes], k: int) -> list[list[int]]:
+def removal_spans(packed: list[bytes], k: int) -> list[list[int]]:
     """Maximal spans [a, b) of words that windows of k words at these starts cover."""
-    at = np.unique(np.concatenate([np.array(starts, np.int64), *(np.frombuffer(x, "<i4") for x in packed)]))
+    at = np.unique(np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(x, "<i4") for x in packed)]))
     if not len(at):
         return []
     first = np.flatnonzero(np.concatenate([[True], np.diff(at) > k]))
@@ -179,22 +190,21 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     )
     anchors = repeated_anchors(rows, window).groupBy("id").agg(F.collect_set("anchor").alias("anchors"))
     found = rows.join(anchors, "id").mapInArrow(
-        _candidates(window), "w1 bigint, w2 bigint, id bigint, th bigint, pos int, sure binary"
+        _candidates(window), "w1 bigint, w2 bigint, id bigint, th bigint, places binary"
     )
     found = found.withColumn("salt", F.when(F.col("w1").isNull(), F.xxhash64("id")).otherwise(0))
     group = Window.partitionBy("w1", "w2", "salt").orderBy("id")
-    later = found.withColumn("least", F.first("id").over(group)).filter("sure is not null or id > least")
-    gone = later.groupBy("id", "th").agg(F.collect_list("pos").alias("starts"), F.collect_list("sure").alias("sure"))
+    later = found.withColumn("least", F.first("id").over(group)).filter("w1 is null or id > least")
+    gone = later.groupBy("id", "th").agg(F.collect_list("places").alias("places"))
     # joined on the id alone, so that the texts dealt out for the first join serve here again
-    gone = gone.groupBy("id").agg(F.collect_list(F.struct("th", "starts", "sure")).alias("gone"))
+    gone = gone.groupBy("id").agg(F.collect_list(F.struct("th", "places")).alias("gone"))
     mine = F.filter("gone", lambda g: g["th"] == F.col("th"))
     return (
         rows.join(gone, "id", "left")
         .select(
             F.when(F.col("id") != NO_ID, F.col("id")).alias("doc_id"),
             "text",
-            F.get(mine, F.lit(0))["starts"].alias("starts"),
-            F.get(mine, F.lit(0))["sure"].alias("sure"),
+            F.get(mine, F.lit(0))["places"].alias("places"),
         )
         .mapInArrow(
             _kept(window),
