@@ -332,15 +332,22 @@ def test_factorisation_identity():
     assert np.isclose(m.score(p, x), 1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
-def test_mix_meets_targets(docs, rows):
-    cells = source_mix.cells_of(docs).groupBy("source", "lang", "topic").agg(F.sum("n_tokens").alias("tokens"))
-    raked = source_mix.rake(cells.filter("tokens > 0")).toPandas()
+def test_mix_meets_targets(spark):
+    rng = random.Random(6)
+    rows = [(s, k, t, rng.randint(50, 5000)) for s in "abcdef" for k in "xyz" for t in "pq"]
+    cells = spark.createDataFrame(rows, "source string, lang string, topic string, tokens bigint")
+    raked = source_mix.rake(cells).toPandas()
     for name in ("source", "lang", "topic"):
         sums = raked.groupby(name).agg(w=("weight", "sum"), t=(f"target_{name}", "first"))
-        assert np.allclose(sums.w, sums.t, atol=2e-3)
+        assert np.allclose(sums.w, sums.t, rtol=1e-5)
+
+
+def test_mix_keeps_whole_rows(docs, rows):
     got = source_mix.mix(docs).collect()
     assert len(got) == len(rows) and all(0 <= r.probability <= 1 for r in got)
-    assert source_mix.sample(docs).count() == sum(r.kept for r in got)
+    kept = source_mix.sample(docs).collect()
+    assert len(kept) == sum(r.kept for r in got)
+    assert {(r.doc_id, r.text) for r in kept} <= {r[:2] for r in rows}
 
 
 def test_empty_tables(spark, nothing):

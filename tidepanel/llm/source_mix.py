@@ -58,7 +58,8 @@ def rake(cells: DataFrame, flatten: dict[str, float] | None = None) -> DataFrame
     """Cells with the column ``weight`` raked to the targets; ``tokens`` must be positive.
 
     The targets of each margin are its token shares raised to a power, made to sum to one. A few
-    rounds at a time run in one job, over written cells, until the largest change is small.
+    rounds at a time run in one job, over written cells, until all margins agree. Targets that the
+    cells at hand cannot meet together leave the topic sums exact and the others as near as they came.
     """
     flatten = flatten or FLATTEN
     whole = Window.partitionBy()
