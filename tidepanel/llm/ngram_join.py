@@ -5,7 +5,8 @@
    common order of shingles shares one. The order is by hash, with the shingles found frequent in some
    batch last, so that common passages do not bring documents together. Frequency only orders.
 3. In each group of sets with a shared prefix shingle every set is compared with a leader of its size
-   neighbourhood. Verified links give a first partition, in which copies with small edits fall together.
+   neighbourhood and with the set before it, in one of four orders by shingle. Verified links, and links between one
+   member of each two of the parts that these form, give a first partition, in which copies with small edits fall together.
 4. What is left are pairs of one group in different parts: signature trees over the group, traversed
    together, leave those whose bitmaps allow the overlap. They are verified as well, and the parts
    that they link are united. Every link between sets is either found or lies within one part.
@@ -133,16 +134,18 @@ def _members(docs: DataFrame, frequent: np.ndarray, k: int, percent: int) -> Dat
     )
     # frequent keys need no search for company, so they are spread
     rows = rows.withColumn("salt", F.when(F.col("often"), F.pmod(F.xxhash64("a"), F.lit(64))).otherwise(0))
-    group = Window.partitionBy("key", "salt").orderBy("n", "a")
+    # sets of like size in one of four random orders, by key, so that a set meets different neighbours
+    size, turn = F.floor(F.log("n") * 10), F.xxhash64("a", F.pmod("key", F.lit(4)))
+    group = Window.partitionBy("key", "salt").orderBy(size, turn, "a")
     rows = rows.withColumn("nth", F.row_number().over(group)).withColumn("other", F.lead("a").over(group))
-    rows = rows.withColumn("last", F.lag("a").over(group)).filter(
+    rows = rows.withColumn("last", F.lag(F.struct("a", "n", "pos")).over(group)).filter(
         "often or nth > 1 or other is not null"
     )
     leader = F.when(F.col("nth") % 64 == 1, F.struct("a", "n", "pos"))
     rows = rows.withColumn(
         "leader", F.last(leader, ignorenulls=True).over(group.rowsBetween(Window.unboundedPreceding, -1))
     )
-    return rows.filter("last is null or last != a").select("key", "a", "n", "pos", "leader")
+    return rows.filter("last is null or last.a != a").select("key", "a", "n", "pos", "leader", "last")
 
 
 def _filter_pairs(percent: int):
@@ -265,6 +268,18 @@ def _traverse(percent: int):
     return run
 
 
+def _between_parts(members: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
+    """One pair (a, b) of each two neighbouring parts of a group, by members drawn for the group."""
+    named = members.join(parts.select(F.col("node").alias("a"), "root"), "a", "left")
+    drawn = F.min(F.struct(F.xxhash64("a", "key").alias("turn"), "a", "n", "pos")).alias("x")
+    order = Window.partitionBy("key").orderBy("part")
+    pairs = named.groupBy("key", F.coalesce("root", "a").alias("part")).agg(drawn).withColumn("y", F.lag("x").over(order))
+    pairs = pairs.filter("y is not null").filter(
+        _possible(F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos"), percent)
+    )
+    return pairs.select(F.least("x.a", "y.a").alias("a"), F.greatest("x.a", "y.a").alias("b")).distinct()
+
+
 def _across_parts(members: DataFrame, sets: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of one group in different parts that signature trees leave."""
     named = (
@@ -318,12 +333,16 @@ def links(docs: DataFrame, described: DataFrame, k: int = SHINGLE, percent: int
         )
     )
     members = materialize(_members(docs, _frequent(described), k, percent))
-    led = members.filter("leader is not null and leader.a != a").filter(
-        _possible(F.col("n"), F.col("pos"), F.col("leader.n"), F.col("leader.pos"), percent)
+    led = members.select("a", "n", "pos", F.explode(F.array("leader", "last")).alias("to"))
+    led = led.filter("to is not null and to.a != a").filter(
+        _possible(F.col("n"), F.col("pos"), F.col("to.n"), F.col("to.pos"), percent)
     )
-    pairs = led.select(F.least("a", "leader.a").alias("a"), F.greatest("a", "leader.a").alias("b")).distinct()
+    pairs = led.select(F.least("a", "to.a").alias("a"), F.greatest("a", "to.a").alias("b")).distinct()
     pairs = materialize(_with_bitmaps(pairs, sets, percent))
     first = verified(docs, sets, pairs, k, percent)
+    between = _between_parts(members, components(first), percent)
+    between = materialize(_with_bitmaps(between, sets, percent))
+    first = first.unionByName(verified(docs, sets, between, k, percent))
     across = materialize(_across_parts(members, sets, components(first), percent))
     return first.unionByName(verified(docs, sets, across, k, percent))
 
