@@ -5,8 +5,9 @@
    common order of shingles shares one. The order is by hash, with the shingles found frequent in some
    batch last, so that common passages do not bring documents together. Frequency only orders.
 3. In each group of sets with a shared prefix shingle every set is compared with a leader of its size
-   neighbourhood and with the set before it, in one of four orders by shingle. Verified links, and links between one
-   member of each two of the parts that these form, give a first partition, in which copies with small edits fall together.
+   neighbourhood and with the set before it, in one of four orders by shingle. Verified links, links of
+   members with the hub of their group (its member with most links), and links between one member of
+   each two of the parts that these form, give a first partition, in which copies with small edits fall together.
 4. What is left are pairs of one group in different parts: signature trees over the group, traversed
    together, leave those whose bitmaps allow the overlap. They are verified as well, and the parts
    that they link are united. Every link between sets is either found or lies within one part.
@@ -268,7 +269,7 @@ def _traverse(percent: int):
     return run
 
 
-def _between_parts(members: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
+def _between_parts(members: DataFrame, links: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
     """One pair (a, b) of each two neighbouring parts of a group, by members drawn for the group."""
     named = members.join(parts.select(F.col("node").alias("a"), "root"), "a", "left")
     drawn = F.min(F.struct(F.xxhash64("a", "key").alias("turn"), "a", "n", "pos")).alias("x")
@@ -280,6 +281,25 @@ def _between_parts(members: DataFrame, parts: DataFrame, percent: int) -> DataFr
     return pairs.select(F.least("x.a", "y.a").alias("a"), F.greatest("x.a", "y.a").alias("b")).distinct()
 
 
+def _to_hubs(members: DataFrame, links: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of members with the hub of their group, its member with most links, where parts differ."""
+    ends = links.select(F.explode(F.array("a", "b")).alias("a")).groupBy("a").agg(F.count(F.lit(1)).alias("degree"))
+    known = parts.select(F.col("node").alias("a"), "root").join(ends, "a")
+    named = members.join(known, "a", "left").select(
+        "key", "a", "n", "pos", F.coalesce("root", "a").alias("part"), F.coalesce("degree", F.lit(0)).alias("degree")
+    )
+    hubs = named.groupBy("key").agg(
+        F.max(F.struct("degree", "a", "n", "pos", "part")).alias("hub"),
+        F.min("part").alias("low"),
+        F.max("part").alias("high"),
+    )
+    pairs = named.join(hubs.filter("low < high and hub.degree > 0").select("key", "hub"), "key")
+    pairs = pairs.filter("part != hub.part").filter(
+        _possible(F.col("n"), F.col("pos"), F.col("hub.n"), F.col("hub.pos"), percent)
+    )
+    return pairs.select(F.least("a", "hub.a").alias("a"), F.greatest("a", "hub.a").alias("b")).distinct()
+
+
 def _across_parts(members: DataFrame, sets: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of one group in different parts that signature trees leave."""
     named = (
@@ -340,9 +360,10 @@ def links(docs: DataFrame, described: DataFrame, k: int = SHINGLE, percent: int
     pairs = led.select(F.least("a", "to.a").alias("a"), F.greatest("a", "to.a").alias("b")).distinct()
     pairs = materialize(_with_bitmaps(pairs, sets, percent))
     first = verified(docs, sets, pairs, k, percent)
-    between = _between_parts(members, components(first), percent)
-    between = materialize(_with_bitmaps(between, sets, percent))
-    first = first.unionByName(verified(docs, sets, between, k, percent))
+    for propose in (_to_hubs, _between_parts):
+        between = propose(members, first, components(first), percent)
+        between = materialize(_with_bitmaps(between, sets, percent))
+        first = first.unionByName(verified(docs, sets, between, k, percent))
     across = materialize(_across_parts(members, sets, components(first), percent))
     return first.unionByName(verified(docs, sets, across, k, percent))
 
