@@ -129,7 +129,10 @@ def _possible(nx: Column, px: Column, ny: Column, py: Column, percent: int) -> C
 
 
 def _members(docs: DataFrame, frequent: np.ndarray, k: int, percent: int) -> DataFrame:
-    """Prefix shingles that sets share: key, a, n, pos, and the leader to compare with."""
+    """Prefix shingles that sets share: key, a, n, pos, the leader and the set before it to compare with.
+
+    ``settled`` marks groups of two, whose one pair the comparison with the set before settles.
+    """
     rows = docs.select("text").mapInArrow(
         _prefixes(k, percent, frequent), "key bigint, a bigint, n int, pos int, often boolean"
     )
@@ -139,6 +142,8 @@ def _members(docs: DataFrame, frequent: np.ndarray, k: int, percent: int) -> Dat
     size, turn = F.floor(F.log("n") * 10), F.xxhash64("a", F.pmod("key", F.lit(4)))
     group = Window.partitionBy("key", "salt").orderBy(size, turn, "a")
     rows = rows.withColumn("nth", F.row_number().over(group)).withColumn("other", F.lead("a").over(group))
+    third = F.when(F.col("nth") == 1, F.lead("a", 2).over(group)).otherwise(F.col("other"))
+    rows = rows.withColumn("settled", ~F.col("often") & (F.col("nth") <= 2) & third.isNull())
     rows = rows.withColumn("last", F.lag(F.struct("a", "n", "pos")).over(group)).filter(
         "often or nth > 1 or other is not null"
     )
@@ -146,7 +151,8 @@ def _members(docs: DataFrame, frequent: np.ndarray, k: int, percent: int) -> Dat
     rows = rows.withColumn(
         "leader", F.last(leader, ignorenulls=True).over(group.rowsBetween(Window.unboundedPreceding, -1))
     )
-    return rows.filter("last is null or last.a != a").select("key", "a", "n", "pos", "leader", "last")
+    rows = rows.filter("(last is null and not settled) or last.a != a")
+    return rows.select("key", "a", "n", "pos", "leader", "last", "settled")
 
 
 def _filter_pairs(percent: int):
@@ -360,11 +366,12 @@ def links(docs: DataFrame, described: DataFrame, k: int = SHINGLE, percent: int
     pairs = led.select(F.least("a", "to.a").alias("a"), F.greatest("a", "to.a").alias("b")).distinct()
     pairs = materialize(_with_bitmaps(pairs, sets, percent))
     first = verified(docs, sets, pairs, k, percent)
+    shared = members.filter("not settled").drop("settled", "last")
     for propose in (_to_hubs, _between_parts):
-        between = propose(members, first, components(first), percent)
+        between = propose(shared, first, components(first), percent)
         between = materialize(_with_bitmaps(between, sets, percent))
         first = first.unionByName(verified(docs, sets, between, k, percent))
-    across = materialize(_across_parts(members, sets, components(first), percent))
+    across = materialize(_across_parts(shared, sets, components(first), percent))
     return first.unionByName(verified(docs, sets, across, k, percent))
 
 
