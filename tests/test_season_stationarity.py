@@ -84,6 +84,19 @@ def test_chunks_give_the_whole_decomposition(spark, robust, monkeypatch):
     assert strength["a"]["trend_strength"] == pytest.approx(min(max(want, 0), 1))
 
 
+def test_smoother_in_slices_is_the_same(monkeypatch):
+    values = wavy(300)
+    weights = np.linspace(0.1, 1, 300)
+    whole = loess.smooth(values, 121, weights)
+    monkeypatch.setattr(loess, "SLICE_CELLS", 500)
+    np.testing.assert_array_equal(loess.smooth(values, 121, weights), whole)
+
+
+def test_no_period_is_too_long(spark):
+    sized = spark.createDataFrame([("s", "x", 10**9, 10**7)], "series_id string, variable string, n bigint, period bigint")
+    assert decompose.decomposable(sized, 5, 1000).first()["reason"] is None
+
+
 def test_undecomposable_groups_are_noted(spark):
     df = panel_of(spark, {"tiny": [1.0] * 5, "ok": list(wavy(60))})
     periods = spark.createDataFrame([("s", "tiny", 2), ("s", "ok", 7)], "series_id string, variable string, period int")
@@ -156,3 +169,12 @@ def test_stationarity_table(spark):
     assert set(got["noise"]["adf_critical_values"]) == {"1%", "5%", "10%"}
     odd = stationarity.ljung_box(panel_of(spark, {"v": list(rng.normal(size=45))}), 10).first()
     assert odd["lb_lags"] == 9 and 0 < odd["lb_pvalue"] <= 1
+
+
+def test_unit_root_does_not_depend_on_the_layout(spark):
+    df = panel_of(spark, {"noise": list(np.random.default_rng(3).normal(0, 1, 600)), "wave": list(wavy(500))})
+    kinds = (PLAIN, blocked(100), Layout(600, 1000))
+    one, two, three = (sorted_frame(stationarity.adf(df, layout=x)) for x in kinds)
+    for other in (two, three):
+        assert list(one["n_lags_used"]) == list(other["n_lags_used"])
+        np.testing.assert_allclose(one["adf_statistic"], other["adf_statistic"], rtol=1e-8)

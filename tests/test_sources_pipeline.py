@@ -103,6 +103,24 @@ def test_zone_is_dropped(spark):
     assert got == [dt.datetime(2024, 1, 1, 10), dt.datetime(2024, 3, 1), None]
 
 
+def test_epochs_keep_their_microseconds(spark):
+    base = 1_700_000_000_123_456_000
+    kinds = spark.range(2000).select(
+        "id", *[(F.col("id") * 1000 + base).cast(kind).alias(kind) for kind in ("bigint", "string")]
+    )
+    for kind in ("bigint", "string"):
+        got = kinds.select("id", F.unix_micros(roles.parse_epoch(F.col(kind)).cast("timestamp")).alias("us"))
+        assert got.where(F.col("us") != F.col("id") + base // 1000).isEmpty()
+    odd = spark.createDataFrame([(float("nan"),), (None,), (1e300,)], "x double")
+    assert odd.where(roles.parse_epoch(F.col("x")).isNotNull()).isEmpty()
+
+
+def test_positions_of_unequal_tables(spark):
+    long, short = (spark.range(n).withColumnRenamed("id", delimited.POSITION) for n in (5, 4))
+    with pytest.raises(ValueError, match="5 and 4 rows"):
+        server_metrics.join_by_position(long, short)
+
+
 def test_server_sets(spark, tmp_path):
     values = write(tmp_path / "v.txt", [f"{i / 10},{i}" for i in range(20)])
     labels = write(tmp_path / "l.txt", [str(int(i == 4)) for i in range(20)])

@@ -8,6 +8,9 @@ from __future__ import annotations
 
 import numpy as np
 
+#: Cells of the arrays that windows at the ends are smoothed with at one time.
+SLICE_CELLS = 1 << 20
+
 
 def tricube(distance: np.ndarray, reach: np.ndarray | float) -> np.ndarray:
     """Weights by distance; practically 1 at the centre and 0 at the rim of the window."""
@@ -51,6 +54,10 @@ def smooth_at(
     n = len(values)
     spread = max(n - 1, 1) if spread is None else spread
     width = min(span, n)
+    step = max(1, SLICE_CELLS // max(width, 1))
+    if len(places) > step:  # bounded memory however long the window
+        slices = [places[i : i + step] for i in range(0, len(places), step)]
+        return np.concatenate([smooth_at(values, part, span, weights, spread) for part in slices])
     left = np.clip(places - (span - 1) // 2, 0, n - width)
     index = left[:, None] + np.arange(width)[None, :]
     reach = np.maximum(places - left, left + width - 1 - places).astype(float)

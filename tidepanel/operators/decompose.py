@@ -21,7 +21,6 @@ MIN_ROWS = 8
 PLAIN_ROUNDS = 5
 ROBUST_ROUNDS = 2
 ROBUST_PASSES = 15
-MAX_CHUNK_ROWS = 1 << 23
 
 _OUT = (
     "series_id string, variable string, ts timestamp_ntz, pos bigint, n bigint, period bigint, "
@@ -43,12 +42,10 @@ def decomposable(sized: DataFrame, rounds: int, chunk_rows: int) -> DataFrame:
     """Groups with ``chunk``, ``reach`` and the reason why a group is left out (NULL: it is not)."""
     reach = _reach(rounds)
     chunk = F.greatest(F.lit(chunk_rows), 2 * reach)
-    rows_in_task = F.least(F.col("n"), chunk + 2 * reach)
     reason = (
         F.when(F.col("n") < MIN_ROWS, "fewer than 8 rows")
         .when(F.col("period").isNull(), "shorter than two seasons")
         .when(F.col("period") < 2, "period below 2")
-        .when(rows_in_task > MAX_CHUNK_ROWS, "period too long for one task")
     )
     return sized.withColumn("reach", reach).withColumn("chunk", chunk).withColumn("reason", reason)
 

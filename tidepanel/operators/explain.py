@@ -10,6 +10,7 @@ from tidepanel.functions.scalar import TINY, percent_change, z_score
 from tidepanel.model import KEYS
 from tidepanel.operators.detect import SCORED, on_common_range
 from tidepanel.operators.scorers import SCORERS
+from tidepanel.session import materialize
 
 RECENT_ROWS = 10
 MAX_BROADCAST_TOP = 10_000
@@ -51,7 +52,8 @@ def explain_top_anomalies(
     Only the few rows around each chosen instant are looked up: the chosen rows are the small side
     of every join (their number is ``top_n``, so its size is known).
     """
-    top = top_anomalies(scores, top_n)
+    # written once: it is the side of four joins, and behind it lies the whole scoring
+    top = materialize(top_anomalies(scores, top_n))
 
     def small(df: DataFrame) -> DataFrame:
         return F.broadcast(df) if top_n <= MAX_BROADCAST_TOP else df

@@ -8,6 +8,7 @@ each row).
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -323,6 +324,9 @@ def _two_means(packed: DataFrame, layout: Layout, max_iter: int, tolerance: floa
         centres = materialize(centres)
         if centres.where(F.col("shift") > F.col("still")).isEmpty():
             break
+    else:
+        moving = centres.where(F.col("shift") > F.col("still")).count()
+        warnings.warn(f"centres of {moving:,} groups still moved after {max_iter} rounds", stacklevel=3)
     return centres.select(*KEYS, "n", "low", "high")
 
 
@@ -357,8 +361,8 @@ def kmeans_scores(
     layout: Layout,
     window_agg: bool = False,
     signed: bool = False,
-    max_iter: int = 20,
-    tolerance: float = 1e-4,
+    max_iter: int = 300,
+    tolerance: float = 1e-12,
 ) -> DataFrame:
     """Distance of each window of residuals to the nearer of two train centres."""
     packed = materialize(_pack(residuals, layout, signed))

@@ -115,9 +115,10 @@ def adf(
     series ride along, and a system of at most a few dozen unknowns is solved per group.
     """
     layout = Layout.of(positioned, layout)
-    reach = lag_limit(max(layout.max_group_rows, MIN_ROWS))
-    reach = reach if max_lag is None else min(reach, max_lag)
     usable = positioned.where(F.col("n") >= MIN_ROWS)
+    # from the series themselves: the layout decides how the work is cut up, never the result
+    longest = usable.agg(F.max("n")).first()[0] or MIN_ROWS
+    reach = lag_limit(longest) if max_lag is None else min(lag_limit(longest), max_lag)
     blocks = halo_blocks(usable, layout, before=reach + 1)
     blocks = attach(blocks, group_mean(usable), layout)
 

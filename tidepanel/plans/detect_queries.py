@@ -737,13 +737,13 @@ def isolation_forest(spark: SparkSession, folder: str) -> DataFrame:
 @query("iforest_combined")
 def iforest_combined(spark: SparkSession, folder: str) -> DataFrame:
     panel, layout = daily_panel(spark, folder)
-    found = iforest.detect_isolation_forest(panel, trees=50, layout=layout)
+    found = iforest.detect_isolation_forest(panel, layout=layout)
     return iforest.combine_forest(found)
 
 
 @query("iforest_eval")
 def iforest_eval(spark: SparkSession, folder: str) -> DataFrame:
     panel, layout = daily_panel(spark, folder)
-    found = materialize(iforest.detect_isolation_forest(panel, trees=50, layout=layout))
+    found = materialize(iforest.detect_isolation_forest(panel, layout=layout))
     labelled = evaluate.with_labels(found, daily_labels(spark, folder))
     return evaluate.ranking_metrics(labelled, layout)

@@ -45,22 +45,21 @@ def synthetic_axis(spark: SparkSession, folder: str) -> DataFrame:
 @query(
     "positional_join",
     """
-    WITH a AS (SELECT vec_id, label, row_number() OVER (ORDER BY vec_id) - 1 AS p FROM embeddings),
-         b AS (SELECT doc_id, n_chars, row_number() OVER (ORDER BY doc_id) - 1 AS p FROM documents)
-    SELECT vec_id, label, doc_id, n_chars, TIMESTAMP '2019-01-01' + to_minutes(p) AS ts
+    WITH a AS (SELECT o_orderkey, o_totalprice, row_number() OVER (ORDER BY o_orderkey) - 1 AS p FROM orders),
+         b AS (SELECT o_custkey, o_orderstatus, row_number() OVER (ORDER BY o_orderkey) - 1 AS p FROM orders)
+    SELECT o_orderkey, o_totalprice, o_custkey, o_orderstatus, TIMESTAMP '2019-01-01' + to_minutes(p) AS ts
     FROM a JOIN b USING (p)
     """,
 )
 def positional_join(spark: SparkSession, folder: str) -> DataFrame:
-    left = _ordered(spark, folder, "embeddings", "vec_id").drop("embedding")
-    right = _ordered(spark, folder, "documents", "doc_id").select(
-        "doc_id", "n_chars", delimited.POSITION
-    )
+    rows = _ordered(spark, folder, "orders", "o_orderkey")
+    left = rows.select("o_orderkey", "o_totalprice", delimited.POSITION)
+    right = rows.select("o_custkey", "o_orderstatus", delimited.POSITION)
     joined = server_metrics.join_by_position(left, right)
     axis = server_metrics.minute_axis(
         server_metrics.MACHINE_START, F.col(delimited.POSITION)
     )
-    return joined.select("vec_id", "label", "doc_id", "n_chars", axis.alias("ts"))
+    return joined.select("o_orderkey", "o_totalprice", "o_custkey", "o_orderstatus", axis.alias("ts"))
 
 
 @query(

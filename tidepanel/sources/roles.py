@@ -105,8 +105,8 @@ def _shape(pattern: str) -> str:
 
 
 def parse_epoch(column: Column) -> Column:
-    """Numbers count as nanoseconds since the epoch."""
-    return from_micros(F.floor(column.cast("double") / 1000).cast("bigint"))
+    """Numbers count as nanoseconds since the epoch; they have more digits than a double holds."""
+    return from_micros(F.floor(column.cast("string").try_cast("decimal(38,9)") / 1000).cast("bigint"))
 
 
 def parse_time(name: str, facts: dict[str, ColumnFacts]) -> Column:

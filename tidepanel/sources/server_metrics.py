@@ -16,7 +16,10 @@ def minute_axis(base: str, minutes: Column) -> Column:
 
 
 def join_by_position(left: DataFrame, right: DataFrame, position: str = POSITION) -> DataFrame:
-    """Rows of two tables that have the same place in their file."""
+    """Rows of two tables that have the same place in their file; both must have equally many."""
+    rows = left.count(), right.count()
+    if rows[0] != rows[1]:
+        raise ValueError(f"tables of {rows[0]:,} and {rows[1]:,} rows cannot be joined by position")
     return left.join(right, position)
 
 
