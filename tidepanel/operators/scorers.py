@@ -203,32 +203,65 @@ def _moments(batches):
         yield _frame(out, names)
 
 
-def _assign(batches):
-    """Count and sum of the windows nearer to either centre, place by place.
+def _nearer_sums(x: np.ndarray, w: int, whole: np.ndarray, low: np.ndarray, high: np.ndarray):
+    """[count, sums..] of the windows nearer to ``low`` and of those nearer to ``high``.
 
     Which centre is nearer depends on one inner product with the difference of the centres, so the
-    windows are never laid out as a table.
+    windows are never laid out as a table. ``whole`` are the sums of all windows.
     """
+    m = len(x) - w + 1
+    towards_high = 2 * np.correlate(x, high - low, "valid") > high @ high - low @ low
+    second = towards_high.astype(float)
+    upper = np.array([second @ x[i : i + m] for i in range(w)])
+    count = float(second.sum())
+    return [m - count, *(whole - upper)], [count, *upper]
+
+
+def _window_sums(x: np.ndarray, w: int) -> np.ndarray:
+    m = len(x) - w + 1
+    return np.array([x[i : i + m].sum() for i in range(w)])
+
+
+def _settle(max_iter: int):
+    """All rounds of groups that lie in one row each, until their centres move no more."""
+    names = [*KEYS, "n", "window", "low", "high", "still", "shift"]
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for row in batch.itertuples(index=False):
+                x, w = np.asarray(row.x, dtype=float), int(row.window)
+                centres = [np.asarray(row.low), np.asarray(row.high)]
+                whole, shift = _window_sums(x, w), np.inf
+                for _ in range(max_iter):
+                    sums = _nearer_sums(x, w, whole, *centres)
+                    new = [np.array(s[1:]) / s[0] if s[0] > 0 else c for s, c in zip(sums, centres)]
+                    shift = sum(float((a - b) @ (a - b)) for a, b in zip(new, centres))
+                    centres = new
+                    if shift <= row.still:
+                        break
+                out.append({**_key(row), "low": centres[0], "high": centres[1], "still": row.still, "shift": shift})
+            yield _frame(out, names)
+
+    return run
+
+
+def _assign(batches):
+    """Count and sum of the windows nearer to either centre, place by place."""
     names = [*KEYS, "n", "window", "low", "high", "still", "s0", "s1"]
     for batch in batches:
         out = []
         for row in batch.itertuples(index=False):
             x, w = np.asarray(row.x, dtype=float), int(row.window)
-            low, high = np.asarray(row.low), np.asarray(row.high)
-            m = len(x) - w + 1
-            towards_high = 2 * np.correlate(x, high - low, "valid") > high @ high - low @ low
-            second = towards_high.astype(float)
-            whole = np.array([x[i : i + m].sum() for i in range(w)])
-            upper = np.array([second @ x[i : i + m] for i in range(w)])
-            count = float(second.sum())
+            s0, s1 = _nearer_sums(x, w, _window_sums(x, w), np.asarray(row.low), np.asarray(row.high))
             out.append(
                 {
                     **_key(row),
                     "low": row.low,
                     "high": row.high,
                     "still": row.still,
-                    "s0": [m - count, *(whole - upper)],
-                    "s1": [count, *upper],
+                    "s0": s0,
+                    "s1": s1,
                 }
             )
         yield _frame(out, names)
@@ -263,7 +296,8 @@ def _two_means(packed: DataFrame, layout: Layout, max_iter: int, tolerance: floa
     """Two centres per group, for all groups at once: a narrow pass and a small sum each round.
 
     Starts from the mean window one spread below and above, so that every run gives the same
-    result, and ends when no group's centres move any more. Several rounds make one job.
+    result, and ends when no group's centres move any more. Several rounds make one job. Where no
+    group is cut into blocks a group is one row, and all its rounds run in one pass.
     """
     w = F.col("window")
     train = packed.where("is_train").select(*KEYS, "block", "n", "window", "x")
@@ -318,14 +352,19 @@ def _two_means(packed: DataFrame, layout: Layout, max_iter: int, tolerance: floa
             f"{_moved('low2', 'low')} + {_moved('high2', 'high')} AS shift",
         )
 
-    for _ in range(0, max_iter, ROUNDS_PER_JOB):
-        for _ in range(ROUNDS_PER_JOB):
-            centres = one_round(centres)
-        centres = materialize(centres)
-        if centres.where(F.col("shift") > F.col("still")).isEmpty():
-            break
+    if not layout.blocked:
+        schema = f"{_KEY}, low array<double>, high array<double>, still double, shift double"
+        beside = train.join(centres.drop("n", "window"), KEYS)
+        centres = materialize(beside.mapInPandas(_settle(max_iter), schema))
     else:
-        moving = centres.where(F.col("shift") > F.col("still")).count()
+        for _ in range(0, max_iter, ROUNDS_PER_JOB):
+            for _ in range(ROUNDS_PER_JOB):
+                centres = one_round(centres)
+            centres = materialize(centres)
+            if centres.where(F.col("shift") > F.col("still")).isEmpty():
+                break
+    moving = centres.where(F.col("shift") > F.col("still")).count()
+    if moving:
         warnings.warn(f"centres of {moving:,} groups still moved after {max_iter} rounds", stacklevel=3)
     return centres.select(*KEYS, "n", "low", "high")
 
