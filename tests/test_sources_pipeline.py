@@ -161,3 +161,11 @@ def test_whole_analysis(spark, tmp_path):
     assert back["components"].groupBy("variable").count().count() == 2
     sinks.write_panel(got.panel, f"{out}/panel")
     assert spark.read.parquet(f"{out}/panel").count() == got.panel.count()
+
+
+@pytest.mark.parametrize("most, said", [(3, 1), (4, 0)])
+def test_cut_rows_are_said(spark, tmp_path, most, said):
+    (tmp_path / "a.csv").write_text("time,x\n" + "".join(f"2024-01-0{i},{i}.5\n" for i in range(1, 5)))
+    found = delimited.read_series(spark, str(tmp_path), max_rows=most)
+    assert found.panel.count() == most
+    assert sum("most recent" in text for text in found.warnings) == said

@@ -120,8 +120,9 @@ def read_series(
     rows = file_rows(spark, path, sep)
     warnings: list[str] = []
     if max_rows is not None:
+        if rows.count() > max_rows:
+            warnings.append(f"only the most recent {max_rows:,} rows are used")
         rows = most_recent(rows, max_rows)
-        warnings.append(f"only the most recent {max_rows:,} rows are used if there are more")
     return infer_series(rows, series_id, strict_reference, warnings)
 
 
