@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidepanel.model import KEYS
 from tidepanel.operators import detect, evaluate, explain, forecast, iforest, results, scorers
+from tidepanel.plans import detect_queries
 from tidepanel.session import materialize
 
 SPIKES = [620, 655, 700, 741, 790]
@@ -129,6 +130,29 @@ def test_boosted_trees(spiky):
     assert set(SPIKES) <= set(test.assign(r=test["resid"].abs()).nlargest(12, "r")["pos"])
 
 
+def test_registered_boosting_has_all_trees_and_rows(spark, spiky, monkeypatch):
+    made = []
+
+    class Spy(forecast.GBTRegressor):
+        def __init__(self, **options):
+            made.append(options["maxIter"])
+            super().__init__(**{**options, "maxIter": 2})
+
+    monkeypatch.setattr(forecast, "GBTRegressor", Spy)
+    monkeypatch.setattr(detect_queries, "daily_panel", lambda *_: (spiky, PLAIN))
+    rest = detect_queries.gbt_forecast(spark, "")
+    linear = forecast.residuals(spiky, detect_queries.RATIO, "linear", layout=PLAIN)
+    keys = ["series_id", "variable", "ts", "pos", "is_train"]
+    n_variables = spiky.select("variable").distinct().count()
+    assert made == [100] * n_variables and n_variables > 1
+    assert rest.columns == linear.columns
+    assert rest.count() == linear.count() and rest.select(keys).exceptAll(linear.select(keys)).isEmpty()
+    assert rest.where("resid is null").isEmpty()
+    cut = forecast.residuals(spiky, detect_queries.RATIO, "gbt", layout=blocked(100), trees=2)
+    apart = cut.select("variable", "pos", F.col("resid").alias("other")).join(rest, ["variable", "pos"])
+    assert apart.where("abs(other - resid) > 1e-9").isEmpty() and cut.count() == rest.count()
+
+
 def scored(spark, rows):
     return spark.createDataFrame(
         [("s", "v", k, START + dt.timedelta(hours=t), float(s), a, y) for k, t, s, a, y in rows],

@@ -2,23 +2,30 @@
 
 from __future__ import annotations
 
+import uuid
+from concurrent.futures import ThreadPoolExecutor
+
 import numpy as np
 import pandas as pd
+from pyspark import inheritable_thread_target
 from pyspark.ml.functions import array_to_vector
+from pyspark.ml.linalg import VectorUDT
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from tidepanel.model import KEYS
 from tidepanel.operators.grams import block_sums, from_triangle, gram, solve_normal
 from tidepanel.operators.layout import Layout, attach, halo_blocks
 from tidepanel.operators.windows import lag_columns
-from tidepanel.session import materialize
+from tidepanel.session import materialize, shared_folder
 
 MIN_ROWS = 20
 MAX_LAGS = 14
 MAX_WINDOW = 20
 SEED = 42
+FITS_AT_A_TIME = 4
 
 
 def check_ratio(test_ratio: float) -> float:
@@ -144,7 +151,8 @@ def _lagged(positioned: DataFrame, values: DataFrame, layout: Layout, reach: int
     )
 
 
-_RESIDUAL = [*KEYS, "ts", "pos", "n", "cut", "lags", "window", "spos", "is_train", "value", "resid"]
+_INPUT = [*KEYS, "ts", "pos", "n", "cut", "lags", "window", "spos", "is_train", "value"]
+_RESIDUAL = [*_INPUT, "resid"]
 
 
 def residuals(
@@ -175,17 +183,32 @@ def residuals(
         return rows.withColumn("resid", F.col("scaled") - forecast).select(*_RESIDUAL)
     if forecaster != "gbt":
         raise ValueError(f"unknown forecaster: {forecaster!r}; choose linear or gbt")
-    return _boosted(materialize(_lagged(positioned, sizes, layout, reach)), trees)
+    # written before the number is used: it must not change from one read to the next
+    numbered = materialize(sizes.withColumn("fit", F.monotonically_increasing_id()))
+    return _boosted(_lagged(positioned, numbered, layout, reach), trees)
 
 
 def _boosted(rows: DataFrame, trees: int) -> DataFrame:
-    """One distributed boosted-tree fit per variable, for panels of a few large variables."""
-    vectors = rows.withColumn("features", array_to_vector("past"))
-    parts = []
-    for key in rows.select(*KEYS).distinct().orderBy(*KEYS).collect():
-        mine = vectors.where(
-            (F.col("series_id") == key["series_id"]) & (F.col("variable") == key["variable"])
-        )
+    """One distributed boosted-tree fit per variable, for panels of a few large variables.
+
+    The rows are written in one folder per variable, so a fit reads only its own files. A few fits
+    run at a time, and each writes its residuals; the plan of the result does not grow with them.
+    """
+    spark = rows.sparkSession
+    folder = f"{shared_folder(spark).rstrip('/')}/tidepanel-{uuid.uuid4().hex}"
+    (
+        rows.select(*_INPUT, array_to_vector("past").alias("features"), "scaled", "fit")
+        .write.partitionBy("fit")
+        .parquet(f"{folder}/rows")
+    )
+    written = spark.read.schema(_schema(rows)).parquet(f"{folder}/rows")
+    fits = [r["fit"] for r in written.select("fit").distinct().collect()]
+    empty = written.withColumn("resid", F.lit(0.0)).select(*_RESIDUAL)
+    if not fits:
+        return empty
+
+    def run(fit: int) -> None:
+        mine = written.where(F.col("fit") == fit)
         model = GBTRegressor(
             featuresCol="features",
             labelCol="scaled",
@@ -196,14 +219,20 @@ def _boosted(rows: DataFrame, trees: int) -> DataFrame:
             minInstancesPerNode=20,
             seed=SEED,
         ).fit(mine.where("is_train"))
-        parts.append(
+        (
             model.transform(mine)
             .withColumn("resid", F.col("scaled") - F.col("forecast"))
             .select(*_RESIDUAL)
+            .write.parquet(f"{folder}/residuals/fit={fit}")
         )
-    if not parts:
-        return rows.withColumn("resid", F.lit(0.0)).select(*_RESIDUAL)
-    whole = parts[0]
-    for part in parts[1:]:
-        whole = whole.unionByName(part)
-    return whole
+
+    with ThreadPoolExecutor(FITS_AT_A_TIME) as pool:
+        list(pool.map(inheritable_thread_target(spark)(run), fits))
+    return spark.read.schema(empty.schema).parquet(f"{folder}/residuals").select(*_RESIDUAL)
+
+
+def _schema(rows: DataFrame) -> StructType:
+    """Of the written rows; the folder's name is the last column."""
+    known = {f.name: f for f in rows.schema}
+    fields = [known[c] for c in _INPUT] + [StructField("features", VectorUDT())]
+    return StructType([*fields, known["scaled"], StructField("fit", LongType())])

@@ -223,10 +223,7 @@ def forecast_linear(spark: SparkSession, folder: str) -> DataFrame:
 @query("gbt_forecast")
 def gbt_forecast(spark: SparkSession, folder: str) -> DataFrame:
     panel, layout = daily_panel(spark, folder)
-    rest = forecast.residuals(panel, RATIO, "gbt", layout=layout, trees=3)
-    return rest.groupBy(*KEYS, "is_train").agg(
-        F.count(F.lit(1)).alias("n_rows"), F.avg(F.abs("resid")).alias("mean_abs_resid")
-    )
+    return forecast.residuals(panel, RATIO, "gbt", layout=layout)
 
 
 @query(
