@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidepanel.model import KEYS
 from tidepanel.operators import detect, evaluate, explain, forecast, iforest, results, scorers
 from tidepanel.plans import detect_queries
+from tidepanel.plans.registry import QUERIES
 from tidepanel.session import materialize
 
 SPIKES = [620, 655, 700, 741, 790]
@@ -153,6 +154,62 @@ def test_registered_boosting_has_all_trees_and_rows(spark, spiky, monkeypatch):
     assert apart.where("abs(other - resid) > 1e-9").isEmpty() and cut.count() == rest.count()
 
 
+def brute_scores(y):
+    """Scorer -> {position: score} of one series: 14 lags, plain least squares, windows one by one."""
+    cut, w = int((len(y) - 1) * (1 - detect_queries.RATIO)), 20
+    z = (y - y[:cut].mean()) / y[:cut].std()
+
+    def design(part):
+        return np.array([np.r_[part[t - 14 : t][::-1], 1] for t in range(14, len(part))])
+
+    beta = np.linalg.lstsq(design(z[:cut]), z[14:cut], rcond=None)[0]
+    train = np.abs(z[14:cut] - design(z[:cut]) @ beta)
+    test = np.abs(z[cut + 14 :] - design(z[cut:]) @ beta)
+    first = cut + 14
+    norm = dict(enumerate(test, first))
+    wins = np.lib.stride_tricks.sliding_window_view(test, w)
+    seen = np.lib.stride_tricks.sliding_window_view(train, w)
+    centres = [seen.mean(0) - seen.std(0), seen.mean(0) + seen.std(0)]
+    for _ in range(300):
+        near = ((seen - centres[1]) ** 2).sum(1) < ((seen - centres[0]) ** 2).sum(1)
+        centres = [seen[~near].mean(0), seen[near].mean(0)]
+    away = np.sqrt(np.minimum(*[((wins - c) ** 2).sum(1) for c in centres]))
+    low = np.lcm(len(train), w)
+    long = np.repeat(np.sort(train), low // len(train))
+    apart = [np.abs(np.repeat(np.sort(win), low // w) - long).mean() for win in wins]
+    return {"norm": norm, "kmeans": dict(enumerate(away, first + w - 1)), "wasserstein": dict(enumerate(apart, first + w - 1))}
+
+
+def test_full_queries_equal_brute_force(spark, spiky, monkeypatch):
+    monkeypatch.setattr(detect_queries, "daily_panel", lambda *_: (spiky, PLAIN))
+    want, wide, pos = {}, {}, lambda r: int((r["ts"] - START).total_seconds() // 3600)
+    for name in ("a", "b"):
+        y = spiky.where(f"variable = '{name}'").toPandas().sort_values("pos")["value"].to_numpy()
+        scores = brute_scores(y)
+        flags = {k: {p: int(v > np.quantile(list(s.values()), 0.95)) for p, v in s.items()} for k, s in scores.items()}
+        wide |= {(name, p): {k: s.get(p) for k, s in scores.items()} for p in scores["norm"]}
+        want |= {(name, p): max(f[p] for f in flags.values()) for p in flags["kmeans"]}
+    got = {(r["variable"], pos(r)): r for r in QUERIES["full_score_pivot"](spark, "").collect()}
+    assert got.keys() == wide.keys()
+    for key, scores in wide.items():
+        for k, v in scores.items():
+            assert got[key][f"{k}_score"] == (None if v is None else pytest.approx(v, abs=2e-6))
+    flagged = {(r["variable"], pos(r)): r["is_anomaly"] for r in QUERIES["full_or_scorers"](spark, "").collect()}
+    assert flagged == want
+    kpi = QUERIES["full_kpi_summary"](spark, "").first()
+    either = [max(want["a", p], want["b", p]) for v, p in want if v == "a"]
+    assert (kpi["n_points"], kpi["n_anomalies"]) == (len(either), sum(either))
+    centres = QUERIES["kmeans_scorer"](spark, "").collect()
+    assert len(centres) == len(want)
+    for r in centres:
+        assert r["score"] == pytest.approx(wide[r["variable"], pos(r)]["kmeans"])
+
+
+def test_every_query_of_a_cut_detection_has_a_full_twin():
+    cut = {n for n, f in QUERIES.items() if {"detection", "residuals"} & set(getattr(f, "__annotations__", {}))}
+    assert len(cut) == 22 and {f"full_{n}" for n in cut} <= set(QUERIES)
+
+
 def scored(spark, rows):
     return spark.createDataFrame(
         [("s", "v", k, START + dt.timedelta(hours=t), float(s), a, y) for k, t, s, a, y in rows],

@@ -1,11 +1,15 @@
 """Queries over forecasting, scoring, flags, evaluation and explanation.
 
-Queries with SQL use the lag-1 forecaster and the two scorers SQL can say exactly; the full
-pipelines (14 lags, boosted trees, clustering, isolation forest) are checked by rows and by tests.
+Queries with SQL use the lag-1 forecaster and the two scorers their SQL says. Each has a twin,
+``full_...``, over the default detection (lags by the sizing rule, all three scorers); the twins and
+the other pipelines without SQL (boosted trees, isolation forest) are checked by rows and by tests.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -134,15 +138,32 @@ def lag1_detection(spark: SparkSession, folder: str) -> tuple[DataFrame, detect.
     return panel, found
 
 
-def flagship(spark: SparkSession, folder: str) -> DataFrame:
-    """events -> hourly panel -> inferred grid -> fill -> residual size -> flags -> OR."""
+def full_residuals(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, Layout]:
+    """As many lags as the sizing rule gives."""
+    panel, layout = daily_panel(spark, folder)
+    return panel, forecast.residuals(panel, RATIO, "linear", layout=layout), layout
+
+
+def full_detection(spark: SparkSession, folder: str) -> tuple[DataFrame, detect.Detection]:
+    """Default lags and all scorers."""
+    panel, layout = daily_panel(spark, folder)
+    return panel, detect.detect(panel, RATIO, threshold_quantile=TOP, layout=layout)
+
+
+def flagship(
+    spark: SparkSession, folder: str, chosen: list[str] | None = None, lags: int | None = None
+) -> DataFrame:
+    """events -> hourly panel -> inferred grid -> fill -> residual scores -> flags -> OR.
+
+    Default lags and all scorers, unless others are given.
+    """
     frame, names = hourly_frame(spark, folder)
     panel = materialize(frame_to_panel(frame, names, series_id="events"))
     axis = panel.select("series_id", "ts").distinct()
     freq = infer_frequency(axis).first()["freq"]
     layout = Layout.measure(panel)
     regular = materialize(clean.regularise(panel, freq, layout))
-    found = detect.detect(regular, RATIO, ["norm"], TOP, lags=1)
+    found = detect.detect(regular, RATIO, chosen, TOP, lags=lags)
     return found.combined
 
 
@@ -186,7 +207,10 @@ def flagship(spark: SparkSession, folder: str) -> DataFrame:
     """,
 )
 def detect_hourly_events(spark: SparkSession, folder: str) -> DataFrame:
-    return flagship(spark, folder)
+    return flagship(spark, folder, ["norm"], lags=1)
+
+
+query("full_hourly_events")(flagship)
 
 
 @query(
@@ -209,8 +233,10 @@ def split_standardize(spark: SparkSession, folder: str) -> DataFrame:
     "lag_linear_residual_norm",
     f"WITH {LAG1} SELECT variable, ts, is_train, round(abs(r), 6) AS score FROM resid",
 )
-def lag_linear_residual_norm(spark: SparkSession, folder: str) -> DataFrame:
-    _, rest, _ = lag1_residuals(spark, folder)
+def lag_linear_residual_norm(
+    spark: SparkSession, folder: str, residuals: Callable = lag1_residuals
+) -> DataFrame:
+    _, rest, _ = residuals(spark, folder)
     return rest.select("variable", "ts", "is_train", F.round(F.abs("resid"), 6).alias("score"))
 
 
@@ -230,8 +256,10 @@ def gbt_forecast(spark: SparkSession, folder: str) -> DataFrame:
     "wasserstein_window",
     f"WITH {SCORES} SELECT variable, ts, round(score, 6) AS score FROM w1",
 )
-def wasserstein_window(spark: SparkSession, folder: str) -> DataFrame:
-    _, rest, layout = lag1_residuals(spark, folder)
+def wasserstein_window(
+    spark: SparkSession, folder: str, residuals: Callable = lag1_residuals
+) -> DataFrame:
+    _, rest, layout = residuals(spark, folder)
     scored = scorers.wasserstein_scores(materialize(rest), layout)
     return scored.select("variable", "ts", F.round("score", 6).alias("score"))
 
@@ -246,15 +274,17 @@ def wasserstein_window(spark: SparkSession, folder: str) -> DataFrame:
     SELECT variable, ts, round(score, 6) AS score FROM covered
     """,
 )
-def wasserstein_per_row(spark: SparkSession, folder: str) -> DataFrame:
-    _, rest, layout = lag1_residuals(spark, folder)
+def wasserstein_per_row(
+    spark: SparkSession, folder: str, residuals: Callable = lag1_residuals
+) -> DataFrame:
+    _, rest, layout = residuals(spark, folder)
     scored = scorers.wasserstein_scores(materialize(rest), layout, window_agg=True)
     return scored.select("variable", "ts", F.round("score", 6).alias("score"))
 
 
 @query("kmeans_scorer")
 def kmeans_scorer(spark: SparkSession, folder: str) -> DataFrame:
-    _, rest, layout = lag1_residuals(spark, folder)
+    _, rest, layout = full_residuals(spark, folder)
     return scorers.kmeans_scores(materialize(rest), layout)
 
 
@@ -271,22 +301,28 @@ def detect_all_scorers(spark: SparkSession, folder: str) -> DataFrame:
     SELECT variable, scorer, ts, round(threshold, 6) AS threshold, is_anomaly FROM flagged
     """,
 )
-def quantile_flag(spark: SparkSession, folder: str) -> DataFrame:
-    _, found = lag1_detection(spark, folder)
+def quantile_flag(
+    spark: SparkSession, folder: str, detection: Callable = lag1_detection
+) -> DataFrame:
+    _, found = detection(spark, folder)
     return found.scores.select(
         "variable", "scorer", "ts", F.round("threshold", 6).alias("threshold"), "is_anomaly"
     )
 
 
 @query("or_scorers", f"WITH {SCORES} SELECT variable, ts, is_anomaly FROM components")
-def or_scorers(spark: SparkSession, folder: str) -> DataFrame:
-    _, found = lag1_detection(spark, folder)
+def or_scorers(
+    spark: SparkSession, folder: str, detection: Callable = lag1_detection
+) -> DataFrame:
+    _, found = detection(spark, folder)
     return found.components.select("variable", "ts", "is_anomaly")
 
 
 @query("or_variables", f"WITH {SCORES} SELECT ts, any_anomaly FROM combined")
-def or_variables(spark: SparkSession, folder: str) -> DataFrame:
-    _, found = lag1_detection(spark, folder)
+def or_variables(
+    spark: SparkSession, folder: str, detection: Callable = lag1_detection
+) -> DataFrame:
+    _, found = detection(spark, folder)
     return found.combined.select("ts", "any_anomaly")
 
 
@@ -299,8 +335,10 @@ def or_variables(spark: SparkSession, folder: str) -> DataFrame:
     FROM combined
     """,
 )
-def kpi_summary(spark: SparkSession, folder: str) -> DataFrame:
-    _, found = lag1_detection(spark, folder)
+def kpi_summary(
+    spark: SparkSession, folder: str, detection: Callable = lag1_detection
+) -> DataFrame:
+    _, found = detection(spark, folder)
     return detect.kpi_summary(found.combined).withColumn(
         "anomaly_rate", F.round("anomaly_rate", 6)
     )
@@ -317,8 +355,10 @@ def kpi_summary(spark: SparkSession, folder: str) -> DataFrame:
     FROM c QUALIFY rank <= 5
     """,
 )
-def top5_variables(spark: SparkSession, folder: str) -> DataFrame:
-    _, found = lag1_detection(spark, folder)
+def top5_variables(
+    spark: SparkSession, folder: str, detection: Callable = lag1_detection
+) -> DataFrame:
+    _, found = detection(spark, folder)
     return results.top_variables(found.components).select(
         "variable", "n_anomalies", "rank", F.round("share", 6).alias("share")
     )
@@ -389,8 +429,10 @@ def auc_documents(spark: SparkSession, folder: str) -> DataFrame:
     + _RANKED.replace("GROUPING_KEY", "vs").replace("SOURCE", "labelled")
     + " SELECT k AS variable_scorer, auc_roc, auc_pr FROM ranked",
 )
-def auc_roc_pr(spark: SparkSession, folder: str) -> DataFrame:
-    _, found = lag1_detection(spark, folder)
+def auc_roc_pr(
+    spark: SparkSession, folder: str, detection: Callable = lag1_detection
+) -> DataFrame:
+    _, found = detection(spark, folder)
     rows = evaluate.with_labels(found.scores, daily_labels(spark, folder))
     result = evaluate.ranking_metrics(rows, found.layout)
     return result.select(
@@ -421,8 +463,10 @@ prf AS (
     FROM prf
     """,
 )
-def prf1(spark: SparkSession, folder: str) -> DataFrame:
-    _, found = lag1_detection(spark, folder)
+def prf1(
+    spark: SparkSession, folder: str, detection: Callable = lag1_detection
+) -> DataFrame:
+    _, found = detection(spark, folder)
     labels = daily_labels(spark, folder)
     metrics = evaluate.evaluate_with_labels(found.scores, found.combined, labels, found.layout)
     return metrics.select(
@@ -445,8 +489,10 @@ def prf1(spark: SparkSession, folder: str) -> DataFrame:
     + """ SELECT 'lineitem' AS series_id, round(avg(best), 5) AS best_auc FROM (
           SELECT split_part(k, '/', 1) AS v, max(auc_roc) AS best FROM ranked GROUP BY 1)""",
 )
-def best_auc(spark: SparkSession, folder: str) -> DataFrame:
-    _, found = lag1_detection(spark, folder)
+def best_auc(
+    spark: SparkSession, folder: str, detection: Callable = lag1_detection
+) -> DataFrame:
+    _, found = detection(spark, folder)
     rows = evaluate.with_labels(found.scores, daily_labels(spark, folder))
     best = evaluate.best_auc(evaluate.ranking_metrics(rows, found.layout))
     return best.withColumn("best_auc", F.round("best_auc", 5))
@@ -474,8 +520,10 @@ def true_rate(spark: SparkSession, folder: str) -> DataFrame:
     WHERE (SELECT count(DISTINCT coalesce(l.y, 0)) FROM combined c LEFT JOIN labels_daily l USING (ts)) = 2
     """,
 )
-def confusion(spark: SparkSession, folder: str) -> DataFrame:
-    _, found = lag1_detection(spark, folder)
+def confusion(
+    spark: SparkSession, folder: str, detection: Callable = lag1_detection
+) -> DataFrame:
+    _, found = detection(spark, folder)
     table_2x2 = evaluate.confusion(found.combined, daily_labels(spark, folder))
     return table_2x2.drop("series_id")
 
@@ -498,8 +546,10 @@ unsup AS (
       round(ratio, 6) AS separation_ratio FROM unsup
     """,
 )
-def unsupervised_metrics(spark: SparkSession, folder: str) -> DataFrame:
-    _, found = lag1_detection(spark, folder)
+def unsupervised_metrics(
+    spark: SparkSession, folder: str, detection: Callable = lag1_detection
+) -> DataFrame:
+    _, found = detection(spark, folder)
     metrics = evaluate.evaluate_unsupervised(found.scores)
     names = ["detection_rate", "score_mean", "score_std", "score_max", "separation_ratio"]
     return metrics.select(
@@ -518,8 +568,10 @@ def unsupervised_metrics(spark: SparkSession, folder: str) -> DataFrame:
     GROUP BY 1, 2, 3
     """,
 )
-def agreement(spark: SparkSession, folder: str) -> DataFrame:
-    _, found = lag1_detection(spark, folder)
+def agreement(
+    spark: SparkSession, folder: str, detection: Callable = lag1_detection
+) -> DataFrame:
+    _, found = detection(spark, folder)
     pairs = evaluate.scorer_agreement(found.scores)
     return pairs.select(
         "variable", "scorer_a", "scorer_b", F.round("agreement", 6).alias("agreement")
@@ -535,8 +587,10 @@ def agreement(spark: SparkSession, folder: str) -> DataFrame:
     FROM unsup
     """,
 )
-def metric_table_unlabelled(spark: SparkSession, folder: str) -> DataFrame:
-    _, found = lag1_detection(spark, folder)
+def metric_table_unlabelled(
+    spark: SparkSession, folder: str, detection: Callable = lag1_detection
+) -> DataFrame:
+    _, found = detection(spark, folder)
     shown = results.unlabelled_table(evaluate.evaluate_unsupervised(found.scores))
     return shown.drop("series_id")
 
@@ -559,8 +613,10 @@ def metric_table_unlabelled(spark: SparkSession, folder: str) -> DataFrame:
     FROM prf p JOIN ranked r ON r.k = p.variable || '/' || p.scorer
     """,
 )
-def metric_table_labelled(spark: SparkSession, folder: str) -> DataFrame:
-    _, found = lag1_detection(spark, folder)
+def metric_table_labelled(
+    spark: SparkSession, folder: str, detection: Callable = lag1_detection
+) -> DataFrame:
+    _, found = detection(spark, folder)
     labels = daily_labels(spark, folder)
     metrics = evaluate.evaluate_with_labels(found.scores, found.combined, labels, found.layout)
     return results.labelled_table(metrics).drop("series_id")
@@ -592,8 +648,10 @@ severity AS (
     ORDER BY severity.severity DESC, variable, ts LIMIT 25
     """,
 )
-def severity_topn(spark: SparkSession, folder: str) -> DataFrame:
-    _, found = lag1_detection(spark, folder)
+def severity_topn(
+    spark: SparkSession, folder: str, detection: Callable = lag1_detection
+) -> DataFrame:
+    _, found = detection(spark, folder)
     top = explain.top_anomalies(found.scores, 25)
     return top.select("variable", "ts", F.round("severity", 6).alias("severity"))
 
@@ -631,8 +689,10 @@ def severity_topn(spark: SparkSession, folder: str) -> DataFrame:
     FROM facts
     """,
 )
-def explain_topn(spark: SparkSession, folder: str) -> DataFrame:
-    panel, found = lag1_detection(spark, folder)
+def explain_topn(
+    spark: SparkSession, folder: str, detection: Callable = lag1_detection
+) -> DataFrame:
+    panel, found = detection(spark, folder)
     told = explain.explain_top_anomalies(found.scores, panel, found.sizes, 10)
     return told.select(
         "variable",
@@ -661,8 +721,10 @@ def explain_topn(spark: SparkSession, folder: str) -> DataFrame:
       USING (variable)
     """,
 )
-def focus_range(spark: SparkSession, folder: str) -> DataFrame:
-    panel, found = lag1_detection(spark, folder)
+def focus_range(
+    spark: SparkSession, folder: str, detection: Callable = lag1_detection
+) -> DataFrame:
+    panel, found = detection(spark, folder)
     return results.focus_range(panel, found.components).drop("series_id")
 
 
@@ -674,8 +736,10 @@ def focus_range(spark: SparkSession, folder: str) -> DataFrame:
     FROM daily d LEFT JOIN components c USING (variable, ts)
     """,
 )
-def flagged_series(spark: SparkSession, folder: str) -> DataFrame:
-    panel, found = lag1_detection(spark, folder)
+def flagged_series(
+    spark: SparkSession, folder: str, detection: Callable = lag1_detection
+) -> DataFrame:
+    panel, found = detection(spark, folder)
     rows = results.flagged_series(panel, found.components)
     return rows.select("variable", "ts", F.round("value", 4).alias("value"), "is_anomaly")
 
@@ -688,8 +752,10 @@ def flagged_series(spark: SparkSession, folder: str) -> DataFrame:
     FROM daily d JOIN components c USING (variable, ts) WHERE c.is_anomaly = 1
     """,
 )
-def anomaly_points(spark: SparkSession, folder: str) -> DataFrame:
-    panel, found = lag1_detection(spark, folder)
+def anomaly_points(
+    spark: SparkSession, folder: str, detection: Callable = lag1_detection
+) -> DataFrame:
+    panel, found = detection(spark, folder)
     rows = results.anomaly_points(panel, found.components)
     return rows.select("variable", "ts", F.round("value", 4).alias("value"))
 
@@ -706,18 +772,27 @@ def anomaly_points(spark: SparkSession, folder: str) -> DataFrame:
     FROM flagged GROUP BY 1, 2
     """,
 )
-def score_pivot(spark: SparkSession, folder: str) -> DataFrame:
-    _, found = lag1_detection(spark, folder)
+def score_pivot(
+    spark: SparkSession, folder: str, detection: Callable = lag1_detection
+) -> DataFrame:
+    _, found = detection(spark, folder)
     wide = results.score_table(found.scores, list(found.scorers))
-    return wide.select(
-        "variable",
-        "ts",
-        F.round("norm_score", 6).alias("norm_score"),
-        "norm_is_anomaly",
-        F.round("wasserstein_score", 6).alias("wasserstein_score"),
-        "wasserstein_is_anomaly",
-        "any_scorer",
-    )
+    parts = [
+        column
+        for key in found.scorers
+        for column in (F.round(f"{key}_score", 6).alias(f"{key}_score"), f"{key}_is_anomaly")
+    ]
+    return wide.select("variable", "ts", *parts, "any_scorer")
+
+
+for _query in (
+    quantile_flag, or_scorers, or_variables, kpi_summary, top5_variables, auc_roc_pr, prf1, best_auc,
+    confusion, unsupervised_metrics, agreement, metric_table_unlabelled, metric_table_labelled,
+    severity_topn, explain_topn, focus_range, flagged_series, anomaly_points, score_pivot,
+):
+    query(f"full_{_query.__name__}")(partial(_query, detection=full_detection))
+for _query in (lag_linear_residual_norm, wasserstein_window, wasserstein_per_row):
+    query(f"full_{_query.__name__}")(partial(_query, residuals=full_residuals))
 
 
 # ---------------------------------------------------------------------------------------------
