@@ -283,6 +283,27 @@ def test_explanations(found, spiky):
     assert results.explanation_table(explain.explain_top_anomalies(found.scores, spiky, found.sizes)).count() == 5
 
 
+def test_each_series_is_explained(spark, monkeypatch):
+    calm, wild = wavy(200, 3, slope=0.0), wavy(200, 4, slope=0.0)
+    wild[150:200:3] += 20
+    panel = panel_of(spark, {"a": list(calm), "b": list(calm[::-1])})
+    panel = panel.unionByName(panel_of(spark, {"a": list(wild)}).withColumn("series_id", F.lit("wild")))
+    panel = materialize(panel.unionByName(panel.where("series_id = 's'").withColumn("series_id", F.lit("t"))))
+    found = detect.detect(panel, 0.3, ["norm"], layout=PLAIN)
+    all_rows = explain.severity(found.scores).toPandas()
+    want = {}
+    for name, rows in all_rows.groupby("series_id"):
+        rows = rows.sort_values(["severity", "variable", "ts"], ascending=[False, True, True]).head(4)
+        want[name] = list(zip(rows["variable"], rows["pos"]))
+    assert len(want) == 3
+    top = explain.top_anomalies(found.scores, 4).orderBy("series_id", F.desc("severity"), "variable", "ts").collect()
+    assert {k: [(r["variable"], r["pos"]) for r in top if r["series_id"] == k] for k in want} == want
+    monkeypatch.setattr(detect_queries, "user_panel", lambda *_: (panel, PLAIN))
+    told = detect_queries.explain_per_series(spark, "")
+    assert {r["series_id"]: r["count"] for r in told.groupBy("series_id").count().collect()} == dict.fromkeys(want, 5)
+    assert explain.explain_top_anomalies(found.scores, panel, found.sizes, 4, per_series=False).count() == 4
+
+
 def test_forest_finds_spikes(spiky):
     got = sorted_frame(iforest.detect_isolation_forest(spiky, 0.05, layout=PLAIN))
     a = got[got["variable"] == "a"]

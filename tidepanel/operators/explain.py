@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidepanel.functions import texts
@@ -32,10 +32,17 @@ def severity(scores: DataFrame) -> DataFrame:
     )
 
 
-def top_anomalies(scores: DataFrame, top_n: int = 5) -> DataFrame:
-    """The ``top_n`` worst (variable, instant) pairs over all variables."""
+def top_anomalies(scores: DataFrame, top_n: int = 5, per_series: bool = True) -> DataFrame:
+    """The ``top_n`` worst (variable, instant) pairs of each series, over all its variables.
+
+    ``per_series=False`` takes them of the whole table. Each task passes on only the first
+    ``top_n`` of a series (Spark's group limit, up to 1,000), so a long series is not gathered.
+    """
     order = [F.col("severity").desc(), *KEYS, "ts"]
-    return severity(scores).orderBy(*order).limit(top_n)
+    if not per_series:
+        return severity(scores).orderBy(*order).limit(top_n)
+    rank = F.row_number().over(Window.partitionBy("series_id").orderBy(*order))
+    return severity(scores).withColumn("__rank", rank).where(F.col("__rank") <= top_n).drop("__rank")
 
 
 def _when_text(ts: Column) -> Column:
@@ -45,18 +52,23 @@ def _when_text(ts: Column) -> Column:
 
 
 def explain_top_anomalies(
-    scores: DataFrame, positioned: DataFrame, sizes: DataFrame, top_n: int = 5
+    scores: DataFrame,
+    positioned: DataFrame,
+    sizes: DataFrame,
+    top_n: int = 5,
+    per_series: bool = True,
 ) -> DataFrame:
     """Value, distance from the train part, recent change and agreeing scorers of the worst instants.
 
     Only the few rows around each chosen instant are looked up: the chosen rows are the small side
-    of every join (their number is ``top_n``, so its size is known).
+    of every join, and they are counted before they are broadcast.
     """
     # written once: it is the side of four joins, and behind it lies the whole scoring
-    top = materialize(top_anomalies(scores, top_n))
+    top = materialize(top_anomalies(scores, top_n, per_series))
+    few = top.count() <= MAX_BROADCAST_TOP
 
     def small(df: DataFrame) -> DataFrame:
-        return F.broadcast(df) if top_n <= MAX_BROADCAST_TOP else df
+        return F.broadcast(df) if few else df
 
     wanted = top.select(
         *KEYS,

@@ -17,7 +17,7 @@ from tidepanel.model import KEYS, frame_to_panel
 from tidepanel.operators import clean, detect, evaluate, explain, forecast, iforest, results, scorers
 from tidepanel.operators.layout import Layout
 from tidepanel.operators.quality import infer_frequency
-from tidepanel.plans.panels import DAILY, HOURLY, daily_panel, hourly_frame
+from tidepanel.plans.panels import DAILY, HOURLY, daily_panel, hourly_frame, user_panel
 from tidepanel.plans.registry import query, table
 from tidepanel.session import materialize
 
@@ -707,6 +707,14 @@ def explain_topn(
     )
 
 
+@query("explain_per_series")
+def explain_per_series(spark: SparkSession, folder: str) -> DataFrame:
+    """The five worst days of each user."""
+    panel, layout = user_panel(spark, folder)
+    found = detect.detect(panel, RATIO, threshold_quantile=TOP, layout=layout)
+    return explain.explain_top_anomalies(found.scores, panel, found.sizes)
+
+
 @query(
     "focus_range",
     f"""

@@ -2,6 +2,7 @@
 
 * hourly: ``events``, one variable per event type, mean value per hour. Has natural gaps.
 * daily: ``lineitem``, one variable per return flag, revenue per ship date, put on a daily grid.
+* user: ``events``, one series per user, mean value per day.
 * orders: ``orders``, one variable per priority, total price per order date.
 """
 
@@ -34,6 +35,23 @@ def hourly_panel(spark: SparkSession, folder: str) -> DataFrame:
     return frame_to_panel(frame, names, series_id="events")
 
 
+def user_panel(spark: SparkSession, folder: str) -> tuple[DataFrame, Layout]:
+    """One series per user: the mean value of the user's events per day, gap-free and positioned."""
+    events = table(spark, folder, "events")
+    raw = materialize(
+        events.groupBy(
+            F.col("user_id").cast("string").alias("series_id"),
+            F.lit("value").alias("variable"),
+            F.date_trunc("day", "ts").cast("timestamp_ntz").alias("ts"),
+        )
+        .agg(F.avg("value").alias("value"))
+        .select(*PANEL_COLUMNS)
+    )
+    layout = Layout.measure(raw)
+    clean = materialize(regularise(raw, "D", layout))
+    return clean, Layout.measure(clean)
+
+
 HOURLY = """
 hourly_known AS (
   SELECT event_type AS variable, date_trunc('hour', ts) AS ts, avg(value) AS value
