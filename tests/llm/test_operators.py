@@ -342,6 +342,16 @@ def test_mix_meets_targets(spark):
         assert np.allclose(sums.w, sums.t, rtol=1e-5)
 
 
+def test_mix_goes_on_until_all_margins_agree(spark):
+    schema, flatten = "source string, lang string, topic string, tokens bigint", {"source": 0, "lang": 1, "topic": 1}
+    slow = [("a", "x", "p", 60000), ("a", "y", "p", 1), ("b", "x", "p", 1), ("b", "y", "p", 40000)]
+    raked = source_mix.rake(spark.createDataFrame(slow, schema), flatten).toPandas()
+    for name, want in (("source", {"a": 0.5, "b": 0.5}), ("lang", {"x": 60001 / 100002, "y": 40001 / 100002})):
+        assert raked.groupby(name).weight.sum().to_dict() == pytest.approx(want, rel=2e-6)
+    with pytest.warns(UserWarning, match="still differ"):
+        source_mix.rake(spark.createDataFrame([slow[0], slow[3]], schema), flatten)
+
+
 def test_mix_keeps_whole_rows(docs, rows):
     got = source_mix.mix(docs).collect()
     assert len(got) == len(rows) and all(0 <= r.probability <= 1 for r in got)
