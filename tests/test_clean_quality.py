@@ -3,14 +3,15 @@ import datetime as dt
 import numpy as np
 import pandas as pd
 import pytest
-from conftest import PLAIN, START, panel_of, sorted_frame
+from conftest import PLAIN, START, blocked, panel_of, sorted_frame
 from pyspark.sql import functions as F
 
 from tidepanel.functions import frequency as freq_names
 from tidepanel.functions.scalar import duration_text
 from tidepanel.model import frame_to_panel, panel_to_frame
 from tidepanel.operators import clean, quality, season
-from tidepanel.plans.pipeline import complete, prepare, regularise_by_frequency
+from tidepanel.operators.layout import Layout
+from tidepanel.plans.pipeline import prepare
 
 
 def test_linear_fill_counts_rows_not_time(spark):
@@ -137,7 +138,22 @@ def test_wide_and_long(spark):
     wide = panel_to_frame(panel, ["a", "b"]).orderBy("ts").collect()
     assert [(r["a"], r["b"]) for r in wide] == [(1, 3), (2, None)]
     sparse = panel.where("value is not null")
-    assert complete(sparse).where("value is null").count() == 1
+    assert clean.complete(sparse, PLAIN).where("value is null").count() == 1
+
+
+def test_completion_gives_each_series_its_own_names(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    rows = {(f"s{rng.integers(6)}", f"v{rng.integers(5)}", START + dt.timedelta(hours=int(rng.integers(20)))) for _ in range(150)}
+    panel = spark.createDataFrame([(*r, 1.0) for r in rows], "series_id string, variable string, ts timestamp_ntz, value double")
+    names, instants = {}, {}
+    for s, v, t in rows:
+        names.setdefault(s, set()).add(v)
+        instants.setdefault(s, set()).add(t)
+    want = {(s, v, t, 1.0 if (s, v, t) in rows else None) for s in names for v in names[s] for t in instants[s]}
+    for layout, share in ((PLAIN, 1e-5), (blocked(10), 0.2), (blocked(10), 0.9)):
+        monkeypatch.setattr("tidepanel.operators.layout.SHARE", share)
+        got = [tuple(r) for r in clean.complete(panel, layout).collect()]
+        assert len(got) == len(want) and set(got) == want
 
 
 def test_uneven_series_get_their_own_grid(spark):
@@ -146,7 +162,46 @@ def test_uneven_series_get_their_own_grid(spark):
     panel = spark.createDataFrame(rows, "series_id string, variable string, ts timestamp_ntz, value double")
     filled, layout = prepare(panel)
     freq = quality.infer_frequency(panel.select("series_id", "ts").distinct(), layout)
-    got = sorted_frame(regularise_by_frequency(filled, freq, layout), ("series_id", "pos"))
+    got = sorted_frame(clean.regularise_many(filled, freq, layout), ("series_id", "pos"))
     uneven = got[got["series_id"] == "uneven"]
     assert uneven["value"].tolist() == [0, 5, 10, 15, 20, 25, 30]
     assert (got["series_id"] == "even").sum() == 30
+
+
+def test_each_series_gets_the_grid_of_its_code(spark):
+    """One plan for all codes, against pandas."""
+    codes = ["5h", "90min", "D", "2D", "W-TUE", "MS", "2MS", "ME", "BMS", "BME", "B", "QS-FEB", "QE-DEC", "YS-MAR", "BYE-JUN"]
+    rows, want = [], {}
+    for i, code in enumerate(codes):
+        at = pd.date_range("2021-02-01", periods=40, freq=code) + pd.Timedelta(hours=0 if i % 2 else 7)
+        keep = [t for k, t in enumerate(at) if k in (0, len(at) - 1) or k % 3]
+        rows += [(code, "v", t.to_pydatetime(), float(k)) for k, t in enumerate(at) if t in keep]
+        want[code] = [t.to_pydatetime() for t in at]
+    panel = spark.createDataFrame(rows, "series_id string, variable string, ts timestamp_ntz, value double")
+    given = spark.createDataFrame([(c, c) for c in codes] + [("none", None)], "series_id string, freq string")
+    got = clean.regular_grid(panel, frequencies=given).toPandas().sort_values(["series_id", "pos"])
+    for code in codes:
+        mine = got[got["series_id"] == code]
+        assert [t.to_pydatetime() for t in mine["ts"]] == want[code], code
+        assert mine["pos"].tolist() == list(range(len(mine))) and (mine["n"] == len(mine)).all()
+        assert mine["value"].isna().sum() == len(mine) - sum(r[0] == code for r in rows)
+    for code in codes:
+        one = clean.regular_grid(panel.where(F.col("series_id") == code), code)
+        assert [r["ts"] for r in one.orderBy("pos").collect()] == want[code]
+
+
+def test_uneven_series_beside_even_and_unknown_ones_in_large_groups(spark):
+    rows = [("even", "v", START + dt.timedelta(hours=i), float(i)) for i in range(50)]
+    rows += [("uneven", "v", START + dt.timedelta(hours=5 * i), float(i)) for i in range(80) if i % 7 != 3]
+    rows += [("short", "v", START, 1.0), ("short", "v", START + dt.timedelta(days=3), 2.0)]
+    panel = spark.createDataFrame(rows, "series_id string, variable string, ts timestamp_ntz, value double")
+    results = []
+    for layout in (PLAIN, blocked(16)):
+        positioned = clean.with_position(panel, layout)
+        freq = quality.infer_frequency(panel.select("series_id", "ts"), layout)
+        results.append(sorted_frame(clean.regularise_many(positioned, freq, layout), ("series_id", "pos")))
+    pd.testing.assert_frame_equal(*results)
+    assert results[0].groupby("series_id").size().to_dict() == {"even": 50, "uneven": 80, "short": 2}
+    with pytest.raises(Exception, match="unknown frequency code"):
+        given = spark.createDataFrame([("even", "3fortnights")], "series_id string, freq string")
+        clean.regular_grid(panel, frequencies=given).collect()

@@ -10,7 +10,7 @@ from tidepanel.model import KEYS
 from tidepanel.operators import clean, evaluate, forecast, iforest, quality, scorers, season
 from tidepanel.operators import stationarity as tests_of_unit_root
 from tidepanel.operators import windows
-from tidepanel.operators.layout import exact_quantiles, nearest_known, running, with_position
+from tidepanel.operators.layout import exact_quantiles, nearest_known, running, running_at, with_position
 from tidepanel.session import materialize
 
 
@@ -190,9 +190,23 @@ def test_residuals(full, rest):
 @pytest.mark.parametrize("key", list(scorers.SCORERS))
 @pytest.mark.parametrize("window_agg", [False, True])
 def test_scores(rest, key, window_agg):
-    plain = sorted_frame(scorers.SCORERS[key].score(rest, PLAIN, window_agg))
-    split = sorted_frame(scorers.SCORERS[key].score(rest, blocked(40), window_agg))
-    same(split, plain, rtol=1e-6, atol=1e-9)
+    def scored(layout):
+        train, test = rest.where("is_train"), rest.where("not is_train")
+        state = {k: materialize(v) for k, v in scorers.SCORERS[key].fit(train, layout).items()}
+        return sorted_frame(scorers.SCORERS[key].score(test, state, layout, window_agg))
+
+    plain, split = scored(PLAIN), scored(blocked(40))
+    assert plain["error"].isna().all() and split["error"].isna().all()
+    same(split.drop(columns="error"), plain.drop(columns="error"), rtol=1e-6, atol=1e-9)
+
+
+def test_running_sums_at_rows_with_many_ties(spark):
+    steps = spark.createDataFrame([("a", "v", x / 4, k) for k, x in enumerate(range(-8, 40), 1)], "series_id string, variable string, x double, c bigint")
+    rows = [("a", "v", i, 1.0 if i % 3 else i / 50) for i in range(600)] + [("a", "v", 900, -5.0), ("a", "v", 901, 99.0)]
+    probes = spark.createDataFrame(rows, "series_id string, variable string, pos bigint, x double")
+    got = {r["pos"]: r["total"] for r in running_at(steps, probes, KEYS, "x", {"total": "c"}, blocked(20)).collect()}
+    known = steps.collect()
+    assert got == {pos: sum(s["c"] for s in known if s["x"] <= x) for _, _, pos, x in rows}
 
 
 def test_forest(full):

@@ -19,6 +19,8 @@ UNIT_MICROS = {
     "s": 1_000_000, "ms": 1_000, "us": 1,
 }
 
+_OLD_NAMES = {"H": "h", "T": "min", "S": "s"}
+
 WEEKDAYS = ["MON", "TUE", "WED", "THU", "FRI", "SAT", "SUN"]
 MONTHS = ["JAN", "FEB", "MAR", "APR", "MAY", "JUN", "JUL", "AUG", "SEP", "OCT", "NOV", "DEC"]
 
@@ -66,6 +68,55 @@ def step_micros(code: str) -> int | None:
     """Length of the step of a fixed frequency; None for calendar frequencies."""
     count, unit = parse_code(code)
     unit = unit.split("-")[0]
-    old_names = {"H": "h", "T": "min", "S": "s"}
-    unit = old_names.get(unit, unit)
+    unit = _OLD_NAMES.get(unit, unit)
     return count * UNIT_MICROS[unit] if unit in UNIT_MICROS else None
+
+
+def _count_of(code: Column) -> Column:
+    digits = F.regexp_extract(code, "^([0-9]*)", 1)
+    return F.when(digits == "", F.lit(1)).otherwise(F.try_to_number(digits, F.lit("999999999"))).cast("bigint")
+
+
+def _unit_of(code: Column) -> Column:
+    return F.regexp_extract(code, "^[0-9]*([A-Za-z]+)", 1)
+
+
+def step_micros_of(code: Column) -> Column:
+    """As :func:`step_micros`, for a column of codes."""
+    known = UNIT_MICROS | {old: UNIT_MICROS[new] for old, new in _OLD_NAMES.items()}
+    micros = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
+    return _count_of(code) * F.try_element_at(micros, _unit_of(code)).cast("bigint")
+
+
+def calendar_instants(code: Column, lo: Column, hi: Column) -> Column:
+    """Array of the instants of a calendar frequency from ``lo`` to ``hi`` (TIMESTAMP_NTZ).
+
+    Days of a business-day code, else the first or last (business) day of every so many months; the
+    time of day is that of ``lo``. A century has 36,525 days, so the array is short.
+    """
+    unit = _unit_of(code)
+    business = unit.startswith("B") & (F.length(unit) > 1)
+    kind = F.when(business, F.substring(unit, 2, 9)).otherwise(unit)
+    letter = F.substring(kind, 1, 1)
+    months = F.when(letter == "M", 1).when(letter == "Q", 3).when(letter == "Y", 12)
+    step = (months * _count_of(code)).cast("int")
+    first_day, last_day = F.to_date(lo), F.to_date(hi)
+    first_month = F.trunc(first_day, "MM")
+    times = F.floor(F.months_between(last_day, first_month) / step).cast("int") + 1
+
+    def anchored(i: Column) -> Column:
+        start = F.add_months(first_month, i * step)
+        end = F.last_day(start)
+        end = F.when(business, F.date_sub(end, F.greatest(F.weekday(end) - 4, F.lit(0)))).otherwise(end)
+        ahead = F.when(business & (F.weekday(start) > 4), 7 - F.weekday(start)).otherwise(0)
+        return F.when(kind.endswith("S"), F.date_add(start, ahead)).otherwise(end)
+
+    workdays = F.filter(F.sequence(first_day, last_day), lambda d: F.weekday(d) < 5)
+    days = (
+        F.when(unit == "B", workdays)
+        .when(step.isNotNull(), F.transform(F.sequence(F.lit(0), times), anchored))
+        .otherwise(F.raise_error(F.concat(F.lit("unknown frequency code: "), code)).cast("array<date>"))
+    )
+    time_of_day = lo.cast("timestamp_ntz") - F.date_trunc("day", lo).cast("timestamp_ntz")
+    instants = F.transform(days, lambda d: d.cast("timestamp_ntz") + time_of_day)
+    return F.filter(instants, lambda t: (t >= lo) & (t <= hi))

@@ -6,16 +6,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidepanel.functions import texts
-from tidepanel.functions.frequency import parse_code, step_micros
+from tidepanel.functions.frequency import calendar_instants, parse_code, step_micros, step_micros_of
 from tidepanel.model import KEYS, PANEL_COLUMNS, from_micros, micros
 from tidepanel.operators.layout import (
     Layout,
     block_window,
     halo_blocks,
+    join_groups,
     nearest_known,
+    settle,
     with_position,
 )
 from tidepanel.operators.windows import centred_frame
+from tidepanel.session import materialize
 
 FILL_METHODS = tuple(texts.FILL_LABELS)
 
@@ -41,10 +44,30 @@ def variable_profile(panel: DataFrame) -> DataFrame:
     ).withColumn("is_constant", F.coalesce(F.col("lo") == F.col("hi"), F.lit(True)).cast("int"))
 
 
-def drop_constant(panel: DataFrame) -> DataFrame:
+def drop_constant(panel: DataFrame, layout: Layout | None = None) -> DataFrame:
     """Leave out variables with at most one distinct known value."""
     constant = variable_profile(panel).where("is_constant = 1").select(*KEYS)
-    return panel.join(constant, KEYS, "left_anti")
+    if layout is None:
+        return panel.join(constant, KEYS, "left_anti")
+    return join_groups(panel, settle(constant, layout), KEYS, layout, "left_anti")
+
+
+def complete(panel: DataFrame, layout: Layout) -> DataFrame:
+    """Give every variable of a series a row at every instant of the series (NULL where unknown).
+
+    Rows that are there pass as they are. Per (series, instant) the set of its variables is made, a
+    shuffle that no series can make uneven, and what it lacks of the series' own names is added. So
+    any number of series may have names of their own: no pivot, no list of all names.
+    """
+    names = panel.groupBy("series_id").agg(F.collect_set("variable").alias("__names"))
+    at = panel.groupBy("series_id", "ts").agg(F.collect_set("variable").alias("__here"))
+    if layout.blocked:
+        names, at = materialize(names), materialize(at)
+    lacking = join_groups(at, names, ["series_id"], layout).select(
+        "series_id", F.explode(F.array_except("__names", "__here")).alias("variable"), "ts"
+    )
+    rows = panel.select(*PANEL_COLUMNS)
+    return rows.unionByName(lacking.withColumn("value", F.lit(None).cast("double")))
 
 
 def missing_counts(panel: DataFrame) -> DataFrame:
@@ -71,66 +94,48 @@ def _grid(spans: DataFrame, step: Column, block_rows: int) -> DataFrame:
     )
 
 
-def _calendar_grid(spans: DataFrame, freq: str) -> DataFrame:
-    """Instants of a calendar frequency between the ends. A century has few months and days."""
-    count, unit = parse_code(freq)
-    kind = unit.split("-")[0]
-    business = kind.startswith("B") and kind != "B"
-    kind = kind[1:] if business else kind
-    lo, hi = F.col("__min_ts"), F.col("__max_ts")
-    time_of_day = lo.cast("timestamp_ntz") - F.date_trunc("day", lo).cast("timestamp_ntz")
-    if kind == "B":
-        days = F.explode(F.sequence(F.to_date(lo), F.to_date(hi)))
-        rows = spans.withColumn("__d", days).where(F.weekday("__d") < 5)
-    else:
-        months = {"M": 1, "Q": 3, "Y": 12}.get(kind[:1])
-        if months is None:
-            raise ValueError(f"unknown frequency code: {freq!r}")
-        at_end = not kind.endswith("S")
-        first_month = F.trunc(F.to_date(lo), "MM")
-        span = F.floor(F.months_between(F.to_date(hi), first_month) / (months * count)) + 1
-        rows = spans.withColumn("__i", F.explode(F.sequence(F.lit(0), span.cast("int"))))
-        rows = rows.withColumn("__d", F.add_months(first_month, F.col("__i") * (months * count)))
-        if at_end:
-            rows = rows.withColumn("__d", F.last_day("__d"))
-        if business and at_end:
-            rows = rows.withColumn(
-                "__d", F.date_sub("__d", F.greatest(F.weekday("__d") - 4, F.lit(0)))
-            )
-        elif business:
-            ahead = F.when(F.weekday("__d") > 4, 7 - F.weekday("__d")).otherwise(0)
-            rows = rows.withColumn("__d", F.date_add("__d", ahead))
-    stamped = rows.withColumn("ts", F.col("__d").cast("timestamp_ntz") + time_of_day)
-    return stamped.where((F.col("ts") >= lo) & (F.col("ts") <= hi)).select(*KEYS, "ts")
-
-
 def regular_grid(
-    panel: DataFrame, freq: str | None = None, block_rows: int = 1 << 18
+    panel: DataFrame,
+    freq: str | None = None,
+    block_rows: int = 1 << 18,
+    frequencies: DataFrame | None = None,
 ) -> DataFrame:
     """Put each variable on the grid from its series' first to its last instant.
 
-    Instants without a row get NULL, rows off the grid vanish. ``freq`` None leaves the panel
-    as it is. With a fixed step the position of an instant is known by arithmetic, so the result
-    also has ``pos`` and ``n``, without any ordering.
+    Instants without a row get NULL, rows off the grid vanish. One ``freq`` serves all series, or
+    ``frequencies`` (series_id, freq) gives each its own; without either the panel stays as it is, and
+    so do series without a code. Fixed steps and calendar codes are columns of one plan, whatever the
+    number of codes. Positions are known by arithmetic, so the result also has ``pos`` and ``n``,
+    without any ordering.
     """
-    if freq is None:
+    if freq is None and frequencies is None:
         return panel
     span = panel.groupBy("series_id").agg(
         F.min("ts").alias("__min_ts"), F.max("ts").alias("__max_ts")
     )
-    variables = panel.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("__rows")).drop("__rows")
-    spans = variables.join(span, "series_id")
-    step = step_micros(freq)
-    if step is None:
-        axis = _calendar_grid(spans, freq)
+    if freq is not None:
+        parse_code(freq)
+        span = span.withColumn("__code", F.lit(freq))
     else:
-        spans = spans.withColumn("__from", micros("__min_ts")).withColumn(
-            "__last", F.floor((micros("__max_ts") - F.col("__from")) / step).cast("long")
+        codes = frequencies.where("freq is not null").select("series_id", F.col("freq").alias("__code"))
+        span = span.join(codes, "series_id")
+    variables = panel.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("__rows")).drop("__rows")
+    spans = variables.join(span, "series_id").withColumn("__step", step_micros_of(F.col("__code")))
+    fixed = spans.where("__step is not null").withColumn("__from", micros("__min_ts"))
+    fixed = fixed.withColumn(
+        "__last", F.floor((micros("__max_ts") - F.col("__from")) / F.col("__step")).cast("long")
+    )
+    axis = _grid(fixed, F.col("__step"), block_rows)
+    if freq is None or step_micros(freq) is None:
+        instants = calendar_instants(F.col("__code"), F.col("__min_ts"), F.col("__max_ts"))
+        by_calendar = spans.where("__step is null").select(*KEYS, instants.alias("__at"))
+        by_calendar = by_calendar.select(
+            *KEYS, F.size("__at").cast("long").alias("n"), F.posexplode("__at").alias("pos", "ts")
         )
-        axis = _grid(spans, F.lit(step), block_rows)
+        by_calendar = by_calendar.select(*KEYS, "ts", F.col("pos").cast("long").alias("pos"), "n")
+        axis = by_calendar if freq is not None else axis.unionByName(by_calendar)
     known = panel.select(*PANEL_COLUMNS)
-    extra = [c for c in axis.columns if c in ("pos", "n")]
-    return axis.join(known, KEYS + ["ts"], "left").select(*PANEL_COLUMNS, *extra)
+    return axis.join(known, KEYS + ["ts"], "left").select(*PANEL_COLUMNS, "pos", "n")
 
 
 def fill(
@@ -205,15 +210,37 @@ def impute_stats(before: DataFrame, after: DataFrame, method: str) -> DataFrame:
 
 
 def regularise(
-    panel: DataFrame, freq: str, layout: Layout, method: str = "interpolate_linear"
+    panel: DataFrame,
+    freq: str | None,
+    layout: Layout,
+    method: str = "interpolate_linear",
+    frequencies: DataFrame | None = None,
 ) -> DataFrame:
     """Grid, positions and filling in one go: the input detection needs."""
-    gridded = regular_grid(panel, freq, layout.block_rows)
+    gridded = regular_grid(panel, freq, layout.block_rows, frequencies)
     if "pos" not in gridded.columns:
         gridded = with_position(gridded, layout)
     return fill(gridded, method, layout)
 
 
+def regularise_many(
+    positioned: DataFrame, frequency: DataFrame, layout: Layout, method: str = "interpolate_linear"
+) -> DataFrame:
+    """Put uneven series on the grid of their own frequency; even ones stay as they are.
+
+    ``frequency`` has one row per series (see :func:`quality.infer_frequency`). A series without a
+    code, one of fewer than three instants, stays as it is.
+    """
+    uneven = frequency.where(is_irregular(frequency) & F.col("freq").isNotNull())
+    uneven = settle(uneven.select("series_id", "freq"), layout)
+    columns = [*PANEL_COLUMNS, "pos", "n"]
+    even = join_groups(positioned, uneven, ["series_id"], layout, "left_anti").select(*columns)
+    rows = join_groups(positioned, uneven, ["series_id"], layout, "left_semi").select(*PANEL_COLUMNS)
+    return even.unionByName(
+        regularise(rows, None, layout, method, uneven).select(*columns)
+    )
+
+
 def is_irregular(axis_frequency: DataFrame) -> Column:
     """True for series whose gaps differ (columns of :func:`quality.infer_frequency`)."""
     return F.col("n_gaps") > 1

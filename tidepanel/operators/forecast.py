@@ -106,7 +106,10 @@ def split_standardise(
 def linear_coefficients(
     positioned: DataFrame, sizes: DataFrame, layout: Layout, reach: int = MAX_LAGS
 ) -> DataFrame:
-    """Least-squares coefficients [lag 1.., constant] of every group, in one job."""
+    """Least-squares ``coefficients`` [lag 1.., constant] of every group, in one job.
+
+    A group that cannot be solved (an infinite value, say) has an ``error`` instead of coefficients.
+    """
     blocks = attach(halo_blocks(positioned, layout, before=reach), sizes, layout)
     train = blocks.where(F.col("pos") < F.col("cut"))
 
@@ -127,14 +130,41 @@ def linear_coefficients(
 
     def solve(batches):
         for batch in batches:
-            beta = [solve_normal(from_triangle(np.asarray(s)))[0] for s in batch["sums"]]
-            yield batch[["series_id", "variable", "n"]].assign(coefficients=beta)
+            found = [_solved(np.asarray(s)) for s in batch["sums"]]
+            yield batch[["series_id", "variable", "n"]].assign(
+                coefficients=[f[0] for f in found], error=[f[1] for f in found]
+            )
 
     return sums.mapInPandas(
-        solve, "series_id string, variable string, n bigint, coefficients array<double>"
+        solve,
+        "series_id string, variable string, n bigint, coefficients array<double>, error string",
     )
 
 
+def _solved(sums: np.ndarray) -> tuple[np.ndarray | None, str | None]:
+    if not np.isfinite(sums).all():
+        return None, "values that are not finite"
+    try:
+        return solve_normal(from_triangle(sums))[0], None
+    except np.linalg.LinAlgError as error:
+        return None, str(error)
+
+
+def fit_linear(
+    positioned: DataFrame,
+    test_ratio: float = 0.5,
+    lags: int | None = None,
+    layout: Layout | None = None,
+    sizes: DataFrame | None = None,
+) -> DataFrame:
+    """One row per usable group: its sizes, scaling and ``coefficients``, or the ``error`` of its fit."""
+    layout = Layout.of(positioned, layout)
+    sizes = materialize(usable(sizing(positioned, test_ratio, lags)) if sizes is None else sizes)
+    reach = MAX_LAGS if lags is None else lags
+    beta = linear_coefficients(positioned, sizes, layout, reach).drop("n")
+    return materialize(sizes.join(beta, KEYS))
+
+
 def _lagged(positioned: DataFrame, values: DataFrame, layout: Layout, reach: int) -> DataFrame:
     """Scaled rows with their lags, kept where all lags lie in the row's own split."""
     blocks = attach(halo_blocks(positioned, layout, before=reach), values, layout)
@@ -155,44 +185,66 @@ _INPUT = [*KEYS, "ts", "pos", "n", "cut", "lags", "window", "spos", "is_train",
 _RESIDUAL = [*_INPUT, "resid"]
 
 
-def residuals(
+def apply_linear(
+    positioned: DataFrame, fits: DataFrame, layout: Layout, reach: int = MAX_LAGS
+) -> DataFrame:
+    """Residuals of the groups whose fit went well, on rows with a full past in their own split."""
+    rows = _lagged(positioned, fits.where("error is null").drop("error"), layout, reach)
+    products = F.zip_with("past", F.slice("coefficients", F.lit(1), F.col("lags")),
+                          lambda z, c: z * c)
+    constant = F.element_at("coefficients", F.col("lags") + 1)
+    forecast = F.aggregate(products, F.lit(0.0), lambda total, p: total + p) + constant
+    return rows.withColumn("resid", F.col("scaled") - forecast).select(*_RESIDUAL)
+
+
+def forecast_residuals(
     positioned: DataFrame,
     test_ratio: float = 0.5,
     forecaster: str = "linear",
     lags: int | None = None,
     layout: Layout | None = None,
     trees: int = 100,
-) -> DataFrame:
-    """Scaled value minus its one-step forecast, on train and test rows with a full past.
-
-    ``linear`` solves all groups in one job; ``gbt`` trains boosted trees, one distributed fit per
-    variable. The fit is done once per variable and shared by all scorers.
-    """
+) -> tuple[DataFrame, DataFrame]:
+    """Residuals (see :func:`residuals`), and (series_id, variable, error) of fits that failed."""
     layout = Layout.of(positioned, layout)
-    sizes = usable(sizing(positioned, test_ratio, lags))
     reach = MAX_LAGS if lags is None else lags
     if forecaster == "linear":
-        sizes = materialize(sizes)
-        beta = linear_coefficients(positioned, sizes, layout, reach).drop("n")
-        values = sizes.join(beta, KEYS)
-        rows = _lagged(positioned, values, layout, reach)
-        products = F.zip_with("past", F.slice("coefficients", F.lit(1), F.col("lags")),
-                              lambda z, c: z * c)
-        constant = F.element_at("coefficients", F.col("lags") + 1)
-        forecast = F.aggregate(products, F.lit(0.0), lambda total, p: total + p) + constant
-        return rows.withColumn("resid", F.col("scaled") - forecast).select(*_RESIDUAL)
+        fits = fit_linear(positioned, test_ratio, lags, layout)
+        errors = fits.where("error is not null").select(*KEYS, "error")
+        return apply_linear(positioned, fits, layout, reach), errors
     if forecaster != "gbt":
         raise ValueError(f"unknown forecaster: {forecaster!r}; choose linear or gbt")
+    sizes = usable(sizing(positioned, test_ratio, lags))
     # written before the number is used: it must not change from one read to the next
     numbered = materialize(sizes.withColumn("fit", F.monotonically_increasing_id()))
-    return _boosted(_lagged(positioned, numbered, layout, reach), trees)
+    rest, failed = _boosted(_lagged(positioned, numbered, layout, reach), trees)
+    told = positioned.sparkSession.createDataFrame(failed, "fit bigint, error string")
+    return rest, numbered.join(told, "fit").select(*KEYS, "error")
 
 
-def _boosted(rows: DataFrame, trees: int) -> DataFrame:
+def residuals(
+    positioned: DataFrame,
+    test_ratio: float = 0.5,
+    forecaster: str = "linear",
+    lags: int | None = None,
+    layout: Layout | None = None,
+    trees: int = 100,
+) -> DataFrame:
+    """Scaled value minus its one-step forecast, on train and test rows with a full past.
+
+    ``linear`` solves all groups in one job; ``gbt`` trains boosted trees, one distributed fit per
+    variable. The fit is done once per variable and shared by all scorers. A group whose fit fails
+    has no residuals.
+    """
+    return forecast_residuals(positioned, test_ratio, forecaster, lags, layout, trees)[0]
+
+
+def _boosted(rows: DataFrame, trees: int) -> tuple[DataFrame, list[tuple[int, str]]]:
     """One distributed boosted-tree fit per variable, for panels of a few large variables.
 
     The rows are written in one folder per variable, so a fit reads only its own files. A few fits
     run at a time, and each writes its residuals; the plan of the result does not grow with them.
+    A fit that fails (a variable without train rows, say) is told, the others go on.
     """
     spark = rows.sparkSession
     folder = f"{shared_folder(spark).rstrip('/')}/tidepanel-{uuid.uuid4().hex}"
@@ -205,9 +257,15 @@ def _boosted(rows: DataFrame, trees: int) -> DataFrame:
     fits = [r["fit"] for r in written.select("fit").distinct().collect()]
     empty = written.withColumn("resid", F.lit(0.0)).select(*_RESIDUAL)
     if not fits:
-        return empty
+        return empty, []
+
+    def run(fit: int) -> tuple[int, str] | None:
+        try:
+            fit_one(fit)
+        except Exception as error:  # noqa: BLE001 - the variable's note says what went wrong
+            return fit, str(error).splitlines()[0][:200]
 
-    def run(fit: int) -> None:
+    def fit_one(fit: int) -> None:
         mine = written.where(F.col("fit") == fit)
         model = GBTRegressor(
             featuresCol="features",
@@ -227,8 +285,10 @@ def _boosted(rows: DataFrame, trees: int) -> DataFrame:
         )
 
     with ThreadPoolExecutor(FITS_AT_A_TIME) as pool:
-        list(pool.map(inheritable_thread_target(spark)(run), fits))
-    return spark.read.schema(empty.schema).parquet(f"{folder}/residuals").select(*_RESIDUAL)
+        failed = [f for f in pool.map(inheritable_thread_target(spark)(run), fits) if f]
+    if len(failed) == len(fits):
+        return empty.limit(0), failed
+    return spark.read.schema(empty.schema).parquet(f"{folder}/residuals").select(*_RESIDUAL), failed
 
 
 def _schema(rows: DataFrame) -> StructType:

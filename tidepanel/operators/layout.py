@@ -5,6 +5,7 @@ here keep every task bounded instead:
 
 * :func:`running` - running sums in key order. Rows are put into order-preserving buckets, bucket
   totals are added up in a small table, and only the rows of one bucket meet in a task.
+* :func:`running_at` - running sums of one table at the rows of another, in the same buckets.
 * :func:`with_position` - row numbers, a special case of the former.
 * :func:`halo_blocks` - blocks of ``block_rows`` consecutive positions, each with copies of the
   neighbouring rows a bounded frame needs. A window over (group, block) then equals the window
@@ -12,6 +13,7 @@ here keep every task bounded instead:
 * :func:`nearest_known` - unbounded look-around (previous / next known value), by carrying the
   block edges over the small table of blocks.
 * :func:`attach` - joins per-group values on (group, block) rather than on the group alone.
+* :func:`join_groups` - joins per-group values to rows without blocks, large groups apart.
 
 A :class:`Layout` says whether any group is larger than a block; where none is, the same calls give
 the plain window, with fewer exchanges. Results are equal either way (see tests/test_layout.py).
@@ -28,8 +30,9 @@ from tidepanel.model import KEYS, micros
 from tidepanel.session import materialize
 
 BLOCK_ROWS = 1 << 17
-MAX_LEVELS = 8
 FINE_SPLIT = 4
+#: Groups with a larger share of the rows are joined apart; there are at most 1 / SHARE of them.
+SHARE = 1e-5
 
 
 @dataclass(frozen=True)
@@ -60,10 +63,12 @@ def _bucketed(
     """Add columns ``__b0..`` whose order follows ``__o``, and give the totals of each bucket.
 
     A level cuts the value range of each crowded bucket evenly, in proportion to its row count, and
-    the next level looks whether any bucket is still crowded. Totals are small tables, written once,
-    so that later joins know their size. Where the cuts fall never changes results.
+    the next level looks whether any bucket is still crowded; this ends when none is or when a level
+    has parted nothing. A bucket of one value cannot be cut and may stay crowded: it is marked
+    ``__one``, and its rows are ``__c``. Totals are small tables, written once, so that later joins
+    know their size. Where the cuts fall never changes results.
     """
-    current, path = rows, []
+    current, path, buckets = rows, [], 0
     while True:
         totals = materialize(
             current.groupBy(*keys, *path).agg(
@@ -73,11 +78,13 @@ def _bucketed(
                 *[F.sum(name).alias(name) for name in sums],
             )
         )
-        level = len(path)
-        if level == MAX_LEVELS or (
-            level and (totals.agg(F.max("__c")).first()[0] or 0) <= FINE_SPLIT * target
-        ):
-            return current, totals.drop("__c", "__lo", "__hi"), path
+        level, before = len(path), buckets
+        crowd, buckets = totals.agg(
+            F.max(F.when(F.col("__hi") > F.col("__lo"), F.col("__c"))), F.count(F.lit(1))
+        ).first()
+        if level and ((crowd or 0) <= FINE_SPLIT * target or (level > 1 and buckets == before)):
+            one = (F.col("__hi") == F.col("__lo")).alias("__one")
+            return current, totals.select(*keys, *path, *sums, "__c", one), path
         parts = F.when(F.col("__c") <= target, F.lit(1)).otherwise(
             F.ceil(F.col("__c") / F.lit(target)) * FINE_SPLIT
         )
@@ -149,6 +156,53 @@ def running(
     )
 
 
+def running_at(
+    steps: DataFrame,
+    probes: DataFrame,
+    keys: list[str],
+    order: str,
+    measures: dict[str, Column | str],
+    layout: Layout,
+) -> DataFrame:
+    """Rows of ``probes`` with, for each measure, its sum over the ``steps`` that are not behind the row.
+
+    Both tables have ``keys`` and a numeric ``order``; the steps' values are distinct inside a group,
+    the rows' may repeat. Both go into the same order-preserving buckets, so nothing is joined on the
+    values. A value that very many rows share makes a bucket of its own, in which all rows have the
+    same sums; it is dealt out by the number of its rows.
+    """
+    raw = {f"__m_{name}": F.col(e) if isinstance(e, str) else e for name, e in measures.items()}
+    row = F.struct(*probes.columns)
+    empty = F.lit(None).cast(probes.select(row.alias("r")).schema["r"].dataType)
+    both = steps.select(*keys, F.col(order).alias("__o"), *[e.cast("double").alias(m) for m, e in raw.items()], empty.alias("__row"))
+    both = both.unionByName(
+        probes.select(*keys, F.col(order).alias("__o"), *[F.lit(0.0).alias(m) for m in raw], row.alias("__row"))
+    )
+    cut, totals, path = _bucketed(materialize(both), keys, list(raw), layout.block_rows)
+    before = Window.partitionBy(*keys).orderBy(*path).rowsBetween(Window.unboundedPreceding, -1)
+    parts = F.greatest(F.ceil(F.col("__c") / layout.block_rows), F.lit(1))
+    offsets = totals.select(
+        *keys,
+        *path,
+        F.when(F.col("__one"), parts).otherwise(F.lit(1)).cast("bigint").alias("__parts"),
+        "__one",
+        *[F.coalesce(F.sum(m).over(before), F.lit(0.0)).alias(f"__at{m}") for m in raw],
+        *[F.col(m).alias(f"__all{m}") for m in raw],
+    )
+    dealt = cut.join(offsets, keys + path).withColumn(
+        "__part", F.pmod(F.xxhash64("__row"), F.col("__parts"))
+    )
+    upto = Window.partitionBy(*keys, *path, "__part").orderBy("__o").rangeBetween(
+        Window.unboundedPreceding, Window.currentRow
+    )
+    sums = [
+        (F.when(F.col("__one"), F.col(f"__all__m_{m}")).otherwise(F.sum(f"__m_{m}").over(upto))
+         + F.col(f"__at__m_{m}")).alias(m)
+        for m in measures
+    ]
+    return dealt.select("__row", *sums).where("__row is not null").select("__row.*", *measures)
+
+
 def with_position(
     df: DataFrame, layout: Layout, keys: list[str] = KEYS, order: str = "ts"
 ) -> DataFrame:
@@ -201,6 +255,27 @@ def per_block(values: DataFrame, layout: Layout) -> DataFrame:
     return values.withColumn("block", F.explode(F.sequence(first, last)))
 
 
+def join_groups(
+    rows: DataFrame, values: DataFrame, keys: list[str], layout: Layout, how: str = "inner"
+) -> DataFrame:
+    """Join (inner, left, left_semi or left_anti) per-group ``values`` to rows that have no block.
+
+    With large groups the values of those with more than ``SHARE`` of all rows are broadcast: at most
+    1 / ``SHARE`` rows, whatever the data. All other groups are small beside a task's part of the
+    rows, so the shuffle of theirs is even.
+    """
+    if not layout.blocked:
+        return rows.join(values, keys, how)
+    sizes = materialize(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows")))
+    total = sizes.agg(F.sum("__rows")).first()[0] or 0
+    large = materialize(sizes.where(F.col("__rows") > total * SHARE).select(*keys))
+    marked = rows.join(F.broadcast(large.withColumn("__large", F.lit(True))), keys, "left")
+    near = values.join(F.broadcast(large), keys, "left_semi")
+    far = values.join(F.broadcast(large), keys, "left_anti")
+    at_hand = marked.where("__large").drop("__large").join(F.broadcast(near), keys, how)
+    return at_hand.unionByName(marked.where("__large is null").drop("__large").join(far, keys, how))
+
+
 def settle(values: DataFrame, layout: Layout) -> DataFrame:
     """Write a small per-group table before it is joined to a large one.
 

@@ -1,9 +1,11 @@
 """Scores of forecast residuals: size, distance to usual patterns, distance of distributions.
 
-Every scorer takes the residual table and returns ``(series_id, variable, scorer, ts, pos, n,
-score)`` on the test part. A window's score is stamped at its last row; the first rows of the test
-part, which have no whole window, get none (or, with ``window_agg``, the mean of the windows over
-each row).
+A scorer has two halves. ``fit`` turns the residuals of the train part into tables (the scorer's
+state, none for the size). ``score`` takes residuals, of the test part or of rows that came later, and
+such tables, and returns ``(series_id, variable, scorer, ts, pos, n, score, error)``. A window's score
+is stamped at its last row; the first rows, which have no whole window, get none (or, with
+``window_agg``, the mean of the windows over each row). Where the computation of one group fails, the
+group has a row with the ``error`` instead of scores, and the other groups keep theirs.
 """
 
 from __future__ import annotations
@@ -27,6 +29,7 @@ from tidepanel.operators.layout import (
     halo_blocks,
     per_block,
     running,
+    running_at,
 )
 from tidepanel.session import materialize
 
@@ -36,14 +39,43 @@ MAX_BROADCAST_GROUPS = 10_000
 SLICE_WINDOWS = 16_384
 
 
-def norm_scores(residuals: DataFrame, layout: Layout, window_agg: bool = False) -> DataFrame:
+State = dict[str, DataFrame]
+
+
+def _no_error() -> Column:
+    return F.lit(None).cast("string").alias("error")
+
+
+def _train(residuals: DataFrame) -> DataFrame:
+    return residuals.where("is_train")
+
+
+def _test(residuals: DataFrame) -> DataFrame:
+    return residuals.where(~F.col("is_train"))
+
+
+def _scores_only(scored: DataFrame) -> DataFrame:
+    return scored.where("error is null").select(*SCORE_COLUMNS)
+
+
+def norm_fit(train: DataFrame, layout: Layout) -> State:
+    return {}
+
+
+def norm_score(
+    test: DataFrame, state: State, layout: Layout, window_agg: bool = False
+) -> DataFrame:
     """Size of the residual. The same with and without ``window_agg``: its windows have one row."""
-    test = residuals.where(~F.col("is_train"))
-    return test.select(
-        *KEYS, F.lit("norm").alias("scorer"), "ts", "pos", "n", F.abs("resid").alias("score")
+    size = F.abs("resid")
+    return test.where(~F.isnan(size)).select(
+        *KEYS, F.lit("norm").alias("scorer"), "ts", "pos", "n", size.alias("score"), _no_error()
     )
 
 
+def norm_scores(residuals: DataFrame, layout: Layout, window_agg: bool = False) -> DataFrame:
+    return _scores_only(norm_score(_test(residuals), {}, layout, window_agg))
+
+
 def _spread_over_rows(rows: DataFrame, layout: Layout) -> DataFrame:
     """Mean, for each row, of the scores of the windows that cover it."""
     blocks = halo_blocks(rows, layout, after=MAX_WINDOW - 1)
@@ -59,10 +91,14 @@ def _spread_over_rows(rows: DataFrame, layout: Layout) -> DataFrame:
 
 
 def _finish(rows: DataFrame, scorer: str, layout: Layout, window_agg: bool) -> DataFrame:
-    scored = _spread_over_rows(rows, layout) if window_agg else rows
+    """Known scores of rows without an error, and one row for each block that has one."""
+    right = rows.where("error is null")
+    scored = _spread_over_rows(right, layout) if window_agg else right
     known = F.col("score").isNotNull() & ~F.isnan("score")
-    return scored.where(known).select(
-        *KEYS, F.lit(scorer).alias("scorer"), "ts", "pos", "n", "score"
+    name = F.lit(scorer).alias("scorer")
+    wrong = rows.where("error is not null")
+    return scored.where(known).select(*KEYS, name, "ts", "pos", "n", "score", _no_error()).unionByName(
+        wrong.select(*KEYS, name, "ts", "pos", "n", F.lit(None).cast("double").alias("score"), "error")
     )
 
 
@@ -71,33 +107,33 @@ def _finish(rows: DataFrame, scorer: str, layout: Layout, window_agg: bool) -> D
 # ---------------------------------------------------------------------------------------------
 
 
-def wasserstein_scores(
-    residuals: DataFrame, layout: Layout, window_agg: bool = False, signed: bool = False
-) -> DataFrame:
-    """First Wasserstein distance between a window's residuals and all train residuals, exact.
+def _sizes(signed: bool) -> Column:
+    return F.col("resid") if signed else F.abs("resid")
 
-    Written over quantiles, the distance is a sum over the window's sorted residuals x_i of the
-    integral of |x_i - Q(p)| for p in ((i-1)/w, i/w], with Q the train quantile function. With
-    F(x) the share of train residuals up to x and S(x) their sum over the train size - one running
-    sum over distinct residuals - and with the integral G of Q at the w+1 points i/w, each term is
-    plain arithmetic. So no window ever meets the train residuals themselves.
-    """
-    x = F.col("resid") if signed else F.abs("resid")
-    rows = residuals.withColumn("x", x)
-    values = rows.groupBy(*KEYS, "x", "window").agg(
-        F.count_if("is_train").cast("bigint").alias("c")
-    )
+
+def wasserstein_fit(train: DataFrame, layout: Layout, signed: bool = False) -> State:
+    """The train quantile function: distinct residuals ``x`` with running counts and sums up to each."""
+    x = _sizes(signed).alias("x")
+    known = train.select(*KEYS, "window", x).where(~F.isnan("x"))
+    values = known.groupBy(*KEYS, "x", "window").agg(F.count(F.lit(1)).alias("c"))
     ranked = running(
         values, KEYS, "x", {"cnt": F.col("c"), "mass": F.col("c") * F.col("x")}, layout
     )
-    if layout.blocked:
-        ranked = materialize(ranked)  # read twice below
-    total, w = F.col("cnt_total"), F.col("window").cast("bigint")
+    return {
+        "quantiles": ranked.select(
+            *KEYS, "window", "x", "c", "cnt", "mass", F.col("cnt_total").alias("total")
+        )
+    }
+
+
+def _integrals(quantiles: DataFrame) -> DataFrame:
+    """Per group ``grid``: the integral of the train quantile function up to i/w, i = 0 to w."""
+    total, w = F.col("total"), F.col("window").cast("bigint")
     before = F.col("cnt") - F.col("c")
     first = F.floor(before * w / total) + 1
     last = F.floor(F.col("cnt") * w / total)
     edges = (
-        ranked.where((F.col("c") > 0) & (first <= last))
+        quantiles.where(first <= last)
         .withColumn("i", F.explode(F.sequence(first, last)))
         .withColumn(
             "g",
@@ -106,53 +142,110 @@ def wasserstein_scores(
         )
     )
     ordered = F.array_sort(F.collect_list(F.struct("i", "g")))
-    integrals = edges.groupBy(*KEYS).agg(
+    return edges.groupBy(*KEYS).agg(
         F.concat(F.array(F.lit(0.0)), F.transform(ordered, lambda e: e["g"])).alias("grid")
     )
-    sizes = residuals.groupBy(*KEYS).agg(F.first("n").alias("n"))
-    shares = ranked.select(
-        *KEYS, "x", (F.col("cnt") / total).alias("share"), (F.col("mass") / total).alias("part")
-    )
-    test = rows.where(~F.col("is_train")).join(shares, KEYS + ["x"])
-    blocks = halo_blocks(test, layout, before=MAX_WINDOW - 1).select(
-        *KEYS, "block", "core", "ts", "pos", "n", "window", "x", "share", "part"
+
+
+def wasserstein_score(
+    test: DataFrame, state: State, layout: Layout, window_agg: bool = False, signed: bool = False
+) -> DataFrame:
+    """First Wasserstein distance between a window's residuals and all train residuals, exact.
+
+    Written over quantiles, the distance is a sum over the window's sorted residuals x_i of the
+    integral of |x_i - Q(p)| for p in ((i-1)/w, i/w], with Q the train quantile function. With
+    F(x) the share of train residuals up to x and S(x) their sum over the train size, and with the
+    integral G of Q at the w+1 points i/w, each term is plain arithmetic. So no window ever meets the
+    train residuals themselves: F and S are looked up once per row, in a group of one block by binary
+    search, in larger ones by merging rows and train values in buckets of x.
+    """
+    quantiles = state["quantiles"]
+    rows = test.select(*KEYS, "ts", "pos", "n", "window", _sizes(signed).alias("x"))
+    known = _integrals(quantiles)
+    nothing = F.lit(None).cast("array<double>")
+    if layout.blocked:
+        found = running_at(quantiles, rows, KEYS, "x", {"cnt": "c", "mass": F.col("c") * F.col("x")}, layout)
+        totals = quantiles.groupBy(*KEYS).agg(F.first("total").alias("total"))
+        sizes = rows.groupBy(*KEYS).agg(F.first("n").alias("n"))
+        known = materialize(
+            known.join(totals, KEYS).join(sizes, KEYS).select(
+                "*", nothing.alias("xs"), nothing.alias("cnts"), nothing.alias("masses")
+            )
+        )
+        rows = found.select(*rows.columns, F.col("cnt").cast("double").alias("cnt"), "mass")
+    else:
+        steps = F.array_sort(F.collect_list(F.struct("x", F.col("cnt").cast("double").alias("cnt"), "mass")))
+        held = quantiles.groupBy(*KEYS).agg(F.first("total").alias("total"), steps.alias("steps"))
+        held = held.select(
+            *KEYS,
+            "total",
+            *[F.col("steps")[c].alias(f"{c}{end}") for c, end in (("x", "s"), ("cnt", "s"), ("mass", "es"))],
+        )
+        known = known.join(held, KEYS).withColumn("n", F.lit(0))
+        none = F.lit(None).cast("double")
+        rows = rows.select("*", none.alias("cnt"), none.alias("mass"))
+    left = halo_blocks(rows, layout, before=MAX_WINDOW - 1).select(
+        *KEYS, "block", "core", "ts", "pos", "n", "window", "x", "cnt", "mass"
     )
-    left = blocks.groupBy(*KEYS, "block")
-    grids = materialize(integrals.join(sizes, KEYS))
-    right = per_block(grids, layout).groupBy(*KEYS, "block")
-    scored = left.cogroup(right).applyInPandas(
+    # other names: both sides may come from one table
+    of = {name: f"of_{name}" for name in [*KEYS, "block"]}
+    right = per_block(known, layout).withColumnsRenamed(of)
+    scored = left.groupBy(*of).cogroup(right.groupBy(*of.values())).applyInPandas(
         _transport,
         "series_id string, variable string, ts timestamp_ntz, pos bigint, n bigint, window int, "
-        "score double",
+        "score double, error string",
     )
     return _finish(scored, "wasserstein", layout, window_agg)
 
 
-def _transport(key: tuple, rows: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
-    """Scores of the windows that end in one block; the arithmetic of the text above."""
-    rows = rows.sort_values("pos", kind="stable")
-    out = rows[["series_id", "variable", "ts", "pos", "n", "window"]].assign(score=np.nan)
-    if not len(rows) or not len(edges):
+def _transport(key: tuple, rows: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+    """Scores of the windows that end in one block, or its error."""
+    out = rows[["series_id", "variable", "ts", "pos", "n", "window"]].assign(score=np.nan, error=None)
+    if not len(rows) or not len(known):
         return out[:0]
-    w = int(rows["window"].iloc[0])
-    grid = np.asarray(edges["grid"].iloc[0])
+    try:
+        rows = rows.sort_values("pos", kind="stable")
+        out = out.loc[rows.index].assign(score=_distances(rows, known.iloc[0]))
+        return out[rows["core"].to_numpy()]
+    except Exception as error:  # noqa: BLE001 - the group's note says what went wrong
+        return out[:1].assign(error=f"{type(error).__name__}: {error}")
+
+
+def _distances(rows: pd.DataFrame, known: pd.Series) -> np.ndarray:
+    """The arithmetic of ``wasserstein_score`` for rows of one block, in order."""
+    w, grid = int(rows["window"].iloc[0]), np.asarray(known["grid"])
     score = np.full(len(rows), np.nan)
-    if len(rows) >= w:
-        views = [
-            np.lib.stride_tricks.sliding_window_view(rows[c].to_numpy(), w)
-            for c in ("x", "share", "part")
-        ]
-        low, high = np.arange(w) / w, np.arange(1, w + 1) / w
-        for start in range(0, len(views[0]), SLICE_WINDOWS):
-            some = slice(start, start + SLICE_WINDOWS)
-            order = np.argsort(views[0][some], axis=1, kind="stable")
-            x, share, part = (np.take_along_axis(v[some], order, axis=1) for v in views)
-            turn = np.clip(share, low, high)
-            at_turn = np.where(share <= low, grid[:-1], np.where(share >= high, grid[1:], part))
-            below = (turn - low) * x - (at_turn - grid[:-1])
-            above = (grid[1:] - at_turn) - (high - turn) * x
-            score[w - 1 + start : w - 1 + start + len(x)] = (below + above).sum(axis=1)
-    return out.assign(score=score)[rows["core"].to_numpy()]
+    if len(rows) < w:
+        return score
+    x = rows["x"].to_numpy()
+    if known["xs"] is None:
+        cnt, mass = rows["cnt"].to_numpy(), rows["mass"].to_numpy()
+    else:
+        at = np.searchsorted(known["xs"], x, side="right")
+        cnt, mass = (np.concatenate([[0.0], known[c]])[at] for c in ("cnts", "masses"))
+    total = float(known["total"])
+    views = [np.lib.stride_tricks.sliding_window_view(c, w) for c in (x, cnt / total, mass / total)]
+    low, high = np.arange(w) / w, np.arange(1, w + 1) / w
+    for start in range(0, len(views[0]), SLICE_WINDOWS):
+        some = slice(start, start + SLICE_WINDOWS)
+        order = np.argsort(views[0][some], axis=1, kind="stable")
+        x, share, part = (np.take_along_axis(v[some], order, axis=1) for v in views)
+        turn = np.clip(share, low, high)
+        at_turn = np.where(share <= low, grid[:-1], np.where(share >= high, grid[1:], part))
+        below = (turn - low) * x - (at_turn - grid[:-1])
+        above = (grid[1:] - at_turn) - (high - turn) * x
+        score[w - 1 + start : w - 1 + start + len(x)] = (below + above).sum(axis=1)
+    return score
+
+
+def wasserstein_scores(
+    residuals: DataFrame, layout: Layout, window_agg: bool = False, signed: bool = False
+) -> DataFrame:
+    """Fit on the train rows, score the test rows."""
+    state = wasserstein_fit(_train(residuals), layout, signed)
+    if layout.blocked:
+        state = {name: materialize(table) for name, table in state.items()}
+    return _scores_only(wasserstein_score(_test(residuals), state, layout, window_agg, signed))
 
 
 # ---------------------------------------------------------------------------------------------
@@ -161,25 +254,24 @@ def _transport(key: tuple, rows: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFr
 
 
 def _pack(residuals: DataFrame, layout: Layout, signed: bool) -> DataFrame:
-    """One row per block and split with its residuals as one array, oldest first.
+    """One row per block of one split's residuals, as one array, oldest first.
 
     The residuals of a split are consecutive, and a block carries just the rows before its own that
     its first window needs: so the windows of the array are the windows that end in the block, and
     the rounds below need neither positions nor a shuffle of rows.
     """
-    x = F.col("resid") if signed else F.abs("resid")
+    x = _sizes(signed)
     blocks = halo_blocks(residuals, layout, before=MAX_WINDOW - 1)
     if layout.blocked:
         own_start = F.col("block") * layout.block_rows
         blocks = blocks.where(F.col("pos") >= own_start - (F.col("window") - 1))
     ordered = F.array_sort(F.collect_list(F.struct("pos", x.alias("x"))))
-    packed = blocks.groupBy(*KEYS, "block", "n", "window", "is_train").agg(ordered.alias("rows"))
+    packed = blocks.groupBy(*KEYS, "block", "n", "window").agg(ordered.alias("rows"))
     return packed.select(
         *KEYS,
         "block",
         "n",
         "window",
-        "is_train",
         F.col("rows")[0]["pos"].alias("first_pos"),
         F.transform("rows", lambda r: r["x"]).alias("x"),
     ).where(F.size("x") >= F.col("window"))
@@ -300,7 +392,7 @@ def _two_means(packed: DataFrame, layout: Layout, max_iter: int, tolerance: floa
     group is cut into blocks a group is one row, and all its rounds run in one pass.
     """
     w = F.col("window")
-    train = packed.where("is_train").select(*KEYS, "block", "n", "window", "x")
+    train = packed.select(*KEYS, "block", "n", "window", "x")
     totals = (
         train.mapInPandas(_moments, f"{_KEY}, total array<double>, square array<double>")
         .groupBy(*KEYS, "n", "window")
@@ -366,35 +458,63 @@ def _two_means(packed: DataFrame, layout: Layout, max_iter: int, tolerance: floa
     moving = centres.where(F.col("shift") > F.col("still")).count()
     if moving:
         warnings.warn(f"centres of {moving:,} groups still moved after {max_iter} rounds", stacklevel=3)
-    return centres.select(*KEYS, "n", "low", "high")
+    settled = F.col("shift") <= F.col("still")
+    return centres.select(*KEYS, "low", "high", settled.alias("settled"))
 
 
 def _nearest(batches):
     """Distance of each window to the nearer centre, stamped at the window's last position."""
-    names = ["series_id", "variable", "pos", "score"]
+    names = ["series_id", "variable", "pos", "score", "error"]
     for batch in batches:
         out = [_frame([], names)]
         for row in batch.itertuples(index=False):
-            view = np.lib.stride_tricks.sliding_window_view(
-                np.asarray(row.x, dtype=float), int(row.window)
-            )
-            near = np.full(len(view), np.inf)
-            for centre in (row.low, row.high):
-                near = np.minimum(near, ((view - np.asarray(centre)) ** 2).sum(axis=1))
-            last = row.first_pos + int(row.window) - 1 + np.arange(len(view))
-            out.append(
-                pd.DataFrame(
-                    {
-                        "series_id": row.series_id,
-                        "variable": row.variable,
-                        "pos": last,
-                        "score": np.sqrt(near),
-                    }
-                )
-            )
+            found = {"series_id": row.series_id, "variable": row.variable}
+            try:
+                last = row.first_pos + int(row.window) - 1
+                near = _distance_to_nearer(row)
+                found |= {"pos": last + np.arange(len(near)), "score": near, "error": None}
+                out.append(pd.DataFrame(found))
+            except Exception as error:  # noqa: BLE001 - the group's note says what went wrong
+                told = f"{type(error).__name__}: {error}"
+                out.append(_frame([{**found, "pos": row.first_pos, "score": np.nan, "error": told}], names))
         yield pd.concat(out[1:]) if len(out) > 1 else out[0]
 
 
+def _distance_to_nearer(row) -> np.ndarray:
+    view = np.lib.stride_tricks.sliding_window_view(np.asarray(row.x, dtype=float), int(row.window))
+    near = np.full(len(view), np.inf)
+    for centre in (row.low, row.high):
+        near = np.minimum(near, ((view - np.asarray(centre)) ** 2).sum(axis=1))
+    return np.sqrt(near)
+
+
+def kmeans_fit(
+    train: DataFrame,
+    layout: Layout,
+    signed: bool = False,
+    max_iter: int = 300,
+    tolerance: float = 1e-12,
+) -> State:
+    """Two centres of the windows of train residuals, and whether they had settled."""
+    packed = materialize(_pack(train, layout, signed))
+    return {"centres": _two_means(packed, layout, max_iter, tolerance)}
+
+
+def kmeans_score(
+    test: DataFrame, state: State, layout: Layout, window_agg: bool = False, signed: bool = False
+) -> DataFrame:
+    """Distance of each window of residuals to the nearer of two centres."""
+    packed = materialize(_pack(test, layout, signed))
+    centres = state["centres"].select(*KEYS, "low", "high")
+    sizes = packed.groupBy(*KEYS).agg(F.first("n").alias("n"))
+    centres = materialize(centres.join(sizes, KEYS))
+    scores = attach(packed, centres, layout).mapInPandas(
+        _nearest, "series_id string, variable string, pos bigint, score double, error string"
+    )
+    rows = test.join(scores, KEYS + ["pos"], "left")
+    return _finish(rows, "kmeans", layout, window_agg)
+
+
 def kmeans_scores(
     residuals: DataFrame,
     layout: Layout,
@@ -403,39 +523,43 @@ def kmeans_scores(
     max_iter: int = 300,
     tolerance: float = 1e-12,
 ) -> DataFrame:
-    """Distance of each window of residuals to the nearer of two train centres."""
-    packed = materialize(_pack(residuals, layout, signed))
-    centres = _two_means(packed, layout, max_iter, tolerance)
-
-    test = packed.where(~F.col("is_train"))
-    scores = attach(test, centres, layout).mapInPandas(
-        _nearest, "series_id string, variable string, pos bigint, score double"
-    )
-    rows = residuals.where(~F.col("is_train")).join(scores, KEYS + ["pos"], "left")
-    return _finish(rows, "kmeans", layout, window_agg)
+    """Fit on the train rows, score the test rows."""
+    state = kmeans_fit(_train(residuals), layout, signed, max_iter, tolerance)
+    return _scores_only(kmeans_score(_test(residuals), state, layout, window_agg, signed))
 
 
 @dataclass(frozen=True)
 class Scorer:
-    """An entry of the registry: add one to give :func:`detect` another way to score."""
+    """An entry of the registry: add one to give :func:`detect` another way to score.
+
+    ``windowed`` says that a score needs a whole window of residuals.
+    """
 
     label: str
     description: str
+    fit: Callable[..., State]
     score: Callable[..., DataFrame]
+    windowed: bool = True
 
 
 SCORERS: dict[str, Scorer] = {
     "norm": Scorer(
-        texts.SCORER_LABELS["norm"], "size of the difference of value and forecast", norm_scores
+        texts.SCORER_LABELS["norm"],
+        "size of the difference of value and forecast",
+        norm_fit,
+        norm_score,
+        windowed=False,
     ),
     "kmeans": Scorer(
         texts.SCORER_LABELS["kmeans"],
         "distance of a window of differences to the usual patterns",
-        kmeans_scores,
+        kmeans_fit,
+        kmeans_score,
     ),
     "wasserstein": Scorer(
         texts.SCORER_LABELS["wasserstein"],
         "distance of a window's distribution of differences to the train part's",
-        wasserstein_scores,
+        wasserstein_fit,
+        wasserstein_score,
     ),
 }

@@ -12,12 +12,14 @@ from tidepanel.plans.panels import (
     DAILY,
     DAILY_RAW,
     HOURLY,
+    MIXED,
     ORDERS,
     daily_panel,
     daily_raw,
     hourly_frame,
     hourly_panel,
     orders_panel,
+    regular_mixed_panel,
 )
 from tidepanel.plans.registry import query, table
 from tidepanel.session import materialize
@@ -344,3 +346,38 @@ def recent_mean(spark: SparkSession, folder: str) -> DataFrame:
     panel, layout = daily_panel(spark, folder)
     rows = windows.recent_mean(panel, layout)
     return rows.select("variable", "ts", F.round("recent_mean", 6).alias("recent_mean"))
+
+
+@query(
+    "regularise_many",
+    f"WITH {MIXED} SELECT series_id, ts, pos, n, round(value, 8) AS value FROM regular",
+)
+def regularise_many(spark: SparkSession, folder: str) -> DataFrame:
+    regular, _ = regular_mixed_panel(spark, folder)
+    return regular.select("series_id", "ts", "pos", "n", F.round("value", 8).alias("value"))
+
+
+@query(
+    "complete_panel",
+    """
+    WITH known AS (
+      SELECT user_id, event_type, date_trunc('day', ts) AS ts, avg(value) AS value FROM events GROUP BY 1, 2, 3)
+    SELECT CAST(i.user_id AS VARCHAR) AS series_id, v.event_type AS variable, i.ts, round(k.value, 6) AS value
+    FROM (SELECT DISTINCT user_id, ts FROM known) i
+    JOIN (SELECT DISTINCT user_id, event_type FROM known) v USING (user_id)
+    LEFT JOIN known k ON k.user_id = i.user_id AND k.event_type = v.event_type AND k.ts = i.ts
+    """,
+)
+def complete_panel(spark: SparkSession, folder: str) -> DataFrame:
+    """Each user's own event types on all days of the user."""
+    known = materialize(
+        table(spark, folder, "events")
+        .groupBy(
+            F.col("user_id").cast("string").alias("series_id"),
+            F.col("event_type").alias("variable"),
+            F.date_trunc("day", "ts").cast("timestamp_ntz").alias("ts"),
+        )
+        .agg(F.avg("value").alias("value"))
+    )
+    whole = clean.complete(known, Layout.measure(known))
+    return whole.withColumn("value", F.round("value", 6))

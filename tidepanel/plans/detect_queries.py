@@ -1,25 +1,29 @@
 """Queries over forecasting, scoring, flags, evaluation and explanation.
 
-Queries with SQL use the lag-1 forecaster and the two scorers their SQL says. Each has a twin,
-``full_...``, over the default detection (lags by the sizing rule, all three scorers); the twins and
-the other pipelines without SQL (boosted trees, isolation forest) are checked by rows and by tests.
+The queries named ``full_...`` run the default detection: lags by the sizing rule and all three scorers.
+Their SQL solves the normal equations by elimination and runs the rounds of the clustering until they
+settle, both as recursive queries. Each has a sibling without the prefix that uses the lag-1
+forecaster and leaves the clustering out. Pipelines without SQL (boosted trees, isolation forest) are
+checked by rows and by tests.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidepanel.functions import texts
 from tidepanel.model import KEYS, frame_to_panel
-from tidepanel.operators import clean, detect, evaluate, explain, forecast, iforest, results, scorers
+from tidepanel.operators import clean, detect, evaluate, explain, fitted, forecast, iforest, results, scorers
 from tidepanel.operators.layout import Layout
 from tidepanel.operators.quality import infer_frequency
-from tidepanel.plans.panels import DAILY, HOURLY, daily_panel, hourly_frame, user_panel
-from tidepanel.plans.registry import query, table
-from tidepanel.session import materialize
+from tidepanel.plans.panels import DAILY, HOURLY, MIXED, USERS, daily_panel, hourly_frame, regular_mixed_panel, user_panel
+from tidepanel.plans.registry import ORACLES, query, table
+from tidepanel.session import materialize, shared_folder
 
 RATIO = 0.3
 TOP = 0.95
@@ -56,31 +60,72 @@ resid AS (
   FROM paired p JOIN fitted f USING (variable) WHERE p.spos >= 1
 )"""
 
-SCORES = LAG1 + """,
+#: Lags and window widths by the sizing rule, at most as many as it gives.
+_LAGS, _WIDTH = range(1, 15), range(1, 21)
+
+FULL = SPLIT + f""",
+past AS (
+  SELECT *, [1.0, {", ".join(f"CASE WHEN lags >= {i} THEN lag(z, {i}) OVER o ELSE 0 END" for i in _LAGS)}, z] AS x
+  FROM scaled WINDOW o AS (PARTITION BY variable ORDER BY pos)
+),
+products AS (
+  SELECT variable, i, j, sum(x[i] * x[j]) AS v FROM past, range(1, 16) a(i), range(1, 17) b(j)
+  WHERE pos < cut AND spos >= lags GROUP BY 1, 2, 3
+),
+matrix AS (
+  SELECT variable, list(r ORDER BY i) AS m FROM (
+    SELECT variable, i, list(v ORDER BY j) AS r FROM products GROUP BY 1, 2) GROUP BY 1
+),
+elimination AS (
+  SELECT variable, 1 AS k, m FROM matrix
+  UNION ALL
+  SELECT variable, k + 1, list_transform(m, lambda r, i: CASE WHEN m[k][k] = 0 THEN r
+    WHEN i = k THEN list_transform(r, lambda v: v / m[k][k])
+    ELSE list_transform(r, lambda v, j: v - r[k] * m[k][j] / m[k][k]) END)
+  FROM elimination WHERE k <= 15
+),
+fitted AS (
+  SELECT variable, list_transform(m, lambda r: r[16]) AS b FROM elimination WHERE k = 16
+),
+resid AS (
+  SELECT p.variable, p.ts, p.pos, p.spos, p.cut, p.lags, p.w, p.value, p.mean, p.pos < p.cut AS is_train,
+         p.z - list_sum(list_transform(range(1, 16), lambda i: p.x[i] * f.b[i])) AS r
+  FROM past p JOIN fitted f USING (variable) WHERE p.spos >= p.lags
+)"""
+
+
+def _scores(resid: str, first_end: str, part: str, more: str = "", thresholds_of: str = "NOT is_train") -> str:
+    """Scores, flags and their combinations from residuals; ``part`` says which rows are scored."""
+    return resid + f""",
 train_sorted AS (
   SELECT variable, abs(r) AS t, row_number() OVER (PARTITION BY variable ORDER BY abs(r)) AS j,
          count(*) OVER (PARTITION BY variable) AS nt
   FROM resid WHERE is_train
 ),
 window_rows AS (
-  SELECT a.variable, a.ts, a.pos, a.w, abs(b.r) AS x,
+  SELECT a.variable, a.ts, a.pos, a.w, a.is_train, abs(b.r) AS x,
          row_number() OVER (PARTITION BY a.variable, a.pos ORDER BY abs(b.r)) AS i
   FROM resid a JOIN resid b ON b.variable = a.variable AND b.pos BETWEEN a.pos - a.w + 1 AND a.pos
-  WHERE NOT a.is_train AND a.spos >= a.w AND b.pos >= a.cut
+  WHERE ({part.replace("is_train", "a.is_train")}) AND a.spos >= {first_end} AND b.is_train = a.is_train
 ),
 w1 AS (
-  SELECT k.variable, k.ts, k.pos,
+  SELECT k.variable, k.ts, k.pos, k.is_train,
     sum(abs(k.x - t.t) * (least(k.i * t.nt, t.j * k.w) - greatest((k.i - 1) * t.nt, (t.j - 1) * k.w)))
       / max(k.w * t.nt) AS score
   FROM window_rows k JOIN train_sorted t ON t.variable = k.variable
     AND t.j * k.w > (k.i - 1) * t.nt AND (t.j - 1) * k.w < k.i * t.nt
-  GROUP BY 1, 2, 3
+  GROUP BY 1, 2, 3, 4
 ),
-scores AS (
-  SELECT variable, 'norm' AS scorer, ts, pos, abs(r) AS score FROM resid WHERE NOT is_train
-  UNION ALL SELECT variable, 'wasserstein', ts, pos, score FROM w1
+{more}
+all_scores AS (
+  SELECT variable, 'norm' AS scorer, ts, pos, is_train, abs(r) AS score FROM resid WHERE {part}
+  UNION ALL SELECT variable, 'wasserstein', ts, pos, is_train, score FROM w1
+  {"UNION ALL SELECT variable, 'kmeans', ts, pos, is_train, score FROM nearest" if more else ""}
+),
+scores AS (SELECT variable, scorer, ts, pos, score FROM all_scores WHERE NOT is_train),
+limits AS (
+  SELECT variable, scorer, quantile_cont(score, 0.95) AS threshold FROM all_scores WHERE {thresholds_of} GROUP BY 1, 2
 ),
-limits AS (SELECT variable, scorer, quantile_cont(score, 0.95) AS threshold FROM scores GROUP BY 1, 2),
 flagged AS (
   SELECT s.*, l.threshold, CASE WHEN s.score > l.threshold THEN 1 ELSE 0 END AS is_anomaly
   FROM scores s JOIN limits l USING (variable, scorer)
@@ -102,6 +147,60 @@ combined AS (
   WHERE c.ts BETWEEN m.a AND m.b GROUP BY 1
 )"""
 
+
+def _per_place(expression: str) -> str:
+    return ", ".join(expression.replace("#", f"x[{i}]") for i in _WIDTH)
+
+
+_NEARER_HIGH = """2 * list_sum(list_transform(range(1, w + 1), lambda i: x[i] * (hi[i] - lo[i])))
+      > list_sum(list_transform(range(1, w + 1), lambda i: hi[i] * hi[i] - lo[i] * lo[i]))"""
+
+#: Two centres from one spread below and above the mean window on, in rounds, and distances to the nearer.
+TWO_MEANS = f"""
+runs AS (
+  SELECT a.variable, a.ts, a.pos, a.is_train, a.w, list(abs(b.r) ORDER BY b.pos) AS x
+  FROM resid a JOIN resid b ON b.variable = a.variable AND b.pos BETWEEN a.pos - a.w + 1 AND a.pos
+    AND b.is_train = a.is_train
+  WHERE a.spos >= a.lags + a.w - 1 GROUP BY 1, 2, 3, 4, 5
+),
+start AS (
+  SELECT variable, w, [{_per_place("avg(#)")}][1:w] AS m, [{_per_place("var_pop(#)")}][1:w] AS v
+  FROM runs WHERE is_train GROUP BY 1, 2
+),
+rounds AS (
+  SELECT variable, 0 AS k, list_transform(range(1, w + 1), lambda i: m[i] - sqrt(v[i])) AS lo,
+    list_transform(range(1, w + 1), lambda i: m[i] + sqrt(v[i])) AS hi,
+    list_avg(v) * 1e-12 AS still, CAST('inf' AS DOUBLE) AS shift
+  FROM start
+  UNION ALL
+  SELECT variable, k + 1, lo2, hi2, still, list_distance(lo, lo2) ** 2 + list_distance(hi, hi2) ** 2
+  FROM (
+    SELECT variable, k, lo, hi, still,
+      list_transform(range(1, w + 1), lambda i: CASE WHEN n1 > 0 THEN s1[i] ELSE lo[i] END) AS lo2,
+      list_transform(range(1, w + 1), lambda i: CASE WHEN n2 > 0 THEN s2[i] ELSE hi[i] END) AS hi2
+    FROM (
+      SELECT variable, w, any_value(k) AS k, any_value(lo) AS lo, any_value(hi) AS hi, any_value(still) AS still,
+        count(*) FILTER (NOT high) AS n1, count(*) FILTER (high) AS n2,
+        [{_per_place("avg(#) FILTER (NOT high)")}] AS s1, [{_per_place("avg(#) FILTER (high)")}] AS s2
+      FROM (
+        SELECT t.variable, t.k, t.lo, t.hi, t.still, r.w, r.x, {_NEARER_HIGH} AS high
+        FROM rounds t JOIN runs r ON r.variable = t.variable AND r.is_train
+        WHERE t.shift > t.still AND t.k < 300)
+      GROUP BY 1, 2))
+),
+centres AS (SELECT variable, arg_max(lo, k) AS lo, arg_max(hi, k) AS hi FROM rounds GROUP BY 1),
+nearest AS (
+  SELECT r.variable, r.ts, r.pos, r.is_train, least(list_distance(r.x, c.lo), list_distance(r.x, c.hi)) AS score
+  FROM runs r JOIN centres c USING (variable)
+),"""
+
+SCORES = _scores(LAG1, "a.w", "NOT is_train")
+
+FULL_SCORES = _scores(FULL, "a.lags + a.w - 1", "NOT is_train", TWO_MEANS)
+
+#: As above with thresholds from the fit rows' own scores.
+FITTED_SCORES = _scores(FULL, "a.lags + a.w - 1", "true", TWO_MEANS, "is_train")
+
 LABELS = """
 labels_daily AS (
   SELECT l_shipdate AS ts, max(CASE WHEN l_extendedprice * (1 - l_discount) > 104000 THEN 1 ELSE 0 END)
@@ -167,10 +266,8 @@ def flagship(
     return found.combined
 
 
-@query(
-    "detect_hourly_events",
-    f"""
-    WITH {HOURLY}, axis AS (
+HOURLY_AROUND = HOURLY + """,
+    axis AS (
       SELECT unnest(generate_series((SELECT min(ts) FROM hourly_known),
              (SELECT max(ts) FROM hourly_known), INTERVAL 1 HOUR)) AS ts),
     grid AS (
@@ -187,11 +284,19 @@ def flagship(
       FROM grid
       WINDOW
        b AS (PARTITION BY variable ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
-       f AS (PARTITION BY variable ORDER BY pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+       f AS (PARTITION BY variable ORDER BY pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))"""
+
+_HOURLY_VALUE = """coalesce(value, CASE WHEN np > pp THEN pv + (nv - pv) * (pos - pp) / (np - pp) END, pv, nv, 0)
+          AS value"""
+
+
+@query(
+    "detect_hourly_events",
+    f"""
+    WITH {HOURLY_AROUND},
     filled AS (
       SELECT variable, ts, pos, CAST(floor((n - 1) * CAST(0.7 AS DOUBLE)) AS BIGINT) AS cut,
-        coalesce(value, CASE WHEN np > pp THEN pv + (nv - pv) * (pos - pp) / (np - pp) END, pv, nv, 0)
-          AS value FROM around),
+        {_HOURLY_VALUE} FROM around),
     m AS (SELECT variable, avg(value) AS mean, stddev_pop(value) AS sd FROM filled WHERE pos < cut
           GROUP BY 1),
     z AS (SELECT f.*, (value - mean) / sd AS z,
@@ -210,7 +315,14 @@ def detect_hourly_events(spark: SparkSession, folder: str) -> DataFrame:
     return flagship(spark, folder, ["norm"], lags=1)
 
 
-query("full_hourly_events")(flagship)
+_FULL_HOURLY = FULL_SCORES.replace(
+    DAILY, HOURLY_AROUND + f", daily AS (SELECT variable, ts, pos, n, {_HOURLY_VALUE} FROM around)"
+)
+
+query(
+    "full_hourly_events",
+    f"WITH RECURSIVE {_FULL_HOURLY} SELECT 'events' AS series_id, ts, any_anomaly FROM combined",
+)(flagship)
 
 
 @query(
@@ -240,10 +352,19 @@ def lag_linear_residual_norm(
     return rest.select("variable", "ts", "is_train", F.round(F.abs("resid"), 6).alias("score"))
 
 
-@query("forecast_linear")
+@query(
+    "forecast_linear",
+    f"""
+    WITH RECURSIVE {FULL}
+    SELECT 'lineitem' AS series_id, variable, ts, pos, spos, cut, is_train, CAST(lags AS INTEGER) AS lags,
+      CAST(w AS INTEGER) AS "window", round(value, 9) AS value, round(r, 6) AS resid
+    FROM resid
+    """,
+)
 def forecast_linear(spark: SparkSession, folder: str) -> DataFrame:
     panel, layout = daily_panel(spark, folder)
-    return forecast.residuals(panel, RATIO, "linear", layout=layout)
+    rest = forecast.residuals(panel, RATIO, "linear", layout=layout).drop("n")
+    return rest.withColumns({"value": F.round("value", 9), "resid": F.round("resid", 6)})
 
 
 @query("gbt_forecast")
@@ -282,18 +403,89 @@ def wasserstein_per_row(
     return scored.select("variable", "ts", F.round("score", 6).alias("score"))
 
 
-@query("kmeans_scorer")
+@query(
+    "kmeans_scorer",
+    f"""
+    WITH RECURSIVE {FULL_SCORES}
+    SELECT 'lineitem' AS series_id, variable, 'kmeans' AS scorer, ts, pos, round(score, 5) AS score
+    FROM nearest WHERE NOT is_train
+    """,
+)
 def kmeans_scorer(spark: SparkSession, folder: str) -> DataFrame:
     _, rest, layout = full_residuals(spark, folder)
-    return scorers.kmeans_scores(materialize(rest), layout)
+    scored = scorers.kmeans_scores(materialize(rest), layout).drop("n")
+    return scored.withColumn("score", F.round("score", 5))
 
 
-@query("detect_all_scorers")
+@query(
+    "detect_all_scorers",
+    f"WITH RECURSIVE {FULL_SCORES} SELECT 'lineitem' AS series_id, ts, any_anomaly FROM combined",
+)
 def detect_all_scorers(spark: SparkSession, folder: str) -> DataFrame:
     panel, layout = daily_panel(spark, folder)
     return detect.detect(panel, RATIO, layout=layout).combined
 
 
+@query(
+    "fit_then_score",
+    f"""
+    WITH RECURSIVE {FITTED_SCORES}
+    SELECT variable, scorer, ts, round(score, 5) AS score, round(threshold, 5) AS threshold, is_anomaly
+    FROM flagged
+    """,
+)
+def fit_then_score(spark: SparkSession, folder: str) -> DataFrame:
+    """Fit on the first 70 % of the days, write the model, read it back, score the other days."""
+    panel, layout = daily_panel(spark, folder)
+    cut = F.floor((F.col("n") - 1) * F.lit(1 - RATIO)).cast("bigint")
+    first = materialize(panel.where(F.col("pos") < cut).withColumn("n", cut))
+    rest = panel.where(F.col("pos") >= cut).withColumn("pos", F.col("pos") - cut)
+    rest = materialize(rest.withColumn("n", F.col("n") - cut))
+    models = f"{shared_folder(spark).rstrip('/')}/tidepanel-models-{uuid.uuid4().hex}"
+    version = fitted.save(fitted.fit(first, threshold_quantile=TOP, layout=layout), models)
+    flagged, _ = fitted.score(rest, fitted.load(spark, models, version))
+    return flagged.select(
+        "variable",
+        "scorer",
+        "ts",
+        F.round("score", 5).alias("score"),
+        F.round("threshold", 5).alias("threshold"),
+        "is_anomaly",
+    )
+
+
+_LABEL = "CASE scorer " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in texts.SCORER_LABELS.items()) + " END"
+
+
+@query(
+    "scorer_notes",
+    f"""
+    WITH {MIXED}, cuts AS (
+      SELECT series_id, max(n) AS n, CAST(floor((max(n) - 1) * CAST(0.9 AS DOUBLE)) AS BIGINT) AS cut FROM regular GROUP BY 1),
+    sizes AS (
+      SELECT *, greatest(2, least(14, cut // 4)) AS lags, greatest(2, least(20, cut // 6)) AS w FROM cuts),
+    pairs AS (
+      SELECT *, n - cut - lags AS tests, cut - lags AS trains FROM sizes, (VALUES ('norm'), ('kmeans'), ('wasserstein')) s(scorer)
+      WHERE n >= 20),
+    told AS (
+      SELECT *, CASE WHEN trains <= 0 THEN 'the train part is not longer than the lags'
+          WHEN tests <= 0 THEN 'the test part is not longer than the lags'
+          WHEN scorer != 'norm' AND trains < w THEN 'no whole window in the train part'
+          WHEN scorer != 'norm' AND tests < w THEN 'no whole window in the test part' END AS reason FROM pairs)
+    SELECT series_id, 'value' AS variable, 'detect' AS step, {_LABEL} || ': left out, ' || reason AS note
+    FROM told WHERE reason IS NOT NULL
+    UNION ALL
+    SELECT series_id, 'value', 'detect', CASE WHEN n < 20 THEN 'left out: fewer than 20 rows'
+      ELSE 'short train part: less precise' END
+    FROM sizes WHERE n < 20 OR cut < lags + 5
+    """,
+)
+def scorer_notes(spark: SparkSession, folder: str) -> DataFrame:
+    """Notes of a detection over series of many lengths whose test parts are a tenth."""
+    panel, layout = regular_mixed_panel(spark, folder)
+    return detect.detect(panel, 0.1, threshold_quantile=TOP, layout=layout).notes
+
+
 @query(
     "quantile_flag",
     f"""
@@ -656,11 +848,22 @@ def severity_topn(
     return top.select("variable", "ts", F.round("severity", 6).alias("severity"))
 
 
-@query(
-    "explain_topn",
-    f"""
-    WITH {SEVERITY}, top AS (
-      SELECT * FROM severity ORDER BY severity DESC, variable, ts LIMIT 10),
+_RANK = "CASE scorer " + " ".join(f"WHEN '{k}' THEN {i}" for i, k in enumerate(scorers.SCORERS)) + " END"
+
+_DIRECTION = f"CASE WHEN value > m THEN '{texts.DIRECTION_UP}' ELSE '{texts.DIRECTION_DOWN}' END"
+
+_CONFIDENCE = f"""CASE WHEN hits >= 2 THEN '{texts.CONFIDENCE_HIGH}' WHEN hits = 1
+  THEN '{texts.CONFIDENCE_MEDIUM}' ELSE '{texts.CONFIDENCE_REFERENCE}' END"""
+
+
+def _signed(number: str) -> str:
+    return f"CASE WHEN {number} >= 0 THEN '+' ELSE '' END || printf('%.1f', {number})"
+
+
+def _explained(severity: str, top: str) -> str:
+    """SQL that tells about the rows of ``top``."""
+    return f"""
+    WITH {severity}, top AS ({top}),
     base AS (
       SELECT d.variable, avg(d.value) AS m, stddev_samp(d.value) AS s
       FROM daily d JOIN sized z USING (variable) WHERE d.pos < z.cut GROUP BY 1),
@@ -670,31 +873,40 @@ def severity_topn(
                   AND e.pos BETWEEN t.pos - 10 AND t.pos - 1), b.m) AS recent, b.m,
         (SELECT count(*) FROM flagged f WHERE f.variable = t.variable AND f.ts = t.ts
           AND f.is_anomaly = 1) AS hits,
-        (SELECT string_agg(f.scorer, ',' ORDER BY f.scorer) FROM flagged f
-          WHERE f.variable = t.variable AND f.ts = t.ts AND f.is_anomaly = 1) AS detected_by
+        (SELECT string_agg(scorer, ',' ORDER BY {_RANK}) FROM flagged f
+          WHERE f.variable = t.variable AND f.ts = t.ts AND f.is_anomaly = 1) AS detected_by,
+        (SELECT string_agg({_LABEL}, ', ' ORDER BY {_RANK}) FROM flagged f
+          WHERE f.variable = t.variable AND f.ts = t.ts AND f.is_anomaly = 1) AS labels
       FROM top t JOIN daily d ON d.variable = t.variable AND d.pos = t.pos
       JOIN base b ON b.variable = t.variable)
     SELECT variable, ts, round(value, 4) AS value, round(sigma, 6) AS sigma_from_mean,
       CASE WHEN abs(recent) > 1e-9 THEN round((value - recent) / abs(recent) * 100, 6) END
         AS pct_change_recent,
-      CASE WHEN value > m THEN '최근 패턴 대비 급격한 상승' ELSE '최근 패턴 대비 급격한 하강' END
-        AS direction,
-      coalesce(detected_by, '') AS detected_by,
-      CASE WHEN hits >= 2 THEN '이상 가능성 높음 (다중 지표 동시 탐지)'
-           WHEN hits = 1 THEN '이상 가능성 보통 (단일 지표 탐지)'
-           ELSE '참고용 (점수는 높지만 임계값 미달)' END AS confidence_label,
-      strftime(ts, '%Y-%m-%d %H:%M:%S') || '|변수: ' || variable
-        || '|평균 대비 ' || CASE WHEN sigma >= 0 THEN '+' ELSE '' END
-        || printf('%.1f', sigma) || 'σ (시그마)' AS first_lines
+      {_DIRECTION} AS direction, coalesce(detected_by, '') AS detected_by, {_CONFIDENCE} AS confidence_label,
+      concat_ws('|', strftime(ts, '%Y-%m-%d %H:%M:%S'), '변수: ' || variable,
+        '평균 대비 ' || {_signed("sigma")} || 'σ (시그마)', {_DIRECTION},
+        CASE WHEN abs(recent) > 1e-9
+          THEN '직전 구간 대비 ' || {_signed("(value - recent) / abs(recent) * 100")} || '% 변화' END,
+        CASE WHEN hits >= 2 THEN labels || ' 동시 탐지' WHEN hits = 1 THEN labels || ' 탐지' END,
+        '→ ' || {_CONFIDENCE}) AS summary
     FROM facts
-    """,
-)
+    """
+
+
+_TOP_TEN = "SELECT * FROM severity ORDER BY severity.severity DESC, variable, ts LIMIT 10"
+
+
+@query("explain_topn", _explained(SEVERITY, _TOP_TEN))
 def explain_topn(
     spark: SparkSession, folder: str, detection: Callable = lag1_detection
 ) -> DataFrame:
     panel, found = detection(spark, folder)
-    told = explain.explain_top_anomalies(found.scores, panel, found.sizes, 10)
+    return _told(explain.explain_top_anomalies(found.scores, panel, found.sizes, 10)).drop("series_id")
+
+
+def _told(told: DataFrame) -> DataFrame:
     return told.select(
+        "series_id",
         "variable",
         "ts",
         F.round("value", 4).alias("value"),
@@ -703,16 +915,30 @@ def explain_topn(
         "direction",
         F.array_join("detected_by", ",").alias("detected_by"),
         "confidence_label",
-        F.array_join(F.slice("summary_lines", 1, 3), "|").alias("first_lines"),
+        F.array_join("summary_lines", "|").alias("summary"),
     )
 
 
-@query("explain_per_series")
+#: Each user is a series of one variable; the SQL calls the user the variable.
+_USER_SCORES = FULL_SCORES.replace(DAILY, USERS)
+
+
+@query(
+    "explain_per_series",
+    _explained(
+        SEVERITY.replace(SCORES, _USER_SCORES),
+        "SELECT * FROM severity QUALIFY row_number() OVER (PARTITION BY variable ORDER BY severity.severity DESC, ts) <= 5",
+    )
+    .replace("WITH ", "WITH RECURSIVE ", 1)
+    .replace("SELECT variable, ts, round(value, 4)", "SELECT variable AS series_id, ts, round(value, 4)")
+    .replace("'변수: ' || variable", "'변수: value'"),
+)
 def explain_per_series(spark: SparkSession, folder: str) -> DataFrame:
     """The five worst days of each user."""
     panel, layout = user_panel(spark, folder)
     found = detect.detect(panel, RATIO, threshold_quantile=TOP, layout=layout)
-    return explain.explain_top_anomalies(found.scores, panel, found.sizes)
+    told = explain.explain_top_anomalies(found.scores, panel, found.sizes)
+    return _told(told).drop("variable")
 
 
 @query(
@@ -793,14 +1019,27 @@ def score_pivot(
     return wide.select("variable", "ts", *parts, "any_scorer")
 
 
+def _full(name: str) -> str:
+    """The SQL of a query over the default detection instead of the lag-1 one."""
+    sql = ORACLES[name].replace(SCORES.strip(), FULL_SCORES).replace(LAG1.strip(), FULL)
+    if name == "score_pivot":
+        sql = sql.replace(
+            "      max(is_anomaly) AS any_scorer",
+            """      round(max(CASE WHEN scorer = 'kmeans' THEN score END), 6) AS kmeans_score,
+      max(CASE WHEN scorer = 'kmeans' THEN is_anomaly END) AS kmeans_is_anomaly,
+      max(is_anomaly) AS any_scorer""",
+        )
+    return sql.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
 for _query in (
     quantile_flag, or_scorers, or_variables, kpi_summary, top5_variables, auc_roc_pr, prf1, best_auc,
     confusion, unsupervised_metrics, agreement, metric_table_unlabelled, metric_table_labelled,
     severity_topn, explain_topn, focus_range, flagged_series, anomaly_points, score_pivot,
 ):
-    query(f"full_{_query.__name__}")(partial(_query, detection=full_detection))
+    query(f"full_{_query.__name__}", _full(_query.__name__))(partial(_query, detection=full_detection))
 for _query in (lag_linear_residual_norm, wasserstein_window, wasserstein_per_row):
-    query(f"full_{_query.__name__}")(partial(_query, residuals=full_residuals))
+    query(f"full_{_query.__name__}", _full(_query.__name__))(partial(_query, residuals=full_residuals))
 
 
 # ---------------------------------------------------------------------------------------------

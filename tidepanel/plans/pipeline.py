@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidepanel.model import KEYS, PANEL_COLUMNS
+from tidepanel.model import KEYS
 from tidepanel.operators import (
     clean,
     decompose,
@@ -39,40 +39,18 @@ class Options:
     top_n: int = 5
 
 
-def complete(panel: DataFrame) -> DataFrame:
-    """Give every variable of a series a row at every instant of the series (NULL where unknown)."""
-    variables = [r[0] for r in panel.select("variable").distinct().orderBy("variable").collect()]
-    wide = panel.groupBy("series_id", "ts").pivot("variable", variables).agg(F.first("value"))
-    long = wide.unpivot(["series_id", "ts"], variables, "variable", "value")
-    own = panel.select(*KEYS).distinct()
-    return long.join(own, KEYS, "left_semi").select(*PANEL_COLUMNS)
-
-
 def prepare(panel: DataFrame, method: str = "interpolate_linear") -> tuple[DataFrame, Layout]:
     """Constant variables out, missing cells filled: the frame all statistics are made on."""
-    kept = materialize(clean.drop_constant(panel))
+    kept = materialize(clean.drop_constant(panel, Layout.measure(panel)))
     layout = Layout.measure(kept)
     return materialize(clean.fill(with_position(kept, layout), method, layout)), layout
 
 
-def regularise_by_frequency(filled: DataFrame, frequency: DataFrame, layout: Layout) -> DataFrame:
-    """Put uneven series on the grid of their own frequency; even ones stay as they are."""
-    uneven = frequency.where(clean.is_irregular(frequency) & F.col("freq").isNotNull())
-    codes = [r[0] for r in uneven.select("freq").distinct().orderBy("freq").collect()]
-    columns = [*PANEL_COLUMNS, "pos", "n"]
-    whole = filled.join(uneven.select("series_id"), "series_id", "left_anti").select(*columns)
-    for code in codes:
-        mine = uneven.where(F.col("freq") == code).select("series_id")
-        part = filled.join(mine, "series_id", "left_semi").select(*PANEL_COLUMNS)
-        whole = whole.unionByName(clean.regularise(part, code, layout).select(*columns))
-    return whole
-
-
 def analyse(
     panel: DataFrame, labels: DataFrame | None = None, options: Options = Options()
 ) -> dict[str, DataFrame]:
     """All result tables of a panel. Heavy intermediate tables are written once and shared."""
-    panel = materialize(complete(panel))
+    panel = materialize(clean.complete(panel, Layout.measure(panel)))
     filled, layout = prepare(panel, options.fill_method)
     axis = panel.select("series_id", "ts").distinct()
     frequency = materialize(quality.infer_frequency(axis, layout))
@@ -103,7 +81,7 @@ def analyse(
     tables["stationarity"] = results.stationarity_table(tested)
     tables["stationarity_counts"] = stationarity.stationarity_counts(tested)
 
-    regular = materialize(regularise_by_frequency(filled, frequency, layout))
+    regular = materialize(clean.regularise_many(filled, frequency, layout))
     layout = Layout.measure(regular)
     found = detect.detect(
         regular,
