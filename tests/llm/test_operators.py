@@ -377,3 +377,36 @@ def test_empty_tables(spark, nothing):
         ngram_join.drop_near_copies(nothing),
     ]
     assert [df.count() for df in results] == [0] * len(results)
+
+
+def thue_morse(n: int) -> str:
+    return "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+
+
+def test_words_with_equal_polynomials_are_told_apart(spark):
+    """Two words of 1,024 letters on which every polynomial hash modulo 2^64 agrees."""
+    one = thue_morse(1024)
+    two = one.translate(str.maketrans("ab", "ba"))
+    assert words.words_of(one)[0] != words.words_of(two)[0]
+    rows = [(i, " ".join([w] * 12 + [f"end{w}"])) for i, w in enumerate((one, two))]
+    pair = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert {r["component_id"] for r in ngram_join.near_copies(pair).collect()} == {0, 1}
+    assert [r["n_removed"] for r in remove_repeats(pair).collect()] == [0, 0]
+
+
+def test_word_hashes_depend_on_each_byte_and_on_the_length():
+    rng = random.Random(11)
+    made = {bytes(rng.choice(b"ab\x00\xff") for _ in range(rng.randint(1, 40))) for _ in range(20000)}
+    made |= {b"\x00" * n for n in range(1, 60)}
+    text = b" ".join(made).decode("latin1")
+    column = words.text_groups(words.pa.array([text.encode("latin1")], words.pa.binary()))
+    (_, _, found), = column
+    assert len(found.h) == len(made) == len(set(found.h.tolist())) == len(set(found.g.tolist()))
+    assert not set(found.h.tolist()) & set(found.g.tolist())
+
+
+def test_batches_are_cut_by_bytes_of_text():
+    texts = ["a" * 10, None, "b" * 500, "", "c" * 40, "d" * 40, "e" * 40]
+    batch = words.pa.record_batch({"text": words.pa.array(texts), "n": list(range(7))})
+    cut = [p.column("n").to_pylist() for p in words.slices([batch, batch.slice(7)], most=100)]
+    assert cut == [[0, 1], [2], [3, 4, 5], [6]]

@@ -12,7 +12,8 @@
    together, leave those whose bitmaps allow the overlap. They are verified as well, and the parts
    that they link are united. Every link between sets is either found or lies within one part.
 
-Sets are compared by 64-bit shingle hashes.
+Shingles have two independent 64-bit hashes. Candidates are found by the first, which can only bring
+too many together; pairs are verified by both.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from tidepanel.llm.components import components
 from tidepanel.llm.signature_trees import FANOUT, Tree, bitmap, candidate_pairs, could_link, required
 from tidepanel.llm.tables import text_of
-from tidepanel.llm.words import Words, mix, rolling, text_groups
+from tidepanel.llm.words import Words, mix, rolling, slices, text_groups
 from tidepanel.session import materialize
 
 SHINGLE = 5
@@ -41,23 +42,30 @@ BROADCAST_IDS = 1 << 20
 NO_ID = -(1 << 63)
 
 
-def shingles(words: Words, i: int, k: int = SHINGLE) -> np.ndarray:
-    """Ascending distinct shingle hashes of text i; the whole sequence where it is shorter than k."""
-    h = words.h[words.first[i] : words.first[i + 1]]
+def _hashes(words: Words, i: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """First and second hash of the distinct shingles of text i, ascending by the first.
+
+    A text shorter than k words has its whole sequence as one.
+    """
+    some = slice(words.first[i], words.first[i + 1])
+    h, g = words.h[some], words.g[some]
     if len(h) == 0:
-        return h
-    return np.unique(rolling(h, k, 3)) if len(h) >= k else rolling(h, len(h), 100 + len(h))
+        return h, g
+    if len(h) < k:
+        return rolling(h, len(h), 100 + len(h)), rolling(g, len(g), 100 + len(g))
+    distinct, first = np.unique(rolling(h, k, 3), return_index=True)
+    return distinct, rolling(g, k, 4)[first]
 
 
-def set_name(hashes: np.ndarray) -> int:
+def set_name(hashes: np.ndarray, second: np.ndarray) -> int:
     """64-bit name of a set."""
-    return int(np.add.reduce(mix(hashes, 11), dtype=np.uint64).astype(np.int64)) if len(hashes) else 0
+    return int(np.add.reduce(mix(hashes ^ mix(second, 12), 11), dtype=np.uint64).astype(np.int64)) if len(hashes) else 0
 
 
-def _sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
+def _sets(column: pa.Array, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     for i, j, words in text_groups(column, lower=True):
         for t in range(j - i):
-            yield shingles(words, t, k)
+            yield _hashes(words, t, k)
 
 
 def _describe(k: int):
@@ -67,10 +75,10 @@ def _describe(k: int):
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             n, names, bits, seen = [], [], [], {}
-            for s in _sets(batch.column("text"), k):
-                name = set_name(s)
+            for s, second in _sets(batch.column("text"), k):
+                name = set_name(s, second)
                 n.append(len(s))
                 names.append(name)
                 bits.append(bitmap(s).tobytes() if len(s) else None)
@@ -94,10 +102,10 @@ def _prefixes(k: int, percent: int, frequent: np.ndarray):
     schema = pa.schema([("key", pa.int64()), ("a", pa.int64()), ("n", pa.int32()), ("pos", pa.int32()), ("often", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             seen, parts = set(), []
-            for s in _sets(batch.column("text"), k):
-                name = set_name(s)
+            for s, second in _sets(batch.column("text"), k):
+                name = set_name(s, second)
                 if not len(s) or name in seen:
                     continue
                 seen.add(name)
@@ -179,10 +187,9 @@ def _full_sets(k: int):
     schema = pa.schema([("a", pa.int64()), ("hashes", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                found = [(set_name(s), s.tobytes()) for s in _sets(part.column("text"), k)]
+        for part in slices(batches):
+            found = [(set_name(*s), np.concatenate(s).tobytes()) for s in _sets(part.column("text"), k)]
+            if found:
                 yield pa.record_batch([pa.array(x, f.type) for x, f in zip(zip(*found), schema)], schema=schema)
 
     return run
@@ -195,9 +202,10 @@ def _overlaps(percent: int):
         for batch in batches:
             keep = []
             for x, y in zip(batch.column("hashes_a"), batch.column("hashes_b")):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
+                x, y = (np.frombuffer(v.as_buffer(), np.uint64).reshape(2, -1) for v in (x, y))
+                _, i, j = np.intersect1d(x[0], y[0], assume_unique=True, return_indices=True)
+                both = int((x[1][i] == y[1][j]).sum())
+                keep.append(100 * both >= percent * (x.shape[1] + y.shape[1] - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_())).cast(schema)
 
     return run

@@ -13,13 +13,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidepanel.llm.tables import text_of
-from tidepanel.llm.words import text_bytes, text_groups
+from tidepanel.llm.words import slices, text_bytes, text_groups
 
 BUCKETS = 1 << 13
 RANK = 4
@@ -215,12 +214,20 @@ def score_documents(docs: DataFrame, machine: Machine, cut: float = CUT) -> Data
     )
 
 
+def _keep(machine: Machine, cut: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            good = [machine.score(p, v) >= cut for p, v in features(part.column("text"))]
+            yield part.filter(pa.array(good, pa.bool_()))
+
+    return run
+
+
 def keep_good(docs: DataFrame, machine: Machine, cut: float = CUT) -> DataFrame:
-    """The rows of ``docs`` that are not rejected, with all their columns."""
-    @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
-        column = pa.array(texts, pa.string(), from_pandas=True)
-        return pd.Series([machine.score(p, v) for p, v in features(column)], dtype="float64")
-
-    packed = docs.select(F.struct("*").alias("row"), text_of().alias("text"))
-    return packed.filter(score("text") >= cut).select("row.*")
+    """The rows of ``docs`` that are not rejected, with all their columns.
+
+    The score depends on the text alone: rows that repeat a text go together, and a null text counts
+    as an empty one. Rows pass through in pieces of a few megabytes of texts, one longer text by
+    itself. Nulls in other columns, and an empty table, stay as they are.
+    """
+    return docs.mapInArrow(_keep(machine, cut), docs.schema)

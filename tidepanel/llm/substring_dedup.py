@@ -1,9 +1,10 @@
 """Removal of word passages that an earlier document already holds.
 
 Rabin-Karp hashes of every window of words are compared across documents. To keep windows that occur
-once off the network, documents first exchange only anchors: the least hash of the five-word stretches
+once off the network, documents first exchange only anchors: the least hash of the eight-word stretches
 inside a window. Equal windows have equal anchors, so a window whose anchor occurs in one document
-alone cannot repeat; all others are counted in Spark by a 128-bit hash. What repeats inside one batch
+alone cannot repeat; all others are counted in Spark by two 64-bit hashes, each made of another,
+independent hash of the words. What repeats inside one batch
 of a task is settled there, so a passage that a third of all documents share reaches its group once
 per batch and not once per document.
 """
@@ -20,10 +21,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidepanel.llm.tables import text_of
-from tidepanel.llm.words import Words, rolling, text_groups
+from tidepanel.llm.words import Words, rolling, slices, text_groups
 
 WINDOW = 13
-STRETCH = 5
+#: Words of a stretch. Longer ones repeat less often by chance, but more of them are anchors.
+STRETCH = 8
 #: Stands for a null id inside the jobs: the smallest.
 NO_ID = -(1 << 63)
 _WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -43,7 +45,7 @@ def _anchors(k: int):
     schema = pa.schema([("anchor", pa.int64()), ("id", pa.int64()), ("repeats", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             ids = batch.column("id").to_numpy()
             found, owner = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
             for i, j, words in text_groups(batch.column("text")):
@@ -95,7 +97,7 @@ def _candidates(k: int):
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             ids, th = batch.column("id").to_numpy(), batch.column("th").to_numpy()
             lists = batch.column("anchors")
             edges = lists.offsets.to_numpy()
@@ -106,7 +108,8 @@ def _candidates(k: int):
                     h, anchors = _windows(words, k, t)
                     pos = np.flatnonzero(np.isin(anchors, known[edges[i + t] : edges[i + t + 1]]))
                     if len(pos):
-                        w1, w2 = (rolling(h, k, seed).view(np.int64)[pos] for seed in (1, 2))
+                        g = words.g[words.first[t] : words.first[t + 1]]
+                        w1, w2 = (rolling(x, k, seed).view(np.int64)[pos] for x, seed in ((h, 1), (g, 2)))
                         parts.append(np.column_stack([w1, w2, np.full(len(pos), i + t), pos]))
             rows = np.concatenate(parts)
             w1, w2, row, pos = rows.T
@@ -146,7 +149,7 @@ def _kept(k: int):
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             columns = (batch.column(c).to_pylist() for c in ("doc_id", "text", "places"))
             for doc, text, places in zip(*columns):

@@ -1,8 +1,10 @@
-"""Words of whole texts as 64-bit hashes, in numpy over the bytes of Arrow batches.
+"""Words of whole texts as two independent 64-bit hashes, in numpy over the bytes of Arrow batches.
 
-A word is a run of bytes other than space and tab to carriage return. Its hash is a polynomial in
-random byte codes modulo 2^64 (Rabin-Karp), so sums over any stretch come from one running sum. A
-block holds whole words of at most about a megabyte; only a longer single word makes a longer block.
+A word is a run of bytes other than space and tab to carriage return. It is read in lanes of eight
+bytes, and each lane goes through a mixing step with the hash so far, for all words of a block at
+once; the second hash has other constants. Stretches of words have Rabin-Karp hashes over the hashes
+of their words. A block holds whole words of at most about a megabyte; only a longer single word makes
+a longer block.
 """
 
 from __future__ import annotations
@@ -14,26 +16,15 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 BLOCK = 1 << 20
+#: Bytes of texts that are worked on at once.
+SLICE = 4 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
-_CODES = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_LOWER_CODES = _CODES.copy()
-_LOWER_CODES[65:91] = _CODES[97:123]
-_powers: list[np.ndarray] = []
-
-
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if _powers and len(_powers[0]) >= n:
-        return _powers[0], _powers[1]
-    tables = []
-    for base in (_BASE, pow(_BASE, -1, 1 << 64)):
-        factors = np.full(n, base, dtype=np.uint64)
-        factors[:1] = 1
-        tables.append(np.cumprod(factors, dtype=np.uint64))
-    if n <= 4 * BLOCK:
-        _powers[:] = tables
-    return tables[0], tables[1]
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+#: Masks for the last lane of a word, by its number of bytes.
+_LANE = np.array([(1 << 8 * k) - 1 for k in range(8)] + [(1 << 64) - 1], dtype=np.uint64)
 
 
 def mix(h: np.ndarray, seed: int = 0) -> np.ndarray:
@@ -56,10 +47,10 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, np.uint8)), offsets
 
 
-def _block(data: np.ndarray, breaks: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, first and last+1 byte of the words of a block; a word also ends at each break."""
+def _block(data: np.ndarray, breaks: np.ndarray, lower: bool) -> tuple[np.ndarray, ...]:
+    """Both hashes, first and last+1 byte of the words of a block; a word also ends at each break."""
     if not len(data):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     space = _SPACE[data]
     first = ~space
     first[1:] &= space[:-1]
@@ -69,18 +60,30 @@ def _block(data: np.ndarray, breaks: np.ndarray, codes: np.ndarray) -> tuple[np.
     last[:-1] &= space[1:]
     last[breaks - 1] |= ~space[breaks - 1]
     starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
-    power, inverse = _power_tables(len(data))
-    sums = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum(codes[data] * power[: len(data)], out=sums[1:])
-    h = (sums[ends] - sums[starts]) * inverse[starts]
-    return mix(h + (ends - starts).astype(np.uint64)), starts, ends
+    return *_hashes(_LOWER[data] if lower else data, starts, ends), starts, ends
+
+
+def _hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of each stretch of bytes, lane by lane over all stretches that are long enough."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    lanes = np.lib.stride_tricks.as_strided(padded.view(np.uint8), (len(data) + 1, 8), (1, 1))
+    size = ends - starts
+    h, g = mix(size.astype(np.uint64), 21), mix(size.astype(np.uint64), 22)
+    at, left, who = starts, size, slice(None)
+    while len(left):
+        lane = np.ascontiguousarray(lanes[at]).view("<u8").ravel() & _LANE[np.minimum(left, 8)]
+        h[who], g[who] = mix(h[who] ^ lane, 23), mix(g[who] + mix(lane, 24), 25)
+        more = np.flatnonzero(left > 8)
+        who = more if isinstance(who, slice) else who[more]
+        at, left = at[more] + 8, left[more] - 8
+    return h, g
 
 
 class Words:
-    """The words of consecutive texts: hash, and of text i the words first[i] to first[i+1]."""
+    """The words of consecutive texts: hashes h and g, and of text i the words first[i] to first[i+1]."""
 
-    def __init__(self, h: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray):
-        self.h, self.starts, self.ends, self.first = h, starts, ends, first
+    def __init__(self, h: np.ndarray, g: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray):
+        self.h, self.g, self.starts, self.ends, self.first = h, g, starts, ends, first
 
     def text_of_word(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
@@ -106,25 +109,35 @@ def rolling(h: np.ndarray, k: int, seed: int = 0) -> np.ndarray:
     return mix(acc, seed)
 
 
+def slices(batches: Iterator[pa.RecordBatch], name: str = "text", most: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """The rows of batches in pieces with about ``most`` bytes of texts, one longer text by itself."""
+    for batch in batches:
+        _, offsets = text_bytes(batch.column(name))
+        i, n = 0, batch.num_rows
+        while i < n:
+            j = min(n, max(i + 1, int(np.searchsorted(offsets, offsets[i] + most, side="right")) - 1))
+            yield batch.slice(i, j - i)
+            i = j
+
+
 def text_groups(column: pa.Array, lower: bool = False) -> Iterator[tuple[int, int, Words]]:
     """Words of the texts from i to j (exclusive), a block's worth of texts at a time."""
     data, offsets = text_bytes(column)
-    codes = _LOWER_CODES if lower else _CODES
     i, n = 0, len(offsets) - 1
     while i < n:
         j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + BLOCK, side="right")) - 1)
         j = min(j, n)
-        yield i, j, _words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], codes)
+        yield i, j, _words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], lower)
         i = j
 
 
-def _words(data: np.ndarray, offsets: np.ndarray, codes: np.ndarray) -> Words:
+def _words(data: np.ndarray, offsets: np.ndarray, lower: bool) -> Words:
     parts = []
     for a, b in _cuts(data):
-        h, starts, ends = _block(data[a:b], offsets - a, codes)
-        parts.append((h, starts + a, ends + a))
-    h, starts, ends = (np.concatenate(x) for x in zip(*parts)) if parts else _block(data, offsets, codes)
-    return Words(h, starts, ends, np.searchsorted(starts, offsets))
+        h, g, starts, ends = _block(data[a:b], offsets - a, lower)
+        parts.append((h, g, starts + a, ends + a))
+    h, g, starts, ends = (np.concatenate(x) for x in zip(*parts)) if parts else _block(data, offsets, lower)
+    return Words(h, g, starts, ends, np.searchsorted(starts, offsets))
 
 
 def _cuts(data: np.ndarray) -> Iterator[tuple[int, int]]:
