@@ -13,7 +13,7 @@
    that they link are united. Every link between sets is either found or lies within one part.
 
 Shingles have two independent 64-bit hashes. Candidates are found by the first, which can only bring
-too many together; pairs are verified by both.
+too many together; pairs are verified by 64 bits made of both.
 """
 
 from __future__ import annotations
@@ -184,43 +184,29 @@ def _with_bitmaps(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _full_sets(k: int):
-    schema = pa.schema([("a", pa.int64()), ("hashes", pa.binary())])
+    schema = pa.schema([("a", pa.int64()), ("hashes", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
-            found = [(set_name(*s), np.concatenate(s).tobytes()) for s in _sets(part.column("text"), k)]
+            found = [(set_name(*s), mix(s[0] ^ mix(s[1], 12), 13).view(np.int64)) for s in _sets(part.column("text"), k)]
             if found:
                 yield pa.record_batch([pa.array(x, f.type) for x, f in zip(zip(*found), schema)], schema=schema)
 
     return run
 
 
-def _overlaps(percent: int):
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("hashes_a"), batch.column("hashes_b")):
-                x, y = (np.frombuffer(v.as_buffer(), np.uint64).reshape(2, -1) for v in (x, y))
-                _, i, j = np.intersect1d(x[0], y[0], assume_unique=True, return_indices=True)
-                both = int((x[1][i] == y[1][j]).sum())
-                keep.append(100 * both >= percent * (x.shape[1] + y.shape[1] - both))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_())).cast(schema)
-
-    return run
-
-
 def verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs of sets whose similarity is enough; pairs are few by now and written already."""
     needed = pairs.select(F.explode(F.array("a", "b")).alias("a")).distinct().join(sets.select("a", "id"), "a")
     needed = materialize(needed.select("id").distinct())
     ids = F.broadcast(needed) if needed.count() <= BROADCAST_IDS else needed
-    full = docs.join(ids, "id", "left_semi").select("text").mapInArrow(_full_sets(k), "a bigint, hashes binary")
+    full = docs.join(ids, "id", "left_semi").select("text").mapInArrow(_full_sets(k), "a bigint, hashes array<bigint>")
     full = materialize(full)
     for side in ("a", "b"):
         pairs = pairs.join(full.select(F.col("a").alias(side), F.col("hashes").alias(f"hashes_{side}")), side)
-    return materialize(pairs.mapInArrow(_overlaps(percent), "a bigint, b bigint").distinct())
+    both = F.size(F.array_intersect("hashes_a", "hashes_b"))
+    either = F.size("hashes_a") + F.size("hashes_b") - both
+    return materialize(pairs.filter(100 * both >= percent * either).select("a", "b").distinct())
 
 
 def group_pairs(own: list[tuple], other: list[tuple] | None, percent: int) -> Iterator[tuple[int, int]]:

@@ -1,9 +1,9 @@
 """Removal of word passages that an earlier document already holds.
 
 Rabin-Karp hashes of every window of words are compared across documents. To keep windows that occur
-once off the network, documents first exchange only anchors: the least hash of the eight-word stretches
+once off the network, documents first exchange only anchors: the least hash of the five-word stretches
 inside a window. Equal windows have equal anchors, so a window whose anchor occurs in one document
-alone cannot repeat; all others are counted in Spark by two 64-bit hashes, each made of another,
+alone cannot repeat; all others are counted in Spark by 96 bits of two hashes, each made of another,
 independent hash of the words. What repeats inside one batch
 of a task is settled there, so a passage that a third of all documents share reaches its group once
 per batch and not once per document.
@@ -25,7 +25,7 @@ from tidepanel.llm.words import Words, rolling, slices, text_groups
 
 WINDOW = 13
 #: Words of a stretch. Longer ones repeat less often by chance, but more of them are anchors.
-STRETCH = 8
+STRETCH = 5
 #: Stands for a null id inside the jobs: the smallest.
 NO_ID = -(1 << 63)
 _WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -73,7 +73,7 @@ def repeated_anchors(docs: DataFrame, k: int) -> DataFrame:
     """(id, anchor) of anchors that more than one row holds."""
     rows = docs.select("id", "text").mapInArrow(_anchors(k), "anchor bigint, id bigint, repeats boolean")
     # rows already known to repeat need no group, so they are spread
-    rows = rows.withColumn("salt", F.when(F.col("repeats"), F.xxhash64("id")).otherwise(0))
+    rows = rows.withColumn("salt", F.when(F.col("repeats"), F.pmod(F.xxhash64("id"), F.lit(64))).otherwise(0))
     group = Window.partitionBy("anchor", "salt").orderBy("id")
     near = rows.withColumn("before", F.lag("id").over(group)).withColumn("behind", F.lead("id").over(group))
     return near.filter("repeats or before is not null or behind is not null").select("id", "anchor")
@@ -93,7 +93,7 @@ def _packed(pos: np.ndarray, starts: np.ndarray) -> list[bytes]:
 
 def _candidates(k: int):
     schema = pa.schema(
-        [("w1", pa.int64()), ("w2", pa.int64()), ("id", pa.int64()), ("th", pa.int64()), ("places", pa.binary())]
+        [("w1", pa.int64()), ("w2", pa.int32()), ("id", pa.int64()), ("th", pa.int64()), ("places", pa.binary())]
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,6 +110,7 @@ def _candidates(k: int):
                     if len(pos):
                         g = words.g[words.first[t] : words.first[t + 1]]
                         w1, w2 = (rolling(x, k, seed).view(np.int64)[pos] for x, seed in ((h, 1), (g, 2)))
+                        w2 = w2 >> 32
                         parts.append(np.column_stack([w1, w2, np.full(len(pos), i + t), pos]))
             rows = np.concatenate(parts)
             w1, w2, row, pos = rows.T
@@ -131,7 +132,7 @@ def _candidates(k: int):
             yield pa.record_batch(
                 [
                     pa.concat_arrays([pa.array(w1[open_[o]], pa.int64()), pa.array(settled, pa.int64())]),
-                    pa.concat_arrays([pa.array(w2[open_[o]], pa.int64()), pa.array(settled, pa.int64())]),
+                    pa.concat_arrays([pa.array(w2[open_[o]].astype(np.int32)), pa.array(settled, pa.int32())]),
                     pa.array(ids[owner], pa.int64()),
                     pa.array(th[owner], pa.int64()),
                     pa.array(places, pa.binary()),
@@ -188,12 +189,13 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     other; rows of one id do not remove from each other. Texts shorter than a window, empty and null
     ones keep all their words.
     """
-    rows = docs.select(
-        F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), text_of().alias("text"), F.xxhash64(text_of()).alias("th")
-    )
+    rows = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), text_of().alias("text"))
+    # only rows that share their id need a hash of the text to tell them apart
+    times = rows.groupBy("id").agg((F.count(F.lit(1)) > 1).alias("shared"))
     anchors = repeated_anchors(rows, window).groupBy("id").agg(F.collect_set("anchor").alias("anchors"))
-    found = rows.join(anchors, "id").mapInArrow(
-        _candidates(window), "w1 bigint, w2 bigint, id bigint, th bigint, places binary"
+    th = F.when(F.col("shared"), F.xxhash64("text")).otherwise(0)
+    found = rows.join(anchors.join(times, "id"), "id").select("id", "text", "anchors", th.alias("th")).mapInArrow(
+        _candidates(window), "w1 bigint, w2 int, id bigint, th bigint, places binary"
     )
     found = found.withColumn("salt", F.when(F.col("w1").isNull(), F.xxhash64("id")).otherwise(0))
     group = Window.partitionBy("w1", "w2", "salt").orderBy("id")
@@ -201,7 +203,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     gone = later.groupBy("id", "th").agg(F.collect_list("places").alias("places"))
     # joined on the id alone, so that the texts dealt out for the first join serve here again
     gone = gone.groupBy("id").agg(F.collect_list(F.struct("th", "places")).alias("gone"))
-    mine = F.filter("gone", lambda g: g["th"] == F.col("th"))
+    mine = F.filter("gone", lambda g: (g["th"] == 0) | (g["th"] == F.xxhash64("text")))
     return (
         rows.join(gone, "id", "left")
         .select(
