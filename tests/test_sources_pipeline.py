@@ -1,11 +1,13 @@
 import datetime as dt
+import random
 
 import numpy as np
 import pytest
 from conftest import START, wavy
 from pyspark.sql import functions as F
 
-from tidepanel.plans.pipeline import Options, analyse
+from tidepanel.operators import evaluate
+from tidepanel.plans.pipeline import REPORT, Options, analyse, report
 from tidepanel.sources import delimited, roles, server_metrics, sinks
 
 
@@ -151,7 +153,13 @@ def test_whole_analysis(spark, tmp_path):
     tables = analyse(got.panel, got.labels, Options())
     out = str(tmp_path / "out")
     sinks.write_tables(tables, out, "run1")
-    back = {name: spark.read.parquet(f"{out}/run1/{name}") for name in tables}
+    run = sinks.published(spark, out)
+    back = run.tables
+    assert run.run_id == "run1" and set(back) == set(tables)
+    overview = back["overview"].first()
+    assert (overview["n_rows"], overview["n_cols"], overview["freq"]) == (299, 3, "min")
+    assert set(report(tables)) == set(REPORT)
+    assert back["true_rate"].first()["true_rate"] == pytest.approx(100 * 3 / 299)
     assert back["frequency"].first()["freq"] == "min"
     assert {r[0] for r in back["strength"].select("variable").collect()} == {"a", "b"}
     assert back["metrics"].where("variable = 'a' and scorer = 'norm'").first()["auc_roc"] > 0.9
@@ -163,6 +171,82 @@ def test_whole_analysis(spark, tmp_path):
     assert spark.read.parquet(f"{out}/panel").count() == got.panel.count()
 
 
+def test_panels_lie_in_buckets(spark, tmp_path):
+    rows = [(f"s{i % 40}", "v", START + dt.timedelta(hours=i), float(i)) for i in range(400)]
+    panel = spark.createDataFrame(rows, "series_id string, variable string, ts timestamp_ntz, value double")
+    path = str(tmp_path / "panel")
+    sinks.write_panel(panel, path, buckets=4)
+    assert len(list((tmp_path / "panel").glob("bucket=*"))) <= 4
+    mine = sinks.read_series_panel(spark, path, "s7", buckets=4)
+    assert sorted(r["value"] for r in mine.collect()) == [float(i) for i in range(7, 400, 40)]
+    assert "PartitionFilters: [isnotnull(bucket" in mine._jdf.queryExecution().toString()
+
+
+def test_a_run_that_broke_off_is_not_read(spark, tmp_path):
+    out = str(tmp_path)
+    sinks.publish({"a": spark.range(3)}, out, "one", {"by": "test"})
+    spark.range(9).write.parquet(f"{out}/two/a")
+    got = sinks.published(spark, out)
+    assert (got.run_id, got.facts, got.tables["a"].count()) == ("one", {"by": "test"}, 3)
+    with pytest.raises(ValueError, match="two"):
+        sinks.published(spark, out, "two")
+
+
+def test_only_one_label_name_is_taken_for_the_truth(spark):
+    labels = spark.createDataFrame([("s", START, 1), ("s", START, 0)], "series_id string, ts timestamp_ntz, y int")
+    assert evaluate.true_rate(labels).first()["true_rate"] == 50
+    assert evaluate.true_rate(labels, "is_anomaly").count() == 1
+    assert evaluate.true_rate(labels, "label").count() == 0 == evaluate.true_rate(labels, None).count()
+
+
+def _quoted_files(folder):
+    """Files of records with quotes, separators and line breaks in their cells, and blank lines between."""
+    rng, want = random.Random(2), []
+    for part in range(3):
+        with open(folder / f"p{part}.csv", "w", newline="") as out:
+            out.write(" id ,text, q \n")
+            for i in range(200):
+                cell = "".join(rng.choice(["a", "b", '"', ",", "\n", "\n", "x y", "", " "]) for _ in range(rng.randint(0, 12)))
+                last = 'it"s' if rng.random() < 0.2 else "z"
+                out.write(f'{part * 1000 + i},"{cell.replace(chr(34), chr(34) * 2)}",{last}\n')
+                if rng.random() < 0.1:
+                    out.write("\n")
+                want.append((str(part * 1000 + i), cell.strip(" ") or None, last))
+    return want
+
+
+@pytest.mark.parametrize("split", [700, 1 << 20])
+def test_records_go_on_over_quoted_line_breaks(spark, tmp_path, split):
+    want = _quoted_files(tmp_path)
+    keys = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    old = [spark.conf.get(k) for k in keys]
+    spark.conf.set(keys[0], str(split))
+    spark.conf.set(keys[1], "10")
+    try:
+        assert delimited.spans_lines(spark, str(tmp_path), ",")
+        rows = delimited.file_rows(spark, str(tmp_path), ",").orderBy(delimited.POSITION).collect()
+    finally:
+        for k, v in zip(keys, old):
+            spark.conf.set(k, v)
+    assert [(r["id"], r["text"], r["q"]) for r in rows] == want
+    assert [r[delimited.POSITION] for r in rows] == list(range(len(want)))
+
+
+def test_quoted_records_keep_their_roles(spark, tmp_path):
+    lines = ['time;remark;x', '2024-01-01;"two', 'lines; and ""more""";1.5', '2024-01-02;plain;2.5', 'never;"a', 'b";3.5']
+    lines += [f"2024-01-{day:02d};plain;{day}.5" for day in range(3, 29)]
+    path = write(tmp_path / "q.csv", lines)
+    assert delimited.sniff_delimiter(spark, path) == ";"
+    got = delimited.read_series(spark, path)
+    assert (got.features, got.dropped_cols) == (["x"], ["remark"])
+    assert sorted(r["value"] for r in got.panel.collect()) == [day + 0.5 for day in range(1, 29)]
+    assert len(got.warnings) == 2
+    plain = write(tmp_path / "p.csv", ['a,b', 'it is 5" wide,"say ""so"""', "x,y"])
+    assert not delimited.spans_lines(spark, plain, ",")
+    cells = [(r["a"], r["b"]) for r in delimited.file_rows(spark, plain, ",").orderBy(delimited.POSITION).collect()]
+    assert cells == [('it is 5" wide', 'say "so"'), ("x", "y")]
+
+
 @pytest.mark.parametrize("most, said", [(3, 1), (4, 0)])
 def test_cut_rows_are_said(spark, tmp_path, most, said):
     (tmp_path / "a.csv").write_text("time,x\n" + "".join(f"2024-01-0{i},{i}.5\n" for i in range(1, 5)))

@@ -5,15 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidepanel.functions.scalar import zero_if_undefined
+from tidepanel.functions.scalar import wall_time, zero_if_undefined
 from tidepanel.model import KEYS
 from tidepanel.operators.detect import SCORED, on_common_range
 from tidepanel.operators.layout import Layout, running
 
 
+#: The label column whose rate is shown as the true one.
+TRUE_LABEL = "is_anomaly"
+
+
 def with_labels(rows: DataFrame, labels: DataFrame) -> DataFrame:
     """Add ``y`` by exact instant; an instant without a label counts as normal."""
-    wall = labels.select("series_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "y")
+    wall = labels.select("series_id", wall_time(F.col("ts")).alias("ts"), "y")
     return rows.join(wall, ["series_id", "ts"], "left").withColumn(
         "y", F.coalesce(F.col("y"), F.lit(0)).cast("int")
     )
@@ -94,8 +98,13 @@ def best_auc(metrics: DataFrame) -> DataFrame:
     return best.groupBy("series_id").agg(F.avg("auc_roc").alias("best_auc"))
 
 
-def true_rate(labels: DataFrame) -> DataFrame:
-    """Share of labelled anomalies over the whole series, in percent."""
+def true_rate(labels: DataFrame, label_col: str | None = TRUE_LABEL) -> DataFrame:
+    """Share of labelled anomalies over the whole series, in percent.
+
+    Only a column of the name ``is_anomaly`` is taken to hold the truth; for any other the table is
+    empty.
+    """
+    labels = labels if label_col == TRUE_LABEL else labels.limit(0)
     return labels.groupBy("series_id").agg((F.avg("y") * 100).alias("true_rate"))
 
 

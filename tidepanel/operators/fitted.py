@@ -27,9 +27,7 @@ from tidepanel.operators.forecast import (
 from tidepanel.operators.layout import Layout
 from tidepanel.operators.scorers import SCORERS
 from tidepanel.session import materialize
-
-MANIFEST = "manifest"
-_MANIFEST = "version string, created timestamp, quantile double, scorers array<string>, tables array<string>"
+from tidepanel.sources.sinks import publish, published
 
 
 @dataclass(frozen=True)
@@ -112,28 +110,16 @@ def fit(
 
 
 def save(model: Model, folder: str) -> str:
-    """Write the model's tables, then one row of the manifest: readers see all of a version or none."""
-    spark = model.tables["forecast"].sparkSession
-    folder = folder.rstrip("/")
-    for name, table in model.tables.items():
-        table.write.parquet(f"{folder}/{model.version}/{name}")
-    row = (model.version, None, model.threshold_quantile, list(model.scorers), list(model.tables))
-    told = spark.createDataFrame([row], _MANIFEST).withColumn("created", F.current_timestamp())
-    told.coalesce(1).write.mode("append").parquet(f"{folder}/{MANIFEST}")
-    return model.version
+    """Publish the model's tables: readers see all of a version or none."""
+    facts = {"quantile": repr(model.threshold_quantile), "scorers": ",".join(model.scorers)}
+    return publish(model.tables, folder, model.version, facts)
 
 
 def load(spark: SparkSession, folder: str, version: str | None = None) -> Model:
     """The model of a version, by default the one that was published last."""
-    folder = folder.rstrip("/")
-    known = spark.read.schema(_MANIFEST).parquet(f"{folder}/{MANIFEST}")
-    if version is not None:
-        known = known.where(F.col("version") == version)
-    row = known.orderBy(F.col("created").desc(), "version").first()
-    if row is None:
-        raise ValueError(f"no published model {version or ''} in {folder}")
-    tables = {name: spark.read.parquet(f"{folder}/{row['version']}/{name}") for name in row["tables"]}
-    return Model(row["version"], tuple(row["scorers"]), row["quantile"], tables)
+    found = published(spark, folder, version)
+    scorers = tuple(found.facts["scorers"].split(","))
+    return Model(found.run_id, scorers, float(found.facts["quantile"]), found.tables)
 
 
 def score(

@@ -246,13 +246,23 @@ def attach(
     return df.join(per_block(values, layout).drop("n"), keys + ["block"], how)
 
 
-def per_block(values: DataFrame, layout: Layout) -> DataFrame:
-    """Per-group rows (with ``n``) repeated for each block of their group."""
+def per_block(values: DataFrame, layout: Layout, spread: bool = False) -> DataFrame:
+    """Per-group rows (with ``n``) repeated for each block of their group.
+
+    ``spread`` repeats large rows in two steps, first for stretches of blocks that are dealt out, then
+    for the blocks of each, so that no task writes more than the root of their number.
+    """
     first = F.lit(0).cast("long")
     if not layout.blocked:
         return values.withColumn("block", first)
     last = F.floor((F.col("n") - 1) / layout.block_rows)
-    return values.withColumn("block", F.explode(F.sequence(first, last)))
+    if not spread:
+        return values.withColumn("block", F.explode(F.sequence(first, last)))
+    stretch = F.ceil(F.sqrt(last + 1)).cast("long")
+    starts = values.withColumn("__from", F.explode(F.sequence(first, last, stretch)))
+    starts = starts.repartition(*KEYS, "__from")
+    until = F.least(F.col("__from") + stretch - 1, last)
+    return starts.withColumn("block", F.explode(F.sequence(F.col("__from"), until))).drop("__from")
 
 
 def join_groups(

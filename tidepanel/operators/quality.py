@@ -55,6 +55,36 @@ def quality_summary(
     )
 
 
+def panel_overview(panel: DataFrame, frequency: DataFrame | None = None) -> DataFrame:
+    """Per series of a completed panel: rows, columns, span, missing cells and, if given, the frequency.
+
+    Made of one row per variable, so a long series is summed up before it is put together.
+    """
+    per_variable = panel.groupBy(*KEYS).agg(
+        F.count(F.lit(1)).alias("__rows"),
+        F.min("ts").alias("__from"),
+        F.max("ts").alias("__to"),
+        F.count_if(clean_double(F.col("value")).isNull()).alias("__missing"),
+    )
+    summed = per_variable.groupBy("series_id").agg(
+        F.max("__rows").cast("long").alias("n_rows"),
+        F.count(F.lit(1)).cast("long").alias("n_cols"),
+        F.min("__from").alias("start_ts"),
+        F.max("__to").alias("end_ts"),
+        F.sum("__missing").cast("long").alias("n_missing"),
+    )
+    seconds = F.timestamp_diff("SECOND", F.col("start_ts"), F.col("end_ts")).cast("long")
+    told = summed.select(
+        "*",
+        (F.col("n_missing") / (F.col("n_rows") * F.col("n_cols"))).alias("missing_ratio"),
+        seconds.alias("duration_seconds"),
+        duration_text(seconds).alias("duration_text"),
+    )
+    if frequency is None:
+        return told
+    return told.join(frequency.select("series_id", "freq"), "series_id", "left")
+
+
 def quality_columns(frame: DataFrame, features: list[str]) -> DataFrame:
     """Missing cells per variable, and whether the variable is constant. One pass, one row each."""
     stats: list[Column] = []

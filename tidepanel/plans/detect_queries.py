@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
-from functools import partial
+from functools import partial, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,11 +19,14 @@ from pyspark.sql import functions as F
 from tidepanel.functions import texts
 from tidepanel.model import KEYS, frame_to_panel
 from tidepanel.operators import clean, detect, evaluate, explain, fitted, forecast, iforest, results, scorers
-from tidepanel.operators.layout import Layout
+from tidepanel.operators.layout import Layout, with_position
 from tidepanel.operators.quality import infer_frequency
 from tidepanel.plans.panels import DAILY, HOURLY, MIXED, USERS, daily_panel, hourly_frame, regular_mixed_panel, user_panel
+from tidepanel.plans import pipeline
 from tidepanel.plans.registry import ORACLES, query, table
+from tidepanel.plans.season_queries import UNIT_ROOT
 from tidepanel.session import materialize, shared_folder
+from tidepanel.sources import sinks
 
 RATIO = 0.3
 TOP = 0.95
@@ -1042,27 +1045,215 @@ for _query in (lag_linear_residual_norm, wasserstein_window, wasserstein_per_row
     query(f"full_{_query.__name__}", _full(_query.__name__))(partial(_query, residuals=full_residuals))
 
 
+@query(
+    "guard_notes",
+    f"""
+    WITH {HOURLY}, sizes AS (
+      SELECT variable, max(n) AS n, CAST(floor((max(n) - 1) * CAST(0.7 AS DOUBLE)) AS BIGINT) AS cut,
+        sum(CASE WHEN value IS NULL THEN 1 ELSE 0 END) AS gaps FROM hourly GROUP BY 1)
+    SELECT 'events' AS series_id, variable, 'detect' AS step, CASE WHEN n < 20 THEN 'left out: fewer than 20 rows'
+      WHEN gaps > 0 THEN 'left out: missing values remain' ELSE 'short train part: less precise' END AS note
+    FROM sizes WHERE n < 20 OR gaps > 0 OR cut < greatest(2, least(14, cut // 4)) + 5
+    """,
+)
+def guard_notes(spark: SparkSession, folder: str) -> DataFrame:
+    """What a panel with holes is told."""
+    frame, names = hourly_frame(spark, folder)
+    panel = materialize(frame_to_panel(frame, names, series_id="events"))
+    placed = with_position(panel, Layout.measure(panel))
+    return forecast.guard_notes(forecast.sizing(placed, RATIO))
+
+
+_REPORT_ROWS = {
+    "overview": ["n_rows", "n_cols", "n_missing", "duration_seconds"],
+    "stationarity": ["adf_statistic", "adf_pvalue", "is_stationary"],
+    "kpi": ["n_points", "n_anomalies"],
+    "metrics": ["n_detected", "detection_percent", "score_mean", "score_max"],
+    "explanations": ["value"],
+}
+
+
+@query(
+    "report_tables",
+    f"""
+    WITH RECURSIVE {FULL_SCORES}, {UNIT_ROOT.replace(DAILY + ",", "")}, {_UNSUPERVISED},
+    {SEVERITY.replace(SCORES + ",", "")},
+    facts AS (
+      SELECT 'overview' AS part, '' AS variable, '' AS scorer, unnest(['n_rows', 'n_cols', 'n_missing', 'duration_seconds']) AS name,
+        unnest([CAST(max(n) AS DOUBLE), count(DISTINCT variable), 0, epoch(max(ts)) - epoch(min(ts))]) AS value FROM daily
+      UNION ALL
+      SELECT 'stationarity', variable, '', unnest(['adf_statistic', 'adf_pvalue', 'is_stationary']),
+        unnest([round(tau, 3), round(p_value, 4), CASE WHEN p_value < 0.05 THEN 1 ELSE 0 END]) FROM unit_root
+      UNION ALL
+      SELECT 'kpi', '', '', unnest(['n_points', 'n_anomalies']), unnest([CAST(count(*) AS DOUBLE), sum(any_anomaly)]) FROM combined
+      UNION ALL
+      SELECT 'metrics', variable, scorer, unnest(['n_detected', 'detection_percent', 'score_mean', 'score_max']),
+        unnest([CAST(n_detected AS DOUBLE), round(rate * 100, 2), round(mean, 3), round(top, 3)]) FROM unsup
+      UNION ALL
+      SELECT 'explanations', t.variable, '', 'value', round(d.value, 4) FROM (
+        SELECT * FROM severity ORDER BY severity.severity DESC, variable, ts LIMIT 5) t
+      JOIN daily d ON d.variable = t.variable AND d.pos = t.pos
+    )
+    SELECT part, variable, scorer, name, value, CAST(8 AS INTEGER) AS n_tables FROM facts
+    """,
+)
+def report_tables(spark: SparkSession, folder: str) -> DataFrame:
+    """A whole analysis, its report published as one run and read back through the manifest."""
+    panel, _ = daily_panel(spark, folder)
+    tables = pipeline.report(pipeline.analyse(panel.drop("pos", "n"), options=pipeline.Options(forest=False)))
+    reports = f"{shared_folder(spark).rstrip('/')}/tidepanel-reports-{uuid.uuid4().hex}"
+    run = sinks.published(spark, reports, sinks.publish(tables, reports, "daily"))
+    rows = []
+    for part, names in _REPORT_ROWS.items():
+        found = run.tables[part]
+        keys = [
+            (F.col(c) if c in found.columns else F.lit("")).alias(c) for c in ("variable", "scorer")
+        ]
+        cells = found.select(F.lit(part).alias("part"), *keys, *[F.col(c).cast("double").alias(c) for c in names])
+        rows.append(cells.unpivot(["part", "variable", "scorer"], names, "name", "value"))
+    return reduce(DataFrame.unionByName, rows).withColumn("n_tables", F.lit(len(run.tables)))
+
+
 # ---------------------------------------------------------------------------------------------
 # Isolation forest
 # ---------------------------------------------------------------------------------------------
 
 
-@query("iforest")
+
+
+def _mix32(x: str) -> str:
+    """``iforest.mix32`` of an expression, which stands in the text once."""
+    steps = ("xor(v, v >> 16) * 2246822507 % 4294967296", "xor(v, v >> 13) * 3266489909 % 4294967296", "xor(v, v >> 16)")
+    lists = f"[CAST({x} AS UBIGINT)]"
+    for step in steps:
+        lists = f"list_transform({lists}, lambda v: CAST({step} AS UBIGINT))"
+    return f"{lists}[1]"
+
+
+def _path(rows: str) -> str:
+    return f"""CASE WHEN {rows} <= 1 THEN 0 WHEN {rows} = 2 THEN 1
+      ELSE 2 * (ln({rows} - 1) + CAST('{iforest.EULER}' AS DOUBLE)) - 2 * CAST({rows} - 1 AS DOUBLE) / {rows} END"""
+
+
+def _level(depth: int) -> str:
+    """Nodes of a depth with their cuts (no cut: a leaf), and the rows of the next depth."""
+    edges = "[" + ", ".join(f"#(f[{i}])" for i in range(1, 5)) + "]"
+    cut = f"""
+cut{depth} AS MATERIALIZED (
+  SELECT variable, t, c, m, i, CASE WHEN cut >= hi[i] THEN lo[i] ELSE cut END AS cut
+  FROM (
+    SELECT *, lo[i] + CAST(h2 AS DOUBLE) / CAST(4294967296 AS DOUBLE) * (hi[i] - lo[i]) AS cut
+    FROM (
+      SELECT *, CASE WHEN m > 1 AND {depth} < 8 THEN
+        list_filter([1, 2, 3, 4], lambda q: hi[q] > lo[q])[CAST((h1 * CAST(open AS UBIGINT)) >> 32 AS BIGINT) + 1] END AS i
+      FROM (
+        SELECT variable, t, c, count(*) AS m, {edges.replace("#", "min")} AS lo, {edges.replace("#", "max")} AS hi,
+          len(list_filter([1, 2, 3, 4], lambda q: hi[q] > lo[q])) AS open,
+          {_mix32(f"xor(any_value(k), {_mix32(f'2 * ({iforest.CUT_NUMBERS} + c)')})")} AS h1,
+          {_mix32(f"xor(any_value(k), {_mix32(f'2 * ({iforest.CUT_NUMBERS} + c) + 1')})")} AS h2
+        FROM rows{depth} GROUP BY 1, 2, 3)))
+)"""
+    if depth == 8:
+        return cut
+    return cut + f""",
+rows{depth + 1} AS MATERIALIZED (
+  SELECT r.variable, r.t, r.k, 2 * r.c + CASE WHEN r.f[x.i] > x.cut THEN 1 ELSE 0 END AS c, r.f
+  FROM rows{depth} r JOIN cut{depth} x ON x.variable = r.variable AND x.t = r.t AND x.c = r.c WHERE x.i IS NOT NULL
+)"""
+
+
+def _step(depth: int) -> str:
+    return f"""
+walk{depth + 1} AS (
+  SELECT w.variable, w.pos, w.t, w.f,
+    CASE WHEN x.i IS NULL THEN w.c ELSE 2 * w.c + CASE WHEN w.f[x.i] > x.cut THEN 1 ELSE 0 END END AS c
+  FROM walk{depth} w LEFT JOIN cut{depth} x ON x.variable = w.variable AND x.t = w.t AND x.c = w.c
+)"""
+
+
+#: The forest of series of 129 rows or more: hashed draws and cuts, eight levels, paths of all rows.
+FOREST = DAILY + f""",
+feats AS MATERIALIZED (
+  SELECT variable, ts, pos, n, [value, value - avg(value) OVER w, coalesce(stddev_samp(value) OVER w, 0),
+    coalesce(value - lag(value) OVER (PARTITION BY variable ORDER BY pos), 0)] AS f
+  FROM daily WINDOW w AS (PARTITION BY variable ORDER BY pos ROWS BETWEEN 5 PRECEDING AND 4 FOLLOWING)
+),
+tree_keys AS MATERIALIZED (
+  SELECT variable, n, t, {_mix32(f"xor({_mix32('t')}, g)")} AS k
+  FROM (SELECT variable, max(n) AS n,
+      CAST(CAST('0x' || substr(md5('42' || chr(31) || 'lineitem' || chr(31) || variable), 1, 8) AS BIGINT) AS UBIGINT) AS g
+    FROM daily GROUP BY 1), range({iforest.TREES}) r(t)
+),
+draws AS (
+  SELECT variable, t, k, j, CASE WHEN n <= 256 THEN j ELSE CAST(floor(CAST(
+      {_mix32(f"xor(k, {_mix32('2 * j')})")} * 2097152 + ({_mix32(f"xor(k, {_mix32('2 * j + 1')})")} >> 11) AS DOUBLE)
+      / CAST(9007199254740992 AS DOUBLE) * n) AS BIGINT) END AS pos
+  FROM tree_keys, range(1024) d(j) WHERE n > 256 OR j < n
+),
+sampled AS (
+  SELECT variable, t, any_value(k) AS k, pos, min(j) AS j FROM draws GROUP BY variable, t, pos
+  QUALIFY row_number() OVER (PARTITION BY variable, t ORDER BY min(j)) <= 256
+),
+rows0 AS MATERIALIZED (
+  SELECT s.variable, s.t, s.k, 1 AS c, f.f FROM sampled s JOIN feats f ON f.variable = s.variable AND f.pos = s.pos
+),{",".join(_level(d) for d in range(9))},
+leaves AS MATERIALIZED (
+  {" UNION ALL ".join(f"SELECT variable, t, c, {d} + {_path('m')} AS length FROM cut{d} WHERE i IS NULL" for d in range(9))}
+),
+walk0 AS (SELECT variable, pos, t, f, 1 AS c FROM feats, range({iforest.TREES}) r(t)),
+{",".join(_step(d) for d in range(8))},
+raw AS (
+  SELECT w.variable, w.pos, avg(l.length) AS path FROM walk8 w
+  JOIN leaves l ON l.variable = w.variable AND l.t = w.t AND l.c = w.c GROUP BY 1, 2
+),
+raw_scores AS (
+  SELECT f.variable, f.ts, f.pos, f.n, 2 ** (-r.path / ({_path("least(f.n, 256)")})) AS s
+  FROM feats f JOIN raw r USING (variable, pos)
+),
+forest AS (
+  SELECT r.variable, r.ts, r.pos, r.n, r.s - q.q AS score, CASE WHEN r.s - q.q > 0 THEN 1 ELSE 0 END AS is_anomaly
+  FROM raw_scores r JOIN (SELECT variable, quantile_cont(s, 0.95) AS q FROM raw_scores GROUP BY 1) q USING (variable)
+)"""
+
+
+@query(
+    "iforest",
+    f"""
+    WITH {FOREST}
+    SELECT 'lineitem' AS series_id, variable, 'iforest' AS scorer, ts, pos, n, round(score, 6) AS score, is_anomaly FROM forest
+    """,
+)
 def isolation_forest(spark: SparkSession, folder: str) -> DataFrame:
     panel, layout = daily_panel(spark, folder)
-    return iforest.detect_isolation_forest(panel, layout=layout)
+    found = iforest.detect_isolation_forest(panel, layout=layout)
+    return found.withColumn("score", F.round("score", 6))
 
 
-@query("iforest_combined")
+@query(
+    "iforest_combined",
+    f"""
+    WITH {FOREST}
+    SELECT 'lineitem' AS series_id, ts, max(is_anomaly) AS any_anomaly_iforest FROM forest GROUP BY 2
+    """,
+)
 def iforest_combined(spark: SparkSession, folder: str) -> DataFrame:
     panel, layout = daily_panel(spark, folder)
     found = iforest.detect_isolation_forest(panel, layout=layout)
     return iforest.combine_forest(found)
 
 
-@query("iforest_eval")
+@query(
+    "iforest_eval",
+    f"""
+    WITH {FOREST}, {LABELS}, labelled AS (
+      SELECT f.variable, f.score, coalesce(l.y, 0) AS y FROM forest f LEFT JOIN labels_daily l USING (ts)),
+    """
+    + _RANKED.replace("GROUPING_KEY", "variable").replace("SOURCE", "labelled")
+    + " SELECT 'lineitem' AS series_id, k AS variable, 'iforest' AS scorer, auc_roc, auc_pr FROM ranked",
+)
 def iforest_eval(spark: SparkSession, folder: str) -> DataFrame:
     panel, layout = daily_panel(spark, folder)
     found = materialize(iforest.detect_isolation_forest(panel, layout=layout))
     labelled = evaluate.with_labels(found, daily_labels(spark, folder))
-    return evaluate.ranking_metrics(labelled, layout)
+    metrics = evaluate.ranking_metrics(labelled, layout)
+    return metrics.withColumns({c: F.round(c, 6) for c in ("auc_roc", "auc_pr")})

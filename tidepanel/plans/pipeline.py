@@ -46,15 +46,32 @@ def prepare(panel: DataFrame, method: str = "interpolate_linear") -> tuple[DataF
     return materialize(clean.fill(with_position(kept, layout), method, layout)), layout
 
 
+#: The tables of a report, in the order of its sections.
+REPORT = ("overview", "quality_stats", "strength", "stationarity", "kpi", "explanations", "metrics", "notes")
+
+
+def report(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """The tables of a report out of those of an analysis, the explanations rounded for display."""
+    chosen = {name: tables[name] for name in REPORT}
+    return chosen | {"explanations": results.explanation_table(tables["explanations"])}
+
+
 def analyse(
-    panel: DataFrame, labels: DataFrame | None = None, options: Options = Options()
+    panel: DataFrame,
+    labels: DataFrame | None = None,
+    options: Options = Options(),
+    label_col: str | None = evaluate.TRUE_LABEL,
 ) -> dict[str, DataFrame]:
-    """All result tables of a panel. Heavy intermediate tables are written once and shared."""
+    """All result tables of a panel. Heavy intermediate tables are written once and shared.
+
+    ``label_col`` is the name the labels had in their source; it decides whether their rate is shown.
+    """
     panel = materialize(clean.complete(panel, Layout.measure(panel)))
     filled, layout = prepare(panel, options.fill_method)
     axis = panel.select("series_id", "ts").distinct()
     frequency = materialize(quality.infer_frequency(axis, layout))
     tables = {
+        "overview": quality.panel_overview(panel, frequency),
         "frequency": frequency,
         "quality_missing": clean.missing_counts(panel),
         "quality_stats": quality.describe(filled, layout),
@@ -117,7 +134,7 @@ def analyse(
         tables["metrics"] = results.labelled_table(metrics)
         tables["best_auc"] = evaluate.best_auc(metrics)
         tables["confusion"] = evaluate.confusion(found.combined, labels)
-        tables["true_rate"] = evaluate.true_rate(labels)
+        tables["true_rate"] = evaluate.true_rate(labels, label_col)
         if forest is not None:
             tables["forest_metrics"] = evaluate.ranking_metrics(
                 evaluate.with_labels(forest, labels), layout

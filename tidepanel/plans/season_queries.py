@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidepanel.functions import tails, texts
 from tidepanel.operators import decompose, season, stationarity
 from tidepanel.operators.windows import centred_mean
 from tidepanel.operators.layout import halo_blocks
@@ -103,19 +104,136 @@ def ljung_box(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-@query("adf_test")
+#: Lagged differences that the SQL has room for: series of up to 3,900 rows.
+_MOST_LAGS = 30
+
+
+def _lagged_steps(limit: str) -> str:
+    past = ", ".join(f"CASE WHEN {limit} >= {i} THEN lag(d, {i}) OVER o ELSE 0 END" for i in range(1, _MOST_LAGS + 1))
+    return f"[d, level, 1.0, {past}]"
+
+
+def _system(rows: str, more: str = "") -> str:
+    """X'X of rows ``x`` as a list of lists per variable, with more columns if wanted."""
+    width = _MOST_LAGS + 3
+    return f"""
+  SELECT variable, list(r ORDER BY i) AS m FROM (
+    SELECT variable, i, list(v ORDER BY j){more} AS r FROM (
+      SELECT variable, i, j, sum(x[i] * x[j]) AS v FROM {rows}, range(1, {width + 1}) a(i), range(1, {width + 1}) b(j)
+      GROUP BY 1, 2, 3) GROUP BY 1, 2) GROUP BY 1"""
+
+
+def _swept(source: str, name: str) -> str:
+    """Elimination of one column after the other; what is left at [1][1] are the residual squares."""
+    return f"""
+{name} AS (
+  SELECT variable, 1 AS k, m FROM {source}
+  UNION ALL
+  SELECT variable, k + 1, list_transform(m, lambda r, i: CASE WHEN i = k + 1 OR m[k + 1][k + 1] = 0 THEN r
+    ELSE list_transform(r, lambda v, j: v - r[k + 1] * m[k + 1][j] / m[k + 1][k + 1]) END)
+  FROM {name} WHERE k < {_MOST_LAGS + 3}
+)"""
+
+
+def _polynomial(x: str, terms: list[float]) -> str:
+    return " + ".join(f"CAST({c} AS DOUBLE) * power({x}, {i})" for i, c in enumerate(terms))
+
+
+#: The normal distribution function by the series of its odd powers, all of one sign.
+_NORMAL = """0.5 + exp(-z * z / 2) / sqrt(2 * pi()) * list_sum(list_transform(range(0, 160),
+      lambda i: z * list_product(list_transform(range(1, i + 1), lambda q: z * z / (2 * q + 1)))))"""
+
+UNIT_ROOT = DAILY + f""",
+levels AS (
+  SELECT *, y - lag(y) OVER (PARTITION BY variable ORDER BY pos) AS d, lag(y) OVER (PARTITION BY variable ORDER BY pos) AS level
+  FROM (
+    SELECT variable, pos, n, value - avg(value) OVER (PARTITION BY variable) AS y,
+      CAST(least(ceil(12 * power(n / 100, 0.25)), n // 2 - 2) AS INTEGER) AS lim
+    FROM daily)
+),
+all_lags AS (SELECT * FROM (
+  SELECT variable, pos, lim, {_lagged_steps("lim")} AS x FROM levels WINDOW o AS (PARTITION BY variable ORDER BY pos))
+  WHERE pos > lim
+),
+all_system AS ({_system("all_lags")}),{_swept("all_system", "all_swept")},
+best AS (
+  SELECT variable, any_value(n) AS n, arg_min(p, {{'aic': aic, 'p': p}}) AS p FROM (
+    SELECT variable, n, k - 3 AS p, (n - 1 - lim) * (ln(2 * pi()) + ln(m[1][1] / (n - 1 - lim)) + 1) + 2 * (k - 1) AS aic
+    FROM all_swept JOIN (SELECT variable, max(n) AS n, max(lim) AS lim FROM levels GROUP BY 1) USING (variable)
+    WHERE k BETWEEN 3 AND lim + 3) GROUP BY 1
+),
+own_lags AS (SELECT * FROM (
+  SELECT variable, pos, p, {_lagged_steps("p")} AS x FROM levels JOIN best USING (variable)
+  WINDOW o AS (PARTITION BY variable ORDER BY pos)) WHERE pos > p
+),
+own_system AS ({_system("own_lags", " || [CASE WHEN i = 2 THEN 1.0 ELSE 0 END]")}),{_swept("own_system", "own_swept")},
+unit_root AS (
+  SELECT *, CASE WHEN tau > {tails.TAU_MAX} THEN 1 WHEN tau < {tails.TAU_MIN} THEN 0 ELSE greatest({_NORMAL}, 0) END AS p_value
+  FROM (
+    SELECT *, CASE WHEN tau <= {tails.TAU_SWITCH} THEN {_polynomial("tau", tails.TAU_SMALL)}
+      ELSE {_polynomial("tau", tails.TAU_LARGE)} END AS z
+    FROM (
+      SELECT variable, n, p, n - 1 - p AS used,
+        m[2][1] / m[2][2] / sqrt(m[1][1] / (n - 1 - p - (p + 2)) * m[2][{_MOST_LAGS + 4}] / m[2][2]) AS tau
+      FROM own_swept JOIN best USING (variable) WHERE k = {_MOST_LAGS + 3}))
+)"""
+
+
+@query(
+    "adf_test",
+    f"""
+    WITH RECURSIVE {UNIT_ROOT}
+    SELECT 'lineitem' AS series_id, variable, n, round(tau, 6) AS adf_statistic, round(p_value, 6) AS adf_pvalue,
+      CAST(p AS BIGINT) AS n_lags_used, CAST(used AS BIGINT) AS n_obs,
+      {", ".join(f"round({_polynomial('(1.0 / used)', c)}, 6) AS critical_{k[:-1]}" for k, c in tails.TAU_CRITICAL.items())}
+    FROM unit_root
+    """,
+)
 def adf_test(spark: SparkSession, folder: str) -> DataFrame:
     panel, layout = daily_panel(spark, folder)
-    return stationarity.adf(panel, layout=layout)
+    tested = stationarity.adf(panel, layout=layout)
+    limits = [F.round(F.col("critical")[k], 6).alias(f"critical_{k[:-1]}") for k in tails.TAU_CRITICAL]
+    rounded = tested.withColumns({c: F.round(c, 6) for c in ("adf_statistic", "adf_pvalue")})
+    return rounded.select("*", *limits).drop("critical")
+
+
+SUMMARY = UNIT_ROOT + ACF.replace(DAILY, "") + f""",
+portmanteau AS (
+  SELECT variable, exp(-q / 2) * (1 + q / 2 + power(q / 2, 2) / 2 + power(q / 2, 3) / 6 + power(q / 2, 4) / 24) AS lb
+  FROM (SELECT variable, n * (n + 2) * sum(acf * acf / (n - lag)) AS q FROM acf WHERE lag BETWEEN 1 AND 10 GROUP BY variable, n)
+),
+summary AS (
+  SELECT *, CASE WHEN p_value < {stationarity.ALPHA} THEN 1 ELSE 0 END AS is_stationary,
+    CASE WHEN lb < {stationarity.ALPHA} THEN 1 ELSE 0 END AS correlated
+  FROM unit_root JOIN portmanteau USING (variable)
+)"""
 
 
-@query("stationarity_summary")
+@query(
+    "stationarity_summary",
+    f"""
+    WITH RECURSIVE {SUMMARY}
+    SELECT 'lineitem' AS series_id, variable, round(tau, 6) AS adf_statistic, round(p_value, 6) AS adf_pvalue,
+      is_stationary, CAST(p AS BIGINT) AS n_lags_used, round(lb, 6) AS ljungbox_pvalue, correlated AS has_autocorrelation,
+      CASE is_stationary WHEN 1 THEN '{texts.STATIONARY_YES}' ELSE '{texts.STATIONARY_NO}' END
+        || CASE correlated WHEN 1 THEN '{texts.AUTOCORRELATED_YES}' ELSE '{texts.AUTOCORRELATED_NO}' END AS interpretation
+    FROM summary
+    """,
+)
 def stationarity_summary(spark: SparkSession, folder: str) -> DataFrame:
     panel, layout = daily_panel(spark, folder)
-    return stationarity.stationarity(panel, layout=layout)
+    tested = stationarity.stationarity(panel, layout=layout).drop("adf_critical_values")
+    return tested.withColumns({c: F.round(c, 6) for c in ("adf_statistic", "adf_pvalue", "ljungbox_pvalue")})
 
 
-@query("stationarity_counts")
+@query(
+    "stationarity_counts",
+    f"""
+    WITH RECURSIVE {SUMMARY}
+    SELECT 'lineitem' AS series_id, CAST(sum(is_stationary) AS BIGINT) AS n_stationary,
+      CAST(sum(1 - is_stationary) AS BIGINT) AS n_nonstationary, count(*) AS n_variables FROM summary
+    """,
+)
 def stationarity_counts(spark: SparkSession, folder: str) -> DataFrame:
     panel, layout = daily_panel(spark, folder)
     return stationarity.stationarity_counts(stationarity.stationarity(panel, layout=layout))

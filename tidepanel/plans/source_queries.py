@@ -2,18 +2,25 @@
 
 from __future__ import annotations
 
+import uuid
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidepanel.operators import clean, evaluate
 from tidepanel.operators.layout import Layout, with_position
 from tidepanel.plans.registry import query, table
+from tidepanel.session import shared_folder
 from tidepanel.sources import delimited, roles, server_metrics
 
 
-def _ordered(spark: SparkSession, folder: str, name: str, order: str) -> DataFrame:
+def _ordered(
+    spark: SparkSession, folder: str, name: str, order: str, layout: Layout | None = None
+) -> DataFrame:
     """A table without file order, placed by a key."""
     rows = table(spark, folder, name).withColumn("__all", F.lit("all"))
-    layout = Layout.measure(rows, ["__all"])
+    layout = Layout.of(rows, layout, ["__all"])
     placed = with_position(rows, layout, ["__all"], order)
     return placed.withColumnRenamed("pos", delimited.POSITION).drop("__all", "n")
 
@@ -52,9 +59,12 @@ def synthetic_axis(spark: SparkSession, folder: str) -> DataFrame:
     """,
 )
 def positional_join(spark: SparkSession, folder: str) -> DataFrame:
-    rows = _ordered(spark, folder, "orders", "o_orderkey")
-    left = rows.select("o_orderkey", "o_totalprice", delimited.POSITION)
-    right = rows.select("o_custkey", "o_orderstatus", delimited.POSITION)
+    """Two inputs that are numbered each by itself, the second in small blocks."""
+    left = _ordered(spark, folder, "orders", "o_orderkey")
+    left = left.select("o_orderkey", "o_totalprice", delimited.POSITION)
+    blocks = Layout(max_group_rows=1 << 40, block_rows=1 << 10)
+    right = _ordered(spark, folder, "orders", "o_orderkey", blocks)
+    right = right.select("o_custkey", "o_orderstatus", delimited.POSITION)
     joined = server_metrics.join_by_position(left, right)
     axis = server_metrics.minute_axis(
         server_metrics.MACHINE_START, F.col(delimited.POSITION)
@@ -161,3 +171,72 @@ def infer_series_panel(spark: SparkSession, folder: str) -> DataFrame:
     """A table of mixed columns straight to a panel: time found, text dropped, the rest unpivoted."""
     found = delimited.infer_series(table(spark, folder, "events"))
     return found.panel.select("variable", "ts", F.round("value", 6).alias("value"))
+
+
+@query(
+    "delimited_roundtrip",
+    """
+    WITH kept AS (
+      SELECT o_orderdate AS ts, CAST(round(o_totalprice) AS BIGINT) AS price, o_custkey AS customer,
+        CASE WHEN o_orderstatus = 'P' THEN 1 ELSE 0 END AS y
+      FROM orders WHERE o_orderkey % 97 <> 0),
+    cells AS (
+      SELECT ts, 'price' AS variable, price AS value FROM kept UNION ALL SELECT ts, 'customer', customer FROM kept)
+    SELECT c.variable, c.ts, round(c.value, 6) AS value, l.y, f.warnings
+    FROM (SELECT variable, ts, avg(value) AS value FROM cells GROUP BY 1, 2) c
+    JOIN (SELECT ts, max(y) AS y FROM kept GROUP BY 1) l USING (ts)
+    CROSS JOIN (SELECT count(*) || ' rows without a readable time in ''order date'' were removed|'
+      || 'columns that are not numeric were left out: remark' AS warnings FROM orders WHERE o_orderkey % 97 = 0) f
+    """,
+)
+def delimited_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
+    """Orders as text and back: padded names, unreadable dates, quotes and line breaks inside cells."""
+    orders = table(spark, folder, "orders")
+    date = F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss")
+    remark = F.concat(F.lit('first "line"\nand; '), "o_orderpriority", F.lit('\n,"last"'))
+    cells = [
+        F.when(F.col("o_orderkey") % 97 == 0, "some day").otherwise(date),
+        F.round("o_totalprice").cast("bigint").cast("string"),
+        F.concat(F.lit('"'), F.replace(remark, F.lit('"'), F.lit('""')), F.lit('"')),
+        F.concat(F.lit(" "), F.col("o_custkey").cast("string")),
+        F.when(F.col("o_orderstatus") == "P", "1").otherwise("0"),
+    ]
+    path = f"{shared_folder(spark).rstrip('/')}/tidepanel-text-{uuid.uuid4().hex}"
+    # every file of a folder has a header of its own
+    lines = orders.select(F.concat_ws(",", *cells).alias("line")).mapInArrow(_with_header, "line string")
+    lines.write.text(path)
+    found = delimited.read_series(spark, path)
+    told = found.panel.join(found.labels, ["series_id", "ts"])
+    return told.select(
+        "variable",
+        "ts",
+        F.round("value", 6).alias("value"),
+        "y",
+        F.lit("|".join(found.warnings)).alias("warnings"),
+    )
+
+
+def _with_header(batches):
+    header = " order date ,price ,remark, customer, is_anomaly "
+    for i, batch in enumerate(batches):
+        first = [] if i else [header]
+        yield pa.record_batch({"line": pa.array(first + batch.column("line").to_pylist(), pa.string())})
+
+
+@query(
+    "zone_join",
+    """
+    SELECT CAST(user_id AS VARCHAR) AS series_id, date_trunc('hour', ts) AS ts, count(*) AS n,
+      max(CASE WHEN value > 90 THEN 1 ELSE 0 END) AS y
+    FROM events GROUP BY 1, 2
+    """,
+)
+def zone_join(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows stamped with wall time get labels stamped with a zone: the zone is dropped, the time kept."""
+    events = table(spark, folder, "events")
+    hour = F.date_trunc("hour", F.col("ts").cast("timestamp"))
+    by = [F.col("user_id").cast("string").alias("series_id"), hour.alias("ts")]
+    zoned = clean.merge_labels(events.select(*by, (F.col("value") > 90).cast("int").alias("y")))
+    rows = events.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
+    rows = rows.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    return evaluate.with_labels(rows, zoned)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import csv
+import io
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -12,6 +15,7 @@ from tidepanel.model import frame_to_panel
 from tidepanel.operators.clean import merge_labels, merge_repeated
 from tidepanel.sources import roles
 from tidepanel.sources.roles import Roles
+from tidepanel.session import materialize
 
 DELIMITERS = [",", ";", "\t", "|"]
 SNIFF_LINES = 50
@@ -20,10 +24,16 @@ POSITION = "__position"
 
 def sniff_delimiter(spark: SparkSession, path: str) -> str:
     """The separator that occurs equally often, and at all, in each of the first lines."""
-    lines = [r[0] for r in spark.read.text(path).limit(SNIFF_LINES).collect() if r[0].strip()]
+    lines = [r[0] for r in spark.read.text(path).limit(SNIFF_LINES).collect()]
+    records, open_ = [], ""
+    for line in lines:
+        open_ = f"{open_}\n{line}" if open_ else line
+        if open_.count('"') % 2 == 0:
+            records.append(open_)
+            open_ = ""
     best = (0, ",")
     for mark in DELIMITERS:
-        counts = {_outside_quotes(line, mark) for line in lines}
+        counts = {_outside_quotes(record, mark) for record in records if record.strip()}
         if len(counts) == 1 and (count := counts.pop()) > best[0]:
             best = (count, mark)
     return best[1]
@@ -39,10 +49,13 @@ def file_rows(
     """All cells as text with column ``__position``: the row's place in file order.
 
     Rows of one split are numbered as they are read; the splits' row counts, a small table, give
-    each split its offset. So no row is moved and nothing is sorted.
+    each split its offset. So no row is moved and nothing is sorted. Files whose records go on over
+    line breaks inside quotes take the longer way of :func:`spanning_rows`.
     """
     sep = sep or sniff_delimiter(spark, path)
-    raw = spark.read.csv(path, sep=sep, header=header, inferSchema=False)
+    if spans_lines(spark, path, sep):
+        return spanning_rows(spark, path, sep, header)
+    raw = spark.read.csv(path, sep=sep, header=header, inferSchema=False, escape='"')
     names = [c.strip() for c in raw.columns]
     numbered = raw.select(
         *[_cell(f"`{old}`").alias(new) for old, new in zip(raw.columns, names)],
@@ -65,6 +78,126 @@ def file_rows(
     )
 
 
+def _quotes(line: Column, sep: str) -> tuple[Column, Column]:
+    """Whether a line ends inside quotes (0 or 1), for either way it may begin: outside, inside.
+
+    A quote opens a cell only at its beginning; two quotes inside a cell are one of its characters.
+    """
+    mark = re.escape(sep)
+
+    def left_open(rest: Column) -> Column:
+        without = F.regexp_replace(rest, f'(^|{mark}) *+"(?:[^"]|"")*+"', "$1")
+        return without.rlike(f'(^|{mark}) *+"').cast("int")
+
+    closing = '^(?:[^"]|"")*+"'
+    behind = F.concat(F.lit("."), F.regexp_replace(line, closing, ""))
+    return left_open(line), F.when(line.rlike(closing), left_open(behind)).otherwise(1)
+
+
+def spans_lines(spark: SparkSession, path: str, sep: str) -> bool:
+    """Whether any record goes on over a line break. One scan without a shuffle."""
+    outside, _ = _quotes(F.col("value"), sep)
+    return not spark.read.text(path).where(outside == 1).isEmpty()
+
+
+def _through(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """Add ``before`` and ``after``: what the rows of a group, up to this one, do to the quote state.
+
+    A row maps each state to one: ``to`` where both go to the same, else it keeps (``swap`` 0) or
+    changes (1) the state. The maps of consecutive rows compose to the last fixed state, if there is
+    one, and the number of changes since: struct(fixed, swaps).
+    """
+    upto = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    counted = rows.withColumn("__swaps", F.sum("swap").over(upto))
+    fixed = F.last(F.when(F.col("to").isNotNull(), F.struct("to", "__swaps")), ignorenulls=True).over(upto)
+    done = counted.withColumn("__fixed", fixed).withColumn(
+        "after",
+        F.struct(
+            F.col("__fixed.to").alias("fixed"),
+            ((F.col("__swaps") - F.coalesce("__fixed.__swaps", F.lit(0))) % 2).cast("int").alias("swaps"),
+        ),
+    )
+    start = F.struct(F.lit(None).cast("int").alias("fixed"), F.lit(0).alias("swaps"))
+    previous = F.lag("after").over(Window.partitionBy(*keys).orderBy(order))
+    return done.withColumn("before", F.coalesce(previous, start)).drop("__swaps", "__fixed")
+
+
+def _state(through: str, entry: Column | int) -> Column:
+    begin = F.coalesce(F.col(f"{through}.fixed"), entry if isinstance(entry, Column) else F.lit(entry))
+    return (begin + F.col(f"{through}.swaps")) % 2
+
+
+def spanning_rows(spark: SparkSession, path: str, sep: str, header: bool = True) -> DataFrame:
+    """As :func:`file_rows` for files whose records may go on over line breaks inside quotes.
+
+    Lines of a split are looked at in order; what a split as a whole does to the quote state is one row
+    of a small table, from which every split learns whether it begins inside quotes and how many
+    records came before. Only the lines of records that do go on are brought together. A line break
+    inside a cell is read as a line feed. The cells of a record are parsed by Spark.
+    """
+    split = ["__file", "__start"]
+    outside, inside = _quotes(F.col("value"), sep)
+    lines = spark.read.text(path).select(
+        "value",
+        F.col("_metadata.file_path").alias("__file"),
+        F.col("_metadata.file_block_start").alias("__start"),
+        F.monotonically_increasing_id().alias("__id"),
+        outside.alias("__out"),
+        inside.alias("__in"),
+    )
+    mapped = lines.withColumn("to", F.when(F.col("__out") == F.col("__in"), F.col("__out"))).withColumn(
+        "swap", (F.col("__out") > F.col("__in")).cast("int")
+    )
+    mapped = materialize(_through(mapped, split, "__id").select("value", *split, "__id", "before", "after"))
+    ends = mapped.groupBy(*split).agg(F.max_by("after", "__id").alias("end"))
+    ends = ends.select(
+        *split,
+        F.when(F.col("end.fixed").isNotNull(), (F.col("end.fixed") + F.col("end.swaps")) % 2).alias("to"),
+        F.when(F.col("end.fixed").isNull(), F.col("end.swaps")).otherwise(0).alias("swap"),
+    )
+    entries = _through(ends, ["__file"], "__start").select(*split, _state("before", 0).alias("__entry"))
+    placed = mapped.join(materialize(entries), split).select(
+        "value",
+        *split,
+        "__id",
+        (_state("before", F.col("__entry")) == 0).cast("int").alias("__begins"),
+        (_state("after", F.col("__entry")) == 0).alias("__ends"),
+    )
+    # a blank line between records is none
+    placed = placed.where((F.col("__begins") == 0) | (F.trim("value") != ""))
+    upto = Window.partitionBy(*split).orderBy("__id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    numbered = placed.withColumn("__nth", F.sum("__begins").over(upto))
+    counts = placed.groupBy(*split).agg(F.sum("__begins").alias("__records"))
+    earlier = Window.partitionBy("__file").orderBy("__start").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.withColumn("__offset", F.coalesce(F.sum("__records").over(earlier), F.lit(0)))
+    numbered = numbered.join(materialize(offsets), split).select(
+        "value", *split, "__id", "__begins", "__ends", (F.col("__offset") + F.col("__nth")).alias("__record")
+    )
+    numbered = materialize(numbered)
+    whole = numbered.where("__begins = 1 and __ends").select("__file", "__record", "value")
+    ordered = F.array_sort(F.collect_list(F.struct("__start", "__id", "value")))
+    joined = numbered.where("__begins = 0 or not __ends").groupBy("__file", "__record").agg(ordered.alias("__l"))
+    joined = joined.select("__file", "__record", F.array_join(F.transform("__l", lambda x: x["value"]), "\n").alias("value"))
+    records = materialize(whole.unionByName(joined))
+
+    first = records.orderBy("__file", "__record").first()
+    cells = next(csv.reader(io.StringIO(first["value"]), delimiter=sep))
+    names = [c.strip() for c in cells] if header else [f"_c{i}" for i in range(len(cells))]
+    schema = ", ".join(f"c{i} string" for i in range(len(names)))
+    parsed = F.from_csv("value", schema, {"sep": sep, "quote": '"', "escape": '"'})
+    # positions: records of earlier files, without their headers, and of this file
+    skipped = 1 if header else 0
+    files = records.groupBy("__file").agg(F.min("__record").alias("__least"), F.count(F.lit(1)).alias("__n"))
+    in_order = Window.orderBy("__file").rowsBetween(Window.unboundedPreceding, -1)
+    files = materialize(
+        files.withColumn("__from", F.coalesce(F.sum(F.col("__n") - skipped).over(in_order), F.lit(0)))
+    )
+    kept = records.join(files, "__file").where(F.col("__record") >= F.col("__least") + skipped)
+    place = F.col("__from") + F.col("__record") - F.col("__least") - skipped
+    rows = kept.select(parsed.alias("__cells"), place.cast("bigint").alias(POSITION))
+    return rows.select(*[_cell(f"`__cells`.c{i}").alias(name) for i, name in enumerate(names)], POSITION)
+
+
 def _cell(name: str) -> Column:
     """A cell as text; the usual spellings of "missing" become NULL."""
     text = F.trim(F.col(name))
