@@ -10,6 +10,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 HEADLINE = [
+    "full_hourly_events",
     "detect_hourly_events",
     "quality_summary",
     "describe",
@@ -23,6 +24,11 @@ HEADLINE = [
     "kmeans_scorer",
     "quantile_flag",
     "or_variables",
+    "full_or_variables",
+    "fit_then_score",
+    "scorer_notes",
+    "regularise_many",
+    "complete_panel",
     "acf_period",
     "ljung_box",
     "adf_test",
@@ -30,6 +36,7 @@ HEADLINE = [
     "auc_roc_pr",
     "agreement",
     "explain_topn",
+    "full_explain_topn",
     "iforest",
 ]
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tidepanel.model import KEYS
 from tidepanel.operators import detect, fitted, forecast, scorers
-from tidepanel.session import materialize
+from tidepanel.session import intermediates, materialize
 
 ORDER = ("scorer", "variable", "pos")
 
@@ -142,3 +142,14 @@ def test_models_know_their_keys(spark, series):
     assert set(model.tables) == {"forecast", "kmeans.centres", "wasserstein.quantiles", "thresholds"}
     for table in model.tables.values():
         assert set(KEYS) <= set(table.columns)
+
+
+def test_intermediate_tables_go_with_their_scope(spark):
+    outside = materialize(spark.range(2))
+    with intermediates(spark):
+        inside = materialize(spark.range(3))
+        files = inside.inputFiles()
+        assert inside.count() == 3
+    with pytest.raises(Exception):
+        spark.read.parquet(*files).count()
+    assert outside.count() == 2

@@ -7,7 +7,7 @@ from conftest import PLAIN, blocked, panel_of, sorted_frame, wavy
 from pyspark.sql import functions as F
 
 from tidepanel.model import KEYS
-from tidepanel.operators import clean, evaluate, forecast, iforest, quality, scorers, season
+from tidepanel.operators import clean, detect, evaluate, explain, forecast, iforest, quality, scorers, season
 from tidepanel.operators import stationarity as tests_of_unit_root
 from tidepanel.operators import windows
 from tidepanel.operators.layout import exact_quantiles, nearest_known, running, running_at, with_position
@@ -225,3 +225,25 @@ def test_ranking(full):
     order = ("variable",)
     plain = sorted_frame(evaluate.ranking_metrics(rows, PLAIN), order)
     same(sorted_frame(evaluate.ranking_metrics(rows, blocked(8)), order), plain, rtol=1e-9)
+
+
+def test_large_groups_are_joined_apart(full, monkeypatch):
+    """Flags, common ranges, severity and agreement with some groups broadcast and some shuffled."""
+    rows = full.select(
+        *KEYS, F.explode(F.array(F.lit("norm"), F.lit("kmeans"))).alias("scorer"), "ts", "pos", "n", "value"
+    ).withColumn("score", F.abs("value") * F.when(F.col("scorer") == "norm", 1).otherwise(F.col("pos") % 5))
+    rows = materialize(rows.where("scorer = 'norm' or pos > 7"))
+
+    def run(layout):
+        flagged = materialize(detect.flag(rows, 0.9, layout))
+        severity = explain.severity(flagged, layout)
+        agreement = evaluate.scorer_agreement(flagged, layout)
+        tables = [flagged, severity, agreement, detect.combine_scorers(flagged, layout)]
+        keys = [["variable", "scorer", "pos"], ["variable", "pos"], ["variable", "scorer_a", "scorer_b"], ["variable", "ts"]]
+        return [sorted_frame(t, k) for t, k in zip(tables, keys)]
+
+    plain = run(PLAIN)
+    for share in (0.3, 1e-5, 1.0):
+        monkeypatch.setattr("tidepanel.operators.layout.SHARE", share)
+        for left, right in zip(run(blocked(60)), plain):
+            same(left, right, rtol=1e-9)

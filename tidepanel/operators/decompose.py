@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tidepanel.functions import loess
 from tidepanel.model import KEYS
-from tidepanel.operators.layout import Layout, exact_quantiles, settle
+from tidepanel.operators.layout import Layout, exact_quantiles, join_groups, settle
 from tidepanel.operators.season import component_strength
 from tidepanel.session import materialize
 
@@ -50,9 +50,9 @@ def decomposable(sized: DataFrame, rounds: int, chunk_rows: int) -> DataFrame:
     return sized.withColumn("reach", reach).withColumn("chunk", chunk).withColumn("reason", reason)
 
 
-def _pass(rows: DataFrame, sizes: DataFrame, rounds: int, weighted: bool) -> DataFrame:
+def _pass(rows: DataFrame, sizes: DataFrame, rounds: int, weighted: bool, layout: Layout) -> DataFrame:
     """One run of ``rounds`` inner rounds over all groups."""
-    placed = rows.join(sizes.drop("n"), KEYS)
+    placed = join_groups(rows, sizes.drop("n"), KEYS, layout)
     first = F.greatest(F.floor((F.col("pos") - F.col("reach")) / F.col("chunk")), F.lit(0))
     last = F.least(
         F.floor((F.col("pos") + F.col("reach")) / F.col("chunk")),
@@ -111,7 +111,7 @@ def stl(
     usable = settle(usable, layout)
     rows = positioned.select(*KEYS, "ts", "pos", "n", "value")
     resid = F.col("observed") - F.col("trend") - F.col("seasonal")
-    done = _pass(rows, usable, rounds, weighted=False)
+    done = _pass(rows, usable, rounds, False, layout)
     for _ in range(ROBUST_PASSES if robust else 0):
         done = materialize(done)
         size = F.abs(resid)
@@ -125,7 +125,7 @@ def stl(
             .when(ratio <= 0.999, F.pow(1 - ratio * ratio, 2))
             .otherwise(0.0)
         )
-        again = sized_resid.join(settle(middle, layout), KEYS).select(
+        again = join_groups(sized_resid, settle(middle, layout), KEYS, layout).select(
             *KEYS,
             "ts",
             "pos",
@@ -134,7 +134,7 @@ def stl(
             F.col("trend").alias("trend0"),
             weight.alias("weight"),
         )
-        done = _pass(again, usable, rounds, weighted=True)
+        done = _pass(again, usable, rounds, True, layout)
     return done.withColumn("resid", resid), notes
 
 

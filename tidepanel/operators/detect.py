@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidepanel.model import KEYS
 from tidepanel.operators.forecast import forecast_residuals, guard_notes, sizing, usable
-from tidepanel.operators.layout import Layout, exact_quantiles, settle
+from tidepanel.operators.layout import Layout, exact_quantiles, join_groups, settle
 from tidepanel.operators.scorers import SCORERS
 from tidepanel.session import materialize
 
@@ -53,7 +53,7 @@ def flag(
     layout = Layout.of(scores, layout, SCORED)
     if limits is None:
         limits = thresholds(scores if fit_on is None else fit_on, threshold_quantile, layout)
-    return scores.join(settle(limits, layout), SCORED).withColumn(
+    return join_groups(scores, settle(limits, layout), SCORED, layout).withColumn(
         "is_anomaly", (F.col("score") > F.col("threshold")).cast("int")
     )
 
@@ -67,7 +67,7 @@ def on_common_range(
     """
     spans = scores.groupBy(*outer, *inner).agg(F.min("ts").alias("__a"), F.max("ts").alias("__b"))
     common = spans.groupBy(*outer).agg(F.max("__a").alias("__from"), F.min("__b").alias("__to"))
-    joined = scores.join(settle(common, layout) if layout else common, outer)
+    joined = join_groups(scores, settle(common, layout), outer, layout) if layout else scores.join(common, outer)
     return joined.where(F.col("ts").between(F.col("__from"), F.col("__to"))).drop("__from", "__to")
 
 

@@ -159,13 +159,13 @@ def evaluate_unsupervised(scores: DataFrame) -> DataFrame:
     )
 
 
-def scorer_agreement(scores: DataFrame) -> DataFrame:
+def scorer_agreement(scores: DataFrame, layout: Layout | None = None) -> DataFrame:
     """Share of instants at which two scorers of a variable give the same flag.
 
     Instants are first counted by flag pattern (a handful per variable); scorers are paired on
     those counts only.
     """
-    aligned = on_common_range(scores, KEYS, ["scorer"])
+    aligned = on_common_range(scores, KEYS, ["scorer"], layout)
     flags = F.sort_array(F.collect_list(F.struct("scorer", "is_anomaly")))
     patterns = aligned.groupBy(*KEYS, "ts").agg(flags.alias("flags")).groupBy(*KEYS, "flags").count()
     pairs = patterns.withColumn("a", F.explode("flags")).withColumn("b", F.explode("flags"))

@@ -9,6 +9,7 @@ from tidepanel.functions import texts
 from tidepanel.functions.scalar import TINY, percent_change, z_score
 from tidepanel.model import KEYS
 from tidepanel.operators.detect import SCORED, on_common_range
+from tidepanel.operators.layout import Layout, join_groups, settle
 from tidepanel.operators.scorers import SCORERS
 from tidepanel.session import materialize
 
@@ -16,23 +17,28 @@ RECENT_ROWS = 10
 MAX_BROADCAST_TOP = 10_000
 
 
-def severity(scores: DataFrame) -> DataFrame:
+def severity(scores: DataFrame, layout: Layout | None = None) -> DataFrame:
     """Mean over scorers of the score scaled to 0..1, on the range all of them cover.
 
-    Scorers whose scores are all the same are left out.
+    Scorers whose scores are all the same are left out. ``layout`` tells of large groups.
     """
+    layout = layout or Layout(0)
     spans = scores.groupBy(*SCORED).agg(F.min("score").alias("__lo"), F.max("score").alias("__hi"))
     spread = spans.where(F.col("__hi") - F.col("__lo") >= TINY)
-    scaled = scores.join(spread, SCORED).withColumn(
+    scaled = join_groups(scores, settle(spread, layout), SCORED, layout).withColumn(
         "scaled", (F.col("score") - F.col("__lo")) / (F.col("__hi") - F.col("__lo"))
     )
-    aligned = on_common_range(scaled, KEYS, ["scorer"])
+    if layout.blocked:
+        scaled = materialize(scaled)  # its ranges and its rows are both read
+    aligned = on_common_range(scaled, KEYS, ["scorer"], layout)
     return aligned.groupBy(*KEYS, "ts").agg(
         F.min("pos").alias("pos"), F.avg("scaled").alias("severity")
     )
 
 
-def top_anomalies(scores: DataFrame, top_n: int = 5, per_series: bool = True) -> DataFrame:
+def top_anomalies(
+    scores: DataFrame, top_n: int = 5, per_series: bool = True, layout: Layout | None = None
+) -> DataFrame:
     """The ``top_n`` worst (variable, instant) pairs of each series, over all its variables.
 
     ``per_series=False`` takes them of the whole table. Each task passes on only the first
@@ -40,9 +46,10 @@ def top_anomalies(scores: DataFrame, top_n: int = 5, per_series: bool = True) ->
     """
     order = [F.col("severity").desc(), *KEYS, "ts"]
     if not per_series:
-        return severity(scores).orderBy(*order).limit(top_n)
+        return severity(scores, layout).orderBy(*order).limit(top_n)
     rank = F.row_number().over(Window.partitionBy("series_id").orderBy(*order))
-    return severity(scores).withColumn("__rank", rank).where(F.col("__rank") <= top_n).drop("__rank")
+    ranked = severity(scores, layout).withColumn("__rank", rank)
+    return ranked.where(F.col("__rank") <= top_n).drop("__rank")
 
 
 def _when_text(ts: Column) -> Column:
@@ -57,6 +64,7 @@ def explain_top_anomalies(
     sizes: DataFrame,
     top_n: int = 5,
     per_series: bool = True,
+    layout: Layout | None = None,
 ) -> DataFrame:
     """Value, distance from the train part, recent change and agreeing scorers of the worst instants.
 
@@ -64,7 +72,7 @@ def explain_top_anomalies(
     of every join, and they are counted before they are broadcast.
     """
     # written once: it is the side of four joins, and behind it lies the whole scoring
-    top = materialize(top_anomalies(scores, top_n, per_series))
+    top = materialize(top_anomalies(scores, top_n, per_series, layout))
     few = top.count() <= MAX_BROADCAST_TOP
 
     def small(df: DataFrame) -> DataFrame:

@@ -259,7 +259,7 @@ def detect_isolation_forest(
     forest = materialize(grow_forest(features, sizes, trees, seed))
     raw = materialize(forest_scores(features, forest, sizes, layout))
     limits = exact_quantiles(raw, "raw_score", [1.0 - contamination], layout)
-    shifted = raw.join(settle(limits, layout), KEYS).withColumn(
+    shifted = join_groups(raw, settle(limits, layout), KEYS, layout).withColumn(
         "score", F.col("raw_score") - F.col("quantiles")[0]
     )
     return shifted.select(

@@ -767,7 +767,7 @@ def agreement(
     spark: SparkSession, folder: str, detection: Callable = lag1_detection
 ) -> DataFrame:
     _, found = detection(spark, folder)
-    pairs = evaluate.scorer_agreement(found.scores)
+    pairs = evaluate.scorer_agreement(found.scores, found.layout)
     return pairs.select(
         "variable", "scorer_a", "scorer_b", F.round("agreement", 6).alias("agreement")
     )
@@ -847,7 +847,7 @@ def severity_topn(
     spark: SparkSession, folder: str, detection: Callable = lag1_detection
 ) -> DataFrame:
     _, found = detection(spark, folder)
-    top = explain.top_anomalies(found.scores, 25)
+    top = explain.top_anomalies(found.scores, 25, layout=found.layout)
     return top.select("variable", "ts", F.round("severity", 6).alias("severity"))
 
 
@@ -904,7 +904,7 @@ def explain_topn(
     spark: SparkSession, folder: str, detection: Callable = lag1_detection
 ) -> DataFrame:
     panel, found = detection(spark, folder)
-    return _told(explain.explain_top_anomalies(found.scores, panel, found.sizes, 10)).drop("series_id")
+    return _told(explain.explain_top_anomalies(found.scores, panel, found.sizes, 10, layout=found.layout)).drop("series_id")
 
 
 def _told(told: DataFrame) -> DataFrame:
@@ -940,7 +940,7 @@ def explain_per_series(spark: SparkSession, folder: str) -> DataFrame:
     """The five worst days of each user."""
     panel, layout = user_panel(spark, folder)
     found = detect.detect(panel, RATIO, threshold_quantile=TOP, layout=layout)
-    told = explain.explain_top_anomalies(found.scores, panel, found.sizes)
+    told = explain.explain_top_anomalies(found.scores, panel, found.sizes, layout=found.layout)
     return _told(told).drop("variable")
 
 

@@ -115,9 +115,9 @@ def analyse(
     tables["kpi"] = detect.kpi_summary(found.combined)
     tables["top_variables"] = results.top_variables(found.components)
     tables["focus"] = results.focus_range(regular, found.components)
-    tables["agreement"] = evaluate.scorer_agreement(found.scores)
+    tables["agreement"] = evaluate.scorer_agreement(found.scores, layout)
     tables["explanations"] = explain.explain_top_anomalies(
-        found.scores, regular, found.sizes, options.top_n
+        found.scores, regular, found.sizes, options.top_n, layout=layout
     )
 
     forest = None

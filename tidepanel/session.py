@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,7 +26,7 @@ def build_session(app_name: str = "tidepanel", **conf: str) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names in ``spark.checkpoint.dir``.
+    """The folder the cluster names in ``spark.checkpoint.dir``, or the context's checkpoint folder.
 
     Only a local session may fall back on a temporary folder: on a cluster a folder of one
     machine is lost with that machine.
@@ -32,13 +35,35 @@ def shared_folder(spark: SparkSession) -> str:
     if configured:
         return configured
     context = spark.sparkContext
-    if not context.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if context.getCheckpointDir() is None:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="tidepanel-"))
     return context.getCheckpointDir()
 
 
+_written: ContextVar[list[str] | None] = ContextVar("written", default=None)
+
+
+@contextmanager
+def intermediates(spark: SparkSession) -> Iterator[None]:
+    """Removes on leaving what :func:`materialize` wrote inside.
+
+    Results that are still to be computed from those tables have to be written before.
+    """
+    paths: list[str] = []
+    token = _written.set(paths)
+    try:
+        yield
+    finally:
+        _written.reset(token)
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+        for path in paths:
+            place = hadoop(path)
+            place.getFileSystem(conf).delete(place, True)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder once and go on from the written table.
 
@@ -47,5 +72,7 @@ def materialize(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/tidepanel-{uuid.uuid4().hex}"
+    if _written.get() is not None:
+        _written.get().append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
