@@ -9,6 +9,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
+import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -294,7 +295,53 @@ def test_fingerprints(docs, rows):
         edited = text[: len(text) - half] + after[:half]
         want.append((row[0], len(text), hashlib.sha256(edited.encode()).hexdigest()))
     same([(r.doc_id, r.n_chars, r.edited_sha256) for r in got], want)
-    assert all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in got)
+    want = []
+    for row, follower in zip(ordered, ordered[1:] + ordered[:1]):
+        text, after = row[1] or "", follower[1] or ""
+        edited = text[: len(text) - len(text) // 2] + after[: len(text) // 2]
+        mine, other, following = map(plain_sketch, (text, edited, after))
+        near = [len(mine & x) / len(mine | x) if mine | x else 1.0 for x in (other, following)]
+        low = {h for h in mine if h < LOW}
+        inside = [len(low & x) / len(low) if low else None for x in (other, following)]
+        texts = [",".join(f"{h & (1 << 64) - 1:x}" for h in sorted(x)) for x in (mine, other)]
+        want.append((row[0], *texts, *near, *inside))
+    names = ("doc_id", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "contained_edited", "contained_next")
+    same([tuple(r[n] for n in names) for r in got], want)
+
+
+LOW = -(1 << 63) + (1 << 64) // fingerprints.FRACTION
+
+
+def plain_sketch(text):
+    """Hashes of the shingles below the threshold, or the least one; a shingle's words are hashed one by one."""
+    found = [w for w in re.split(r"[\x20\x09-\x0D]+", text) if w]
+    hashes = set()
+    for i in range(max(1, len(found) - 4) if found else 0):
+        h = 42
+        for word in found[i : i + 5]:
+            h = xxhash.xxh64_intdigest(word.encode(), seed=h)
+        hashes.add(h - (1 << 64) if h >> 63 else h)
+    return {h for h in hashes if h < LOW} or set(sorted(hashes)[:1])
+
+
+def test_stand_ins_take_no_part_in_containment_and_unions(spark):
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 9))) for _ in range(300)]
+    long = " ".join(rng.choice("abcdefgh") for _ in range(3000))
+    table = spark.createDataFrame([(t, f"{long} {t}") for t in texts], "x string, y string")
+    x, y = (fingerprints.sketch(F.col(c)) for c in "xy")
+    both = fingerprints.merged(x, y)
+    got = table.select("x", "y", fingerprints.containment(x, y).alias("c"), both.alias("m"), fingerprints.merged(x, x).alias("s")).collect()
+    standing = 0
+    for r in got:
+        mine, other = plain_sketch(r.x), plain_sketch(r.y)
+        if min(mine) >= LOW:
+            standing += 1
+            assert r.c is None and set(r.m) == other and set(r.s) == mine
+        else:
+            assert r.c == len(mine & other) / len(mine) and set(r.m) == mine | other
+    assert 0 < standing < len(got)
+    assert all(r.c == 1 for r in got if r.c is not None and len(r.x.split()) >= 5)
 
 
 def test_sketches_estimate_similarity(spark):

@@ -3,6 +3,10 @@
 Of the hashes of all five-word shingles those below a fixed fraction of the hash range stay. The
 choice depends on the hash alone, so fingerprints of unequal documents compare without bias: unions of
 fingerprints are fingerprints of unions, and shares of common hashes estimate containment.
+
+A short text may have no hash below the threshold. Its least hash then stands in, so that it still has
+a fingerprint and equal texts are found alike; a stand-in lies above the threshold, which marks it, and
+takes no part in containment or in unions with texts that have sampled hashes.
 """
 
 from __future__ import annotations
@@ -13,7 +17,7 @@ from pyspark.sql import functions as F
 from tidepanel.llm.tables import text_of
 
 SHINGLE = 5
-FRACTION = 8
+FRACTION = 4
 #: Stands for a null id inside the job: the smallest.
 NO_ID = -(1 << 63)
 SPACE = r"[\x20\x09-\x0D]+"
@@ -23,14 +27,19 @@ def word_list(text: Column) -> Column:
     return F.filter(F.split(text, SPACE), lambda w: w != "")
 
 
+def sampled(hashes: Column, fraction: int = FRACTION) -> Column:
+    """The hashes below the threshold."""
+    most = -(1 << 63) + (1 << 64) // fraction
+    return F.filter(hashes, lambda x: x < F.lit(most))
+
+
 def sketch(text: Column, shingle: int = SHINGLE, fraction: int = FRACTION) -> Column:
     """Ascending array of the retained shingle hashes.
 
     A hash stays when it is below 1/fraction of the range of 64-bit hashes. A text with fewer words
-    than a shingle is one shingle; without words the array is empty. The least hash always stays, so
-    that a short text still has a fingerprint.
+    than a shingle is one shingle; without words the array is empty. Where no hash is below, the least
+    stands in.
     """
-    most = -(1 << 63) + (1 << 64) // fraction
     words = word_list(text)
 
     def hashes(words: Column) -> Column:
@@ -41,9 +50,9 @@ def sketch(text: Column, shingle: int = SHINGLE, fraction: int = FRACTION) -> Co
         return F.when(F.size(words) > 0, found).otherwise(F.array().cast("array<bigint>"))
 
     def retained(h: Column) -> Column:
-        low = F.filter(h, lambda x: x < F.lit(most))
+        low = F.array_sort(F.array_distinct(sampled(h, fraction)))
         least = F.filter(F.array(F.array_min(h)), lambda x: x.isNotNull())
-        return F.array_sort(F.array_distinct(F.concat(low, least)))
+        return F.when(F.size(low) > 0, low).otherwise(least)
 
     # transform() over one element names an intermediate value, which is then worked out once
     return F.get(F.transform(F.transform(F.array(words), hashes), retained), F.lit(0))
@@ -56,14 +65,20 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(union == 0, F.lit(1.0)).otherwise(both / union)
 
 
-def containment(a: Column, b: Column) -> Column:
-    """Estimated share of a's shingles that b holds; 1 where a has none."""
-    return F.when(F.size(a) == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / F.size(a))
+def containment(a: Column, b: Column, fraction: int = FRACTION) -> Column:
+    """Estimated share of a's shingles that b holds; null where none of a's is sampled.
+
+    Sizes may be very unequal: whether a hash of a is in b does not depend on what else b has.
+    """
+    mine = sampled(a, fraction)
+    return F.when(F.size(mine) > 0, F.size(F.array_intersect(mine, b)) / F.size(mine))
 
 
-def merged(a: Column, b: Column) -> Column:
+def merged(a: Column, b: Column, fraction: int = FRACTION) -> Column:
     """Sketch of two texts together (without the shingles across their border)."""
-    return F.array_sort(F.array_union(a, b))
+    both = F.array_sort(F.array_union(a, b))
+    low = sampled(both, fraction)
+    return F.when(F.size(low) > 0, low).otherwise(F.slice(both, 1, 1))
 
 
 def as_text(sketch: Column) -> Column:
@@ -80,12 +95,14 @@ def _sliced(docs: DataFrame, n: int) -> DataFrame:
 
 
 def fingerprint_edits(docs: DataFrame, shingle: int = SHINGLE, fraction: int = FRACTION) -> DataFrame:
-    """Per row of ``docs``: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
+    """Per row of ``docs``: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next,
+    contained_edited, contained_next.
 
     The edited text has its last floor(n_chars / 2) code points replaced by the first as many of the
     next document's in ascending (doc_id, text) order; the first row follows the last. A null id sorts
     first, a null text is empty, a single row follows itself. near_edited and near_next estimate the
-    likeness to the edited text and to the next document.
+    likeness to the edited text and to the next document, contained_edited and contained_next the share
+    of the row's shingles that those hold (null where none is sampled).
     """
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sliced = _sliced(docs.select("doc_id", text_of().alias("text")), 2 * parts)
@@ -139,4 +156,6 @@ def fingerprint_edits(docs: DataFrame, shingle: int = SHINGLE, fraction: int = F
         as_text(F.col("edited_sketch")).alias("edited_fingerprint"),
         likeness(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"),
         likeness(F.col("sketch"), F.col("next_sketch")).alias("near_next"),
+        containment(F.col("sketch"), F.col("edited_sketch"), fraction).alias("contained_edited"),
+        containment(F.col("sketch"), F.col("next_sketch"), fraction).alias("contained_next"),
     )
