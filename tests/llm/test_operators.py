@@ -285,6 +285,15 @@ def test_personal_data(spark):
     assert spans == {1: "iban:5:32,ssn:38:49", 2: ""}
 
 
+def test_context_counts_on_both_sides(spark):
+    texts = ["4111 1111 1111 1111 is my credit card", "credit card 4111 1111 1111 1111", "4111 1111 1111 1111 it is"]
+    texts += ["10.0.0.1 server", "10.0.0.1 and 10.0.0.2", "x 123-45-6789 is my social security number", "123-45-6789 so"]
+    texts += ["10.0.0.1" + " x" * 30 + " server", "10.0.0.1 10.0.0.2 server"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r.doc_id: [s.score for k in ("card", "ip", "ssn") for s in r[k]] for r in personal_data.find_personal_data(docs).collect()}
+    assert got == {0: [0.95], 1: [0.95], 2: [0.8], 3: [0.8], 4: [0.6, 0.6], 5: [0.8], 6: [], 7: [0.6], 8: [0.6, 0.8]}
+
+
 def test_fingerprints(docs, rows):
     got = fingerprints.fingerprint_edits(docs).collect()
     ordered = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))

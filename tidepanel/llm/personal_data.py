@@ -1,7 +1,7 @@
 """Personal data in texts, in DataFrame functions only.
 
 Regular expressions propose spans, checksums and ranges confirm or reject them, and words shortly
-before a span raise its score. Repetitions are possessive or bounded and runs are entered at their
+before or after a span raise its score. Repetitions are possessive or bounded and runs are entered at their
 beginning only, so the time of a text is in proportion to its length whatever it holds.
 """
 
@@ -152,16 +152,26 @@ def spans_of(text: Column, kind: Kind) -> Column:
     What lies between the matches gives their places: the text is cut at the pattern, and lengths are
     added up, first over blocks of matches and then inside each block, so that no array grows by one
     element at a time over a whole long text. A match that fails its check is passed over whole. The
-    context of a match is the text between it and the match before.
+    context of a match is the text around it, up to the matches before and after.
     """
     matches = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0))
+
+    def alternating(gaps: Column) -> Column:
+        following = F.slice(gaps, F.lit(2), F.size(gaps))
+        return F.arrays_zip(gaps.alias("gap"), matches.alias("match"), following.alias("after"))
+
     # \G and lookbehinds see the same text in both, so pieces and matches alternate
-    cut = F.arrays_zip(F.split(text, kind.pattern, -1).alias("gap"), matches.alias("match"))
+    cut = F.get(F.transform(F.array(F.split(text, kind.pattern, -1)), alternating), F.lit(0))
 
     def taken(at: Column, z: Column) -> Column:
         start, match = at + F.length(z["gap"]), z["match"]
-        before = F.lower(F.substring(z["gap"], -CONTEXT_CHARS, CONTEXT_CHARS))
-        score = F.when(before.rlike(kind.context), kind.raised).otherwise(kind.score)
+        # a sign that no context word holds keeps words of the two sides apart
+        around = F.concat(
+            F.substring(z["gap"], -CONTEXT_CHARS, CONTEXT_CHARS),
+            F.lit(" \n "),
+            F.coalesce(F.substring(z["after"], 1, CONTEXT_CHARS), F.lit("")),
+        )
+        score = F.when(F.lower(around).rlike(kind.context), kind.raised).otherwise(kind.score)
         span = F.struct(
             F.lit(kind.name).alias("kind"),
             start.alias("start"),
@@ -208,7 +218,8 @@ def spans_of(text: Column, kind: Kind) -> Column:
 def find_personal_data(docs: DataFrame) -> DataFrame:
     """Per row of ``docs``: doc_id and, for each kind, an array of its spans (kind, start, end, score).
 
-    A null text counts as empty and has no spans; rows that repeat give repeated results.
+    A span has its higher score when a context word stands within 50 characters before or after it. A
+    null text counts as empty and has no spans; rows that repeat give repeated results.
     """
     text = F.col("text")
     rows = docs.select("doc_id", text_of().alias("text"))

@@ -3,8 +3,8 @@
 Text is cut where no piece of the vocabulary can reach across, which the constructor proves from the
 vocabulary itself. Each cut segment is encoded by an agenda of adjacent symbol pairs: the pair whose
 piece has the best score merges first, leftmost among equals. Segments recur, so their results are
-kept. The sentencepiece library encodes every segment a batch meets for the first time as well, and a
-difference stops the job.
+kept. The sentencepiece library encodes and decodes every segment a batch meets for the first time as
+well, without the space it puts before a text, and a difference stops the job.
 """
 
 from __future__ import annotations
@@ -42,7 +42,9 @@ class PieceModel:
         if model.trainer_spec.model_type != 2 or not plain or not kinds <= {NORMAL, UNKNOWN, CONTROL, BYTE}:
             raise ValueError("a merge-type vocabulary with plain normalisation is needed")
         self.prefix = " " if how.add_dummy_prefix else ""
-        self.library = sentencepiece.SentencePieceProcessor(model_file=path)
+        # segments are parts of a text: compared without the space that is put before a whole one
+        how.add_dummy_prefix = False
+        self.library = sentencepiece.SentencePieceProcessor(model_proto=model.SerializeToString())
         self.names = [p.piece for p in model.pieces]
         self.ids = {p.piece.replace(SPACE, " "): i for i, p in enumerate(model.pieces) if p.type == NORMAL}
         self.scores = {p.piece.replace(SPACE, " "): p.score for p in model.pieces if p.type == NORMAL}
@@ -139,13 +141,16 @@ class PieceModel:
             self.known.clear()
             new = list({s for x in texts for s in x})
         ours = [self.agenda(s) for s in new]
-        # the library puts a space before its input, so a leading one is left to it
-        spaced = [k for k, s in enumerate(new) if self.prefix and s[0] == " " and len(s) > 1]
-        for k, theirs in zip(spaced, self.library.encode([new[k][1:] for k in spaced], num_threads=1)):
-            if ours[k] != theirs:
-                raise ValueError(f"segment {new[k]!r}: {ours[k]} here, {theirs} by the library")
-        for segment, ids in zip(new, ours):
-            self.known[segment] = (",".join(map(str, ids)), len(ids), self.decode(ids, False))
+        decoded = [self.decode(ids, False) for ids in ours]
+        theirs = self.library.encode(new, num_threads=1)
+        for segment, ids, found in zip(new, ours, theirs):
+            if ids != found:
+                raise ValueError(f"segment {segment!r}: {ids} here, {found} by the library")
+        for segment, text, found in zip(new, decoded, self.library.decode(theirs)):
+            if text != found:
+                raise ValueError(f"segment {segment!r}: decoded as {text!r} here, {found!r} by the library")
+        for segment, ids, text in zip(new, ours, decoded):
+            self.known[segment] = (",".join(map(str, ids)), len(ids), text)
 
     def encode(self, text: str) -> list[int]:
         return [i for s in self.segments(text) for i in self.agenda(s)]
