@@ -178,3 +178,15 @@ def test_unit_root_does_not_depend_on_the_layout(spark):
     for other in (two, three):
         assert list(one["n_lags_used"]) == list(other["n_lags_used"])
         np.testing.assert_allclose(one["adf_statistic"], other["adf_statistic"], rtol=1e-8)
+
+
+def test_long_kernels_smooth_like_short_ones(monkeypatch):
+    rng = np.random.default_rng(6)
+    values, weights = np.cumsum(rng.normal(size=9000)) + 1e4, rng.random(9000)
+    for span in (513, 1909, 3001):
+        fast = loess.smooth(values, span), loess.smooth(values, span, weights)
+        monkeypatch.setattr(loess, "LONG_KERNEL", 1 << 40)
+        slow = loess.smooth(values, span), loess.smooth(values, span, weights)
+        monkeypatch.undo()
+        for a, b in zip(fast, slow):
+            np.testing.assert_allclose(a, b, rtol=1e-9)

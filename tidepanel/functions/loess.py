@@ -6,10 +6,14 @@ convolution; only the rows near the two ends need windows of their own.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 
 #: Cells of the arrays that windows at the ends are smoothed with at one time.
 SLICE_CELLS = 1 << 20
+#: Windows of so many rows are smoothed by transforms and moments, at a cost that does not depend on them.
+LONG_KERNEL = 512
 
 
 def tricube(distance: np.ndarray, reach: np.ndarray | float) -> np.ndarray:
@@ -72,6 +76,51 @@ def smooth_at(
     return np.where(np.isnan(fitted), values[inside], fitted)
 
 
+def _over(series: np.ndarray, kernel: np.ndarray) -> np.ndarray:
+    """Sum of ``kernel`` times the rows under it, where it lies inside the series.
+
+    Long kernels go by the fast Fourier transform: a window of a long season would cost its length
+    for every row.
+    """
+    if len(kernel) < LONG_KERNEL:
+        return np.convolve(series, kernel[::-1], "valid")
+    size = 1 << (len(series) + len(kernel) - 2).bit_length()
+    whole = np.fft.irfft(np.fft.rfft(series, size) * np.fft.rfft(kernel[::-1], size), size)
+    return whole[len(kernel) - 1 : len(series)]
+
+
+def _first_half(values: np.ndarray, span: int, weights: np.ndarray | None, spread: float) -> np.ndarray:
+    """Smoothed values of the rows before the first symmetric window, all from the first ``span`` rows.
+
+    Their window is the same but its reach h grows towards the end, so no convolution gives them. The
+    kernel (1 - (d/h)^3)^3 is a polynomial in the distance: sums of powers of the positions up to each
+    row, expanded about the row, give each window's sums, in time that does not depend on its length.
+    """
+    half = (span - 1) // 2
+    places, position = np.arange(half), np.arange(span) / span
+    here = places / span
+    powers = position[None, :] ** np.arange(12)[:, None]
+
+    def window_sums(series: np.ndarray, most: int) -> list[np.ndarray]:
+        moments = np.cumsum(series[None, :] * powers, axis=1)
+        before = np.concatenate([np.zeros((12, 1)), moments[:, : half - 1]], axis=1)
+        behind = moments[:, -1:] - before
+
+        def about(sums: np.ndarray, p: int) -> np.ndarray:
+            return sum(math.comb(p, q) * (-here) ** (p - q) * sums[q] for q in range(p + 1))
+
+        reach = (span - 1 - places) / span
+        terms = {0: 1.0, 3: -3.0, 6: 3.0, 9: -1.0}
+        return [
+            sum(c * reach**-m * (about(behind, m + k) + (-1) ** m * about(before, m + k)) for m, c in terms.items())
+            for k in range(most + 1)
+        ]
+
+    own = np.ones(span) if weights is None else weights[:span]
+    fitted = _combine(*window_sums(own, 2), *window_sums(own * values[:span], 1), spread / span)
+    return np.where(np.isnan(fitted), values[:half], fitted)
+
+
 def smooth(
     values: np.ndarray,
     span: int,
@@ -89,21 +138,23 @@ def smooth(
     inner = slice(half, n - half)
     out = np.empty(n)
     if weights is None:
-        out[inner] = np.convolve(values, kernel / kernel.sum(), "valid")
+        out[inner] = _over(values, kernel / kernel.sum())
     else:
-        def over(series, k):
-            return np.convolve(series, k[::-1], "valid")
-
         weighted = weights * values
         fitted = _combine(
-            over(weights, kernel),
-            over(weights, kernel * offsets),
-            over(weights, kernel * offsets**2),
-            over(weighted, kernel),
-            over(weighted, kernel * offsets),
+            _over(weights, kernel),
+            _over(weights, kernel * offsets),
+            _over(weights, kernel * offsets**2),
+            _over(weighted, kernel),
+            _over(weighted, kernel * offsets),
             spread,
         )
         out[inner] = np.where(np.isnan(fitted), values[inner], fitted)
+    if span >= LONG_KERNEL:
+        back = None if weights is None else weights[::-1]
+        out[:half] = _first_half(values, span, weights, spread)
+        out[n - half :] = _first_half(values[::-1], span, back, spread)[::-1]
+        return out
     ends = np.r_[np.arange(half), np.arange(n - half, n)]
     out[ends] = smooth_at(values, ends, span, weights, spread)
     return out

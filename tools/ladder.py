@@ -1,6 +1,7 @@
 """Scale ladder: python tools/ladder.py ROWS_OF_ONE_LONG_SERIES NUMBER_OF_SHORT_SERIES [step ...].
 
-Makes a panel of one long series and many short ones (2,000 rows each) and times single steps.
+Makes a panel of one long series and many short ones (2,000 rows each, or ROWS_EACH of the environment),
+each with two variables of its own names in the completion step, and times single steps.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 from pyspark.sql import functions as F  # noqa: E402
 
 from tidepanel import build_session, materialize  # noqa: E402
-from tidepanel.operators import clean, decompose, detect, forecast, iforest, quality, scorers, season  # noqa: E402
+from tidepanel.operators import clean, decompose, detect, fitted, forecast, iforest, quality, scorers, season  # noqa: E402
 from tidepanel.operators import stationarity as unit_root  # noqa: E402
 from tidepanel.operators import windows  # noqa: E402
 from tidepanel.operators.layout import Layout, exact_quantiles, with_position  # noqa: E402
@@ -35,8 +36,9 @@ def main() -> None:
     )
     spark.sparkContext.setLogLevel("ERROR")
     one = spark.range(long_rows).select(F.lit("long").alias("series_id"), F.col("id").alias("i"))
-    many = spark.range(short * 2000).select(
-        F.concat(F.lit("s"), F.floor(F.col("id") / 2000)).alias("series_id"), (F.col("id") % 2000).alias("i")
+    each = int(os.environ.get("ROWS_EACH", "2000"))
+    many = spark.range(short * each).select(
+        F.concat(F.lit("s"), F.floor(F.col("id") / each)).alias("series_id"), (F.col("id") % each).alias("i")
     )
     noise = (F.xxhash64("series_id", "i") % 1000003) / 1000003.0
     value = F.sin(F.col("i") * 0.2618) + noise + F.when(F.col("i") % 9973 == 0, 9.0).otherwise(0.0)
@@ -62,6 +64,11 @@ def main() -> None:
     layout = Layout.measure(raw)
     print("largest group", layout.max_group_rows, "blocked", layout.blocked)
     full = step("regularise", lambda: materialize(clean.regularise(raw, "min", layout)))
+    own = raw.withColumn("variable", F.concat(F.lit("a of "), "series_id"))
+    half = own.where(F.col("value") > 0).withColumn("variable", F.concat(F.lit("b of "), "series_id"))
+    step("complete", lambda: drain(clean.complete(own.unionByName(half), layout)))
+    codes = raw.groupBy("series_id").agg(F.lit("2min").alias("freq"), F.lit(2).alias("n_gaps"))
+    step("manygrids", lambda: drain(clean.regularise_many(with_position(raw, layout), codes, layout)))
     step("position", lambda: drain(with_position(raw, layout)))
     step("fill", lambda: drain(clean.fill(with_position(raw, layout), layout=layout)))
     step("frequency", lambda: drain(quality.infer_frequency(raw.select("series_id", "ts"), layout)))
@@ -75,6 +82,9 @@ def main() -> None:
     if rest is not None:
         step("wasserstein", lambda: drain(scorers.wasserstein_scores(rest, layout)))
         step("kmeans", lambda: drain(scorers.kmeans_scores(rest, layout)))
+    model = step("fit", lambda: fitted.fit(full, ["norm", "wasserstein"], layout=layout))
+    if model is not None:
+        step("score", lambda: drain(fitted.score(full, model, layout)[0]))
     step("detect", lambda: drain(detect.detect(full, 0.3, ["norm", "wasserstein"], layout=layout).combined))
     step("forest", lambda: drain(iforest.detect_isolation_forest(full, trees=50, layout=layout)))
 
