@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidepanel.llm.tables import text_of
-from tidepanel.llm.words import Words, rolling, slices, text_groups
+from tidepanel.llm.words import SLICE, Words, rolling, slices, text_groups
 
 WINDOW = 13
 #: Words of a stretch. Longer ones repeat less often by chance, but more of them are anchors.
@@ -70,13 +70,15 @@ def _anchors(k: int):
 
 
 def repeated_anchors(docs: DataFrame, k: int) -> DataFrame:
-    """(id, anchor) of anchors that more than one row holds."""
+    """(id, first half of the anchor) of anchors that more than one row holds."""
     rows = docs.select("id", "text").mapInArrow(_anchors(k), "anchor bigint, id bigint, repeats boolean")
     # rows already known to repeat need no group, so they are spread
     rows = rows.withColumn("salt", F.when(F.col("repeats"), F.pmod(F.xxhash64("id"), F.lit(64))).otherwise(0))
     group = Window.partitionBy("anchor", "salt").orderBy("id")
     near = rows.withColumn("before", F.lag("id").over(group)).withColumn("behind", F.lead("id").over(group))
-    return near.filter("repeats or before is not null or behind is not null").select("id", "anchor")
+    near = near.filter("repeats or before is not null or behind is not null")
+    # half of an anchor is enough to find its windows again: at worst a few more are looked at
+    return near.select("id", F.shiftright("anchor", 32).cast("int").alias("anchor"))
 
 
 def _runs(*columns: np.ndarray) -> np.ndarray:
@@ -93,20 +95,22 @@ def _packed(pos: np.ndarray, starts: np.ndarray) -> list[bytes]:
 
 def _candidates(k: int):
     schema = pa.schema(
-        [("w1", pa.int64()), ("w2", pa.int32()), ("id", pa.int64()), ("th", pa.int64()), ("places", pa.binary())]
+        [("w1", pa.int64()), ("w2", pa.int32()), ("id", pa.int64()), ("th", pa.int64())]
+        + [("place", pa.int32()), ("places", pa.binary())]
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, most=4 * SLICE):
             ids, th = batch.column("id").to_numpy(), batch.column("th").to_numpy()
             lists = batch.column("anchors")
             edges = lists.offsets.to_numpy()
-            known = lists.values.to_numpy(zero_copy_only=False).view(np.uint64)
+            known = lists.values.to_numpy(zero_copy_only=False)
             parts = [np.zeros((0, 4), np.int64)]
             for i, j, words in text_groups(batch.column("text")):
                 for t in range(j - i):
                     h, anchors = _windows(words, k, t)
-                    pos = np.flatnonzero(np.isin(anchors, known[edges[i + t] : edges[i + t + 1]]))
+                    halves = (anchors.view(np.int64) >> 32).astype(np.int32)
+                    pos = np.flatnonzero(np.isin(halves, known[edges[i + t] : edges[i + t + 1]]))
                     if len(pos):
                         g = words.g[words.first[t] : words.first[t + 1]]
                         w1, w2 = (rolling(x, k, seed).view(np.int64)[pos] for x, seed in ((h, 1), (g, 2)))
@@ -126,7 +130,10 @@ def _candidates(k: int):
             sure = sure[np.argsort(row[sure], kind="stable")]
             # one row for all places of a window in a text, and one for all settled places of a text
             o, s = _runs(w1[open_], w2[open_], row[open_]), _runs(row[sure])
+            # the one place of most windows travels as a number
+            alone = np.concatenate([np.diff(np.append(o, len(open_))) == 1, np.zeros(len(s), bool)])
             places = [*_packed(pos[open_], o), *_packed(pos[sure], s)]
+            place = pos[np.concatenate([open_[o], sure[s]])].astype(np.int32)
             settled = [None] * len(s)
             owner = row[np.concatenate([open_[o], sure[s]])].astype(np.int64)
             yield pa.record_batch(
@@ -135,7 +142,8 @@ def _candidates(k: int):
                     pa.concat_arrays([pa.array(w2[open_[o]].astype(np.int32)), pa.array(settled, pa.int32())]),
                     pa.array(ids[owner], pa.int64()),
                     pa.array(th[owner], pa.int64()),
-                    pa.array(places, pa.binary()),
+                    pa.array(place, pa.int32(), mask=~alone),
+                    pa.array([None if a else p for a, p in zip(alone, places)], pa.binary()),
                 ],
                 schema=schema,
             )
@@ -152,10 +160,10 @@ def _kept(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             out = []
-            columns = (batch.column(c).to_pylist() for c in ("doc_id", "text", "places"))
-            for doc, text, places in zip(*columns):
+            columns = (batch.column(c).to_pylist() for c in ("doc_id", "text", "single", "places"))
+            for doc, text, single, places in zip(*columns):
                 words = _WORDS.findall(text.encode())
-                spans = removal_spans(places or [], k)
+                spans = removal_spans([np.array(single or [], "<i4").tobytes(), *(places or [])], k)
                 gone = 0
                 if spans:
                     parts, at = [], 0
@@ -195,20 +203,22 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     anchors = repeated_anchors(rows, window).groupBy("id").agg(F.collect_set("anchor").alias("anchors"))
     th = F.when(F.col("shared"), F.xxhash64("text")).otherwise(0)
     found = rows.join(anchors.join(times, "id"), "id").select("id", "text", "anchors", th.alias("th")).mapInArrow(
-        _candidates(window), "w1 bigint, w2 int, id bigint, th bigint, places binary"
+        _candidates(window), "w1 bigint, w2 int, id bigint, th bigint, place int, places binary"
     )
     found = found.withColumn("salt", F.when(F.col("w1").isNull(), F.xxhash64("id")).otherwise(0))
     group = Window.partitionBy("w1", "w2", "salt").orderBy("id")
     later = found.withColumn("least", F.first("id").over(group)).filter("w1 is null or id > least")
-    gone = later.groupBy("id", "th").agg(F.collect_list("places").alias("places"))
+    lists = [F.collect_list("place").alias("single"), F.collect_list("places").alias("places")]
+    gone = later.groupBy("id", "th").agg(*lists)
     # joined on the id alone, so that the texts dealt out for the first join serve here again
-    gone = gone.groupBy("id").agg(F.collect_list(F.struct("th", "places")).alias("gone"))
+    gone = gone.groupBy("id").agg(F.collect_list(F.struct("th", "single", "places")).alias("gone"))
     mine = F.filter("gone", lambda g: (g["th"] == 0) | (g["th"] == F.xxhash64("text")))
     return (
         rows.join(gone, "id", "left")
         .select(
             F.when(F.col("id") != NO_ID, F.col("id")).alias("doc_id"),
             "text",
+            F.get(mine, F.lit(0))["single"].alias("single"),
             F.get(mine, F.lit(0))["places"].alias("places"),
         )
         .mapInArrow(
