@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tidepanel.llm import fingerprints, ngram_join, personal_data, quality, source_mix, words
+from tidepanel.llm import fingerprints, ngram_join, personal_data, piece_bpe, quality, source_mix, words
 from tidepanel.llm.components import components
 from tidepanel.llm.exact_dedup import drop_copies, mark_copies
 from tidepanel.llm.piece_bpe import PieceModel, encode_digests, encode_ids
@@ -145,6 +145,21 @@ def test_pieces_equal_the_library(docs, rows):
     assert got == {r[1] for r in rows if r[0] is not None and r[0] < 9}
 
 
+def test_memo_of_pieces_stays_bounded(monkeypatch):
+    monkeypatch.setattr(piece_bpe, "MEMO_SEGMENTS", 50)
+    rng = random.Random(8)
+    model, library = PieceModel(PIECE_FILE), sentencepiece.SentencePieceProcessor(model_file=PIECE_FILE)
+    for _ in range(20):
+        texts = [" ".join("".join(rng.choices("abcdé▁x", k=rng.randint(1, 90))) for _ in range(15)) for _ in range(3)]
+        known, other = model.meet([model.segments(x) for x in texts])
+        for text in texts:
+            assert ",".join(known[s] for s in model.segments(text)) == ",".join(map(str, library.encode(text)))
+            assert "".join(other.get(s, s) for s in model.segments(text))[1:] == library.decode(library.encode(text))
+        # one string for a segment, in two generations of which neither outgrows its bound
+        assert len(model.known) < 50 and len(model.old) <= 50
+        assert all(len(s) <= piece_bpe.MEMO_CHARS and isinstance(ids, str) for s, ids in model.known.items())
+
+
 def lower(text):
     return (text or "").encode().lower().decode()
 
@@ -461,6 +476,26 @@ def test_word_hashes_depend_on_each_byte_and_on_the_length():
     assert not set(found.h.tolist()) & set(found.g.tolist())
 
 
+def test_workers_give_back_what_a_task_held():
+    def held():
+        with open("/proc/self/smaps_rollup") as file:
+            return int(re.search(r"\nPss_Anon:\s+(\d+)", file.read())[1]) >> 10
+
+    kept = []
+
+    def run(batches):
+        for size in batches:
+            # small pieces, which an allocator keeps as the last one lies behind all others
+            some = [bytes(1000) for _ in range(size)]
+            kept.append(some[-1])
+            yield len(some)
+
+    assert list(words.giving_back(run)([100])) == [100]
+    before = held()
+    assert list(words.giving_back(run)([200_000, 200_000])) == [200_000] * 2
+    assert held() < before + 60
+
+
 def test_batches_are_cut_by_bytes_of_text():
     texts = ["a" * 10, None, "b" * 500, "", "c" * 40, "d" * 40, "e" * 40]
     batch = words.pa.record_batch({"text": words.pa.array(texts), "n": list(range(7))})

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from tidepanel.llm.components import components
 from tidepanel.llm.signature_trees import FANOUT, Tree, bitmap, candidate_pairs, could_link, required
 from tidepanel.llm.tables import text_of
-from tidepanel.llm.words import Words, mix, rolling, slices, text_groups
+from tidepanel.llm.words import Words, giving_back, mix, rolling, slices, text_groups
 from tidepanel.session import materialize
 
 SHINGLE = 5
@@ -74,6 +74,7 @@ def _describe(k: int):
         + [("often", pa.list_(pa.int64())), ("times", pa.list_(pa.int64()))]
     )
 
+    @giving_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             n, names, bits, seen = [], [], [], {}
@@ -101,6 +102,7 @@ def prefix_length(n: int, percent: int) -> int:
 def _prefixes(k: int, percent: int, frequent: np.ndarray):
     schema = pa.schema([("key", pa.int64()), ("a", pa.int64()), ("n", pa.int32()), ("pos", pa.int32()), ("often", pa.bool_())])
 
+    @giving_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             seen, parts = set(), []
@@ -166,6 +168,7 @@ def _members(docs: DataFrame, frequent: np.ndarray, k: int, percent: int) -> Dat
 def _filter_pairs(percent: int):
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
+    @giving_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             columns = [batch.column(c).to_pylist() for c in ("n_a", "bits_a", "n_b", "bits_b")]
@@ -186,6 +189,7 @@ def _with_bitmaps(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def _full_sets(k: int):
     schema = pa.schema([("a", pa.int64()), ("hashes", pa.list_(pa.int64()))])
 
+    @giving_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             found = [(set_name(*s), mix(s[0] ^ mix(s[1], 12), 13).view(np.int64)) for s in _sets(part.column("text"), k)]
@@ -253,6 +257,7 @@ def _traverse(percent: int):
     def written(found: set) -> pa.RecordBatch:
         return pa.record_batch([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], schema=schema)
 
+    @giving_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         for batch in batches:

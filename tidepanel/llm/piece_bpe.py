@@ -3,7 +3,7 @@
 Text is cut where no piece of the vocabulary can reach across, which the constructor proves from the
 vocabulary itself. Each cut segment is encoded by an agenda of adjacent symbol pairs: the pair whose
 piece has the best score merges first, leftmost among equals. Segments recur, so their results are
-kept. The sentencepiece library encodes and decodes every segment a batch meets for the first time as
+kept, as one string each, in two generations: when the young one is full the old one goes. The sentencepiece library encodes and decodes every segment a batch meets for the first time as
 well, without the space it puts before a text, and a difference stops the job.
 """
 
@@ -19,8 +19,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tidepanel.llm.tables import text_of
+from tidepanel.llm.words import giving_back
 
-MEMO_SEGMENTS = 600_000
+#: Segments that a generation of the memo keeps, and code points of the longest one it keeps.
+MEMO_SEGMENTS = 200_000
+MEMO_CHARS = 64
 SPACE = "▁"
 #: Cuts to try, finest first: runs of letters, digits, or anything else, with the spaces before them.
 _LETTER, _OTHER = r"[^\W\d_\xb2\xb3\xb9\xbc-\xbe]", r"(?:[^\w ]|[_\xb2\xb3\xb9\xbc-\xbe])"
@@ -55,7 +58,8 @@ class PieceModel:
         whole = (x for x in map(re.compile, CUTS) if all(x.findall(p) in ([p], [p, ""]) for p in self.ids))
         self.cut = next(whole)
         self._rank_pairs()
-        self.known: dict[str, tuple[str, int, str]] = {}
+        self.known: dict[str, str] = {}
+        self.old: dict[str, str] = {}
 
     def _rank_pairs(self) -> None:
         """Every way to put a piece together from two, with the rank of its score: best first."""
@@ -134,23 +138,35 @@ class PieceModel:
     def segments(self, text: str) -> list[str]:
         return [x for x in self.cut.findall(self.prefix + text.replace(SPACE, " ")) if x] if text else []
 
-    def meet(self, texts: list[list[str]]) -> None:
-        """Encode the segments not yet known, and compare them with the library."""
-        new = list({s for x in texts for s in x}.difference(self.known))
-        if len(self.known) + len(new) > MEMO_SEGMENTS:
-            self.known.clear()
-            new = list({s for x in texts for s in x})
+    def meet(self, texts: list[list[str]]) -> tuple[dict[str, str], dict[str, str]]:
+        """Ids joined by commas of the segments of some texts, and the decoded texts that are not the segment itself.
+
+        Those not yet known are encoded and compared with the library.
+        """
+        found = {s: self.known.get(s) or self.old.get(s) for x in texts for s in x}
+        new = [s for s, ids in found.items() if ids is None]
         ours = [self.agenda(s) for s in new]
-        decoded = [self.decode(ids, False) for ids in ours]
         theirs = self.library.encode(new, num_threads=1)
-        for segment, ids, found in zip(new, ours, theirs):
-            if ids != found:
-                raise ValueError(f"segment {segment!r}: {ids} here, {found} by the library")
-        for segment, text, found in zip(new, decoded, self.library.decode(theirs)):
-            if text != found:
-                raise ValueError(f"segment {segment!r}: decoded as {text!r} here, {found!r} by the library")
-        for segment, ids, text in zip(new, ours, decoded):
-            self.known[segment] = (",".join(map(str, ids)), len(ids), text)
+        other = {}
+        for segment, ids, expected, text in zip(new, ours, theirs, self.library.decode(theirs)):
+            if ids != expected:
+                raise ValueError(f"segment {segment!r}: {ids} here, {expected} by the library")
+            decoded = self.decode(ids, False)
+            if decoded != text:
+                raise ValueError(f"segment {segment!r}: decoded as {decoded!r} here, {text!r} by the library")
+            found[segment] = ",".join(map(str, ids))
+            if decoded != segment:
+                other[segment] = decoded
+        self._keep(found, other)
+        return found, other
+
+    def _keep(self, found: dict[str, str], other: dict[str, str]) -> None:
+        for segment, ids in found.items():
+            # one that decodes to something else is rare, and is met anew each time
+            if len(segment) <= MEMO_CHARS and segment not in other:
+                self.known[segment] = ids
+                if len(self.known) >= MEMO_SEGMENTS:
+                    self.old, self.known = self.known, {}
 
     def encode(self, text: str) -> list[int]:
         return [i for s in self.segments(text) for i in self.agenda(s)]
@@ -166,6 +182,7 @@ def _digests(path: str):
         [("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]
     )
 
+    @giving_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
@@ -190,11 +207,11 @@ def _coded(path: str, texts: list[str]) -> Iterator[tuple[str, int, str]]:
     """Ids joined by commas, their number, and the text decoded from them."""
     model = piece_model(path)
     cut = [model.segments(x) for x in texts]
-    model.meet(cut)
+    known, other = model.meet(cut)
     for segments in cut:
-        found = [model.known[s] for s in segments]
-        text = "".join(x[2] for x in found)
-        yield ",".join(x[0] for x in found), sum(x[1] for x in found), text[1:] if model.prefix else text
+        ids = ",".join([known[s] for s in segments])
+        text = "".join([other.get(s, s) for s in segments] if other else segments)
+        yield ids, ids.count(",") + 1 if ids else 0, text[1:] if model.prefix else text
 
 
 def encode_digests(docs: DataFrame, model: str) -> DataFrame:
@@ -212,6 +229,7 @@ def encode_ids(docs: DataFrame, model: str) -> DataFrame:
     """Per row of ``docs``: doc_id, ids, decoded."""
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("decoded", pa.string())])
 
+    @giving_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 500):

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidepanel.llm.tables import text_of
-from tidepanel.llm.words import slices, text_bytes, text_groups
+from tidepanel.llm.words import giving_back, slices, text_bytes, text_groups
 
 BUCKETS = 1 << 13
 RANK = 4
@@ -145,6 +145,7 @@ def held_out(doc_id: Column) -> Column:
 def _featurize():
     schema = pa.schema([("quality", pa.int32()), ("places", pa.list_(pa.int32())), ("values", pa.list_(pa.float32()))])
 
+    @giving_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = list(features(batch.column("text")))
@@ -192,6 +193,7 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Machi
 
 
 def _score(machine: Machine):
+    @giving_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             scores = [machine.score(p, v) for p, v in features(batch.column("text"))]
@@ -215,6 +217,7 @@ def score_documents(docs: DataFrame, machine: Machine, cut: float = CUT) -> Data
 
 
 def _keep(machine: Machine, cut: float):
+    @giving_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             good = [machine.score(p, v) >= cut for p, v in features(part.column("text"))]
