@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidepanel.functions import texts
@@ -21,6 +21,8 @@ from tidepanel.operators.windows import centred_frame
 from tidepanel.session import materialize
 
 FILL_METHODS = tuple(texts.FILL_LABELS)
+#: Known rows of a task that fills grids.
+GRID_ROWS = 1 << 15
 
 
 def merge_repeated(panel: DataFrame) -> DataFrame:
@@ -80,7 +82,10 @@ def _grid(spans: DataFrame, step: Column, block_rows: int) -> DataFrame:
     """Positions 0..count-1 of each group, made in two steps so that a long group spreads."""
     starts = spans.withColumn(
         "__block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("__last") / block_rows)))
-    ).repartition(*KEYS, "__block")
+    )
+    # by a fixed number: the few bytes of spans would be joined to one partition, which then made all rows
+    parts = int(spans.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    starts = starts.repartition(parts, *KEYS, "__block")
     first = F.col("__block") * block_rows
     last = F.least(first + (block_rows - 1), F.col("__last"))
     return (
@@ -94,6 +99,29 @@ def _grid(spans: DataFrame, step: Column, block_rows: int) -> DataFrame:
     )
 
 
+def _spans(panel: DataFrame, freq: str | None, frequencies: DataFrame | None) -> DataFrame:
+    """Per variable the first and last instant of its series, the code, and the step of a fixed one."""
+    span = panel.groupBy("series_id").agg(
+        F.min("ts").alias("__min_ts"), F.max("ts").alias("__max_ts")
+    )
+    if freq is not None:
+        parse_code(freq)
+        span = span.withColumn("__code", F.lit(freq))
+    else:
+        codes = frequencies.where("freq is not null").select("series_id", F.col("freq").alias("__code"))
+        span = span.join(codes, "series_id")
+    variables = panel.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("__rows")).drop("__rows")
+    return variables.join(span, "series_id").withColumn("__step", step_micros_of(F.col("__code")))
+
+
+def _fixed(spans: DataFrame) -> DataFrame:
+    """Spans of fixed steps with the microseconds they begin at and their last position."""
+    fixed = spans.where("__step is not null").withColumn("__from", micros("__min_ts"))
+    return fixed.withColumn(
+        "__last", F.floor((micros("__max_ts") - F.col("__from")) / F.col("__step")).cast("long")
+    )
+
+
 def regular_grid(
     panel: DataFrame,
     freq: str | None = None,
@@ -110,22 +138,8 @@ def regular_grid(
     """
     if freq is None and frequencies is None:
         return panel
-    span = panel.groupBy("series_id").agg(
-        F.min("ts").alias("__min_ts"), F.max("ts").alias("__max_ts")
-    )
-    if freq is not None:
-        parse_code(freq)
-        span = span.withColumn("__code", F.lit(freq))
-    else:
-        codes = frequencies.where("freq is not null").select("series_id", F.col("freq").alias("__code"))
-        span = span.join(codes, "series_id")
-    variables = panel.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("__rows")).drop("__rows")
-    spans = variables.join(span, "series_id").withColumn("__step", step_micros_of(F.col("__code")))
-    fixed = spans.where("__step is not null").withColumn("__from", micros("__min_ts"))
-    fixed = fixed.withColumn(
-        "__last", F.floor((micros("__max_ts") - F.col("__from")) / F.col("__step")).cast("long")
-    )
-    axis = _grid(fixed, F.col("__step"), block_rows)
+    spans = _spans(panel, freq, frequencies)
+    axis = _grid(_fixed(spans), F.col("__step"), block_rows)
     if freq is None or step_micros(freq) is None:
         instants = calendar_instants(F.col("__code"), F.col("__min_ts"), F.col("__max_ts"))
         by_calendar = spans.where("__step is null").select(*KEYS, instants.alias("__at"))
@@ -168,6 +182,11 @@ def fill(
             .select(*columns)
         )
     seen = nearest_known(source, layout)
+    return seen.withColumn("value", _filled(method)).select(*columns)
+
+
+def _filled(method: str) -> Column:
+    """The value at ``pos``, or else what ``prev`` and ``next``, the known rows around it, give."""
     before, after = F.col("prev.value"), F.col("next.value")
     if method == "ffill":
         filled = F.coalesce(F.col("value"), before, after)
@@ -178,7 +197,49 @@ def fill(
         done = F.col("pos") - F.col("prev.pos")
         between = F.when(gap > 0, before + (after - before) * done / gap)
         filled = F.coalesce(F.col("value"), between, before, after)
-    return seen.withColumn("value", F.coalesce(filled, F.lit(0.0))).select(*columns)
+    return F.coalesce(filled, F.lit(0.0))
+
+
+def _filled_grid(panel: DataFrame, spans: DataFrame, layout: Layout, method: str) -> DataFrame:
+    """Grids of fixed steps, filled, where no group exceeds a block: only the rows that are there are ordered.
+
+    Each row on the grid makes its own instant and the empty ones up to the next row; a row at position
+    -1 of each group makes those before its first. So the grid itself is neither joined nor sorted.
+    """
+    group = _fixed(spans).select(*KEYS, "__from", "__step", "__last")
+    rows = panel.select(*PANEL_COLUMNS).join(group, KEYS)
+    rows = rows.withColumn("__away", micros("ts") - F.col("__from")).where("__away % __step = 0")
+    value = F.when(~F.isnan("value"), F.col("value"))
+    held = ["__from", "__step", "__last"]
+    rows = rows.select(*KEYS, *held, F.expr("__away div __step").alias("pos"), value.alias("value"))
+    begin = group.select(*KEYS, *held, F.lit(-1).cast("long").alias("pos"), F.lit(None).cast("double").alias("value"))
+    # by the number of rows: those of thousands of series take few bytes, which would make few large tasks
+    parts = max(1, -(-panel.count() // GRID_ROWS))
+    seen = nearest_known(rows.unionByName(begin).repartition(parts, *KEYS), layout)
+    following = F.lead("pos").over(Window.partitionBy(*KEYS).orderBy("pos"))
+    until = F.greatest(F.col("pos"), F.coalesce(following - 1, F.col("__last")))
+    # the next known row as seen from the empty instants behind a known one
+    ahead = Window.partitionBy(*KEYS).orderBy("pos")
+    seen = seen.select(
+        "*", until.alias("__until"), F.lead("next").over(ahead).alias("__behind")
+    ).where("pos >= 0 or __until >= 0")
+    size = layout.block_rows
+    first = F.greatest(F.col("pos"), F.lit(0).cast("long"))
+    seen = seen.withColumn("__at", F.explode(F.sequence(first, F.col("__until"), F.lit(size).cast("long"))))
+    seen = seen.withColumn(
+        "__slot", F.explode(F.sequence("__at", F.least(F.col("__at") + (size - 1), F.col("__until"))))
+    )
+    own = F.col("__slot") == F.col("pos")
+    slots = seen.select(
+        *KEYS,
+        from_micros(F.col("__from") + F.col("__slot") * F.col("__step")).alias("ts"),
+        F.col("__slot").alias("pos"),
+        (F.col("__last") + 1).alias("n"),
+        F.when(own, F.col("value")).alias("value"),
+        "prev",
+        F.when(own, F.col("next")).otherwise(F.col("__behind")).alias("next"),
+    )
+    return slots.withColumn("value", _filled(method)).select(*PANEL_COLUMNS, "pos", "n")
 
 
 def fill_by_time(positioned: DataFrame, layout: Layout | None = None) -> DataFrame:
@@ -217,6 +278,15 @@ def regularise(
     frequencies: DataFrame | None = None,
 ) -> DataFrame:
     """Grid, positions and filling in one go: the input detection needs."""
+    fixed = frequencies is not None if freq is None else step_micros(freq) is not None
+    if fixed and not layout.blocked and method in ("interpolate_linear", "ffill", "bfill"):
+        filled = _filled_grid(panel, _spans(panel, freq, frequencies), layout, method)
+        if freq is not None:
+            return filled
+        calendar = frequencies.where(step_micros_of(F.col("freq")).isNull())
+        rest = panel.join(calendar, "series_id", "left_semi")
+        gridded = regular_grid(rest, None, layout.block_rows, calendar)
+        return filled.unionByName(fill(gridded, method, layout))
     gridded = regular_grid(panel, freq, layout.block_rows, frequencies)
     if "pos" not in gridded.columns:
         gridded = with_position(gridded, layout)
