@@ -7,13 +7,14 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tidepanel.llm import fingerprints, ngram_join, personal_data, piece_bpe, quality, source_mix, words
+from tidepanel.llm import fingerprints, ngram_join, personal_data, piece_bpe, quality, source_mix, substring_dedup, words
 from tidepanel.llm.components import components
 from tidepanel.llm.exact_dedup import drop_copies, mark_copies
 from tidepanel.llm.piece_bpe import PieceModel, encode_digests, encode_ids
@@ -185,6 +186,23 @@ def test_exact_copies(docs, rows):
     assert kept[0].asDict().keys() == {*docs.columns}
 
 
+def test_repeated_passages_are_handed_over_in_bounded_pieces():
+    text = " ".join(f"w{i}" for i in range(3 * substring_dedup.HANDED))
+    ((_, _, found),) = words.text_groups(pa.array([text]))
+    anchors = np.unique(substring_dedup._windows(found, 13, 0)[1]).view(np.int64) >> 32
+    batch = pa.record_batch(
+        [pa.array([1]), pa.array([0]), pa.array([anchors.astype(np.int32)]), pa.array([text])],
+        names=["id", "th", "anchors", "text"],
+    )
+    made = list(substring_dedup._candidates(13)(iter([batch])))
+    assert sum(b.num_rows for b in made) == 3 * substring_dedup.HANDED - 12
+    assert max(b.num_rows for b in made) <= substring_dedup.HANDED
+    # a window of one place has no list beside the number
+    assert all(b.column("places").null_count == b.num_rows for b in made)
+    steps = (substring_dedup._anchors, substring_dedup._candidates, substring_dedup._kept)
+    assert all(hasattr(step(13), "__wrapped__") for step in steps)  # memory goes back after each task
+
+
 def test_repeated_passages(docs, rows):
     first = {}
     for row in rows:

@@ -21,11 +21,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidepanel.llm.tables import text_of
-from tidepanel.llm.words import SLICE, Words, rolling, slices, text_groups
+from tidepanel.llm.words import SLICE, Words, giving_back, rolling, slices, text_groups
 
 WINDOW = 13
 #: Words of a stretch. Longer ones repeat less often by chance, but more of them are anchors.
 STRETCH = 5
+#: Rows that a task hands over at once: the executor holds them beside the worker.
+HANDED = 1 << 16
 #: Stands for a null id inside the jobs: the smallest.
 NO_ID = -(1 << 63)
 _WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -44,6 +46,7 @@ def _windows(words: Words, k: int, i: int) -> tuple[np.ndarray, np.ndarray]:
 def _anchors(k: int):
     schema = pa.schema([("anchor", pa.int64()), ("id", pa.int64()), ("repeats", pa.bool_())])
 
+    @giving_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             ids = batch.column("id").to_numpy()
@@ -57,13 +60,15 @@ def _anchors(k: int):
             _, first, place, times = np.unique(anchors, return_index=True, return_inverse=True, return_counts=True)
             repeats = times[place] > 1
             single = first[times > 1]  # one of each goes to the others as well
-            yield pa.record_batch(
-                [
-                    pa.array(np.concatenate([anchors, anchors[single]]).view(np.int64)),
-                    pa.array(np.concatenate([owners, owners[single]])),
-                    pa.array(np.concatenate([repeats, np.zeros(len(single), bool)])),
-                ],
-                schema=schema,
+            yield from _handed(
+                pa.record_batch(
+                    [
+                        pa.array(np.concatenate([anchors, anchors[single]]).view(np.int64)),
+                        pa.array(np.concatenate([owners, owners[single]])),
+                        pa.array(np.concatenate([repeats, np.zeros(len(single), bool)])),
+                    ],
+                    schema=schema,
+                )
             )
 
     return run
@@ -89,8 +94,16 @@ def _runs(*columns: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def _packed(pos: np.ndarray, starts: np.ndarray) -> list[bytes]:
-    return [x.astype("<i4").tobytes() for x in np.split(pos, starts[1:])] if len(starts) else []
+def _packed(pos: np.ndarray, starts: np.ndarray, alone: np.ndarray) -> list[bytes | None]:
+    """The places of each run as bytes; none is made for runs of one that travel as a number."""
+    ends = np.append(starts[1:], len(pos))
+    pos = pos.astype("<i4")
+    return [None if a else pos[x:y].tobytes() for a, x, y in zip(alone.tolist(), starts.tolist(), ends.tolist())]
+
+
+def _handed(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    for i in range(0, batch.num_rows, HANDED):
+        yield batch.slice(i, HANDED)
 
 
 def _candidates(k: int):
@@ -99,54 +112,58 @@ def _candidates(k: int):
         + [("place", pa.int32()), ("places", pa.binary())]
     )
 
+    @giving_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, most=4 * SLICE):
             ids, th = batch.column("id").to_numpy(), batch.column("th").to_numpy()
             lists = batch.column("anchors")
             edges = lists.offsets.to_numpy()
             known = lists.values.to_numpy(zero_copy_only=False)
-            parts = [np.zeros((0, 4), np.int64)]
+            types = (np.int64, np.int32, np.int32, np.int32)  # w1, w2, row, place
+            parts = [[np.zeros(0, t)] for t in types]
             for i, j, words in text_groups(batch.column("text")):
                 for t in range(j - i):
                     h, anchors = _windows(words, k, t)
                     halves = (anchors.view(np.int64) >> 32).astype(np.int32)
-                    pos = np.flatnonzero(np.isin(halves, known[edges[i + t] : edges[i + t + 1]]))
-                    if len(pos):
+                    at = np.flatnonzero(np.isin(halves, known[edges[i + t] : edges[i + t + 1]]))
+                    if len(at):
                         g = words.g[words.first[t] : words.first[t + 1]]
-                        w1, w2 = (rolling(x, k, seed).view(np.int64)[pos] for x, seed in ((h, 1), (g, 2)))
-                        w2 = w2 >> 32
-                        parts.append(np.column_stack([w1, w2, np.full(len(pos), i + t), pos]))
-            rows = np.concatenate(parts)
-            w1, w2, row, pos = rows.T
-            doc = ids[row.astype(np.int64)]
+                        one, two = (rolling(x, k, seed).view(np.int64)[at] for x, seed in ((h, 1), (g, 2)))
+                        for some, x in zip(parts, (one, two >> 32, np.full(len(at), i + t), at)):
+                            some.append(x.astype(some[0].dtype))
+            w1, w2, row, pos = (np.concatenate(x) for x in parts)
+            del parts
+            doc = ids[row]
             order = np.lexsort((row, doc, w2, w1))
-            new = np.ones(len(order), bool)
-            new[1:] = (w1[order][1:] != w1[order][:-1]) | (w2[order][1:] != w2[order][:-1])
-            least = doc[order][new][np.cumsum(new) - 1] if len(order) else doc
+            first = _runs(w1[order], w2[order])
+            least = np.repeat(doc[order[first]], np.diff(np.append(first, len(order))))
             later = np.zeros(len(order), bool)
             later[order] = doc[order] > least
+            del doc, least
             open_ = order[~later[order]]
             sure = np.flatnonzero(later)
             sure = sure[np.argsort(row[sure], kind="stable")]
             # one row for all places of a window in a text, and one for all settled places of a text
             o, s = _runs(w1[open_], w2[open_], row[open_]), _runs(row[sure])
             # the one place of most windows travels as a number
-            alone = np.concatenate([np.diff(np.append(o, len(open_))) == 1, np.zeros(len(s), bool)])
-            places = [*_packed(pos[open_], o), *_packed(pos[sure], s)]
-            place = pos[np.concatenate([open_[o], sure[s]])].astype(np.int32)
+            alone = np.diff(np.append(o, len(open_))) == 1
+            places = [*_packed(pos[open_], o, alone), *_packed(pos[sure], s, np.zeros(len(s), bool))]
+            alone = np.concatenate([alone, np.zeros(len(s), bool)])
+            runs = np.concatenate([open_[o], sure[s]])
             settled = [None] * len(s)
-            owner = row[np.concatenate([open_[o], sure[s]])].astype(np.int64)
-            yield pa.record_batch(
+            made = pa.record_batch(
                 [
-                    pa.concat_arrays([pa.array(w1[open_[o]], pa.int64()), pa.array(settled, pa.int64())]),
-                    pa.concat_arrays([pa.array(w2[open_[o]].astype(np.int32)), pa.array(settled, pa.int32())]),
-                    pa.array(ids[owner], pa.int64()),
-                    pa.array(th[owner], pa.int64()),
-                    pa.array(place, pa.int32(), mask=~alone),
-                    pa.array([None if a else p for a, p in zip(alone, places)], pa.binary()),
+                    pa.concat_arrays([pa.array(w1[open_[o]]), pa.array(settled, pa.int64())]),
+                    pa.concat_arrays([pa.array(w2[open_[o]]), pa.array(settled, pa.int32())]),
+                    pa.array(ids[row[runs]], pa.int64()),
+                    pa.array(th[row[runs]], pa.int64()),
+                    pa.array(pos[runs], pa.int32(), mask=~alone),
+                    pa.array(places, pa.binary()),
                 ],
                 schema=schema,
             )
+            del w1, w2, row, pos, order, later, open_, sure, places
+            yield from _handed(made)
 
     return run
 
@@ -157,6 +174,7 @@ def _kept(k: int):
         + [("removed", pa.list_(pa.list_(pa.int32())))]
     )
 
+    @giving_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             out = []
