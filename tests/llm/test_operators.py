@@ -280,6 +280,90 @@ def test_trees_leave_no_possible_pair_out():
     assert {p for p in links if p[0] < 50 <= p[1]} <= {(p, q + 50) for p, q in candidate_pairs(*halves, 75)}
 
 
+def variants(number, words_=60, edits=8, seed=5):
+    """Near copies of one text, from few edits to so many that nothing links them."""
+    rng = random.Random(seed)
+    base = [f"w{i}" for i in range(words_)]
+    out = []
+    for k in range(number):
+        edited = list(base)
+        for _ in range(rng.randint(0, edits)):
+            edited[rng.randrange(words_)] = f"e{rng.randrange(1 << 30)}"
+        out.append(edited)
+    return out
+
+
+def linked(sets, side=None):
+    group = list(range(len(sets)))
+    for i, x in enumerate(sets):
+        for j in range(i):
+            both = len(x & sets[j])
+            if (side is None or side[i] != side[j]) and 100 * both >= 75 * (len(x) + len(sets[j]) - both):
+                old, new = group[i], group[j]
+                group = [new if g == old else g for g in group]
+    return {frozenset(i for i, g in enumerate(group) if g == top) for top in set(group)}
+
+
+def grouped(pairs, count):
+    group = list(range(count))
+    for i, j in pairs:
+        old, new = group[i], group[j]
+        group = [new if g == old else g for g in group]
+    return {frozenset(i for i, g in enumerate(group) if g == top) for top in set(group)}
+
+
+def test_exact_links_are_a_forest_of_all_links():
+    sets = [{hash(tuple(t[i : i + 5])) for i in range(56)} for t in variants(150)]
+    sets = [*{frozenset(s): s for s in sets}.values()]
+    arrays = [np.sort(np.array([*s], np.int64)) for s in sets]
+    for side in (None, np.arange(len(sets)) % 2):
+        for many in (len(sets), 7):
+            part = None if side is None else side[:many]
+            found = ngram_join.exact_links([*range(many)], arrays[:many], part, 75)
+            assert grouped(found, many) == linked(sets[:many], part)
+            assert len(found) == many - len(linked(sets[:many], part))
+
+
+def test_large_group_of_near_copies_makes_no_pairs():
+    """A group of m sets gives less than m rows, however many of its pairs could link."""
+    sets = [np.unique(np.array([hash(tuple(t[i : i + 5])) for i in range(56)]).view(np.uint64)) for t in variants(900, edits=3)]
+    rows = sorted((len(s), i, bitmap(s).tobytes()) for i, s in enumerate(sets))
+    n, a, bits = zip(*rows)
+    batch = pa.record_batch(
+        [pa.array(x) for x in ([7] * 900, [0] * 900, n, [0] * 900, a, bits)], names=["key", "salt", "n", "pos", "a", "bits"]
+    )
+    run = ngram_join._in_groups(75)
+    pairs = [p for out in run(iter([batch, batch])) for p in zip(*(c.to_pylist() for c in out.columns))]
+    assert len(pairs) < 900
+    # sets that later blocks leave apart are compared in pairs of blocks
+    part = {}
+    for group in grouped(pairs, 900):
+        part |= dict.fromkeys(group, min(group))
+    halves = [(7, 0, 1, i % 2, len(sets[i]), 0, part[i], bitmap(sets[i]).tobytes()) for i in range(900)]
+    names = ["key", "low", "high", "block", "n", "pos", "part", "bits"]
+    run = ngram_join._between_blocks(75)
+    more = pa.record_batch([pa.array(x) for x in zip(*halves)], names=names)
+    pairs += [p for out in run(iter([more])) for p in zip(*(c.to_pylist() for c in out.columns))]
+    assert len(pairs) < 900
+    groups = grouped(pairs, 900)
+    for i, j in [(i, j) for i in range(0, 900, 2) for j in range(1, 900, 40)]:
+        both = len(np.intersect1d(sets[i], sets[j]))
+        if 100 * both >= 75 * (len(sets[i]) + len(sets[j]) - both):
+            assert any({i, j} <= g for g in groups)
+
+
+def test_near_copies_dealt_out_in_blocks(spark, monkeypatch):
+    for name, value in (("BLOCK", 8), ("PAIR_BLOCK", 16), ("ELEMENTS", 500), ("BROADCAST_IDS", 0)):
+        monkeypatch.setattr(ngram_join, name, value)
+    texts = [" ".join(t) for t in variants(120)]
+    texts += texts[:20]
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(56)} for t in texts]
+    want = {i: min(g) for g in linked(sets) for i in g}
+    docs = spark.createDataFrame([*enumerate(texts)], "doc_id bigint, text string").repartition(5)
+    got = {r.doc_id: r.component_id for r in ngram_join.near_copies(docs).collect()}
+    assert got == want and 1 < len(set(want.values())) < 120
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, i) for i in range(101, 130)] + [(7, 7), (201, 200)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "x bigint, y bigint")).collect()}

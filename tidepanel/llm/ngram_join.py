@@ -4,13 +4,14 @@
 2. Sets exchange the shingles of their prefix: of two sets similar enough, the first quarter in any
    common order of shingles shares one. The order is by hash, with the shingles found frequent in some
    batch last, so that common passages do not bring documents together. Frequency only orders.
-3. In each group of sets with a shared prefix shingle every set is compared with a leader of its size
-   neighbourhood and with the set before it, in one of four orders by shingle. Verified links, links of
-   members with the hub of their group (its member with most links), and links between one member of
-   each two of the parts that these form, give a first partition, in which copies with small edits fall together.
-4. What is left are pairs of one group in different parts: signature trees over the group, traversed
-   together, leave those whose bitmaps allow the overlap. They are verified as well, and the parts
-   that they link are united. Every link between sets is either found or lies within one part.
+3. Groups of the same sets say the same about them, so only the one of the first shingle goes on. In a group,
+   bitmaps and signature trees tell which sets could link. What is kept of them is a forest: a pair
+   of sets that others connect already is not looked at, so rows do not grow with the square of a group.
+   Groups larger than a block are gone through block after block, then for each two blocks whose sets are
+   not all connected yet.
+4. Each tree of the forest is a cluster of sets that could link. Its sets come together with all their
+   shingles, once, and are compared exactly, by prefixes in the cluster's own order of rarity; again a
+   forest of the links is kept. A cluster of very many shingles is dealt out as pairs of blocks.
 
 Shingles have two independent 64-bit hashes. Candidates are found by the first, which can only bring
 too many together; pairs are verified by 64 bits made of both.
@@ -35,10 +36,17 @@ SHINGLE = 5
 PERCENT = 75
 #: The most shingles that are ordered last as frequent. They only order, so a bound loses nothing.
 MOST_FREQUENT = 1 << 16
-#: Members of a group that meet in one task.
+#: Members of a group that are compared at once, and those of a block where each two blocks are compared.
 BLOCK = 256
-#: Ids up to this number may be broadcast (16 MB); beyond it the join is shuffled.
-BROADCAST_IDS = 1 << 20
+PAIR_BLOCK = 1024
+#: Members of earlier blocks that the next block is compared with, of different parts.
+CARRIED = 32
+#: Shingles of a block of a cluster.
+ELEMENTS = 1 << 20
+#: Sets that a task remembers as connected; beyond it, it begins anew, which only repeats some rows.
+REMEMBERED = 1 << 19
+#: Ids up to this number may be broadcast (about 20 MB); beyond it the join is shuffled.
+BROADCAST_IDS = 1 << 19
 NO_ID = -(1 << 63)
 
 
@@ -132,202 +140,303 @@ def _prefixes(k: int, percent: int, frequent: np.ndarray):
     return run
 
 
-def _possible(nx: Column, px: Column, ny: Column, py: Column, percent: int) -> Column:
-    """Whether sizes and the places of a shared key allow the similarity."""
-    need = F.ceil(percent * (nx + ny) / (100 + percent))
-    return F.least(nx - px, ny - py) >= need
-
-
 def _members(docs: DataFrame, frequent: np.ndarray, k: int, percent: int) -> DataFrame:
-    """Prefix shingles that sets share: key, a, n, pos, the leader and the set before it to compare with.
+    """Prefix shingles that sets share, one row per set: key, a, n, pos, often, and per group its number m of sets.
 
-    ``settled`` marks groups of two, whose one pair the comparison with the set before settles.
+    s1 and s2 tell groups of the same sets. A frequent key is spread over 64 salts, and m, s1 and s2 are those
+    of a salt.
     """
     rows = docs.select("text").mapInArrow(
         _prefixes(k, percent, frequent), "key bigint, a bigint, n int, pos int, often boolean"
     )
-    # frequent keys need no search for company, so they are spread
     rows = rows.withColumn("salt", F.when(F.col("often"), F.pmod(F.xxhash64("a"), F.lit(64))).otherwise(0))
-    # sets of like size in one of four random orders, by key, so that a set meets different neighbours
-    size, turn = F.floor(F.log("n") * 10), F.xxhash64("a", F.pmod("key", F.lit(4)))
-    group = Window.partitionBy("key", "salt").orderBy(size, turn, "a")
-    rows = rows.withColumn("nth", F.row_number().over(group)).withColumn("other", F.lead("a").over(group))
-    third = F.when(F.col("nth") == 1, F.lead("a", 2).over(group)).otherwise(F.col("other"))
-    rows = rows.withColumn("settled", ~F.col("often") & (F.col("nth") <= 2) & third.isNull())
-    rows = rows.withColumn("last", F.lag(F.struct("a", "n", "pos")).over(group)).filter(
-        "often or nth > 1 or other is not null"
-    )
-    leader = F.when(F.col("nth") % 64 == 1, F.struct("a", "n", "pos"))
-    rows = rows.withColumn(
-        "leader", F.last(leader, ignorenulls=True).over(group.rowsBetween(Window.unboundedPreceding, -1))
-    )
-    rows = rows.filter("(last is null and not settled) or last.a != a")
-    return rows.select("key", "a", "n", "pos", "leader", "last", "settled")
-
-
-def _filter_pairs(percent: int):
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-
-    @giving_back
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("n_a", "bits_a", "n_b", "bits_b")]
-            keep = [could_link(*x, percent) for x in zip(*columns)]
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_())).cast(schema)
+    group = Window.partitionBy("key", "salt").orderBy("n", "a")
+    rows = rows.withColumn("before", F.lag("a").over(group)).withColumn("behind", F.lead("a").over(group))
+    rows = rows.filter("often or before is not null or behind is not null").filter("before is null or before != a")
+    whole = Window.partitionBy("key", "salt")
+    rows = rows.withColumn("m", F.count(F.lit(1)).over(whole)).filter("often or m > 1")
+    for name, seed in (("s1", 1), ("s2", 2)):
+        rows = rows.withColumn(name, F.bit_xor(F.xxhash64("a", F.lit(seed))).over(whole))
+    return rows.select("key", "salt", "a", "n", "pos", "often", "m", "s1", "s2")
 
-    return run
 
+def _different(members: DataFrame) -> DataFrame:
+    """Of groups of the same sets the one with the first key in the order of prefixes.
 
-def _with_bitmaps(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) that the bitmaps allow."""
-    for side in ("a", "b"):
-        named = sets.select(F.col("a").alias(side), F.col("n").alias(f"n_{side}"), F.col("bits").alias(f"bits_{side}"))
-        pairs = pairs.join(named, side)
-    return pairs.mapInArrow(_filter_pairs(percent), "a bigint, b bigint")
+    Two sets meet first at their first common key, and that is the first key of its group's sets: an
+    earlier one with the same sets would be common as well.
+    """
+    place = F.col("key").bitwiseXOR(F.lit(NO_ID))  # unsigned order
+    first = members.filter("not often").groupBy("s1", "s2", "m").agg(F.min(place).alias("place"))
+    kept = members.filter("not often").join(first.select(F.col("place").bitwiseXOR(F.lit(NO_ID)).alias("key")), "key", "left_semi")
+    return kept.unionByName(members.filter("often")).drop("s1", "s2")
 
 
 def _full_sets(k: int):
-    schema = pa.schema([("a", pa.int64()), ("hashes", pa.list_(pa.int64()))])
+    schema = pa.schema([("a", pa.int64()), ("root", pa.int64()), ("blocks", pa.int64()), ("hashes", pa.list_(pa.int64()))])
 
     @giving_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
-            found = [(set_name(*s), mix(s[0] ^ mix(s[1], 12), 13).view(np.int64)) for s in _sets(part.column("text"), k)]
+            wanted = part.column("a").to_pylist()
+            found = [
+                (i, mix(s[0] ^ mix(s[1], 12), 13).view(np.int64))
+                for i, s in enumerate(_sets(part.column("text"), k))
+                if set_name(*s) == wanted[i]
+            ]
             if found:
-                yield pa.record_batch([pa.array(x, f.type) for x, f in zip(zip(*found), schema)], schema=schema)
+                some = part.select(["a", "root", "blocks"]).take(pa.array([i for i, _ in found], pa.int64()))
+                yield pa.record_batch([*some.columns, pa.array([h for _, h in found], schema.field("hashes").type)], schema=schema)
 
     return run
 
 
-def verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs of sets whose similarity is enough; pairs are few by now and written already."""
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("a")).distinct().join(sets.select("a", "id"), "a")
-    needed = materialize(needed.select("id").distinct())
-    ids = F.broadcast(needed) if needed.count() <= BROADCAST_IDS else needed
-    full = docs.join(ids, "id", "left_semi").select("text").mapInArrow(_full_sets(k), "a bigint, hashes array<bigint>")
-    full = materialize(full)
-    for side in ("a", "b"):
-        pairs = pairs.join(full.select(F.col("a").alias(side), F.col("hashes").alias(f"hashes_{side}")), side)
-    both = F.size(F.array_intersect("hashes_a", "hashes_b"))
-    either = F.size("hashes_a") + F.size("hashes_b") - both
-    return materialize(pairs.filter(100 * both >= percent * either).select("a", "b").distinct())
+class Forest:
+    """Which nodes are connected, and a pair of nodes for each time that two parts became one."""
 
+    def __init__(self):
+        self.up: dict[int, int] = {}
+        self.pairs: list[tuple[int, int]] = []
 
-def group_pairs(own: list[tuple], other: list[tuple] | None, percent: int) -> Iterator[tuple[int, int]]:
-    """Pairs of sets that could link, of one block of a group or of two.
+    def find(self, x: int) -> int:
+        up = self.up
+        top = x
+        while (above := up.get(top, top)) != top:
+            top = above
+        while x != top:
+            up[x], x = top, up.get(x, x)
+        return top
 
-    Members are (a, n, pos, leader, part, bits). Members that fit one node of the lowest level are
-    compared directly, others by their trees.
+    def unite(self, x: int, y: int) -> None:
+        p, q = self.find(x), self.find(y)
+        if p != q:
+            self.up[max(p, q)] = min(p, q)
+            self.pairs.append((x, y) if x < y else (y, x))
+
+
+def connect(own: list[tuple], other: list[tuple] | None, percent: int, forest: Forest) -> None:
+    """Connects the nodes of members that could link, of one block of a group or of two.
+
+    Members are (n, pos, node, bits). Members that fit one node of the lowest level are compared directly,
+    others by their trees, after a first look at neighbours by size.
     """
     right = own if other is None else other
+    labels = {forest.find(m[2]) for x in (own, right) for m in x}
+    if len(labels) == 1:
+        return
+
+    def joined(p: int, q: int) -> bool:
+        return forest.find(own[p][2]) == forest.find(right[q][2])
+
+    def compare(x: tuple, y: tuple) -> None:
+        if forest.find(x[2]) == forest.find(y[2]) or min(x[0] - x[1], y[0] - y[1]) < required(x[0], y[0], percent):
+            return
+        if could_link(x[0], x[3], y[0], y[3], percent):
+            forest.unite(x[2], y[2])
+
     if len(own) <= FANOUT and len(right) <= FANOUT:
-        places = [(p, q) for p in range(len(own)) for q in range(p + 1 if other is None else 0, len(right))]
-    else:
-        trees = [
-            Tree(
-                np.array([m[1] for m in x], np.int64),
-                np.array([m[2] for m in x], np.int64),
-                [m[5] for m in x],
-                np.array([m[4] for m in x], np.int64),
-            )
-            for x in ([own] if other is None else [own, other])
-        ]
-        places = candidate_pairs(trees[0], trees[1] if other is not None else None, percent)
-    for p, q in places:
-        x, y = own[p], right[q]
-        # the leader's pairs are verified already
-        if x[4] == y[4] or x[3] == y[0] or y[3] == x[0]:
-            continue
-        if min(x[1] - x[2], y[1] - y[2]) >= required(x[1], y[1], percent) and could_link(x[1], x[5], y[1], y[5], percent):
-            yield (x[0], y[0]) if x[0] < y[0] else (y[0], x[0])
-
-
-def _traverse(percent: int):
-    """Groups arrive as runs of consecutive rows; only the open one is held."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-    names = ("key", "low", "high", "block", "a", "n", "pos", "leader", "part", "bits")
-
-    def pairs_of(rows: list[tuple]) -> Iterator[tuple[int, int]]:
+        for p, x in enumerate(own):
+            for y in right[p + 1 :] if other is None else right:
+                compare(x, y)
+        return
+    if other is None:
+        for x, y in zip(own, own[1:]):
+            compare(x, y)
+    trees = [
+        Tree(
+            np.array([m[0] for m in x], np.int64),
+            np.array([m[1] for m in x], np.int64),
+            [m[3] for m in x],
+            np.array([forest.find(m[2]) for m in x], np.int64),
+        )
+        for x in ([own] if other is None else [own, other])
+    ]
+    for p, q in candidate_pairs(trees[0], trees[1] if other is not None else None, percent, joined=joined):
+        forest.unite(own[p][2], right[q][2])
+
+
+_PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+
+def _written(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.record_batch([pa.array([x[i] for x in pairs], pa.int64()) for i in (0, 1)], schema=_PAIRS)
+
+
+def _in_groups(percent: int):
+    """Groups arrive as runs of consecutive rows by size; a block of the open one is held."""
+    names = ("key", "salt", "n", "pos", "a", "bits")
+
+    @giving_back
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forest, key, held, carried = Forest(), None, [], 0
+        for batch in batches:
+            for row in zip(*(batch.column(c).to_pylist() for c in names)):
+                if row[:2] != key:
+                    if len(held) > max(carried, 1):
+                        connect(held, None, percent, forest)
+                    key, held, carried = row[:2], [], 0
+                held.append(row[2:])
+                if len(held) == BLOCK:
+                    connect(held, None, percent, forest)
+                    # the last of each part, as far as there is room
+                    parts = {forest.find(m[2]): m for m in held}
+                    held = list(parts.values())[-CARRIED:]
+                    carried = len(held)
+            yield _written(forest.pairs)
+            forest.pairs = []
+            if len(forest.up) > REMEMBERED:
+                forest = Forest()
+        if len(held) > max(carried, 1):
+            connect(held, None, percent, forest)
+        yield _written(forest.pairs)
+
+    return run
+
+
+def _between_blocks(percent: int):
+    """Pairs of blocks arrive as runs of consecutive rows; only the open one is held."""
+    names = ("key", "low", "high", "block", "n", "pos", "part", "bits")
+
+    def compare(rows: list[tuple], forest: Forest) -> None:
         low, high = rows[0][1:3]
         own = [r[4:] for r in rows if r[3] == low]
-        if low == high:
-            return group_pairs(own, None, percent)
-        return group_pairs(own, [r[4:] for r in rows if r[3] == high], percent)
-
-    def written(found: set) -> pa.RecordBatch:
-        return pa.record_batch([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], schema=schema)
+        connect(own, None if low == high else [r[4:] for r in rows if r[3] == high], percent, forest)
 
     @giving_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
+        forest, held = Forest(), []
         for batch in batches:
-            found = set()
             for row in zip(*(batch.column(c).to_pylist() for c in names)):
                 if held and row[:3] != held[0][:3]:
-                    found.update(pairs_of(held))
+                    compare(held, forest)
                     held = []
                 held.append(row)
-            yield written(found)
+            yield _written(forest.pairs)
+            forest.pairs = []
+            if len(forest.up) > REMEMBERED:
+                forest = Forest()
         if held:
-            yield written(set(pairs_of(held)))
+            compare(held, forest)
+        yield _written(forest.pairs)
 
     return run
 
 
-def _between_parts(members: DataFrame, links: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
-    """One pair (a, b) of each two neighbouring parts of a group, by members drawn for the group."""
-    named = members.join(parts.select(F.col("node").alias("a"), "root"), "a", "left")
-    drawn = F.min(F.struct(F.xxhash64("a", "key").alias("turn"), "a", "n", "pos")).alias("x")
-    order = Window.partitionBy("key").orderBy("part")
-    pairs = named.groupBy("key", F.coalesce("root", "a").alias("part")).agg(drawn).withColumn("y", F.lag("x").over(order))
-    pairs = pairs.filter("y is not null").filter(
-        _possible(F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos"), percent)
-    )
-    return pairs.select(F.least("x.a", "y.a").alias("a"), F.greatest("x.a", "y.a").alias("b")).distinct()
-
-
-def _to_hubs(members: DataFrame, links: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of members with the hub of their group, its member with most links, where parts differ."""
-    ends = links.select(F.explode(F.array("a", "b")).alias("a")).groupBy("a").agg(F.count(F.lit(1)).alias("degree"))
-    known = parts.select(F.col("node").alias("a"), "root").join(ends, "a")
-    named = members.join(known, "a", "left").select(
-        "key", "a", "n", "pos", F.coalesce("root", "a").alias("part"), F.coalesce("degree", F.lit(0)).alias("degree")
-    )
-    hubs = named.groupBy("key").agg(
-        F.max(F.struct("degree", "a", "n", "pos", "part")).alias("hub"),
-        F.min("part").alias("low"),
-        F.max("part").alias("high"),
-    )
-    pairs = named.join(hubs.filter("low < high and hub.degree > 0").select("key", "hub"), "key")
-    pairs = pairs.filter("part != hub.part").filter(
-        _possible(F.col("n"), F.col("pos"), F.col("hub.n"), F.col("hub.pos"), percent)
-    )
-    return pairs.select(F.least("a", "hub.a").alias("a"), F.greatest("a", "hub.a").alias("b")).distinct()
-
-
-def _across_parts(members: DataFrame, sets: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of one group in different parts that signature trees leave."""
+def _across_blocks(members: DataFrame, sets: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
+    """Pairs of parts that members of different blocks of a large group could link."""
     named = (
         members.join(parts.select(F.col("node").alias("a"), "root"), "a", "left")
         .withColumn("part", F.coalesce("root", "a"))
-        .select("key", "a", "n", "pos", F.coalesce("leader.a", F.lit(0)).alias("leader"), "part")
+        .select("key", "a", "n", "pos", "part")
     )
     groups = named.groupBy("key").agg(
         F.count(F.lit(1)).alias("members"), F.min("part").alias("low"), F.max("part").alias("high")
     )
-    open_ = groups.filter("members > 2 and low < high").select("key", "members")
-    rows = named.join(open_, "key").join(sets.select("a", "bits"), "a")
-    # a large group is dealt out in blocks, and each pair of blocks is traversed by itself
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("a"), blocks).cast("int")).withColumn(
-        "with", F.explode(F.sequence(F.lit(0), blocks - 1))
-    )
-    rows = rows.select(
-        "key", "a", "n", "pos", "leader", "part", "bits", "block",
-        F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high"),
-    )
-    grouped = rows.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
-    return grouped.mapInArrow(_traverse(percent), "a bigint, b bigint").distinct()
+    rows = named.join(groups.filter("low < high").select("key", "members"), "key").join(sets.select("a", "bits"), "a")
+    rows = _paired(rows, F.ceil(F.col("members") / PAIR_BLOCK).cast("int"))
+    rows = rows.select("key", "low", "high", "block", "n", "pos", "part", "bits").repartition("key", "low", "high")
+    return rows.sortWithinPartitions("key", "low", "high").mapInArrow(_between_blocks(percent), "a bigint, b bigint")
+
+
+def _paired(rows: DataFrame, blocks: Column) -> DataFrame:
+    """Rows dealt out by a in blocks, each for every pair of its block (low, high) with another or itself."""
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("a"), blocks).cast("int"))
+    rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0), blocks.cast("int") - 1)))
+    return rows.withColumn("low", F.least("block", "with")).withColumn("high", F.greatest("block", "with")).drop("with")
+
+
+def exact_links(names: list[int], sets: list[np.ndarray], side: np.ndarray | None, percent: int) -> list[tuple[int, int]]:
+    """A forest of the links between sets of distinct values, or only of those between two sides.
+
+    Sets with a link share a value of their prefixes, here with the rarest values first.
+    """
+    forest = Forest()
+    if len(names) <= FANOUT:
+        for i, x in enumerate(sets):
+            for j in range(i):
+                if (side is not None and side[i] == side[j]) or forest.find(names[i]) == forest.find(names[j]):
+                    continue
+                both = len(np.intersect1d(x, sets[j], assume_unique=True))
+                if 100 * both >= percent * (len(x) + len(sets[j]) - both):
+                    forest.unite(names[i], names[j])
+        return forest.pairs
+    n = np.array([len(x) for x in sets], np.int64)
+    edges = np.concatenate([[0], np.cumsum(n)])
+    _, value, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    rank = np.empty(len(times), np.int64)
+    rank[np.argsort(times, kind="stable")] = np.arange(len(times))
+    value = rank[value]
+    owner = np.repeat(np.arange(len(n)), n)
+    value = value[np.lexsort((value, owner))]
+    in_prefix = np.arange(len(value)) - edges[owner] < (n - -(-percent * n // 100) + 1)[owner]
+    holder, held = owner[in_prefix], value[in_prefix]
+    turn = np.argsort(held, kind="stable")
+    holder, first = holder[turn], np.concatenate([[0], np.cumsum(np.bincount(held, minlength=len(times)))])
+    label, groups, marked = np.arange(len(n)), [[i] for i in range(len(n))], np.zeros(len(times), bool)
+    for i in np.argsort(n, kind="stable"):
+        own = value[edges[i] : edges[i + 1]]
+        mine = own[: n[i] - -(-percent * int(n[i]) // 100) + 1]
+        near = np.unique(np.concatenate([holder[first[v] : first[v + 1]] for v in mine]))
+        # each pair once, at the larger set
+        near = near[(100 * n[near] >= percent * n[i]) & ((n[near] < n[i]) | ((n[near] == n[i]) & (near < i)))]
+        if side is not None:
+            near = near[side[near] != side[i]]
+        marked[own] = True
+        while len(near := near[label[near] != label[i]]):
+            some, near = near[:BLOCK], near[BLOCK:]
+            starts = np.concatenate([[0], np.cumsum(n[some])])
+            at = np.arange(starts[-1]) + np.repeat(edges[some] - starts[:-1], n[some])
+            both = np.add.reduceat(marked[value[at]].astype(np.int64), starts[:-1])
+            for j in some[100 * both >= percent * (n[some] + n[i] - both)]:
+                small, large = sorted((int(label[i]), int(label[j])), key=lambda x: len(groups[x]))
+                if small != large:
+                    forest.unite(names[i], names[j])
+                    label[groups[small]] = large
+                    groups[large] += groups[small]
+                    groups[small] = []
+        marked[own] = False
+    return forest.pairs
+
+
+def _exactly(percent: int):
+    """Clusters, or pairs of blocks of them, arrive as runs of consecutive rows; only the open one is held."""
+
+    def compare(key: tuple, held: dict) -> list[tuple[int, int]]:
+        names = list(held)
+        side = None if key[1] == key[2] else np.array([held[x][0] for x in names])
+        return exact_links(names, [held[x][1] for x in names], side, percent)
+
+    @giving_back
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, {}
+        for batch in batches:
+            found = []
+            lists = batch.column("hashes")
+            edges, values = lists.offsets.to_pylist(), lists.values.to_numpy()
+            for t, row in enumerate(zip(*(batch.column(c).to_pylist() for c in ("root", "low", "high", "block", "a")))):
+                if row[:3] != key:
+                    if len(held) > 1:
+                        found += compare(key, held)
+                    key, held = row[:3], {}
+                # the batch is not kept
+                held[row[4]] = (row[3], values[edges[t] : edges[t + 1]].copy())
+            yield _written(found)
+        if len(held) > 1:
+            yield _written(compare(key, held))
+
+    return run
+
+
+def _compared(docs: DataFrame, sets: DataFrame, clusters: DataFrame, k: int, percent: int) -> DataFrame:
+    """A forest of the links between the sets of each cluster (node, root)."""
+    named = sets.select("a", "n", "id", "th").join(clusters.select(F.col("node").alias("a"), "root"), "a")
+    total = named.groupBy("root").agg(F.ceil(F.sum("n") / ELEMENTS).cast("bigint").alias("blocks"))
+    named = materialize(named.join(total, "root").select("id", "th", "a", "root", "blocks"))
+    some = F.broadcast(named) if named.count() <= BROADCAST_IDS else named
+    rows = docs.withColumn("th", F.xxhash64("text")).join(some, ["id", "th"]).select("text", "a", "root", "blocks")
+    rows = rows.mapInArrow(_full_sets(k), "a bigint, root bigint, blocks bigint, hashes array<bigint>")
+    rows = _paired(rows, F.col("blocks")).drop("blocks").repartition("root", "low", "high")
+    return materialize(rows.sortWithinPartitions("root", "low", "high").mapInArrow(_exactly(percent), "a bigint, b bigint"))
 
 
 def describe(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
@@ -349,29 +458,18 @@ def _frequent(described: DataFrame) -> np.ndarray:
 def links(docs: DataFrame, described: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """Links (a, b) between sets that, with all others inside the parts they form, are all links."""
     docs = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), text_of().alias("text"))
-    sets = materialize(
-        described.filter("n > 0")
-        .groupBy("a", "n")
-        .agg(
-            F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("id"),
-            F.min_by("bits", F.coalesce("doc_id", F.lit(NO_ID))).alias("bits"),
-        )
-    )
-    members = materialize(_members(docs, _frequent(described), k, percent))
-    led = members.select("a", "n", "pos", F.explode(F.array("leader", "last")).alias("to"))
-    led = led.filter("to is not null and to.a != a").filter(
-        _possible(F.col("n"), F.col("pos"), F.col("to.n"), F.col("to.pos"), percent)
-    )
-    pairs = led.select(F.least("a", "to.a").alias("a"), F.greatest("a", "to.a").alias("b")).distinct()
-    pairs = materialize(_with_bitmaps(pairs, sets, percent))
-    first = verified(docs, sets, pairs, k, percent)
-    shared = members.filter("not settled").drop("settled", "last")
-    for propose in (_to_hubs, _between_parts):
-        between = propose(shared, first, components(first), percent)
-        between = materialize(_with_bitmaps(between, sets, percent))
-        first = first.unionByName(verified(docs, sets, between, k, percent))
-    across = materialize(_across_parts(shared, sets, components(first), percent))
-    return first.unionByName(verified(docs, sets, across, k, percent))
+    owner = F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), "th")
+    sets = described.filter("n > 0").groupBy("a", "n").agg(F.min(owner).alias("x"), F.first("bits").alias("bits"))
+    sets = materialize(sets.select("a", "n", "x.id", "x.th", "bits"))
+    members = materialize(_different(materialize(_members(docs, _frequent(described), k, percent))))
+    rows = members.select("key", "salt", "a", "n", "pos").join(sets.select("a", "bits"), "a").repartition("key", "salt")
+    rows = rows.sortWithinPartitions("key", "salt", "n", "a").mapInArrow(_in_groups(percent), "a bigint, b bigint")
+    clusters = components(rows)
+    large = members.filter(F.col("often") | (F.col("m") >= BLOCK))
+    if not large.isEmpty():
+        across = _across_blocks(large, sets, clusters, percent)
+        clusters = components(clusters.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(across))
+    return _compared(docs, sets, clusters, k, percent)
 
 
 def near_copies(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:

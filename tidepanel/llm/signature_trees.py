@@ -9,7 +9,7 @@ pair of nodes whose members all belong to one component already.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 
@@ -91,8 +91,13 @@ def _survivors(a: tuple, i: np.ndarray, b: tuple, j: np.ndarray, percent: int) -
     return sizes & (overlap >= need) & ~one
 
 
-def candidate_pairs(a: Tree, b: Tree | None, percent: int, most: int = 1 << 16) -> Iterator[tuple[int, int]]:
-    """Pairs (place in a, place in b) that could link; within a, where b is None."""
+def candidate_pairs(
+    a: Tree, b: Tree | None, percent: int, most: int = 1 << 16, joined: Callable[[int, int], bool] | None = None
+) -> Iterator[tuple[int, int]]:
+    """Pairs (place in a, place in b) that could link; within a, where b is None.
+
+    Pairs of places that ``joined`` holds by the time they are reached are left out.
+    """
     other = b or a
     depth = max(len(a.levels), len(other.levels)) - 1
     start = (np.zeros(1, np.int64), np.zeros(1, np.int64))
@@ -110,8 +115,11 @@ def candidate_pairs(a: Tree, b: Tree | None, percent: int, most: int = 1 << 16)
             continue
         if level == 0:
             for p, q in zip(i.tolist(), j.tolist()):
-                if (b is not None or p < q) and a.group[p] != other.group[q] and _leaf(a, p, other, q, percent):
-                    yield int(a.order[p]), int(other.order[q])
+                if (b is None and p >= q) or a.group[p] == other.group[q]:
+                    continue
+                x, y = int(a.order[p]), int(other.order[q])
+                if (joined is None or not joined(x, y)) and _leaf(a, p, other, q, percent):
+                    yield x, y
             continue
         i, j = _below(i, a, level), _below(j, other, level)
         rows = [(p, q) for p, q in zip(i, j)]
