@@ -253,3 +253,13 @@ def test_cut_rows_are_said(spark, tmp_path, most, said):
     found = delimited.read_series(spark, str(tmp_path), max_rows=most)
     assert found.panel.count() == most
     assert sum("most recent" in text for text in found.warnings) == said
+
+
+def test_spanning_records_are_parsed_once(spark, tmp_path):
+    path = tmp_path / "spanning.csv"
+    path.write_text('a,b\n1,"x\n\ny"\n\n2,"z\n"\n3,w\n')
+    rows = delimited.file_rows(spark, str(path))
+    # the uses of the rows read cells that are written, not the records
+    assert "from_csv" not in rows._jdf.queryExecution().toString()
+    got = [tuple(r) for r in rows.orderBy(delimited.POSITION).collect()]
+    assert got == [("1", "x\n\ny", 0), ("2", "z\n", 1), ("3", "w", 2)]

@@ -148,32 +148,43 @@ def spanning_rows(spark: SparkSession, path: str, sep: str, header: bool = True)
     mapped = lines.withColumn("to", F.when(F.col("__out") == F.col("__in"), F.col("__out"))).withColumn(
         "swap", (F.col("__out") > F.col("__in")).cast("int")
     )
-    mapped = materialize(_through(mapped, split, "__id").select("value", *split, "__id", "before", "after"))
-    ends = mapped.groupBy(*split).agg(F.max_by("after", "__id").alias("end"))
+    # for either state that the split may begin with: before and after the line, and records begun so far
+    upto = Window.partitionBy(*split).orderBy("__id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ways = [
+        F.struct(
+            (_state("before", entry) == 0).cast("int").alias("begins"),
+            (_state("after", entry) == 0).alias("ends"),
+            # a blank line between records is none
+            F.sum(((_state("before", entry) == 0) & (F.trim("value") != "")).cast("int")).over(upto).alias("nth"),
+        ).alias(f"__way{entry}")
+        for entry in (0, 1)
+    ]
+    mapped = materialize(_through(mapped, split, "__id").select("value", *split, "__id", "after", *ways))
+    ends = mapped.groupBy(*split).agg(
+        F.max_by("after", "__id").alias("end"), *[F.max(f"__way{entry}.nth").alias(f"__n{entry}") for entry in (0, 1)]
+    )
     ends = ends.select(
         *split,
         F.when(F.col("end.fixed").isNotNull(), (F.col("end.fixed") + F.col("end.swaps")) % 2).alias("to"),
         F.when(F.col("end.fixed").isNull(), F.col("end.swaps")).otherwise(0).alias("swap"),
+        "__n0",
+        "__n1",
     )
-    entries = _through(ends, ["__file"], "__start").select(*split, _state("before", 0).alias("__entry"))
-    placed = mapped.join(materialize(entries), split).select(
+    entries = _through(ends, ["__file"], "__start").withColumn("__entry", _state("before", 0))
+    entries = entries.withColumn("__records", F.when(F.col("__entry") == 0, F.col("__n0")).otherwise(F.col("__n1")))
+    earlier = Window.partitionBy("__file").orderBy("__start").rowsBetween(Window.unboundedPreceding, -1)
+    entries = entries.withColumn("__offset", F.coalesce(F.sum("__records").over(earlier), F.lit(0)))
+    entries = materialize(entries.select(*split, "__entry", "__offset"))
+    way = F.when(F.col("__entry") == 0, F.col("__way0")).otherwise(F.col("__way1"))
+    numbered = mapped.join(entries, split).withColumn("__way", way).select(
         "value",
         *split,
         "__id",
-        (_state("before", F.col("__entry")) == 0).cast("int").alias("__begins"),
-        (_state("after", F.col("__entry")) == 0).alias("__ends"),
+        F.col("__way.begins").alias("__begins"),
+        F.col("__way.ends").alias("__ends"),
+        (F.col("__offset") + F.col("__way.nth")).alias("__record"),
     )
-    # a blank line between records is none
-    placed = placed.where((F.col("__begins") == 0) | (F.trim("value") != ""))
-    upto = Window.partitionBy(*split).orderBy("__id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    numbered = placed.withColumn("__nth", F.sum("__begins").over(upto))
-    counts = placed.groupBy(*split).agg(F.sum("__begins").alias("__records"))
-    earlier = Window.partitionBy("__file").orderBy("__start").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.withColumn("__offset", F.coalesce(F.sum("__records").over(earlier), F.lit(0)))
-    numbered = numbered.join(materialize(offsets), split).select(
-        "value", *split, "__id", "__begins", "__ends", (F.col("__offset") + F.col("__nth")).alias("__record")
-    )
-    numbered = materialize(numbered)
+    numbered = numbered.where((F.col("__begins") == 0) | (F.trim("value") != ""))
     whole = numbered.where("__begins = 1 and __ends").select("__file", "__record", "value")
     ordered = F.array_sort(F.collect_list(F.struct("__start", "__id", "value")))
     joined = numbered.where("__begins = 0 or not __ends").groupBy("__file", "__record").agg(ordered.alias("__l"))
@@ -183,8 +194,6 @@ def spanning_rows(spark: SparkSession, path: str, sep: str, header: bool = True)
     first = records.orderBy("__file", "__record").first()
     cells = next(csv.reader(io.StringIO(first["value"]), delimiter=sep))
     names = [c.strip() for c in cells] if header else [f"_c{i}" for i in range(len(cells))]
-    schema = ", ".join(f"c{i} string" for i in range(len(names)))
-    parsed = F.from_csv("value", schema, {"sep": sep, "quote": '"', "escape": '"'})
     # positions: records of earlier files, without their headers, and of this file
     skipped = 1 if header else 0
     files = records.groupBy("__file").agg(F.min("__record").alias("__least"), F.count(F.lit(1)).alias("__n"))
@@ -194,7 +203,10 @@ def spanning_rows(spark: SparkSession, path: str, sep: str, header: bool = True)
     )
     kept = records.join(files, "__file").where(F.col("__record") >= F.col("__least") + skipped)
     place = F.col("__from") + F.col("__record") - F.col("__least") - skipped
-    rows = kept.select(parsed.alias("__cells"), place.cast("bigint").alias(POSITION))
+    schema = ", ".join(f"c{i} string" for i in range(len(names)))
+    parsed = F.from_csv("value", schema, {"sep": sep, "quote": '"', "escape": '"'})
+    # written, so that a record is parsed once and not for each column and use of it
+    rows = materialize(kept.select(parsed.alias("__cells"), place.cast("bigint").alias(POSITION)))
     return rows.select(*[_cell(f"`__cells`.c{i}").alias(name) for i, name in enumerate(names)], POSITION)
 
 

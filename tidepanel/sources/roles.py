@@ -89,7 +89,8 @@ def parse_text_time(column: Column | str) -> Column:
     for pattern in reversed(DATE_FORMATS):
         parsed = F.try_to_timestamp(text, F.lit(pattern)).cast("timestamp_ntz")
         other = F.when(text.rlike(_shape(pattern)), parsed).otherwise(other)
-    return F.when(iso.isNotNull(), iso).otherwise(F.when(text.rlike("^[0-9]"), other))
+    # all formats begin with a number and one of these marks: other numbers need not be tried with each
+    return F.when(iso.isNotNull(), iso).otherwise(F.when(text.rlike("^[0-9]{1,4}[-./]"), other))
 
 
 def _shape(pattern: str) -> str:
