@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tidepanel.llm import fingerprints, ngram_join, personal_data, piece_bpe, quality, source_mix, substring_dedup, words
+from tidepanel.llm import fingerprints, ngram_join, personal_data, piece_bpe, quality, source_mix, substring_dedup, token_files, words
 from tidepanel.llm.components import components
 from tidepanel.llm.exact_dedup import drop_copies, mark_copies
 from tidepanel.llm.piece_bpe import PieceModel, encode_digests, encode_ids
@@ -121,6 +121,43 @@ def test_token_files_round_trip(docs, rows):
     same(read_ids(write_ids(docs, WORD_FILE, 1, shard_ids=500, parts=3)).collect(), want)
 
 
+def test_each_word_is_encoded_once(monkeypatch):
+    """Whatever stands around a word, the library gets it once, and only different pieces are cut."""
+    encoder = token_files._Encoder(WORD_FILE)
+    given, cut = [], []
+    encode, lines = encoder._encode, encoder._lines
+    monkeypatch.setattr(encoder, "_encode", lambda words: given.extend(words) or encode(words))
+    monkeypatch.setattr(encoder, "_lines", lambda text: cut.extend(text.split()) or lines(text))
+    texts = ["Word, word. (WORD) word!", "word, other word\nother", "éa éa, word"] * 50
+    want = library_ids(texts)
+    for _ in range(2):
+        assert encoder.encode(pa.array(texts)).to_pylist() == want
+    assert sorted(w for w in given if w.isalpha()) == [b"other", b"word"] and len(given) == len(set(given))
+    assert len(cut) == 2 * len(set(cut))
+
+
+def library_ids(texts: list[str]) -> list[bytes]:
+    library = Tokenizer.from_file(WORD_FILE)
+    return [np.array(library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+
+
+def test_ids_of_odd_texts(monkeypatch):
+    rng = random.Random(5)
+    signs = [chr(c) for c in range(0x20000) if not 0xD800 <= c < 0xE000]
+    between = ["", "", "a", "A", *filter(str.isspace, signs)]
+    texts = ["".join(rng.choice(signs) + rng.choice(between) for _ in range(40)) for _ in range(300)]
+    texts += ["", " ", "\x1c", "a\x1cb !\x1d! \x1f", "H\u0331 h\u0331 \u0331x \n\u0301", "ΑΣ ΣΑΣ İs 's've'Sx"]
+    texts += ["</w> <|endoftext|>A<|", "aB" * 5000, "<|ENDOFTEXT|> x<|startoftext|>é", "½²x it's\u3000  they'LL ", *texts[:3]]
+    encoder, want = token_files._Encoder(WORD_FILE), library_ids(texts)
+    assert encoder.encode(pa.array(texts)).to_pylist() == want
+    assert encoder.encode(pa.array(texts).slice(200)).to_pylist() == want[200:]
+    monkeypatch.setattr(token_files, "MEMO_WORDS", 5)
+    assert [x for t in texts for x in encoder.encode(pa.array([t])).to_pylist()] == want
+    encoder.closing[:] = False  # where tokens do not tell the ends of words, words are encoded one by one
+    encoder.known = {b"\n": b""}
+    assert encoder.encode(pa.array(texts)).to_pylist() == want
+
+
 def test_any_id_is_read_alone():
     rng = np.random.default_rng(1)
     for n in (0, 1, 511, 512, 513, 5000):

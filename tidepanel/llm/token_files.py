@@ -8,6 +8,7 @@ with one step per chunk, without decoding its neighbours.
 
 from __future__ import annotations
 
+import os
 import struct
 import zlib
 from collections.abc import Iterator
@@ -15,16 +16,24 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidepanel.llm.tables import text_of
-from tidepanel.llm.token_transducer import Memo, Splitter, pieces
+from tidepanel.llm.token_transducer import SPACES, Splitter, normal
+from tidepanel.llm.words import giving_back, slices
 from tidepanel.session import materialize
 
 RANK_BLOCK = 512
 SHARD_IDS = 1 << 20
 MAGIC = b"DAC1"
+#: Bytes of texts that are cut and looked up together.
+SLICE_BYTES = 1 << 23
+#: Words whose ids an encoder keeps, and bytes of the longest one it keeps.
+MEMO_WORDS = 600_000
+MEMO_BYTES = 64
 
 
 def pack_ids(ids: np.ndarray) -> bytes:
@@ -126,30 +135,105 @@ class ShardReader:
         return self.ids.range(int(self.ends[k - 1]) if k else 0, int(self.ends[k]))
 
 
+def split_pieces(texts: pa.StringArray) -> pa.ListArray:
+    """The pieces of each text between white space, as ``pieces`` cuts them; empty ones at its ends stay."""
+    # words are lower-cased anyway; done at once for plain texts, more pieces are equal
+    plain = pc.and_(pc.string_is_ascii(texts), pc.invert(pc.match_substring(texts, "<|")))
+    texts = pc.if_else(plain, pc.ascii_lower(texts), texts)
+    if pc.any(pc.match_substring_regex(texts, "[\x1c-\x1f]")).as_py():  # the kernel takes these for white space
+        return pc.split_pattern_regex(texts, f"[{SPACES}]+")
+    return pc.utf8_split_whitespace(texts)
+
+
+def join_runs(parts: pa.LargeBinaryArray, ends: np.ndarray) -> pa.LargeBinaryArray:
+    """The parts between neighbouring ends joined to one cell."""
+    _, offsets, data = parts.buffers()
+    offsets = np.frombuffer(offsets, np.int64, len(parts) + 1, 8 * parts.offset)
+    ends = np.ascontiguousarray(offsets[ends])
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(ends), data])
+
+
 class _Encoder:
-    """Ids of texts as little-endian 32-bit integers; pieces between white space are encoded once."""
+    """Ids of texts as little-endian 32-bit integers.
+
+    Of a slice of texts the different pieces between white space are cut into words together, and of
+    these words the different ones are looked up; the library encodes those not met before together.
+    """
 
     def __init__(self, path: str):
+        from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import WhitespaceSplit
+
         self.splitter = Splitter(path)
         self.model = self.splitter.library.model
-        self.known = Memo(self._piece)
+        self.bare = Tokenizer(self.model)
+        self.bare.pre_tokenizer = WhitespaceSplit()
+        suffix, vocabulary = self.splitter.model["end_of_word_suffix"], self.splitter.model["vocab"]
+        self.closing = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.closing[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
+        self.letters = {b: c for b, c in enumerate(self.splitter.symbols) if b != ord(" ")}
+        self.lines = regex.compile(rf"\n|{self.splitter.word_cut.pattern}")
+        self.known = {b"\n": b""}
+
+    def _word(self, word: bytes) -> bytes:
+        """Ids of one word in UTF-8."""
+        tokens = self.model.tokenize(word.decode("latin-1").translate(self.letters))
+        return np.array([t.id for t in tokens], dtype="<u4").tobytes()
+
+    def _encode(self, words: list[bytes]) -> list[bytes]:
+        """Ids of words in UTF-8 that hold no white space, encoded as one text and cut where tokens end words."""
+        text = b" ".join(words).decode("latin-1").translate(self.letters)
+        (found,) = self.bare.encode_batch_fast([text], add_special_tokens=False)
+        ids = np.array(found.ids, dtype="<u4")
+        ends = 4 * (np.flatnonzero(self.closing[ids]) + 1)
+        if len(ends) != len(words):  # a vocabulary whose tokens do not tell
+            return list(map(self._word, words))
+        data = ids.tobytes()
+        return [data[a:b] for a, b in zip([0, *ends.tolist()], ends.tolist())]
+
+    def _words(self, words: list[bytes]) -> list[bytes]:
+        """Ids of words, all different; those of short words are kept, and dropped together when they are many."""
+        if len(self.known) > MEMO_WORDS:
+            self.known = {b"\n": b""}
+        new = [w for w in words if len(w) <= MEMO_BYTES and w not in self.known]
+        self.known.update(zip(new, self._encode(new)))
+        return [self.known[w] if len(w) <= MEMO_BYTES else self._word(w) for w in words]
+
+    def _lines(self, text: str) -> pa.LargeBinaryArray:
+        """Ids of the lines of a text, all of them plain pieces."""
+        words = pa.array(self.lines.findall(normal(text)), pa.large_string())
+        ends = np.flatnonzero(pc.equal(words, "\n").to_numpy(zero_copy_only=False)) + 1
+        if len(ends) != text.count("\n"):
+            raise ValueError("a word holds a line break")
+        coded = words.cast(pa.large_binary()).dictionary_encode()
+        ids = pa.array(self._words(coded.dictionary.to_numpy(zero_copy_only=False).tolist()), pa.large_binary())
+        return join_runs(ids.take(coded.indices), np.concatenate([[0], ends]))
 
     def _piece(self, piece: str) -> bytes:
-        ids, symbols = [], self.splitter.symbols
-        for word in self.splitter.words(piece):
-            if isinstance(word, str):
-                ids.append(self.splitter.special[word])
-            else:
-                text = word.decode() if word.isalpha() else "".join([symbols[b] for b in word])
-                ids += [t.id for t in self.model.tokenize(text)]
-        return struct.pack(f"<{len(ids)}I", *ids)
-
-    def encode(self, texts: list[str]) -> Iterator[bytes]:
-        known = self.known.__getitem__
-        for text in texts:
-            # words are lower-cased anyway; done at once for plain texts, more pieces are already known
-            plain = text.isascii() and "<|" not in text
-            yield b"".join(map(known, pieces(text.lower() if plain else text)))
+        """Ids of any piece."""
+        special = self.splitter.special
+        words = self.splitter.words(piece)
+        return b"".join([struct.pack("<I", special[w]) if isinstance(w, str) else self._words([w])[0] for w in words])
+
+    def _pieces(self, pieces: pa.StringArray) -> pa.LargeBinaryArray:
+        """Ids of pieces, all different."""
+        alone = pc.match_substring(pieces, "<|").to_numpy(zero_copy_only=False)
+        different = pieces.to_numpy(zero_copy_only=False)
+        if not self.splitter.knows("".join(different)):
+            alone = alone | [not self.splitter.knows(p) for p in different]
+        ids = self._lines("\n".join([*different[~alone], ""]))
+        if not alone.any():
+            return ids
+        rest = pa.array(list(map(self._piece, different[alone])), pa.large_binary())
+        place = np.empty(len(different), dtype=np.int64)
+        place[np.argsort(alone, kind="stable")] = np.arange(len(different))
+        return pa.concat_arrays([ids, rest]).take(pa.array(place))
+
+    def encode(self, texts: pa.StringArray) -> pa.LargeBinaryArray:
+        cut = split_pieces(texts)
+        coded = cut.flatten().dictionary_encode()
+        ends = cut.offsets.to_numpy()
+        return join_runs(self._pieces(coded.dictionary).take(coded.indices), ends - ends[0])
 
 
 @lru_cache(maxsize=2)
@@ -170,22 +254,21 @@ def _write(path: str, end_id: int, shard_ids: int):
         return pa.record_batch([pa.array([c], f.type) for c, f in zip(cells, schema)], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks share the cores already
         encoder = _encoder(path)
         part, shard, docs, held = 0, 0, [], 0
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                some = batch.slice(at, 500)
-                part = some.column("part")[0].as_py()
-                for doc, ids in zip(some.column("doc_id").to_pylist(), encoder.encode(some.column("text").to_pylist())):
-                    docs.append((doc, ids + end))
-                    held += len(ids) // 4 + 1
-                    if held >= shard_ids:
-                        yield image(part, shard, docs)
-                        shard, docs, held = shard + 1, [], 0
+        for some in slices(batches, most=SLICE_BYTES):
+            part = some.column("part")[0].as_py()
+            for doc, ids in zip(some.column("doc_id").to_pylist(), encoder.encode(some.column("text")).to_pylist()):
+                docs.append((doc, ids + end))
+                held += len(ids) // 4 + 1
+                if held >= shard_ids:
+                    yield image(part, shard, docs)
+                    shard, docs, held = shard + 1, [], 0
         if docs:
             yield image(part, shard, docs)
 
-    return run
+    return giving_back(run)
 
 
 def write_ids(

@@ -168,12 +168,16 @@ class Splitter:
         split = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))
         return [bytes(self.symbol_bytes[c] for c in word) for word, _ in split]
 
+    def knows(self, text: str) -> bool:
+        """Whether all characters of a text are split here as by the library."""
+        return text.isascii() or all(map(self.agrees, {ord(c) >> 8 for c in set(text)}))
+
     def words(self, piece: str) -> list[bytes | str]:
         """Words in UTF-8; special strings stay strings."""
         if piece.isascii():
             if piece.isalpha():
                 return [piece.lower().encode()]
-        elif not all(map(self.agrees, {ord(c) >> 8 for c in piece})):
+        elif not self.knows(piece):
             return self._around_special(piece, self.library_words)
         if "<|" in piece:
             return self._around_special(piece, self._plain)
